@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, token_counts, token_files
+from . import line_dedup, packing, quality, sharding, token_counts, token_files
 from .common import saved, scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -41,5 +41,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op2_shards, op5_packing, op8_token_files, op10_token_counts)}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = quality.judge(documents(spark, sf_dir))
+    return q.select("doc_id", *[F.col(f"__q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")])
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.drop_shared_lines(documents(spark, sf_dir))
+    return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_shards, op5_packing, op6_quality_rules, op8_token_files, op9_line_dedup, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
