@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, line_dedup, packing, quality, sharding, token_counts, token_files
+from . import decontaminate, jaccard, line_dedup, packing, quality, sharding, token_counts, token_files
 from .common import saved, scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -55,5 +55,9 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir), k=3, t=90)
 
 
-QUERIES = {f.__name__: f for f in (op2_shards, op4_jaccard_join, op5_packing, op6_quality_rules, op8_token_files, op9_line_dedup, op10_token_counts)}
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_shards, op4_jaccard_join, op5_packing, op6_quality_rules, op8_token_files, op9_line_dedup, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
