@@ -127,4 +127,6 @@ def judge(docs: DataFrame, class_limit: float = 0.22, word_limit: float = 0.25,
 
 def keep_good(docs: DataFrame, **parameters) -> DataFrame:
     """The documents that judge() keeps, with the columns of docs."""
-    return judge(docs, **parameters).where("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the filter looks at a column that depends on the row's place, so it is not moved below the counts, which it would repeat
+    judged = judge(docs, **parameters).withColumn("__q_row", F.monotonically_increasing_id())
+    return judged.where(F.col("__q_kept") & (F.col("__q_row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
