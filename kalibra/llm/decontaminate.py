@@ -10,22 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles, tokens
+from .shingles import bare_words
 
 #: Scores of the alignment: a word that agrees, one that differs, one left out or put in.
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: Words of benchmark items held at once, by the driver and by each task; a larger benchmark is taken in blocks.
 BLOCK_WORDS = 2_000_000
-#: Marks at a word's ends don't count: edited copies often differ in them only.
-_MARKS = bytes(set(range(0x21, 0x7F)) - set(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
-_TO_SPACE = bytes.maketrans(_MARKS, b" " * len(_MARKS))
-
-
-def _words(texts: list[bytes | None]) -> Iterator[np.ndarray]:
-    """Hashes of each text's words: ASCII marks part words, letters are lower-cased."""
-    lower = lambda x: x if x.isascii() else x.decode().lower().encode()  # noqa: E731  word_hashes lowers A-Z itself
-    return shingles.word_hashes([lower(x or b"").translate(_TO_SPACE) for x in texts])
-
-
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     """Smith-Waterman: the best local score, and the end (exclusive) of its stretch of the passage.
 
@@ -138,7 +128,7 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, stretch: int = 6
     out = None
     for block in range(blocks):
         held = listed.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).orderBy("item", "text").collect()
-        index = Index([(r["item"], w) for r, w in zip(held, _words([r["text"].encode() for r in held]), strict=True) if len(w) >= n], n)
+        index = Index([(r["item"], w) for r, w in zip(held, bare_words([r["text"].encode() for r in held]), strict=True) if len(w) >= n], n)
         found = _scan(spark, rows, index, stretch, min_score, min_words)
         out = found if out is None else out.union(found)
     return out
@@ -151,7 +141,7 @@ def _scan(spark, rows: DataFrame, index: Index, stretch: int, min_score: float,
         own = every.value
         totals = np.zeros(len(own.gram), np.int64)
         for b in batches:
-            for words in _words(list(tokens.utf8(b.column(1)))):
+            for words in bare_words(list(tokens.utf8(b.column(1)))):
                 at = own.found(words)
                 if len(at):
                     np.add.at(totals, np.searchsorted(own.gram, np.unique(shingles.in_order(words, own.n)[at])), 1)
@@ -171,7 +161,7 @@ def _scan(spark, rows: DataFrame, index: Index, stretch: int, min_score: float,
         own = chosen.value
         for b in batches:
             got: list[tuple] = []
-            for name, words in zip(b.column(0).to_pylist(), _words(list(tokens.utf8(b.column(1)))), strict=True):
+            for name, words in zip(b.column(0).to_pylist(), bare_words(list(tokens.utf8(b.column(1)))), strict=True):
                 got += [(name, own.items[k][0], score, start, end) for k, score, start, end in _matches(own, words, min_score, min_words)]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], kind) for i, kind in enumerate(kinds)], names=["doc_id", "item_id", "score", "start", "end"])

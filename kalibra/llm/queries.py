@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, line_dedup, packing, quality, sharding, token_counts, token_files
+from . import classifier, crf, decontaminate, jaccard, line_dedup, packing, quality, sharding, token_counts, token_files
 from .common import saved, scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -59,5 +59,22 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_shards, op4_jaccard_join, op5_packing, op6_quality_rules, op8_token_files, op9_line_dedup, op10_token_counts)}
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    tagged = crf.tag_languages(docs, docs.where(~held_out))
+    return tagged.select("doc_id", held_out.alias("held_out"), F.col("lang").alias("lang_pred"), "score", "n_words", "n_switched")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are the sources, and a host's paths its languages: documents have no finer address."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = classifier.classify(documents(spark, sf_dir), labels, host="source", path="lang")
+    return out.withColumn("kept", (F.col("quality") >= 0.5) & (F.col("toxic") < 0.5))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontamination, op2_shards, op3_language_id, op4_jaccard_join, op5_packing, op6_quality_rules, op7_quality_classifier, op8_token_files, op9_line_dedup, op10_token_counts)
+}
 ORACLE_SQL: dict[str, str] = {}

@@ -31,8 +31,8 @@ _POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * BLOCK, _
 _INVERSE = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * BLOCK, pow(_BASE, -1, 1 << 64), np.uint64)]))
 
 
-def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of data, and where they start."""
+def _hashes(data: np.ndarray, widths: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of data (with widths: a row of them, then one of the words' first bytes for each width), and where they start."""
     space = np.concatenate([[True], _SPACE[data], [True]])
     edge = np.flatnonzero(space[1:] != space[:-1])
     start, end = edge[::2], edge[1::2]
@@ -41,19 +41,20 @@ def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     else:  # a single word of over two blocks
         powers, inverse = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(data), b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers[: len(data)], dtype=np.uint64)])
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64)), start
+    up_to = lambda end: mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    return np.stack([up_to(end), *[up_to(np.minimum(end, start + w)) for w in widths]]) if widths else up_to(end), start
 
 
-def word_hashes(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+def word_hashes(texts: list[bytes | None], widths: tuple[int, ...] = ()) -> Iterator[np.ndarray]:
     """For each text, the hashes of its words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased. Memory is bounded by BLOCK and the longest word."""
     held: list[bytes] = []
     size = 0
 
     def flush() -> Iterator[np.ndarray]:
         data = np.frombuffer(b"\n".join(held) + b"\n", np.uint8)
-        h, start = _hashes(data)
+        h, start = _hashes(data, widths)
         cuts = np.searchsorted(start, np.cumsum([len(x) + 1 for x in held]))
-        return iter(np.split(h, cuts)[:-1])
+        return iter(np.split(h, cuts, axis=-1)[:-1])
 
     for x in texts:
         x = (x or b"").lower()
@@ -66,9 +67,9 @@ def word_hashes(texts: list[bytes | None]) -> Iterator[np.ndarray]:
                 end = at + BLOCK
                 while end < len(x) and x[end] not in b" \t\n\x0b\x0c\r":
                     end += 1
-                parts.append(_hashes(np.frombuffer(x, np.uint8, min(end, len(x)) - at, at))[0])
+                parts.append(_hashes(np.frombuffer(x, np.uint8, min(end, len(x)) - at, at), widths)[0])
                 at = end
-            yield np.concatenate(parts)
+            yield np.concatenate(parts, axis=-1)
             continue
         held.append(x)
         size += len(x)
@@ -79,6 +80,17 @@ def word_hashes(texts: list[bytes | None]) -> Iterator[np.ndarray]:
         yield from flush()
 
 
+#: ASCII marks, which bare words are parted by.
+_MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
+_TO_SPACE = bytes.maketrans(_MARKS, b" " * len(_MARKS))
+
+
+def bare_words(texts: list[bytes | None], widths: tuple[int, ...] = ()) -> Iterator[np.ndarray]:
+    """Hashes of each text's words where ASCII marks part words and all letters are lower-cased: edited copies differ in these often."""
+    lower = lambda x: x if x.isascii() else x.decode().lower().encode()  # noqa: E731  word_hashes lowers A-Z itself
+    return word_hashes([lower(x or b"").translate(_TO_SPACE) for x in texts], widths)
+
+
 def in_order(words: np.ndarray, k: int) -> np.ndarray:
     """A hash of each window of k words; of all words as one where there are fewer; none without words."""
     n = len(words)
