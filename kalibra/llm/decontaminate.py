@@ -64,13 +64,15 @@ class Index:
         return at[self.gram[np.minimum(np.searchsorted(self.gram, g[at]), len(self.gram) - 1)] == g[at]]
 
 
-def choose_seeds(index: Index, counts: np.ndarray, stretch: int) -> np.ndarray:
-    """Of each stretch of an item's grams, the rarest in the corpus (the first of equals)."""
-    order = np.lexsort((index.place, counts, index.place // stretch, index.item))
-    part = np.stack([index.item[order], index.place[order] // stretch])
-    first = np.ones(len(order), bool)
-    first[1:] = (part[:, 1:] != part[:, :-1]).any(axis=0)
-    return np.sort(order[first])
+def choose_seeds(index: Index, counts: np.ndarray, stretch: int, factor: int = 8) -> np.ndarray:
+    """Of each stretch of an item's grams, those not much commoner in the corpus than its rarest: up to factor times its documents and one.
+
+    The very rarest alone would not do: where exact and edited copies stand side by side, it is a gram that edits destroy.
+    """
+    _, part = np.unique(np.stack([index.item, index.place // stretch]), axis=1, return_inverse=True)
+    least = np.full(len(counts), np.iinfo(np.int64).max)
+    np.minimum.at(least, part.ravel(), counts)
+    return np.flatnonzero(counts <= factor * (least[part.ravel()] + 1))
 
 
 def _matches(index: Index, words: np.ndarray, min_score: float, min_words: int) -> Iterator[tuple[int, float, int, int]]:
@@ -109,8 +111,8 @@ def _matches(index: Index, words: np.ndarray, min_score: float, min_words: int)
 def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, stretch: int = 6, min_score: float = 0.4, min_words: int = 6, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, start, end) for each document and item that align; start, end: the words concerned.
 
-    Every item's word n-grams are counted over all documents; the rarest gram of each stretch of the item
-    becomes a seed (a rank, not a limit: items that are all over the corpus have seeds as well). Each
+    Every item's word n-grams are counted over all documents; the rare grams of each stretch of the item
+    become seeds (rare beside their neighbours: items that are all over the corpus have seeds as well). Each
     document's grams are joined to the seeds, and an item is aligned with the passages around its seeds by
     Smith-Waterman on whole words. score is the alignment's score as a share of the item's words; it must
     reach min_score, and min_words words or the whole item.

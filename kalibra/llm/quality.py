@@ -85,7 +85,7 @@ def references(docs: DataFrame, n_common: int = 16, common_chars: int = 5, text:
 
 def js_distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance (base 2, 0 to 1) of two arrays of shares."""
-    part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
+    part = lambda x, m: F.when(x > 0, x * F.log2(x / F.when(m > 0, m).otherwise(1.0))).otherwise(F.lit(0.0))
     terms = F.zip_with(p, q, lambda x, y: part(x, (x + y) / 2) + part(y, (x + y) / 2))
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) / 2))
 
@@ -111,17 +111,18 @@ def judge(docs: DataFrame, class_limit: float = 0.22, word_limit: float = 0.25,
     own = measured(docs, doc_id, text, lang)
     own = own.join(F.broadcast(refs) if docs.select(*([F.col(lang)] if lang else [F.lit("").alias("l")])).distinct().limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES else refs, "__q_lang", "left")
     total = F.aggregate("__q_classes", F.lit(0).cast("long"), lambda a, b: a + b)
-    own = own.withColumn("__q_shares", F.transform("__q_classes", lambda x: x / total))
+    own = own.withColumn("__q_shares", F.transform("__q_classes", lambda x: x / F.greatest(total, F.lit(1))))
+    n_words = F.greatest(F.col("__q_n_words"), F.lit(1))  # divisions by zero raise errors
     common = F.filter("__q_words", lambda w: F.array_contains(F.col("__q_ref_words"), w))
     own = own.withColumn("__q_common", common)
-    found = F.transform("__q_ref_words", lambda r: F.size(F.filter("__q_common", lambda w: w == r)) / F.col("__q_n_words"))
+    found = F.transform("__q_ref_words", lambda r: F.size(F.filter("__q_common", lambda w: w == r)) / n_words)
     with_rest = lambda a, rest: F.concat(a, F.array(rest))
     rest = lambda a: F.greatest(F.lit(0.0), F.lit(1.0) - F.aggregate(a, F.lit(0.0), lambda x, y: x + y))
     own = own.withColumn("__q_found", found)
     own = own.withColumn("__q_class_distance", F.when(total >= min_chars, js_distance(F.col("__q_shares"), F.col("__q_ref_classes"))))
-    words = js_distance(with_rest(F.col("__q_found"), F.lit(1.0) - F.size("__q_common") / F.col("__q_n_words")), with_rest(F.col("__q_ref_shares"), rest(F.col("__q_ref_shares"))))
+    words = js_distance(with_rest(F.col("__q_found"), F.lit(1.0) - F.size("__q_common") / n_words), with_rest(F.col("__q_ref_shares"), rest(F.col("__q_ref_shares"))))
     own = own.withColumn("__q_word_distance", F.when(F.col("__q_n_words") >= min_words, words))
-    far = (F.coalesce(F.col("__q_class_distance"), F.lit(0.0)) > class_limit) | (F.coalesce(F.col("__q_word_distance"), F.lit(0.0)) > word_limit + 0.15 / F.sqrt(F.greatest(F.col("__q_n_words"), F.lit(1))))
+    far = (F.coalesce(F.col("__q_class_distance"), F.lit(0.0)) > class_limit) | (F.coalesce(F.col("__q_word_distance"), F.lit(0.0)) > word_limit + 0.15 / F.sqrt(n_words))
     return own.withColumn("__q_kept", ~F.col("__q_base_failed") & ~far).drop("__q_words", "__q_shares", "__q_ref_classes", "__q_ref_words", "__q_ref_shares", "__q_common", "__q_found", "__q_classes", "__q_lang")
 
 
