@@ -189,10 +189,10 @@ def is6_average_rank(spark, sf_dir):
 # 2.6 calibration
 
 
-@query(CALIBRATED + " select row_id, round(reward, 5) as reward, round(reward_oof, 5) as reward_oof from cal")
+@query(CALIBRATED + " select row_id, round(reward, 12) as reward, round(reward_oof, 12) as reward_oof from cal")
 def c2_cross_fitted_rewards(spark, sf_dir):
     rows = bridge.logged(spark, sf_dir).withColumn("fold", estimators.fold_of(F.col("prompt_id")))
-    return rounded(estimators.with_rewards(rows, models(spark, sf_dir)).select("row_id", "reward", "reward_oof"), 5)
+    return rounded(estimators.with_rewards(rows, models(spark, sf_dir)).select("row_id", "reward", "reward_oof"), 12)
 
 
 @query(CALIBRATED + " select round(sqrt(avg((reward_oof - oracle_label) * (reward_oof - oracle_label))), 6) as rmse_oof, round(avg(case when abs(reward_oof - oracle_label) <= 0.1 then 1.0 else 0.0 end), 6) as within_tenth, round(sqrt(avg((reward - oracle_label) * (reward - oracle_label))), 6) as rmse, count(*) as n_oracle from cal where oracle_label is not null")
@@ -329,9 +329,9 @@ def d13_orthogonality(spark, sf_dir):
     return diagnostics.orthogonality(outcomes(spark, sf_dir)).select("policy", F.round("score", 6).alias("score"), F.round("se", 6).alias("se"), F.round("z", 4).alias("z"))
 
 
-@query(SQL + ", a as (select row_id % 200 as batch, judge_score as x, round(oracle_label, 2) as y from logged where oracle_label is not null) select p.batch, (select count(*) from a c where c.batch = p.batch) as n, round(sum(sign(p.x - q.x) * sign(p.y - q.y)) / sqrt(sum(abs(sign(p.x - q.x))) * sum(abs(sign(p.y - q.y)))), 6) as tau from a p join a q on p.batch = q.batch group by p.batch")
+@query(SQL + ", a as (select row_id % 200 as batch, judge_score as x, oracle_label as y from logged where oracle_label is not null) select p.batch, (select count(*) from a c where c.batch = p.batch) as n, round(sum(sign(p.x - q.x) * sign(p.y - q.y)) / sqrt(sum(abs(sign(p.x - q.x))) * sum(abs(sign(p.y - q.y)))), 6) as tau from a p join a q on p.batch = q.batch group by p.batch")
 def d25_kendall_by_batch(spark, sf_dir):
-    rows = bridge.logged(spark, sf_dir).where("oracle_label is not null").select((F.col("row_id") % 200).alias("batch"), "judge_score", F.round("oracle_label", 2).alias("y"))
+    rows = bridge.logged(spark, sf_dir).where("oracle_label is not null").select((F.col("row_id") % 200).alias("batch"), "judge_score", F.col("oracle_label").alias("y"))
     return rounded(diagnostics.kendall(rows, "batch", "judge_score", "y"))
 
 
@@ -345,9 +345,9 @@ def v1_calibration_error(spark, sf_dir):
     return rounded(diagnostics.calibration_error(bridge.logged(spark, sf_dir), "judge_score", "oracle_label"))
 
 
-@query(SQL + " select policy, prompt_id, count(*) as n, round(avg(judge_score), 6) as mean, round(coalesce(var_samp(judge_score), 0), 6) as var from fresh group by 1, 2")
+@query(SQL + " select policy, prompt_id, count(*) as n, round(avg(judge_score), 9) as mean, round(coalesce(var_samp(judge_score), 0), 9) as var from fresh group by 1, 2")
 def d31_draw_statistics(spark, sf_dir):
-    return rounded(diagnostics.draw_statistics(bridge.fresh(spark, sf_dir)))
+    return rounded(diagnostics.draw_statistics(bridge.fresh(spark, sf_dir)), 9)
 
 
 @query(CALIBRATED + ", f0 as (select f.*, p.y as r from fresh f join (select x, y from p0) p on p.x = round(f.judge_score, 2)), span as (select min(judge_score) as lo, max(judge_score) as hi, min(reward) as r_lo, max(reward) as r_hi from cal where oracle_label is not null), a as (select policy, avg(case when s < lo or s > hi then 1.0 else 0.0 end) as outside, avg(case when abs(reward - r_lo) <= 1e-6 or abs(reward - r_hi) <= 1e-6 then 1.0 else 0.0 end) as saturated, max(greatest(r_lo, 1 - r_hi)) as gap from (select policy, judge_score as s, reward from scored) cross join span group by 1) select policy, round(outside, 6) as outside, round(saturated, 6) as saturated, round(gap, 6) as gap, case when outside >= 0.05 then 'REFUSE-LEVEL' when saturated >= 0.2 or gap >= 0.1 then 'CAUTION' else 'OK' end as verdict from a")
