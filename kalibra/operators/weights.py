@@ -29,7 +29,7 @@ def missing_counts(logged: DataFrame) -> DataFrame:
 
 
 def raw(log_ratio: Column) -> Column:
-    return F.coalesce(F.exp(F.least(log_ratio, F.lit(LOG_MAX))), F.lit(0.0))
+    return F.when(log_ratio.isNull(), 0.0).otherwise(F.exp(F.least(log_ratio, F.lit(LOG_MAX))))  # least() passes over nulls
 
 
 def hajek(rows: DataFrame, keys: tuple[str, ...] = ("policy",), clip: float | None = None) -> DataFrame:

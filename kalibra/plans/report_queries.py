@@ -107,3 +107,36 @@ def d35_variance_decomposition(spark, sf_dir):
 def j6_sampled_prompts_semi_join(spark, sf_dir):
     sampled = bridge.logged(spark, sf_dir).where("row_id % 3 = 0").select("prompt_id").distinct()
     return sampled.join(bridge.fresh(spark, sf_dir).where("policy = 'policy_a' and draw_idx = 0"), "prompt_id", "left_semi").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("with t as (select conv_id, turn, role, trim(coalesce(text, '')) as text, max(turn) over (partition by conv_id) as last from conversations), l as (select conv_id from t where turn = last and role = 'assistant') select conv_id, md5(coalesce(string_agg('<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || text || '<|eot_id|>', '' order by turn) filter (where turn < last), '') || '<|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10)) as prefix, md5(string_agg('<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || text || '<|eot_id|>', '' order by turn)) as full_ from t where conv_id in (select conv_id from l) group by conv_id")
+def t1_chat_completions(spark, sf_dir):
+    from ..functions.chat import completions
+
+    return completions(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select("conv_id", F.md5("prefix").alias("prefix"), F.md5("full").alias("full_"))
+
+
+@query("select lang, round(avg(n_words), 6) as mean_words, count(*) as n from (select lang, len(regexp_extract_all(text, '\\S+')) as n_words from documents) group by lang")
+def is7_word_count_features(spark, sf_dir):
+    from ..functions.chat import word_count
+
+    return rounded(spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", word_count(F.col("text")).alias("w")).groupBy("lang").agg(F.avg("w").alias("mean_words"), F.count(F.lit(1)).alias("n")))
+
+
+@query(SQL + ", n as (select policy, row_id, w, row_number() over (partition by policy order by w desc, row_id) as rn from w) select policy, row_id, round(w, 6) as w, rn from n where rn <= 5")
+def d32_extreme_weights(spark, sf_dir):
+    """The five largest weights of each policy: a top-k report."""
+    from ..operators import diagnostics
+    from .queries import weighted
+
+    return rounded(diagnostics.largest(weighted(spark, sf_dir), 0.0, 5).select("policy", "row_id", "w", "rn"))
+
+
+@query(SQL + ", p as (select a.row_id, a.w as wa, b.w as wb from w a join w b using (row_id) where a.policy = 'policy_a' and b.policy = 'policy_b') select count(*) as n, round(avg(wa - wb), 9) as difference, round(stddev_samp(wa - wb) / sqrt(count(*)), 9) as se, round(corr(wa, wb), 9) as correlation from p")
+def d24_paired_policies(spark, sf_dir):
+    from .queries import weighted
+
+    rows = weighted(spark, sf_dir)
+    a, b = (rows.where(F.col("policy") == p).select("row_id", F.col("w").alias(n)) for p, n in (("policy_a", "wa"), ("policy_b", "wb")))
+    d = F.col("wa") - F.col("wb")
+    return rounded(a.join(b, "row_id").agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("difference"), (F.stddev_samp(d) / F.sqrt(F.count(F.lit(1)))).alias("se"), F.corr("wa", "wb").alias("correlation")), 9)
