@@ -120,3 +120,52 @@ def orthogonality(rows: DataFrame) -> DataFrame:
     s = F.col("w") * (F.col("reward") - F.col("g"))
     a = rows.groupBy("policy").agg(F.avg(s).alias("score"), (F.stddev_pop(s) / F.sqrt(F.count(F.lit(1)))).alias("se"))
     return a.withColumn("z", F.when(F.col("se") > 0, F.col("score") / F.col("se")).otherwise(0.0))
+
+
+def hill_stability(rows: DataFrame, fractions: tuple[float, ...] = (0.01, 0.02, 0.05, 0.1)) -> DataFrame:
+    """(policy, median, least, most, spread) of the tail index over fractions of the tail."""
+    every = None
+    for f in fractions:
+        own = hill_tail_index(rows, f).select("policy", "alpha")
+        every = own if every is None else every.union(own)
+    return every.groupBy("policy").agg(F.percentile("alpha", 0.5).alias("median"), F.min("alpha").alias("least"), F.max("alpha").alias("most"), F.stddev_pop("alpha").alias("spread"))
+
+
+def auto_threshold(n: Column, half_width: float, level: str = "critical") -> Column:
+    """The least share of effective rows for an interval of that half width: 0.9604 / (n hw^2), half of it as a warning."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.001), 0.9604 / (n * half_width * half_width) * (1.0 if level == "critical" else 0.5)))
+
+
+def refusal_gates(rows: DataFrame, ess_least: float = 0.3, zero_most: float = 0.85, top_most: float = 0.3, cv_most: float = 2.0) -> DataFrame:
+    """(policy, ess_fraction, zero_share, top_share, cv, refused): too few effective rows, too many zeros, or a heavy top."""
+    a = rows.groupBy("policy").agg((ess(F.col("w")) / F.count(F.lit(1))).alias("ess_fraction"), F.avg((F.col("w") < 1e-10).cast("double")).alias("zero_share"), (F.stddev_pop("w") / F.avg("w")).alias("cv"))
+    a = a.join(mass_concentration(rows, 0.05).withColumnRenamed("share", "top_share"), "policy")
+    return a.withColumn("refused", (F.col("ess_fraction") < ess_least) | (F.col("zero_share") > zero_most) | ((F.col("top_share") > top_most) & (F.col("cv") > cv_most)))
+
+
+def decomposition(rows: DataFrame) -> DataFrame:
+    """Of (policy, w, reward, g, q): the means and errors of the model part q and the weighted part, and their correlation."""
+    part, n = F.col("w") * (F.col("reward") - F.col("g")), F.sqrt(F.count(F.lit(1)))
+    return rows.groupBy("policy").agg(F.avg("q").alias("model"), F.avg(part).alias("weighted"), (F.stddev_pop("q") / n).alias("model_se"), (F.stddev_pop(part) / n).alias("weighted_se"), F.corr(F.col("q"), part).alias("correlation"))
+
+
+def mass_points(rows: DataFrame, shares: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
+    """(policy, share, rows): how many of the largest weights make each share of the sum.
+
+    Weights are counted by level first (six decimals), so the running sum sees levels, not rows.
+    """
+    levels = rows.groupBy("policy", F.round("w", 6).alias("level")).agg(F.count(F.lit(1)).alias("c"), F.sum("w").alias("s"))
+    down = W.partitionBy("policy").orderBy(F.desc("level")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    total = levels.groupBy("policy").agg(F.sum("s").alias("total"))
+    run = levels.withColumn("below", F.sum("c").over(down) - F.col("c")).withColumn("mass", F.sum("s").over(down)).join(F.broadcast(total), "policy")
+    asked = run.withColumn("share", F.explode(F.array(*[F.lit(x) for x in shares]))).where(F.col("mass") >= F.col("share") * F.col("total"))
+    hit = asked.groupBy("policy", "share").agg(F.min_by(F.struct("below", "mass", "s", "c", "total"), "below").alias("h"))
+    need = (F.col("share") * F.col("h.total") - (F.col("h.mass") - F.col("h.s"))) / (F.col("h.s") / F.col("h.c"))
+    return hit.select("policy", "share", (F.col("h.below") + F.greatest(F.lit(1), F.ceil(need - 1e-9))).cast("long").alias("rows"))
+
+
+def sequential_drift(rows: DataFrame, batch: str, place: str, value: str) -> DataFrame:
+    """(batch, n, tau) of each batch with the next one, rows paired by place."""
+    a, b = rows.alias("a"), rows.alias("b")
+    pairs = a.join(b, (F.col(f"a.{batch}") + 1 == F.col(f"b.{batch}")) & (F.col(f"a.{place}") == F.col(f"b.{place}")))
+    return kendall(pairs.select(F.col(f"a.{batch}").alias("batch"), F.col(f"a.{value}").alias("x0"), F.col(f"b.{value}").alias("y0")), "batch", "x0", "y0")

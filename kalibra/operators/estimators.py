@@ -190,3 +190,41 @@ def jackknife(rows: DataFrame, models: tuple[dict, dict], value: Column, folds:
     own = isotonic.predict(every, models[1], ["__k"], "judge_score", "r", 0.0, 1.0)
     by_fold = own.groupBy("policy", "__k").agg(F.avg(value).alias("psi"))
     return by_fold.groupBy("policy").agg(((F.count(F.lit(1)) - 1) / F.count(F.lit(1)) * (F.sum(F.col("psi") * F.col("psi")) - F.count(F.lit(1)) * F.pow(F.avg("psi"), 2))).alias("oracle_var"))
+
+
+def tmle_identity(rows: DataFrame) -> DataFrame:
+    """q + w (R - g - eps w), eps = sum w (R - g) / sum w^2: the fluctuation without a link."""
+    eps = rows.groupBy("policy").agg((F.sum(F.col("w") * (F.col("reward") - F.col("g"))) / F.sum(F.col("w") * F.col("w"))).alias("__eps"))
+    return _centred(rows.join(F.broadcast(eps), "policy"), F.col("q") + F.col("w") * (F.col("reward") - F.col("g") - F.col("__eps") * F.col("w")))
+
+
+def oracle_slice(rows: DataFrame) -> DataFrame:
+    """(policy, augmentation, p): the mean of L / p * m (Y - R), m the mean weight given the score, p the share of labels."""
+    own = mean_weight(rows)
+    p = own.groupBy("policy").agg(F.avg(F.col("oracle_label").isNotNull().cast("double")).alias("p"))
+    term = F.when(F.col("oracle_label").isNotNull(), F.col("m") * (F.col("oracle_label") - F.col("reward")) / F.col("p")).otherwise(0.0)
+    return own.join(F.broadcast(p), "policy").groupBy("policy", "p").agg(F.avg(term).alias("augmentation"))
+
+
+def bootstrap_means(contributions: DataFrame, replicates: int = 200, seed: int = 11) -> DataFrame:
+    """(policy, se, lo, hi) of the mean by Poisson bootstrap: each row counts a Poisson(1) number of times in each replicate,
+    decided by hashes, so a replicate is a sum and nothing is gathered."""
+    u = lambda r: (F.pmod(F.xxhash64("row_id", "policy", r, F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    edges = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
+    draws = contributions.select("policy", "row_id", "c", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
+    times = sum((u(F.col("r")) > e).cast("int") for e in edges)
+    means = draws.withColumn("k", times).groupBy("policy", "r").agg((F.sum(F.col("k") * F.col("c")) / F.sum("k")).alias("m"))
+    return means.groupBy("policy").agg(F.stddev_samp("m").alias("se"), F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
+
+
+def residualised(contributions: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Influence less what the score explains of it (isotonic, from the other folds; rising or falling by the sign of their
+    correlation), and (policy, r2): the value stays, the error shrinks."""
+    own = contributions.join(rows.select("policy", "row_id", "judge_score"), ["policy", "row_id"])
+    sign = own.groupBy("policy").agg(F.when(F.corr("phi", "judge_score") < 0, -1.0).otherwise(1.0).alias("__s"))
+    own = own.join(F.broadcast(sign), "policy").withColumn("__y", F.col("phi") * F.col("__s"))
+    train = own.select("policy", F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(FOLDS - 1)), F.col("fold"))).alias("fold"), "judge_score", "__y")
+    own = isotonic.predict(own, isotonic.knots(isotonic.fit(train, ["policy", "fold"], "judge_score", "__y"), ["policy", "fold"]), ["policy", "fold"], "judge_score", "__h")
+    mean = own.groupBy("policy").agg(F.avg("__h").alias("__m"))
+    own = own.join(F.broadcast(mean), "policy").withColumn("phi_left", F.col("phi") - F.col("__s") * (F.col("__h") - F.col("__m")))
+    return own.select("policy", "row_id", "fold", "c", F.col("phi_left").alias("phi")), own.groupBy("policy").agg((1 - F.var_pop("phi_left") / F.var_pop("phi")).alias("r2"))
