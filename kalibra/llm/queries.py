@@ -77,4 +77,11 @@ QUERIES = {
     f.__name__: f
     for f in (op1_decontamination, op2_shards, op3_language_id, op4_jaccard_join, op5_packing, op6_quality_rules, op7_quality_classifier, op8_token_files, op9_line_dedup, op10_token_counts)
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The others need a tokenizer, a hash or a model that SQL lacks; tests hold them against brute force.
+ORACLE_SQL = {
+    "op9_line_dedup": """with lines as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
+keyed as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+shared as (select key, max(doc_id) as last from keyed where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+marked as (select k.doc_id, k.line, k.pos, s.key is not null and k.doc_id <> s.last as gone from keyed k left join shared s on s.key = k.key)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256 from marked group by doc_id""",
+}
