@@ -4,11 +4,11 @@ The pairs sought have a Jaccard similarity of t percent or more, so their symmet
 part of their sizes. Regions are made in three steps, each exact by the triangle inequality:
 
 1. Shells. In the metric of the symmetric difference, a set's distance to the empty pivot is its size.
-   Sizes fall into shells; a set within reach of a smaller shell is replicated into it.
-2. Cells. In a shell at most T elements of a pair differ. The universe is split into T + 1 + SPARE ranges
-   of hashes; restricted to at least 1 + SPARE of them, both sets are equal, that is, they are at distance
+   Sizes fall into shells; a set that may have a partner in a smaller shell is replicated into it.
+2. Cells. In a shell at most T elements of a pair differ. The universe is split into more than T ranges
+   of hashes; restricted to one of them at least, both sets are equal, that is, they are at distance
    0 from the same pivot of that range's space. Each set goes into the cell of its own restriction in every
-   range: T + 1 + SPARE Voronoi cells of radius 0. (Whole sets as pivots can't do this step: nearly all
+   range: Voronoi cells of radius 0. (Whole sets as pivots can't do this step: nearly all
    Jaccard distances are 1, and every window would hold everything.) Only sets that share a cell can be
    a pair, and sets that share cells, directly or through others, make a cluster.
 3. Pivots. In a cluster, whole sets chosen as pivots create Voronoi regions by Jaccard distance; a set whose
@@ -21,20 +21,18 @@ blocks is a task. A task emits a spanning forest of its links (at most a row a s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import shingles, tokens
-from .common import saved
+from .common import saved, spread
 from .components import components
 
-#: Ranges beyond those that must agree: a set with no element in up to so many ranges needs no cell for them.
-SPARE = 2
 #: Sets of a region joined by counting, and shingles of a task (8 bytes each).
 LEAF, TASK_SHINGLES = 64, 1_000_000
 _TAG = np.uint64(0xA0761D6478BD642F)
@@ -44,18 +42,29 @@ def shells(top: int) -> list[int]:
     """Least sizes of shells up to one beyond top."""
     out = [1]
     while out[-1] <= top:
-        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
+        out.append(2 * out[-1])
     return out
 
 
-def reach(high: int, t: int) -> int:
-    """Elements in which a pair differs at most if its smaller set has under high elements."""
-    small = high - 1
-    return (100 - t) * (small + 100 * small // t) // (100 + t)
+def differ(n: int, t: int) -> int:
+    """Elements in which a pair differs at most if its smaller set has n elements."""
+    return (100 - t) * (n + 100 * n // t) // (100 + t)
+
+
+def ranges(high: int, t: int) -> int:
+    """Ranges of a shell of sets under high elements: one more than a pair differs in, and those that chance leaves empty."""
+    most = differ(high - 1, t)
+    empty = most * math.exp(-high / (most + 1))
+    return most + 1 + math.ceil(empty + 4 * empty**0.5)
 
 
 def cells(u: np.ndarray, t: int) -> np.ndarray:
-    """Keys of the cells of a sorted set u."""
+    """Keys of the cells of a sorted set u.
+
+    A pair differs in no more elements than its smaller set allows. If a set has more ranges with elements than
+    that, one of them must agree, so its empty ranges need no cells (they would hold all sets alike). A set with
+    fewer gives all its ranges: two such sets agree in one of all ranges, as there are more than they may differ in.
+    """
     n = len(u)
     low = shells(n)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(shingles.mix(u ^ _TAG), dtype=np.uint64)])
@@ -63,14 +72,14 @@ def cells(u: np.ndarray, t: int) -> np.ndarray:
     for k in range(len(low) - 2, -1, -1):  # n's own shell, then those that hold a smaller partner
         if 100 * (low[k + 1] - 1) < t * n and low[k + 1] <= n:
             break
-        most = reach(low[k + 1], t)
+        most = differ(low[k + 1] - 1, t)
         if not most:  # only equal sets, which are one here
             continue
-        m = most + 1 + SPARE
+        m = ranges(low[k + 1], t)
         cut = np.searchsorted((u >> np.uint64(32)) * np.uint64(m) >> np.uint64(32), np.arange(m + 1))
         held = cut[1:] > cut[:-1]
         key = shingles.mix((sums[cut[1:]] - sums[cut[:-1]]) ^ shingles.mix(np.arange(m, dtype=np.uint64) + np.uint64(k << 32)))
-        keys.append(key if m - held.sum() > SPARE else key[held])
+        keys.append(key[held] if held.sum() > min(most, differ(n, t)) else key)
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
@@ -78,27 +87,97 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def shingle_table(docs: DataFrame, k: int, t: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n, d1, d2, cells): size and 128-bit digest of each set; its cells, unless this task has given those of an equal set."""
+def _digest(u: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart, as two signed numbers."""
+    d1, d2 = np.sum(shingles.mix(u), dtype=np.uint64, keepdims=True), np.sum(shingles.mix(u * _TAG + np.uint64(len(u))), dtype=np.uint64, keepdims=True)
+    return int(_signed(d1)[0]), int(_signed(d2)[0])
+
+
+def shingle_table(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, n, d1, d2): size and digest of each row's set."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given: set[int] = set()
         for b in batches:
-            n, d1, d2, own = [], [], [], []
+            n, digests = [], []
             for words in shingles.word_hashes(list(tokens.utf8(b.column(1)))):
                 u = shingles.shingle_set(words, k)
                 n.append(len(u))
-                d1.append(int(_signed(np.sum(shingles.mix(u), dtype=np.uint64, keepdims=True))[0]))
-                d2.append(int(_signed(np.sum(shingles.mix(u * _TAG + np.uint64(len(u))), dtype=np.uint64, keepdims=True))[0]))
-                if d1[-1] in given:
-                    own.append(None)
+                digests.append(_digest(u))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *[pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)]], names=["doc_id", "n", "d1", "d2"])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(made, "doc_id long, n long, d1 long, d2 long")
+
+
+def _stars(cell: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One set of each cell, as (cell, set), and the edges (a row each) from the cell's other sets to it."""
+    order = np.lexsort((d, cell))
+    cell, d = cell[order], d[order]
+    first = np.concatenate([np.ones(min(1, len(cell)), bool), cell[1:] != cell[:-1]])
+    head = d[np.maximum.accumulate(np.where(first, np.arange(len(cell)), 0))] if len(cell) else d
+    return cell[first], d[first], np.unique(np.stack([d, head], axis=1)[d != head], axis=0)
+
+
+def cell_edges(docs: DataFrame, k: int, t: int, text: str) -> DataFrame:
+    """(a, b): of each cell, every set but the least is tied to it; sets go by d1.
+
+    Cells are shuffled in packets, one for each bucket of cells and batch of documents: 48 bits of the cell and 16 of
+    the document's place in the packet's list make 8 bytes a membership, under half of what a row would take. A
+    reader holds one set for each cell of its bucket, however many sets a cell has. A task gives the cells
+    of equal sets once (of those among its first million); what it repeats does no harm.
+    """
+    buckets = spread(docs.sparkSession)
+
+    def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1 << 14):
+                names, keys, owners = [], [], []
+                for words in shingles.word_hashes(list(tokens.utf8(whole.column(0).slice(at, 1 << 14)))):
+                    u = shingles.shingle_set(words, k)
+                    own = _digest(u)[0]
+                    if own in given:
+                        continue
+                    if len(given) < 1_000_000:
+                        given.add(own)
+                    keys.append(cells(u, t))
+                    owners.append(np.full(len(keys[-1]), len(names), np.uint64))
+                    names.append(own)
+                if not sum(map(len, keys)):
                     continue
-                if len(given) < 1_000_000:
-                    given.add(d1[-1])
-                own.append(_signed(cells(u, t)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "n", "d1", "d2", "cells"])
+                key, owner, d1 = np.concatenate(keys), np.concatenate(owners), np.array(names, np.int64)
+                bucket = ((key >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int32)
+                order = np.lexsort((key, bucket))
+                key, owner, bucket = key[order], owner[order], bucket[order]
+                held, cut = np.unique(bucket, return_index=True)
+                rows = []
+                for lo, hi in zip(cut, [*cut[1:], len(key)], strict=True):
+                    used, place = np.unique(owner[lo:hi].astype(np.int64), return_inverse=True)
+                    rows.append((d1[used].tobytes(), ((key[lo:hi] << np.uint64(16)) | place.astype(np.uint64)).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)]], names=["bucket", "sets", "members"])
+
+    def tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = kept = 0
+
+        def compact() -> Iterator[pa.RecordBatch]:
+            nonlocal size, kept
+            for bucket, parts in held.items():
+                cell, d, edges = _stars(*(np.concatenate([x[i] for x in parts]) for i in (0, 1)))
+                held[bucket] = [(cell, d)]
+                yield pa.RecordBatch.from_arrays([pa.array(edges[:, i], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            size = kept = sum(len(p[0][0]) for p in held.values())
+
+        for b in batches:
+            for bucket, sets, members in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                x = np.frombuffer(members, np.uint64)
+                held.setdefault(bucket, []).append((x >> np.uint64(16), np.frombuffer(sets, np.int64)[(x & np.uint64(0xFFFF)).astype(np.int64)]))
+                size += len(x)
+                if size > 2 * kept + 2_000_000:
+                    yield from compact()
+        yield from compact()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(made, "doc_id long, n long, d1 long, d2 long, cells array<long>")
+    sent = docs.select(F.col(text).alias("text")).mapInArrow(packets, "bucket int, sets binary, members binary")
+    return sent.repartition(buckets, "bucket").mapInArrow(tied, "a long, b long")
 
 
 class Forest:
@@ -207,13 +286,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, t: int = 90, doc_id: str = "doc
     """
     if not 50 < t <= 100:
         raise ValueError("t must be over 50 and at most 100")
-    sets = saved(shingle_table(docs, k, t, doc_id, text), "sets")
+    sets = saved(shingle_table(docs, k, doc_id, text), "sets")
     leads = saved(sets.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("lead"), F.max("n").alias("n")), "leads")
-
-    # a cell's sets are all hung on the least of them; the frame ends at the current row, so nothing is gathered
-    held = sets.select(F.explode("cells").alias("cell"), "d1")
-    first = F.first("d1").over(W.partitionBy("cell").orderBy("d1").rowsBetween(W.unboundedPreceding, W.currentRow))
-    edges = held.select(F.col("d1").alias("a"), first.alias("b")).where("a <> b")
+    edges = cell_edges(docs, k, t, text)
     clusters = saved(components(edges).withColumnRenamed("node", "d1").withColumnRenamed("component", "cluster").join(leads, "d1"), "clusters")
 
     # tasks: (cluster or bin of small clusters, block, block)
