@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles, tokens
-from .common import saved
+from .common import first_by_hash, saved
 
 #: Rows of the word table; bins of each shape feature.
 TABLE, BINS = 1 << 18, 12
@@ -109,6 +109,11 @@ def shrunk_rates(counts: DataFrame, host: str = "host", path: str = "path", n: s
     return paths.select(host, path, "host_rate", ((F.col("k") + by_path * F.col("host_rate")) / (F.col("n") + by_path)).alias("path_rate")), rate
 
 
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """A column of lists as arrays, without a Python object for each number."""
+    return [x for c in column.chunks for x in np.split(c.flatten().to_numpy(zero_copy_only=False), (c.offsets.to_numpy() - c.offsets[0].as_py())[1:-1])]
+
+
 def classify(docs: DataFrame, labels: DataFrame, heads: tuple[str, ...] = ("quality", "toxic"), host: str = "host", path: str = "path", sample_rows: int = 8000, sample_chars: int = 20_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, then of each head {head}_evidence, {head}_host, {head}_path and {head}, its posterior) for each row of docs.
 
@@ -131,9 +136,10 @@ def classify(docs: DataFrame, labels: DataFrame, heads: tuple[str, ...] = ("qual
             got = list(slots_and_shape(list(tokens.utf8(b.column(0)))))
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.list_(pa.int64())), pa.array([s for _, s in got], pa.list_(pa.int64())), *b.columns[1:]], names=["words", "shape", *[f"y_{h}" for h in heads]])
 
-    wanted = marked.where(F.length("text") <= sample_chars).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("text", *[f"y_{h}" for h in heads])
+    ordered = marked.where(F.length("text") <= sample_chars).withColumn("__order", F.xxhash64("doc_id"))
+    wanted = first_by_hash(ordered, "__order", sample_rows).select("text", *[f"y_{h}" for h in heads])
     learned = wanted.mapInArrow(reduced, "words array<long>, shape array<long>, " + ", ".join(f"y_{h} double" for h in heads)).toArrow()
-    words, shapes = ([np.array(x, np.int64) for x in learned.column(c).to_pylist()] for c in ("words", "shape"))
+    words, shapes = (_lists(learned.column(c)) for c in ("words", "shape"))
     fitted = []
     for h in heads:
         y = np.array([np.nan if v is None else v for v in learned.column(f"y_{h}").to_pylist()], float)

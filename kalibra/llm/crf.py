@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import first_by_hash
 from .shingles import mix
 
 #: Rows of the table of hashed feature weights.
@@ -229,8 +230,8 @@ def tag_languages(docs: DataFrame, learn: DataFrame, sample_rows: int = 1200, sa
     usable = learn.where(F.col(label).isNotNull() & (F.length(text) > 0) & (F.length(text) <= sample_chars)).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"), F.xxhash64(F.col(doc_id).cast("string"), F.xxhash64(text)).alias("order"))
     names = [r["label"] for r in usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(64).collect()]
     rows: list[tuple[str, str]] = []
-    for name in names:  # a top-k by label: tasks hand on their first rows only
-        rows += [(r["text"], r["label"]) for r in usable.where(F.col("label") == name).orderBy("order", "text").limit(-(-sample_rows // len(names))).collect()]
+    for name in names:
+        rows += [(r["text"], r["label"]) for r in first_by_hash(usable.where(F.col("label") == name), "order", -(-sample_rows // len(names))).orderBy("order", "text").collect()]
     field = fit_field(rows)
     model = spark.sparkContext.broadcast(field)
 
