@@ -43,3 +43,16 @@ def test_pooling_is_the_min_max_formula_and_may_start_anywhere(seed):
 def test_boundaries():
     assert boundary(["ab", "c", "d"], "abc") == (2, "exact_match") and boundary(["ab", "cd"], "abc") == (None, "boundary_spans_token")
     assert boundary(["x"], "abc") == (None, "echo_mismatch") and boundary(["é", "x"], "é") == (1, "exact_match")
+
+
+def test_splines_sum_to_one_and_follow_a_curve(spark):
+    from pyspark.sql import functions as F
+
+    from kalibra.operators import splines
+
+    x = np.linspace(0, 1, 101)
+    b = splines.basis(x, 0, 1, 6)
+    assert b.shape == (101, 7) and (b >= -1e-12).all() and (b.sum(axis=1) <= 1 + 1e-12).all() and np.allclose(b[:60].sum(axis=1), 1)
+    rows = spark.range(500).select((F.col("id") / 499).alias("x")).withColumn("y", F.sin(3 * F.col("x")))
+    got = splines.predict(rows, splines.fit(rows, "x", "y"), "x", "f").toPandas()
+    assert np.abs(got["f"].astype(float) - got["y"]).max() < 0.01
