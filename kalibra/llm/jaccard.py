@@ -15,8 +15,8 @@ part of their sizes. Regions are made in three steps, each exact by the triangle
    distance to a pivot exceeds that to its own by no more than twice the radius is replicated there, and
    regions are joined in the same way until they are small or no longer shrink; then counts decide.
 
-A cluster is dealt out by weight: small ones share a task, large ones are cut into blocks, and each pair of
-blocks is a task. A task emits a spanning forest of its links (at most a row a set), never pairs of a group.
+A cluster is dealt out by weight: small ones share a task, large ones are parted by size again and cut into
+blocks, and each pair of blocks is a task. A task emits a spanning forest of its links (at most a row a set), never pairs of a group.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from .components import components
 
 #: Sets of a region joined by counting, and shingles of a task (8 bytes each).
 LEAF, TASK_SHINGLES = 64, 1_000_000
+#: Up to so many sets of clusters (some ten bytes each) are broadcast to find their texts.
+BROADCAST_SETS = 200_000
 _TAG = np.uint64(0xA0761D6478BD642F)
 
 
@@ -291,15 +293,23 @@ def near_duplicates(docs: DataFrame, k: int = 3, t: int = 90, doc_id: str = "doc
     edges = cell_edges(docs, k, t, text)
     clusters = saved(components(edges).withColumnRenamed("node", "d1").withColumnRenamed("component", "cluster").join(leads, "d1"), "clusters")
 
+    # a cluster beyond one task is parted by bands of sizes: a pair's sizes lie in one band or in neighbours (the room in the
+    # base is for rounding), so a band is joined with itself and the next one
+    whole = clusters.groupBy("cluster").agg(F.sum("n").alias("weight"))
+    bins = int((whole.agg(F.sum("weight")).first()[0] or 0) // TASK_SHINGLES + 1)
+    band = F.floor(F.ln("n") / (max(1e-9, math.log(100 / t)) * (1 + 1e-6)))
+    own_bands = F.array(F.xxhash64("cluster", band), F.xxhash64("cluster", band - 1))
+    parted = clusters.join(whole, "cluster").select("lead", "n", F.explode(F.when(F.col("weight") <= TASK_SHINGLES, F.array("cluster")).otherwise(own_bands)).alias("cluster"))
+
     # tasks: (cluster or bin of small clusters, block, block)
-    weights = clusters.groupBy("cluster").agg(F.sum("n").alias("weight"))
-    bins = int((weights.agg(F.sum("weight")).first()[0] or 0) // TASK_SHINGLES + 1)
-    dealt = clusters.join(weights, "cluster").withColumn("blocks", F.ceil(F.col("weight") / TASK_SHINGLES).cast("int"))
+    weights = parted.groupBy("cluster").agg(F.sum("n").alias("weight"))
+    dealt = parted.join(weights, "cluster").withColumn("blocks", F.ceil(F.col("weight") / TASK_SHINGLES).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("lead", F.lit("block")), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    dealt = dealt.select("lead", "cluster", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.col("cluster")).alias("bin"), F.col("blocks"), pairs.alias("pairs"))
+    dealt = saved(dealt.select("lead", "cluster", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.col("cluster")).alias("bin"), F.col("blocks"), pairs.alias("pairs")), "dealt")
 
-    own = docs.select(F.col(doc_id).cast("long").alias("lead"), F.col(text).alias("text")).join(dealt.hint("shuffle_hash"), "lead")
+    few = dealt.count() <= BROADCAST_SETS  # else texts are shuffled to them
+    own = docs.select(F.col(doc_id).cast("long").alias("lead"), F.col(text).alias("text")).join(F.broadcast(dealt) if few else dealt.hint("shuffle_hash"), "lead")
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
