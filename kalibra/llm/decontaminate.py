@@ -43,18 +43,11 @@ class Index:
         self.gram = np.concatenate([*grams, np.zeros(0, np.uint64)])
         self.item = np.repeat(np.arange(len(items)), [len(g) for g in grams])
         self.place = np.concatenate([*[np.arange(len(g)) for g in grams], np.zeros(0, int)])
-        self._order()
-
-    def _order(self) -> None:
         order = np.argsort(self.gram, kind="stable")
         self.gram, self.item, self.place = self.gram[order], self.item[order], self.place[order]
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.gram >> np.uint64(44)).astype(np.int64)] = True
 
-    def keep(self, chosen: np.ndarray) -> None:
-        self.gram, self.item, self.place = self.gram[chosen], self.item[chosen], self.place[chosen]
-        self._order()
-
     def found(self, words: np.ndarray) -> np.ndarray:
         """Places of words at which a gram of the index begins."""
         if len(words) < self.n or not len(self.gram):
@@ -64,15 +57,14 @@ class Index:
         return at[self.gram[np.minimum(np.searchsorted(self.gram, g[at]), len(self.gram) - 1)] == g[at]]
 
 
-def choose_seeds(index: Index, counts: np.ndarray, stretch: int, factor: int = 8) -> np.ndarray:
-    """Of each stretch of an item's grams, those not much commoner in the corpus than its rarest: up to factor times its documents and one.
-
-    The very rarest alone would not do: where exact and edited copies stand side by side, it is a gram that edits destroy.
-    """
-    _, part = np.unique(np.stack([index.item, index.place // stretch]), axis=1, return_inverse=True)
-    least = np.full(len(counts), np.iinfo(np.int64).max)
-    np.minimum.at(least, part.ravel(), counts)
-    return np.flatnonzero(counts <= factor * (least[part.ravel()] + 1))
+def most(item: np.ndarray, passage: np.ndarray) -> float:
+    """No alignment of item and passage scores more: each word of the passage that the item has counts as a match, the others
+    as MISMATCH or GAP, in the best stretch; and no word matches more often than the item has it."""
+    own, times = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(own, passage), len(own) - 1)
+    same = own[at] == passage
+    sums = np.concatenate([[0.0], np.cumsum(np.where(same, MATCH, max(MISMATCH, GAP)))])
+    return min(float((sums - np.minimum.accumulate(sums)).max()), MATCH * float(np.minimum(np.bincount(at[same], minlength=len(own)), times).sum()))
 
 
 def _matches(index: Index, words: np.ndarray, min_score: float, min_words: int) -> Iterator[tuple[int, float, int, int]]:
@@ -92,30 +84,31 @@ def _matches(index: Index, words: np.ndarray, min_score: float, min_words: int)
         own = index.items[k][1]
         m = len(own)
         slack = m // 2 + 4
+        need = max(min_score * m, min(min_words, m))
         best, at, n = (0.0, 0, 0), 0, len(starts)
         while at < n:  # windows of the item's length and slack around its seeds, joined where they overlap
             end = at + 1
             while end < n and starts[end] - starts[end - 1] <= m + 2 * slack:
                 end += 1
             left, right = max(0, int(starts[at]) - slack), min(len(words), int(starts[end - 1]) + m + slack)
-            score, stop = align(own, words[left:right])
+            score, stop = align(own, words[left:right]) if most(own, words[left:right]) >= need else (0.0, 0)
             if score > best[0]:
                 best = (score, left, left + stop)
             at = end
         score, left, stop = best
-        if score >= min_score * m and score >= min(min_words, m):
+        if score >= need:
             back, length = align(own[::-1], words[left:stop][::-1])
             yield int(k), score / m, stop - length, stop
 
 
-def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, stretch: int = 6, min_score: float = 0.4, min_words: int = 6, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, min_score: float = 0.4, min_words: int = 6, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, start, end) for each document and item that align; start, end: the words concerned.
 
-    Every item's word n-grams are counted over all documents; the rare grams of each stretch of the item
-    become seeds (rare beside their neighbours: items that are all over the corpus have seeds as well). Each
-    document's grams are joined to the seeds, and an item is aligned with the passages around its seeds by
-    Smith-Waterman on whole words. score is the alignment's score as a share of the item's words; it must
-    reach min_score, and min_words words or the whole item.
+    All word n-grams of the items are seeds: a choice by how rare they are in the corpus leaves out the very
+    grams that many copies with the same edits share. Each document's grams are joined to the seeds, and an
+    item is aligned with the passages around its seeds by Smith-Waterman on whole words, where the words in
+    common allow the score at all (most). score is the alignment's score as a share of the item's words; it
+    must reach min_score, and min_words words or the whole item.
 
     The join is done where documents are read: a block of items is small and broadcast (BLOCK_WORDS words;
     an item longer than that is a block of its own), and documents are never shuffled. Items of fewer than n
@@ -131,33 +124,13 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, stretch: int = 6
     for block in range(blocks):
         held = listed.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).orderBy("item", "text").collect()
         index = Index([(r["item"], w) for r, w in zip(held, bare_words([r["text"].encode() for r in held]), strict=True) if len(w) >= n], n)
-        found = _scan(spark, rows, index, stretch, min_score, min_words)
+        found = _scan(spark, rows, index, min_score, min_words)
         out = found if out is None else out.union(found)
     return out
 
 
-def _scan(spark, rows: DataFrame, index: Index, stretch: int, min_score: float, min_words: int) -> DataFrame:
-    every = spark.sparkContext.broadcast(index)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = every.value
-        totals = np.zeros(len(own.gram), np.int64)
-        for b in batches:
-            for words in bare_words(list(tokens.utf8(b.column(1)))):
-                at = own.found(words)
-                if len(at):
-                    np.add.at(totals, np.searchsorted(own.gram, np.unique(shingles.in_order(words, own.n)[at])), 1)
-        place = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(totals[place])], names=["place", "n"])
-
-    counts = np.zeros(len(index.gram), np.int64)
-    for r in rows.mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
-        counts[r["place"]] = r["n"]
-    if len(index.gram):  # equal grams share the count of the first
-        counts = counts[np.searchsorted(index.gram, index.gram)]
-    seeds = Index(index.items, index.n)
-    seeds.keep(choose_seeds(seeds, counts, stretch))
-    chosen = spark.sparkContext.broadcast(seeds)
+def _scan(spark, rows: DataFrame, index: Index, min_score: float, min_words: int) -> DataFrame:
+    chosen = spark.sparkContext.broadcast(index)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = chosen.value

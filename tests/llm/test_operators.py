@@ -252,6 +252,23 @@ def test_decontamination(spark, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0 == decontaminate.contaminated(docs, bench.limit(0)).count()
 
 
+@pytest.mark.parametrize(("exact", "near"), [(0, 20), (2, 40)])
+def test_decontamination_of_an_edited_item_in_many_documents(spark, exact, near):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    item = [word() for _ in range(42)]
+    edited = [word() if i % 7 == 3 else w for i, w in enumerate(item)]
+    filler = lambda n: [word() for _ in range(n)]
+    texts = [filler(40) + t + filler(12) for t in [item] * exact + [edited] * near] + [filler(90)]
+    texts.append(filler(30) + item[7:10] + filler(30))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontaminate.contaminated(docs, bench).collect()}
+    assert sorted(got) == list(range(exact + near))
+    assert all(got[i] == 1 for i in range(exact)) and all(0.7 < got[i] < 0.9 for i in range(exact, exact + near))
+    assert decontaminate.keep_clean(docs, bench).count() == 2
+
+
 def test_language_tags(spark, empty):
     rng = random.Random(13)
     words = {"aa": ["kara", "baka", "maka", "raka"], "oo": ["dolo", "moto", "zovo", "pogo"]}

@@ -147,6 +147,14 @@ def test_alignment_is_smith_waterman():
         assert math.isclose(_smith_waterman(a.tolist(), b[:end].tolist()), score)
 
 
+def test_no_alignment_scores_more_than_its_bound():
+    rng = np.random.default_rng(16)
+    for words in (5, 40):
+        for _ in range(100):
+            a, b = (rng.integers(0, words, rng.integers(1, 60)).astype(np.uint64) for _ in range(2))
+            assert decontaminate.align(a, b)[0] <= decontaminate.most(a, b) + 1e-9
+
+
 @pytest.mark.parametrize("segment", [2, 3, 64])
 def test_forward_backward_is_the_sum_over_paths(monkeypatch, segment):
     monkeypatch.setattr(crf, "SEGMENT", segment)
