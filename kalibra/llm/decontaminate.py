@@ -67,7 +67,7 @@ def most(item: np.ndarray, passage: np.ndarray) -> float:
     return min(float((sums - np.minimum.accumulate(sums)).max()), MATCH * float(np.minimum(np.bincount(at[same], minlength=len(own)), times).sum()))
 
 
-def _matches(index: Index, words: np.ndarray, min_score: float, min_words: int) -> Iterator[tuple[int, float, int, int]]:
+def _matches(index: Index, words: np.ndarray, min_score: float, min_words: int, enough: float = np.inf) -> Iterator[tuple[int, float, int, int]]:
     """(item, score, start, end) of each item in a document: its best stretch, in words."""
     at = index.found(words)
     if not len(at):
@@ -84,7 +84,7 @@ def _matches(index: Index, words: np.ndarray, min_score: float, min_words: int)
         own = index.items[k][1]
         m = len(own)
         slack = m // 2 + 4
-        need = max(min_score * m, min(min_words, m))
+        need = max(min(min_score * m, enough), min(min_words, m))
         best, at, n = (0.0, 0, 0), 0, len(starts)
         while at < n:  # windows of the item's length and slack around its seeds, joined where they overlap
             end = at + 1
@@ -101,19 +101,20 @@ def _matches(index: Index, words: np.ndarray, min_score: float, min_words: int)
             yield int(k), score / m, stop - length, stop
 
 
-def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, min_score: float = 0.4, min_words: int = 6, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, min_score: float = 0.4, min_words: int = 6, enough: float = 13, short_items: bool = False, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, start, end) for each document and item that align; start, end: the words concerned.
 
     All word n-grams of the items are seeds: a choice by how rare they are in the corpus leaves out the very
     grams that many copies with the same edits share. Each document's grams are joined to the seeds, and an
     item is aligned with the passages around its seeds by Smith-Waterman on whole words, where the words in
     common allow the score at all (most). score is the alignment's score as a share of the item's words; it
-    must reach min_score, and min_words words or the whole item.
+    must reach min_score, or as much as enough words that agree (a passage of a long item), and min_words
+    words or the whole item.
 
     The join is done where documents are read: a block of items is small and broadcast (BLOCK_WORDS words;
     an item longer than that is a block of its own), and documents are never shuffled. Items of fewer than n
-    words have no grams and are never found; null texts hold nothing and are found in nothing; repeated
-    documents and items are reported each time.
+    words have no grams; with short_items their words in a row are their only gram, otherwise they are never
+    found. Null texts hold nothing and are found in nothing; repeated documents and items are reported each time.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -123,21 +124,23 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, min_score: float
     out = None
     for block in range(blocks):
         held = listed.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).orderBy("item", "text").collect()
-        index = Index([(r["item"], w) for r, w in zip(held, bare_words([r["text"].encode() for r in held]), strict=True) if len(w) >= n], n)
-        found = _scan(spark, rows, index, min_score, min_words)
+        split = [(r["item"], w) for r, w in zip(held, bare_words([r["text"].encode() for r in held]), strict=True)]
+        indexes = [Index([x for x in split if len(x[1]) >= n], n)]
+        if short_items:
+            indexes += [Index([x for x in split if len(x[1]) == width], width) for width in range(1, n)]
+        found = _scan(spark, rows, indexes, min_score, min_words, enough)
         out = found if out is None else out.union(found)
     return out
 
 
-def _scan(spark, rows: DataFrame, index: Index, min_score: float, min_words: int) -> DataFrame:
-    chosen = spark.sparkContext.broadcast(index)
+def _scan(spark, rows: DataFrame, indexes: list[Index], min_score: float, min_words: int, enough: float) -> DataFrame:
+    chosen = spark.sparkContext.broadcast([i for i in indexes if i.items])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = chosen.value
         for b in batches:
             got: list[tuple] = []
             for name, words in zip(b.column(0).to_pylist(), bare_words(list(tokens.utf8(b.column(1)))), strict=True):
-                got += [(name, own.items[k][0], score, start, end) for k, score, start, end in _matches(own, words, min_score, min_words)]
+                got += [(name, own.items[k][0], score, start, end) for own in chosen.value for k, score, start, end in _matches(own, words, min_score, min_words, enough)]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], kind) for i, kind in enumerate(kinds)], names=["doc_id", "item_id", "score", "start", "end"])
 

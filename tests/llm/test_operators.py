@@ -269,6 +269,19 @@ def test_decontamination_of_an_edited_item_in_many_documents(spark, exact, near)
     assert decontaminate.keep_clean(docs, bench).count() == 2
 
 
+def test_passages_of_long_items_and_short_items(spark):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    words = lambda n: [word() for _ in range(n)]
+    item = words(400)
+    texts = [words(30) + item[100:250] + words(30), words(30) + item[200:212] + words(30), words(9) + ["two,", "Words"] + words(9), ["two", "x", "words", "single"], ["single"], []]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, "two words"), (2, "Single!"), (3, "...")], "item_id long, text string")
+    found = lambda **p: {(r["doc_id"], r["item_id"], r["score"], r["start"], r["end"]) for r in decontaminate.contaminated(docs, bench, **p).collect()}
+    assert found() == {(0, 0, 0.375, 30, 180)}
+    assert found(short_items=True) == {(0, 0, 0.375, 30, 180), (2, 1, 1.0, 9, 11), (3, 2, 1.0, 3, 4), (4, 2, 1.0, 0, 1)}
+
+
 def test_language_tags(spark, empty):
     rng = random.Random(13)
     words = {"aa": ["kara", "baka", "maka", "raka"], "oo": ["dolo", "moto", "zovo", "pogo"]}
