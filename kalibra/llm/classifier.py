@@ -118,8 +118,8 @@ def classify(docs: DataFrame, labels: DataFrame, heads: tuple[str, ...] = ("qual
     """(doc_id, then of each head {head}_evidence, {head}_host, {head}_path and {head}, its posterior) for each row of docs.
 
     labels has doc_id and a 0/1 column for each head. The classifier is fitted on sample_rows labelled
-    documents (the first by a hash of the id, whole texts of up to sample_chars characters); rates are
-    counted over all labels; every document is scored, whole.
+    documents (the first by a hash of id, text and labels, repeated rows once, whole texts of up to
+    sample_chars characters); rates are counted over all labels; every document is scored, whole.
 
     Null labels don't count; a document labelled twice counts twice in rates. Null hosts and paths are a
     site of their own; a site without labels has the rate above it. A null text is scored as an empty one.
@@ -136,7 +136,7 @@ def classify(docs: DataFrame, labels: DataFrame, heads: tuple[str, ...] = ("qual
             got = list(slots_and_shape(list(tokens.utf8(b.column(0)))))
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.list_(pa.int64())), pa.array([s for _, s in got], pa.list_(pa.int64())), *b.columns[1:]], names=["words", "shape", *[f"y_{h}" for h in heads]])
 
-    ordered = marked.where(F.length("text") <= sample_chars).withColumn("__order", F.xxhash64("doc_id"))
+    ordered = marked.where(F.length("text") <= sample_chars).withColumn("__order", F.xxhash64("doc_id", F.xxhash64("text"), *[f"y_{h}" for h in heads]))
     wanted = first_by_hash(ordered, "__order", sample_rows).select("text", *[f"y_{h}" for h in heads])
     learned = wanted.mapInArrow(reduced, "words array<long>, shape array<long>, " + ", ".join(f"y_{h} double" for h in heads)).toArrow()
     words, shapes = (_lists(learned.column(c)) for c in ("words", "shape"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: ASCII white space, the only white space that splits words.
@@ -51,8 +52,14 @@ def spread(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def first_by_hash(rows: DataFrame, order: str, limit: int) -> DataFrame:
-    """The rows with the limit least values of order (a hash; equal values come along). Only values are ranked, so
-    no task hands on whole rows that are then left out."""
-    last = rows.select(order).orderBy(order).limit(limit).agg(F.max(order)).first()[0]
-    return rows.where(F.col(order) <= last) if last is not None else rows.where(F.lit(False))
+def first_by_hash(rows: DataFrame, order: str, limit: int, of: str | None = None) -> DataFrame:
+    """The rows with the limit least values of order (a hash of all that tells rows apart), of each value of `of` where it is
+    named; one row of a value, however often it is repeated. Only values are ranked, so no task hands on whole rows that are
+    then left out."""
+    by = [of] if of else []
+    values = rows.where(F.col(order).isNotNull()).select(*by, order).distinct()
+    if of:
+        values = values.withColumn("__rank", F.row_number().over(W.partitionBy(of).orderBy(order))).where(F.col("__rank") <= limit).drop("__rank")
+    else:
+        values = values.orderBy(order).limit(limit)
+    return rows.join(F.broadcast(values), [*by, order], "left_semi").dropDuplicates([*by, order])

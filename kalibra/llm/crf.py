@@ -215,12 +215,14 @@ def fit_field(rows: list[tuple[str, str]], min_count: int = 3, rounds: int = 30,
     return field
 
 
-def tag_languages(docs: DataFrame, learn: DataFrame, sample_rows: int = 1200, sample_chars: int = 20_000, doc_id: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
+def tag_languages(docs: DataFrame, learn: DataFrame, sample_rows: int = 1200, sample_chars: int = 20_000, label_rows: int = 20, doc_id: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
     """(doc_id, lang, score, n_words, n_switched, shares) for each row of docs.
 
     The field is fitted on sample_rows labelled rows of learn, the same number of each label as far as there
-    are, in the order of a hash of id and text, among texts of up to sample_chars characters, all taken whole:
-    sample_rows * sample_chars bounds what the driver gets. Every row of docs is then tagged whole.
+    are, and label_rows of each where labels are many, in the order of a hash of id and text, repeated rows
+    once, among texts of up to sample_chars characters, all taken whole: the greater of sample_rows (and a row
+    a label) and label_rows * labels, times sample_chars, bounds what the driver gets. No label is left out.
+    Every row of docs is then tagged whole.
 
     lang: the label with most expected words, `und` for a null text or one without letters (score 0);
     score: its share of the words, 0 to 1; n_switched: words whose likeliest label is another one; shares: of
@@ -228,11 +230,9 @@ def tag_languages(docs: DataFrame, learn: DataFrame, sample_rows: int = 1200, sa
     """
     spark = docs.sparkSession
     usable = learn.where(F.col(label).isNotNull() & (F.length(text) > 0) & (F.length(text) <= sample_chars)).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"), F.xxhash64(F.col(doc_id).cast("string"), F.xxhash64(text)).alias("order"))
-    names = [r["label"] for r in usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(64).collect()]
-    rows: list[tuple[str, str]] = []
-    for name in names:
-        rows += [(r["text"], r["label"]) for r in first_by_hash(usable.where(F.col("label") == name), "order", -(-sample_rows // len(names))).orderBy("order", "text").collect()]
-    field = fit_field(rows)
+    labels = usable.select("label").distinct().count()
+    sample = first_by_hash(usable, "order", max(label_rows, -(-sample_rows // max(labels, 1))), of="label").collect()
+    field = fit_field([(r["text"], r["label"]) for r in sorted(sample, key=lambda r: (r["label"], r["order"]))])
     model = spark.sparkContext.broadcast(field)
 
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -296,6 +296,29 @@ def test_language_tags(spark, empty):
     assert crf.tag_languages(empty, empty).count() == 0
 
 
+def test_every_language_is_learned_and_repeats_count_once(spark, monkeypatch):
+    rng = random.Random(18)
+    words = {f"l{i:02}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(3)] for i in range(68)}
+    text = lambda name: " ".join(rng.choice(words[name]) for _ in range(12))
+    rows = [(k * 100 + i, text(name), name) for i, name in enumerate(words) for k in range(6)]
+    schema, fitted, fit = "doc_id long, text string, lang string", [], crf.fit_field
+    monkeypatch.setattr(crf, "fit_field", lambda sample: fitted.append(sample) or fit(sample))
+    learn = spark.createDataFrame(rows + [(None, rows[0][1], rows[0][2])] * 500, schema)
+    ask = spark.createDataFrame([(i, text(name), None) for i, name in enumerate(words)], schema)
+    got = {r["doc_id"]: r["lang"] for r in crf.tag_languages(ask, learn).collect()}
+    assert got == dict(enumerate(words))
+    assert len(fitted[0]) == len(rows) + 1  # the repeated row once
+
+
+def test_classifier_samples_repeated_rows_once(spark, monkeypatch):
+    sizes, fit = [], classifier.fit_evidence
+    monkeypatch.setattr(classifier, "fit_evidence", lambda sample, y: sizes.append(len(y)) or fit(sample, y))
+    docs = spark.createDataFrame([(i, "h", "p", f"text {i}") for i in range(5)] + [(7, "h", "p", "the same")] * 300, "doc_id long, host string, path string, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in (0, 1, 2, 3, 4, 7)], "doc_id long, quality int, toxic int")
+    assert classifier.classify(docs, labels, sample_rows=6).count() == 305
+    assert sizes == [6, 6]
+
+
 def test_classifier_shrinks_sparse_sites(spark, empty):
     rng = random.Random(14)
     rows, marks = [], []
