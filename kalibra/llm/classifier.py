@@ -136,8 +136,10 @@ def classify(docs: DataFrame, labels: DataFrame, heads: tuple[str, ...] = ("qual
             got = list(slots_and_shape(list(tokens.utf8(b.column(0)))))
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.list_(pa.int64())), pa.array([s for _, s in got], pa.list_(pa.int64())), *b.columns[1:]], names=["words", "shape", *[f"y_{h}" for h in heads]])
 
-    ordered = marked.where(F.length("text") <= sample_chars).withColumn("__order", F.xxhash64("doc_id", F.xxhash64("text"), *[f"y_{h}" for h in heads]))
-    wanted = first_by_hash(ordered, "__order", sample_rows).select("text", *[f"y_{h}" for h in heads])
+    hashed = named.where(F.length("text") <= sample_chars).select("doc_id", "text", F.xxhash64("text").alias("__text"))
+    ordered = hashed.drop("text").join(marks, "doc_id").withColumn("__order", F.xxhash64("doc_id", "__text", *[f"y_{h}" for h in heads]))
+    chosen = first_by_hash(ordered, "__order", sample_rows)  # texts are fetched for these alone, and never shuffled before
+    wanted = hashed.join(F.broadcast(chosen), ["doc_id", "__text"]).dropDuplicates(["__order"]).select("text", *[f"y_{h}" for h in heads])
     learned = wanted.mapInArrow(reduced, "words array<long>, shape array<long>, " + ", ".join(f"y_{h} double" for h in heads)).toArrow()
     words, shapes = (_lists(learned.column(c)) for c in ("words", "shape"))
     fitted = []
