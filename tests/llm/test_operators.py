@@ -204,11 +204,10 @@ def _components(texts, k, t):
     return sets, least
 
 
-@pytest.mark.parametrize(("k", "t", "weight"), [(3, 90, 1_000_000), (5, 80, 300)])
-def test_jaccard_join(docs, empty, monkeypatch, k, t, weight):
-    monkeypatch.setattr(jaccard, "TASK_SHINGLES", weight)  # the smaller cuts clusters into blocks
+@pytest.mark.parametrize(("k", "t", "sizes"), [(3, 90, {"task_shingles": 300, "region_sets": 2}), (5, 80, {})])
+def test_jaccard_join(docs, empty, k, t, sizes):
     sets, least = _components(_texts(), k, t)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs, k, t).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs, k, t, **sizes).collect()}
     assert got == {i: (len(sets[i]), least[i]) for i in range(len(sets))}
     if k == 5:
         kept = jaccard.keep_one(docs, k, t)
@@ -216,6 +215,26 @@ def test_jaccard_join(docs, empty, monkeypatch, k, t, weight):
         assert jaccard.near_duplicates(empty, k, t).count() == 0
 
 
+@pytest.mark.parametrize(("k", "t", "task_shingles", "region_sets"), [(3, 90, 1_500, 30), (5, 80, 400, 3)])
+def test_large_regions_are_parted_exactly(spark, k, t, task_shingles, region_sets):
+    """Groups of edited copies, some just within and some just beyond a link, and a passage that half of all share."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passage, texts = [word() for _ in range(30)], []
+    for group in range(6):
+        base = [word() for _ in range(rng.randint(25, 70))] + (passage if group % 2 else [])
+        for _ in range(25 if group < 2 else 6):
+            own = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                own[rng.randrange(len(own))] = word()
+            texts.append(" ".join(own))
+    texts += [" ".join([word() for _ in range(rng.randint(3, 30))] + passage) for _ in range(25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    _, least = _components(texts, k, t)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs, k, t, task_shingles=task_shingles, region_sets=region_sets).collect()}
+    assert got == dict(enumerate(least))
+
+
 def test_rows_without_id_and_repeated_rows(spark):
     text = "one two three four five six"
     rows = spark.createDataFrame([(None, text), (7, text), (7, text), (3, text), (None, "else entirely")], "doc_id long, text string")

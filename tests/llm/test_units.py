@@ -107,7 +107,27 @@ def test_pairs_share_a_cell(t):
                 y.add(rng.randrange(10**9))
         if x != y and 100 * len(x & y) >= t * len(x | y):
             a, b = (np.unique(shingles.mix(np.array(sorted(s), np.uint64))) for s in (x, y))
-            assert set(jaccard.cells(a, t).tolist()) & set(jaccard.cells(b, t).tolist())
+            for seed in (0, 3):
+                assert set(jaccard.cells(a, t, seed).tolist()) & set(jaccard.cells(b, t, seed).tolist())
+
+
+@pytest.mark.parametrize("t", [80, 90])
+def test_sketches_tie_all_links(t):
+    rng = random.Random(24)
+    sets = []
+    for _ in range(12):
+        base = [rng.randrange(10**12) for _ in range(rng.choice([5, 20, 60, 140, 300]))]
+        for _ in range(8):
+            y = [x for x in base if rng.random() > 0.1]
+            sets.append(np.unique(shingles.mix(np.array(y + [rng.randrange(10**12) for _ in range(rng.randint(0, len(base) // 12 + 1))], np.uint64))))
+    tied = jaccard.Forest(len(sets))
+    for i, j in jaccard.tie(np.array(list(map(len, sets))), [jaccard.sketch(u, t) for u in sets], t):
+        tied.link(i, j)
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        linked = 100 * both >= t * (len(sets[i]) + len(sets[j]) - both)
+        assert not linked or tied.root(i) == tied.root(j)
+    assert len({tied.root(i) for i in range(len(sets))}) >= 12
 
 
 @pytest.mark.parametrize("t", [80, 90])
