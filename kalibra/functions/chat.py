@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values: (header start, header end, turn end, line feeds after the header) by template.
-TEMPLATES = {"llama3": ("<|start_header_id|>", "<|end_header_id|>", "<|eot_id|>", 2), "llama4": ("<|header_start|>", "<|header_end|>", "<|eot|>", 2)}
+TEMPLATES = {"llama3": ("<|start_header_id|>", "<|end_header_id|>", "<|eot_id|>", 1), "llama4": ("<|header_start|>", "<|header_end|>", "<|eot|>", 2)}
 
 
 def completions(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", template: str = "llama3") -> DataFrame:
@@ -24,17 +24,20 @@ def completions(turns: DataFrame, key: str = "conv_id", order: str = "turn", rol
 
 
 def boundary(tokens: list[str], prompt: str) -> tuple[int | None, str]:
-    """The first token after the prompt, by UTF-8 bytes, and how it was found or why not."""
-    want, held = len(prompt.encode()), 0
-    if not "".join(tokens).encode().startswith(prompt.encode()):
-        return None, "echo_mismatch"
+    """The first token after the prompt, by UTF-8 bytes (lone surrogates too), and how it was found or why not: the echo may lack
+    the prompt's white space at its end, have other line ends, or be another text; a token may span the end of the prompt."""
+    size = lambda t: len(t.encode("utf-8", "surrogatepass"))
+    echo, unix = "".join(tokens), lambda t: t.replace("\r\n", "\n")
+    if not echo.startswith(prompt):
+        if echo.startswith(prompt.rstrip()):
+            return None, "whitespace_normalization"
+        return None, "crlf_normalization" if unix(echo).startswith(unix(prompt)) else "echo_mismatch"
+    want, held = size(prompt), 0
     for i, t in enumerate(tokens):
-        if held == want:
-            return i, "exact_match"
-        held += len(t.encode())
-        if held > want:
-            return None, "boundary_spans_token"
-    return (len(tokens), "exact_match") if held == want else (None, "boundary_not_found")
+        held += size(t)
+        if held >= want:
+            return (i + 1, "exact_match") if held == want else (None, "boundary_spans_token")
+    return None, "boundary_not_found"
 
 
 def suffix_logprobs(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.stats import normal_ppf
+
 
 def ess(w: Column) -> Column:
     return F.pow(F.sum(w), 2) / F.greatest(F.sum(w * w), F.lit(1e-12))
@@ -33,10 +35,10 @@ def largest(rows: DataFrame, share: float, least: int, most_share: float | None
     return held.withColumn("rn", F.row_number().over(W.partitionBy("policy").orderBy(F.desc(w), "row_id"))).where(F.col("rn") <= F.col("k") + extra)
 
 
-def mass_concentration(rows: DataFrame, top: float = 0.01) -> DataFrame:
+def mass_concentration(rows: DataFrame, top: float = 0.01, w: str = "w") -> DataFrame:
     """(policy, share): of the sum of weights, what the largest top of rows hold."""
-    total = rows.groupBy("policy").agg(F.sum("w").alias("total"))
-    return largest(rows, top, 1).groupBy("policy").agg(F.sum("w").alias("s")).join(total, "policy").select("policy", (F.col("s") / F.col("total")).alias("share"))
+    total = rows.groupBy("policy").agg(F.sum(w).alias("total"))
+    return largest(rows, top, 1, w=w).groupBy("policy").agg(F.sum(w).alias("s")).join(total, "policy").select("policy", (F.col("s") / F.col("total")).alias("share"))
 
 
 def hill_tail_index(rows: DataFrame, fraction: float = 0.05, min_k: int = 10) -> DataFrame:
@@ -59,11 +61,26 @@ def hellinger(rows: DataFrame, eps: float = 1e-10) -> DataFrame:
 
 
 def overlap_card(rows: DataFrame) -> DataFrame:
-    """(policy, affinity, ess_fraction, alpha, quality, recommendation, penalty)."""
-    a = hellinger(rows).join(weight_diagnostics(rows).select("policy", "ess_fraction", "alpha"), "policy")
+    """(policy, affinity, ess_fraction, alpha, quality, recommendation, penalty). A policy of fewer than 50 rows has no tail index."""
+    a = hellinger(rows).join(weight_diagnostics(rows).select("policy", "n", "ess_fraction", "alpha"), "policy").withColumn("alpha", F.when(F.col("n") >= 50, F.col("alpha"))).drop("n")
     quality = F.when(F.col("affinity") < 0.2, "catastrophic").when(F.col("affinity") < 0.35, "poor").when(F.col("affinity") < 0.5, "marginal").otherwise("good")
-    advice = F.when(F.col("affinity") < 0.2, "refuse").when(F.col("affinity") < 0.35, "dr").when((F.col("ess_fraction") < 0.3) | (F.col("alpha") < 2), "calibrated-ips").otherwise("ips")
-    return a.withColumn("quality", quality).withColumn("recommendation", advice).withColumn("penalty", 1 / F.sqrt("ess_fraction"))
+    scarce = F.when(F.col("quality") == "poor", "refuse").otherwise("dr")
+    advice = F.when(F.col("quality") == "catastrophic", "refuse").when(F.col("alpha") < 1.5, "dr").when(F.col("ess_fraction") < 0.1, scarce).when(F.col("ess_fraction") < 0.3, "calibrated-ips").otherwise("ips")
+    penalty = F.when(F.col("ess_fraction") > 0.001, 1 / F.sqrt("ess_fraction")).otherwise(F.lit(float("inf")))
+    return a.withColumn("quality", quality).withColumn("recommendation", advice).withColumn("penalty", penalty)
+
+
+def tail_ratio(rows: DataFrame, low: float = 0.05, high: float = 0.99, w: str = "w") -> DataFrame:
+    """(policy, ratio) of two quantiles; infinite where the lower one is 1e-12 or less."""
+    q = rows.groupBy("policy").agg(F.percentile(w, F.array(F.lit(low), F.lit(high))).alias("q"))
+    return q.select("policy", F.when(F.col("q")[0] > 1e-12, F.try_divide(F.col("q")[1], F.col("q")[0])).otherwise(F.lit(float("inf"))).alias("ratio"))
+
+
+def extremes(rows: DataFrame, k: int = 5, w: str = "w") -> DataFrame:
+    """(policy, row_id, side, w, rn, policies): each policy's k largest and smallest weights, and how many policies' lists a row is in."""
+    low = largest(rows.withColumn("__w", -F.col(w)), 0.0, k, w="__w")
+    both = largest(rows, 0.0, k, w=w).select("policy", "row_id", w, F.lit("top").alias("side"), "rn").union(low.select("policy", "row_id", w, F.lit("bottom").alias("side"), "rn"))
+    return both.withColumn("policies", F.count(F.lit(1)).over(W.partitionBy("row_id", "side"))).select("policy", "row_id", "side", F.col(w).alias("w"), "rn", "policies")
 
 
 def reliability(rows: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
@@ -81,16 +98,21 @@ def calibration_error(rows: DataFrame, p: str, y: str, bins: int = 10) -> DataFr
     return e.crossJoin(rows.where(F.col(p).isNotNull() & F.col(y).isNotNull()).agg(F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("brier")))
 
 
-def boundary_card(scores: DataFrame, r_min: float = 0.0, r_max: float = 1.0) -> DataFrame:
-    """Of (policy, s, reward, labelled): the share of scores outside the labelled range, of rewards at its ends, and a verdict."""
-    span = scores.where("labelled").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.min("reward").alias("r_lo"), F.max("reward").alias("r_hi"))
-    flat = 1e-6
-    a = scores.crossJoin(F.broadcast(span)).groupBy("policy").agg(
-        F.avg(((F.col("s") < F.col("lo")) | (F.col("s") > F.col("hi"))).cast("double")).alias("outside"),
-        F.avg(((F.abs(F.col("reward") - F.col("r_lo")) <= flat) | (F.abs(F.col("reward") - F.col("r_hi")) <= flat)).cast("double")).alias("saturated"),
-        F.max(F.greatest(F.col("r_lo") - r_min, r_max - F.col("r_hi"))).alias("gap"),
-    )
-    return a.withColumn("verdict", F.when(F.col("outside") >= 0.05, "REFUSE-LEVEL").when((F.col("saturated") >= 0.2) | (F.col("gap") >= 0.1), "CAUTION").otherwise("OK"))
+def boundary_card(rows: DataFrame, labelled: DataFrame, gap: DataFrame, band: float = 0.05) -> DataFrame:
+    """(policy, outside, saturated, gap, width, verdict) from rows (policy, judge_score, reward), labelled rows of the same columns
+    and (policy, gap), how far two estimators are apart.
+
+    outside: scores beyond those that have labels; saturated: rewards within a band of the ends of the labelled rows' rewards;
+    width: what the scores outside leave open under monotone rewards, null where there are none.
+    """
+    span = labelled.agg(F.min("judge_score").alias("lo"), F.max("judge_score").alias("hi"), F.min("reward").alias("r_lo"), F.max("reward").alias("r_hi"))
+    share, margin = lambda c: F.avg(c.cast("double")), band * (F.col("r_hi") - F.col("r_lo"))
+    a = rows.crossJoin(F.broadcast(span)).groupBy("policy").agg(  # one row
+        share(F.col("judge_score") < F.col("lo")).alias("below"), share(F.col("judge_score") > F.col("hi")).alias("above"),
+        share((F.col("reward") <= F.col("r_lo") + margin) | (F.col("reward") >= F.col("r_hi") - margin)).alias("saturated"), F.first("r_lo").alias("r_lo"), F.first("r_hi").alias("r_hi"),
+    ).join(gap, "policy", "left").withColumn("outside", F.col("below") + F.col("above"))
+    verdict = F.when(F.col("outside") >= 0.05, "REFUSE-LEVEL").when((F.col("saturated") >= 0.2) | (F.col("gap") >= 0.1), "CAUTION").otherwise("OK")
+    return a.select("policy", "outside", "saturated", "gap", F.when(F.col("outside") > 0, F.col("below") * F.col("r_lo") + F.col("above") * (1 - F.col("r_hi"))).alias("width"), verdict.alias("verdict"))
 
 
 def kendall(pairs: DataFrame, key: str, x: str, y: str) -> DataFrame:
@@ -109,26 +131,34 @@ def draw_statistics(fresh: DataFrame) -> DataFrame:
     return fresh.groupBy("policy", "prompt_id").agg(F.count(F.lit(1)).alias("n"), F.avg("judge_score").alias("mean"), F.coalesce(F.var_samp("judge_score"), F.lit(0.0)).alias("var"))
 
 
-def uncovered_prompts(logged: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Logged prompts that have no fresh draw of a policy."""
-    want = logged.select("prompt_id").distinct().crossJoin(F.broadcast(fresh.select("policy").distinct()))
+def uncovered_prompts(logged: DataFrame, fresh: DataFrame, policies: list[str]) -> DataFrame:
+    """(prompt_id, policy): logged prompts that have no fresh draw of a policy."""
+    want = logged.select("prompt_id").distinct().withColumn("policy", F.explode(F.array(*map(F.lit, policies))))
     return want.join(fresh.select("policy", "prompt_id").distinct(), ["policy", "prompt_id"], "left_anti")
 
 
+def draw_coverage(logged: DataFrame, fresh: DataFrame, policies: list[str]) -> DataFrame:
+    """(policy, n_prompts, n_uncovered, least, mean, most): logged prompts, those without a draw, and the draws of the others."""
+    want = logged.select("prompt_id").distinct().withColumn("policy", F.explode(F.array(*map(F.lit, policies))))
+    drawn = want.join(fresh.groupBy("policy", "prompt_id").agg(F.count(F.lit(1)).alias("d")), ["policy", "prompt_id"], "left")
+    return drawn.groupBy("policy").agg(F.count(F.lit(1)).alias("n_prompts"), F.count_if(F.col("d").isNull()).alias("n_uncovered"), F.min("d").alias("least"), F.avg("d").alias("mean"), F.max("d").alias("most"))
+
+
 def orthogonality(rows: DataFrame) -> DataFrame:
-    """Of (policy, w, reward, g): the mean of w * (reward - g), its error (population deviation) and z."""
-    s = F.col("w") * (F.col("reward") - F.col("g"))
+    """Of (policy, w_cal, reward, g): the mean of w (reward - g), its error (population deviation), z and 95 % interval."""
+    s, half = F.col("w_cal") * (F.col("reward") - F.col("g")), normal_ppf(0.975) * F.col("se")
     a = rows.groupBy("policy").agg(F.avg(s).alias("score"), (F.stddev_pop(s) / F.sqrt(F.count(F.lit(1)))).alias("se"))
-    return a.withColumn("z", F.when(F.col("se") > 0, F.col("score") / F.col("se")).otherwise(0.0))
+    return a.withColumn("z", F.when(F.col("se") > 0, F.col("score") / F.col("se")).otherwise(0.0)).withColumn("lo", F.col("score") - half).withColumn("hi", F.col("score") + half)
 
 
 def hill_stability(rows: DataFrame, fractions: tuple[float, ...] = (0.01, 0.02, 0.05, 0.1)) -> DataFrame:
-    """(policy, median, least, most, spread) of the tail index over fractions of the tail."""
-    every = None
-    for f in fractions:
-        own = hill_tail_index(rows, f).select("policy", "alpha")
-        every = own if every is None else every.union(own)
-    return every.groupBy("policy").agg(F.percentile("alpha", 0.5).alias("median"), F.min("alpha").alias("least"), F.max("alpha").alias("most"), F.stddev_pop("alpha").alias("spread"))
+    """(policy, median, least, most, spread) of the tail index over fractions of the tail; infinite ones (no tail) are left out."""
+    top = largest(rows, max(fractions), 10, 0.1, extra=1).select("policy", "n", "rn", F.ln("w").alias("l"), F.explode(F.array(*map(F.lit, fractions))).alias("f"))
+    k = F.least(F.greatest(F.lit(10), F.floor(F.col("n") * F.col("f"))), F.floor(F.col("n") * 0.1))
+    s = top.withColumn("k", k).groupBy("policy", "f", "k").agg(F.sum(F.when(F.col("rn") <= F.col("k"), F.col("l"))).alias("s"), F.max(F.when(F.col("rn") == F.col("k") + 1, F.col("l"))).alias("edge"))
+    excess = F.col("s") - F.col("k") * F.col("edge")
+    finite = s.select("policy", F.when(excess > 0, F.col("k") / excess).alias("alpha"))
+    return finite.groupBy("policy").agg(F.percentile("alpha", 0.5).alias("median"), F.min("alpha").alias("least"), F.max("alpha").alias("most"), F.stddev_pop("alpha").alias("spread"))
 
 
 def auto_threshold(n: Column, half_width: float, level: str = "critical") -> Column:
@@ -136,16 +166,18 @@ def auto_threshold(n: Column, half_width: float, level: str = "critical") -> Col
     return F.least(F.lit(1.0), F.greatest(F.lit(0.001), 0.9604 / (n * half_width * half_width) * (1.0 if level == "critical" else 0.5)))
 
 
-def refusal_gates(rows: DataFrame, ess_least: float = 0.3, zero_most: float = 0.85, top_most: float = 0.3, cv_most: float = 2.0) -> DataFrame:
-    """(policy, ess_fraction, zero_share, top_share, cv, refused): too few effective rows, too many zeros, or a heavy top."""
-    a = rows.groupBy("policy").agg((ess(F.col("w")) / F.count(F.lit(1))).alias("ess_fraction"), F.avg((F.col("w") < 1e-10).cast("double")).alias("zero_share"), (F.stddev_pop("w") / F.avg("w")).alias("cv"))
-    a = a.join(mass_concentration(rows, 0.05).withColumnRenamed("share", "top_share"), "policy")
-    return a.withColumn("refused", (F.col("ess_fraction") < ess_least) | (F.col("zero_share") > zero_most) | ((F.col("top_share") > top_most) & (F.col("cv") > cv_most)))
+def refusal_gates(rows: DataFrame, w: str = "w_cal", raw: str = "w", ess_least: float = 0.3, zero_most: float = 0.85, top_most: float = 0.3, cv_most: float = 2.0) -> DataFrame:
+    """(policy, ess_fraction, zero_share, top_share, cv, refused): too few effective rows, too many raw weights near zero (calibrated
+    ones would hide them), or a heavy and scattered top."""
+    a = rows.groupBy("policy").agg((ess(F.col(w)) / F.count(F.lit(1))).alias("ess_fraction"), F.avg((F.col(raw) < 1e-10).cast("double")).alias("zero_share"), F.try_divide(F.stddev_pop(w), F.avg(w)).alias("cv"))
+    a = a.join(mass_concentration(rows, 0.05, w).withColumnRenamed("share", "top_share"), "policy")
+    scattered = F.coalesce(F.col("cv"), F.lit(float("inf"))) > cv_most
+    return a.withColumn("refused", (F.col("ess_fraction") < ess_least) | (F.col("zero_share") > zero_most) | ((F.col("top_share") > top_most) & scattered))
 
 
 def decomposition(rows: DataFrame) -> DataFrame:
-    """Of (policy, w, reward, g, q): the means and errors of the model part q and the weighted part, and their correlation."""
-    part, n = F.col("w") * (F.col("reward") - F.col("g")), F.sqrt(F.count(F.lit(1)))
+    """Of (policy, w_cal, reward, g, q): the means and errors of the model part q and the weighted part, and their correlation."""
+    part, n = F.col("w_cal") * (F.col("reward") - F.col("g")), F.sqrt(F.count(F.lit(1)))
     return rows.groupBy("policy").agg(F.avg("q").alias("model"), F.avg(part).alias("weighted"), (F.stddev_pop("q") / n).alias("model_se"), (F.stddev_pop(part) / n).alias("weighted_se"), F.corr(F.col("q"), part).alias("correlation"))
 
 

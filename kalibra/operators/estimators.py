@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import simplex_weights, t_ppf
 from . import isotonic
+from .tables import written
 from .weights import mean_one
 
 FOLDS = 5
@@ -23,11 +24,15 @@ def fold_of(prompt_id: Column, folds: int = FOLDS, seed: int = 42) -> Column:
 
 
 def calibrate(rows: DataFrame, folds: int = FOLDS) -> tuple[dict, dict]:
-    """(model, models by fold): isotonic fits of oracle_label on judge_score; a fold's model has not seen the fold."""
-    labelled = rows.where(F.col("oracle_label").isNotNull()).select("fold", "judge_score", "oracle_label")
-    whole = isotonic.knots(isotonic.fit(labelled.withColumn("g", F.lit(0)), ["g"], "judge_score", "oracle_label"), ["g"])
-    others = labelled.select(F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(folds - 1)), F.col("fold"))).alias("fold"), "judge_score", "oracle_label")
-    return whole, isotonic.knots(isotonic.fit(others, ["fold"], "judge_score", "oracle_label"), ["fold"])
+    """(model, models by fold): isotonic fits of oracle_label on judge_score; a fold's model has not seen the fold.
+
+    Labels are added up by (fold, score) in one pass; all fits start from these sums.
+    """
+    labelled = rows.where(F.col("oracle_label").isNotNull()).groupBy("fold", "judge_score").agg(F.avg("oracle_label").alias("y"), F.count(F.lit(1)).cast("double").alias("c"))
+    # the model of all labels is fitted beside those of the folds, as fold -1
+    left_out = F.array_append(F.array_remove(F.sequence(F.lit(0), F.lit(folds - 1)), F.col("fold")), F.lit(-1))
+    fitted = isotonic.knots(isotonic.fit(labelled.select(F.explode(left_out).alias("fold"), "judge_score", "y", "c"), ["fold"], "judge_score", "y", F.col("c")), ["fold"])
+    return {(0,): m for k, m in fitted.items() if k == (-1,)}, {k: m for k, m in fitted.items() if k != (-1,)}
 
 
 def with_rewards(rows: DataFrame, models: tuple[dict, dict]) -> DataFrame:
@@ -50,69 +55,107 @@ def raw_ips(rows: DataFrame) -> DataFrame:
     return own.join(F.broadcast(mean), "policy").select("policy", "row_id", "fold", (F.col("w") * F.col("reward")).alias("c"), (F.col("__phi") - F.col("__m")).alias("phi"))
 
 
-def stabilised(rows: DataFrame, ess_floor: float = 0.2, var_cap: float = 1.0, floor: float = 1e-9, ridge: float = 1e-8) -> DataFrame:
-    """w made a monotone function of the score: a rising and a falling fit of mean 1, mixed for the least variance of their
-    influence, then pulled toward 1 as far as the floor of the effective sample or the cap on variance asks."""
-    out = rows
-    for name, rising in (("w_up", True), ("w_down", False)):
-        out = isotonic.predict(out, isotonic.knots(isotonic.fit(rows, ["policy"], "judge_score", "w", rising=rising), ["policy"]), ["policy"], "judge_score", name, floor)
-        out = mean_one(out, w=name)
-    psi = out.groupBy("policy").agg(*[F.avg(F.col(n) * F.col("reward_oof")).alias(f"__{n}") for n in ("w_up", "w_down")])
-    own = out.join(F.broadcast(psi), "policy")
-    part = {n: F.col(n) * (F.col("reward_oof") - F.col(f"__{n}")) - F.col(f"__{n}") * (F.col(n) - 1) for n in ("w_up", "w_down")}
-    cov = own.groupBy("policy").agg(*[F.covar_samp(part[a], part[b]).alias(f"{a}_{b}") for a, b in (("w_up", "w_up"), ("w_up", "w_down"), ("w_down", "w_down"))], F.var_pop("w").alias("v_raw"), *[F.covar_pop(a, b).alias(f"v_{a}_{b}") for a, b in (("w_up", "w_up"), ("w_up", "w_down"), ("w_down", "w_down"))]).collect()
-    mix: dict[str, tuple[float, float, float]] = {}
-    for r in cov:  # a row a policy
-        s = np.array([[r["w_up_w_up"], r["w_up_w_down"]], [r["w_up_w_down"], r["w_down_w_down"]]])
-        a, b = simplex_weights(s + ridge * np.trace(s) / 2 * np.eye(2))
-        v = a * a * r["v_w_up_w_up"] + 2 * a * b * r["v_w_up_w_down"] + b * b * r["v_w_down_w_down"]
-        cap = min(1 / ess_floor - 1, var_cap * r["v_raw"])
-        mix[r["policy"]] = (float(a), float(b), float(min(1.0, (cap / v) ** 0.5)) if v > 0 else 1.0)
-    pick = lambda i: F.create_map(*[F.lit(x) for p, m in mix.items() for x in (p, m[i])])[F.col("policy")]
-    blend = 1 + pick(2) * (pick(0) * F.col("w_up") + pick(1) * F.col("w_down") - 1)
-    return mean_one(out.withColumn("w", F.greatest(blend, F.lit(floor)))).drop("w_up", "w_down")
+def stabilised(rows: DataFrame, index: str = "reward_oof", folds: int = FOLDS, outer_seed: int = 1042, ess_floor: float = 0.2, var_cap: float = 1.0, floor: float = 1e-9, ridge: float = 1e-8) -> DataFrame:
+    """Adds w_cal (calibrated weights), outer (their fold), psi_train and w_train (of the other outer folds, on raw weights).
+
+    For each outer fold, the rows of the others give a rising and a falling fit of w on the index (to nine decimals, so what
+    differs by rounding is a tie); both, of mean 1, are mixed for the least variance of their influence, each inner fold's with
+    the means of the others, and pulled toward 1 as far as the floor of the effective sample or the cap on variance asks. The
+    held-out rows take these fits, mean 1 within the fold, and in the end all weights of a policy have mean 1. A fold with
+    fewer than 10 rows to learn from, fewer than 2 of its own, or a weight of zero among the former keeps its raw weights.
+    All sums are by level of the index, so only levels are copied for the folds.
+    """
+    own = rows.withColumn("outer", fold_of(F.col("prompt_id"), folds, outer_seed)).withColumn("__x", F.round(index, 9))
+    levels = written(own.groupBy("policy", "outer", "fold", F.col("__x").alias("x")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("w").alias("sw"), F.min("w").alias("least"), F.sum(F.col("w") * F.col(index)).alias("swr")), "levels")
+    train = levels.select("policy", F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(folds - 1)), F.col("outer"))).alias("k"), "fold", "x", "n", "sw", "swr", "least", (F.col("sw") / F.col("n")).alias("y"))
+    # a falling fit is a rising one along -x, so both are one job
+    both = train.select("policy", "k", F.explode(F.array(F.lit(1), F.lit(-1))).alias("way"), "x", "y", "n").withColumn("x", F.col("x") * F.col("way"))
+    model = isotonic.knots(isotonic.fit(both, ["policy", "k", "way"], "x", "y", F.col("n")), ["policy", "k", "way"])
+
+    def fits(rows: DataFrame, k: str, x: str) -> DataFrame:
+        for name, way in (("u", 1), ("d", -1)):
+            rows = isotonic.predict(rows.withColumns({"__way": F.lit(way), "__at": F.col(x) * way}), model, ["policy", k, "__way"], "__at", name, floor)
+        return rows.drop("__way", "__at")
+
+    cand = fits(train.groupBy("policy", "k", "fold", "x").agg(F.sum("n").alias("n")), "k", "x")
+    cand = written(cand, "candidates")
+    mean = cand.groupBy("policy", "k").agg(*[(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(f"m_{c}") for c in "ud"])
+    cand = cand.join(F.broadcast(mean), ["policy", "k"]).select("policy", "k", "fold", "x", "n", *[(F.col(c) / F.col(f"m_{c}")).alias(c) for c in "ud"])
+    by_fold = cand.groupBy("policy", "k", "fold").agg(F.sum("n").alias("n_f"), *[F.sum(F.col("n") * F.col(c)).alias(f"s_{c}") for c in "ud"], *[F.sum(F.col("n") * F.col(c) * F.col("x")).alias(f"sx_{c}") for c in "ud"])
+    total = by_fold.groupBy("policy", "k").agg(F.sum("n_f").alias("n_t"), *[F.sum(f"{a}_{c}").alias(f"{a}t_{c}") for c in "ud" for a in ("s", "sx")])
+    rest = by_fold.join(total, ["policy", "k"]).select("policy", "k", "fold", *[((F.col(f"st_{c}") - F.col(f"s_{c}")) / F.greatest(F.col("n_t") - F.col("n_f"), F.lit(1e-12))).alias(f"w_{c}") for c in "ud"], *[((F.col(f"sxt_{c}") - F.col(f"sx_{c}")) / F.greatest(F.col(f"st_{c}") - F.col(f"s_{c}"), F.lit(1e-12))).alias(f"psi_{c}") for c in "ud"])
+    phi = {c: (F.col(c) * (F.col("x") - F.col(f"psi_{c}")) - F.col(f"psi_{c}") * (F.col(c) - F.col(f"w_{c}"))) / F.greatest(f"w_{c}", F.lit(1e-12)) for c in "ud"}
+    w, sum_of = F.col("n"), lambda c: F.sum(F.col("n") * c)
+    moments = cand.join(F.broadcast(rest), ["policy", "k", "fold"]).groupBy("policy", "k").agg(F.sum(w).alias("n"), *[sum_of(phi[c]).alias(f"f_{c}") for c in "ud"], *[sum_of(phi[a] * phi[b]).alias(f"f_{a}{b}") for a, b in ("uu", "ud", "dd")], *[sum_of((F.col(a) - 1) * (F.col(b) - 1)).alias(f"v_{a}{b}") for a, b in ("uu", "ud", "dd")])
+    raw = train.groupBy("policy", "k").agg(F.sum("n").alias("n_train"), F.min("least").alias("least"), (F.sum("swr") / F.sum("sw")).alias("psi_train"), (F.sum("sw") / F.sum("n")).alias("w_train"))
+    tests = levels.groupBy("policy", F.col("outer").alias("k")).agg(F.sum("n").alias("n_test"))
+    plan = []
+    for r in raw.join(tests, ["policy", "k"]).join(moments, ["policy", "k"]).collect():  # a row a policy and fold
+        cov = np.array([[(r[f"f_{a}{b}"] - r[f"f_{a}"] * r[f"f_{b}"] / r["n"]) / max(r["n"] - 1, 1) for a, b in pair] for pair in (("uu", "ud"), ("ud", "dd"))])
+        a, b = simplex_weights(cov + ridge * np.trace(cov) / 2 * np.eye(2))
+        var = (a * a * r["v_uu"] + 2 * a * b * r["v_ud"] + b * b * r["v_dd"]) / r["n"]
+        keep = min(1.0, (min(1 / ess_floor - 1, var_cap) / var) ** 0.5) if var > 0 else 1.0
+        enough = r["n_train"] >= 10 and r["n_test"] >= 2 and r["least"] > 0
+        plan.append((r["policy"], r["k"], float(a), float(b), float(keep), bool(enough), r["psi_train"], r["w_train"]))
+    mix = rows.sparkSession.createDataFrame(plan, "policy string, outer int, a double, b double, keep double, enough boolean, psi_train double, w_train double")
+    own = fits(own, "outer", "__x")
+    own = mean_one(mean_one(own, ("policy", "outer"), "u"), ("policy", "outer"), "d").join(F.broadcast(mix), ["policy", "outer"])
+    blend = F.col("a") * F.col("u") + F.col("b") * F.col("d")
+    own = own.withColumn("w_cal", F.when(F.col("enough"), F.when(F.col("keep") < 1, F.greatest(1 + F.col("keep") * (blend - 1), F.lit(floor))).otherwise(blend)))
+    own = mean_one(own, ("policy", "outer"), "w_cal").withColumn("w_cal", F.when(F.col("enough"), F.col("w_cal")).otherwise(F.col("w")))
+    return mean_one(own, w="w_cal").drop("__x", "u", "d", "a", "b", "keep", "enough")
+
+
+def calibrated_ips(rows: DataFrame) -> DataFrame:
+    """Mean of w_cal * reward; the influence of a row takes the value and mean weight of the other outer folds, and outer folds are its clusters."""
+    psi, w_train = F.col("psi_train"), F.when(F.col("w_train") > 0, F.col("w_train")).otherwise(1.0)
+    phi = (F.col("w_cal") * (F.col("reward_oof") - psi) - psi * (F.col("w_cal") - F.col("w_train"))) / w_train
+    own = rows.select("policy", "row_id", F.col("outer").alias("fold"), (F.col("w_cal") * F.col("reward")).alias("c"), phi.alias("phi"))
+    mean = own.groupBy("policy").agg(F.avg("phi").alias("__m"))
+    return own.join(F.broadcast(mean), "policy").withColumn("phi", F.col("phi") - F.col("__m")).drop("__m")
 
 
 def with_outcomes(rows: DataFrame, fresh: DataFrame, models: tuple[dict, dict]) -> DataFrame:
-    """Adds g (the fold model at the logged score), q (its mean over the row's fresh draws), draws and draw_var (population).
+    """Adds g (the fold model at the logged score), q (its mean over the row's fresh draws), draws and draw_var (of a sample; 0 for one draw).
 
     Rows whose prompt has no draw of the policy go. A prompt's draws are added up before the join.
     """
     drawn = isotonic.predict(fresh.withColumn("fold", fold_of(F.col("prompt_id"))), models[1], ["fold"], "judge_score", "g", 0.0, 1.0)
-    stats = drawn.groupBy("policy", "prompt_id").agg(F.avg("g").alias("q"), F.count(F.lit(1)).alias("draws"), F.var_pop("g").alias("draw_var"))
+    stats = drawn.groupBy("policy", "prompt_id").agg(F.avg("g").alias("q"), F.count(F.lit(1)).alias("draws"), F.coalesce(F.var_samp("g"), F.lit(0.0)).alias("draw_var"))
     return rows.join(stats, ["policy", "prompt_id"]).withColumn("g", F.col("reward_oof"))
 
 
-def dr_cpo(rows: DataFrame) -> DataFrame:
-    """q + w (R - g)."""
-    return _centred(rows, F.col("q") + F.col("w") * (F.col("reward") - F.col("g")))
+def dr_cpo(rows: DataFrame, w: str = "w_cal") -> DataFrame:
+    """q + w (R - g), on calibrated weights unless told otherwise."""
+    return _centred(rows, F.col("q") + F.col(w) * (F.col("reward") - F.col("g")))
 
 
-def weighted_outcome(rows: DataFrame, omega: str = "w") -> DataFrame:
+def weighted_outcome(rows: DataFrame, omega: str = "w", w: str = "w_cal") -> DataFrame:
     """g refitted by policy and fold, rows weighted by w, w squared or (w - 1) squared, at least 1e-8."""
-    weight = F.greatest({"w": F.abs("w"), "w2": F.col("w") * F.col("w"), "snips": F.pow(F.col("w") - 1, 2)}[omega], F.lit(1e-8))
+    weight = F.greatest({"w": F.abs(w), "w2": F.col(w) * F.col(w), "snips": F.pow(F.col(w) - 1, 2)}[omega], F.lit(1e-8))
     train = rows.select("policy", F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(FOLDS - 1)), F.col("fold"))).alias("fold"), "judge_score", "reward", weight.alias("omega"))
     return isotonic.predict(rows.drop("g"), isotonic.knots(isotonic.fit(train, ["policy", "fold"], "judge_score", "reward", F.col("omega")), ["policy", "fold"]), ["policy", "fold"], "judge_score", "g", 0.0, 1.0)
 
 
-def tmle(rows: DataFrame, steps: int = 50, tol: float = 1e-8) -> DataFrame:
-    """q + w (R - g*), g* the logistic fluctuation of g along w. A Newton step is one sum for all policies at once."""
+def tmle(rows: DataFrame, steps: int = 50, tol: float = 1e-8, w: str = "w_cal") -> DataFrame:
+    """q + w (R - g*), g* the logistic fluctuation of g along w. A Newton step is one sum for all policies at once, over rows
+    that are best written before (see tables.written)."""
     guard = 1e-7
     z = F.least(F.greatest("g", F.lit(guard)), F.lit(1 - guard))
     own = rows.withColumn("__z", F.ln(z / (1 - z)))
     eps = {r["policy"]: 0.0 for r in rows.select("policy").distinct().collect()}
     at = lambda: F.create_map(*[F.lit(x) for p, e in eps.items() for x in (p, e)])[F.col("policy")]
-    mu = lambda: 1 / (1 + F.exp(-(F.col("__z") + at() * F.col("w"))))
+    mu = lambda: 1 / (1 + F.exp(-(F.col("__z") + at() * F.col(w))))
     for _ in range(steps):
         m = mu()
         moved = False
-        for r in own.groupBy("policy").agg(F.sum(F.col("w") * (F.col("reward") - m)).alias("score"), F.sum(F.col("w") * F.col("w") * m * (1 - m)).alias("info")).collect():
+        for r in own.groupBy("policy").agg(F.sum(F.col(w) * (F.col("reward") - m)).alias("score"), F.sum(F.col(w) * F.col(w) * m * (1 - m)).alias("info")).collect():
             if r["info"] > 0 and abs(r["score"]) / r["info"] ** 0.5 > tol:
                 eps[r["policy"]] += max(-5.0, min(5.0, r["score"] / r["info"]))
                 moved = True
         if not moved:
             break
-    return _centred(own, F.col("q") + F.col("w") * (F.col("reward") - mu()))
+    return _centred(own, F.col("q") + F.col(w) * (F.col("reward") - mu()))
 
 
 def mean_weight(rows: DataFrame) -> DataFrame:
@@ -129,8 +172,9 @@ def orthogonalised_ips(rows: DataFrame) -> DataFrame:
 
 
 def orthogonalised_dr(rows: DataFrame) -> DataFrame:
-    """q + w~ (R_oof - g) + (w - w~)(R_oof - g) + (w - m)(R - R_oof)."""
-    return _centred(mean_weight(rows), F.col("q") + F.col("w") * (F.col("reward_oof") - F.col("g")) + (F.col("w") - F.col("m")) * (F.col("reward") - F.col("reward_oof")))
+    """q + w~ (R_oof - g) + (w - w~)(R_oof - g) + (w - m)(R - R_oof); rows have w (raw) and w_cal (w~)."""
+    left = F.col("reward_oof") - F.col("g")
+    return _centred(mean_weight(rows), F.col("q") + F.col("w_cal") * left + (F.col("w") - F.col("w_cal")) * left + (F.col("w") - F.col("m")) * (F.col("reward") - F.col("reward_oof")))
 
 
 def tr_cpo(rows: DataFrame, efficient: bool = True) -> DataFrame:
@@ -192,10 +236,10 @@ def jackknife(rows: DataFrame, models: tuple[dict, dict], value: Column, folds:
     return by_fold.groupBy("policy").agg(((F.count(F.lit(1)) - 1) / F.count(F.lit(1)) * (F.sum(F.col("psi") * F.col("psi")) - F.count(F.lit(1)) * F.pow(F.avg("psi"), 2))).alias("oracle_var"))
 
 
-def tmle_identity(rows: DataFrame) -> DataFrame:
+def tmle_identity(rows: DataFrame, w: str = "w_cal") -> DataFrame:
     """q + w (R - g - eps w), eps = sum w (R - g) / sum w^2: the fluctuation without a link."""
-    eps = rows.groupBy("policy").agg((F.sum(F.col("w") * (F.col("reward") - F.col("g"))) / F.sum(F.col("w") * F.col("w"))).alias("__eps"))
-    return _centred(rows.join(F.broadcast(eps), "policy"), F.col("q") + F.col("w") * (F.col("reward") - F.col("g") - F.col("__eps") * F.col("w")))
+    eps = rows.groupBy("policy").agg((F.sum(F.col(w) * (F.col("reward") - F.col("g"))) / F.sum(F.col(w) * F.col(w))).alias("__eps"))
+    return _centred(rows.join(F.broadcast(eps), "policy"), F.col("q") + F.col(w) * (F.col("reward") - F.col("g") - F.col("__eps") * F.col(w)))
 
 
 def oracle_slice(rows: DataFrame) -> DataFrame:
@@ -206,7 +250,7 @@ def oracle_slice(rows: DataFrame) -> DataFrame:
     return own.join(F.broadcast(p), "policy").groupBy("policy", "p").agg(F.avg(term).alias("augmentation"))
 
 
-def bootstrap_means(contributions: DataFrame, replicates: int = 200, seed: int = 11) -> DataFrame:
+def bootstrap_means(contributions: DataFrame, replicates: int = 1000, seed: int = 11) -> DataFrame:
     """(policy, se, lo, hi) of the mean by Poisson bootstrap: each row counts a Poisson(1) number of times in each replicate,
     decided by hashes, so a replicate is a sum and nothing is gathered."""
     u = lambda r: (F.pmod(F.xxhash64("row_id", "policy", r, F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)

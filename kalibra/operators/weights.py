@@ -33,13 +33,18 @@ def raw(log_ratio: Column) -> Column:
 
 
 def hajek(rows: DataFrame, keys: tuple[str, ...] = ("policy",), clip: float | None = None) -> DataFrame:
-    """Adds w: self-normalised weights of mean 1 within keys, exponentials taken about the largest log ratio; clip cuts them, then means are 1 again."""
-    top = rows.groupBy(*keys).agg(F.max("log_ratio").alias("__top"))
-    own = rows.join(F.broadcast(top), [*keys]).withColumn("__e", F.coalesce(F.exp(F.col("log_ratio") - F.col("__top")), F.lit(0.0)))
-    own = mean_one(own.withColumn("w", F.col("__e")), keys)
-    if clip is not None:
-        own = mean_one(own.withColumn("w", F.least("w", F.lit(clip))), keys)
-    return own.drop("__top", "__e")
+    """Adds w: self-normalised weights of mean 1 within keys; clip cuts them, then means are 1 again.
+
+    One pass finds the means: exponentials are added up by the whole part of the log ratio, so none overflows, and a key's few
+    sums are then put on the scale of its largest. A missing log ratio has weight zero and counts in the mean.
+    """
+    whole = F.floor(F.col("log_ratio"))
+    sums = rows.groupBy(*keys, whole.alias("b")).agg(F.sum(F.exp(F.col("log_ratio") - whole)).alias("s"), F.count(F.lit(1)).alias("c"))
+    parts = sums.groupBy(*keys).agg(F.max("b").alias("__top"), F.sum("c").alias("n"), F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "s"))).alias("p"))
+    mean = F.aggregate("p", F.lit(0.0), lambda a, x: a + x["s"] * F.exp((x["b"] - F.col("__top")).cast("double"))) / F.col("n")
+    own = rows.join(F.broadcast(parts.select(*keys, "__top", mean.alias("__mean"))), [*keys])
+    own = own.withColumn("w", F.when(F.col("__mean") > 0, F.coalesce(F.exp(F.col("log_ratio") - F.col("__top")), F.lit(0.0)) / F.col("__mean")).otherwise(0.0)).drop("__top", "__mean")
+    return own if clip is None else mean_one(own.withColumn("w", F.least("w", F.lit(clip))), keys)
 
 
 def mean_one(rows: DataFrame, keys: tuple[str, ...] = ("policy",), w: str = "w") -> DataFrame:

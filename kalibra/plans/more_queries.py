@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import diagnostics, estimators, isotonic, splines
 from . import bridge
 from .bridge import SQL
-from .oracle_sql import OUTCOMES, summary
-from .queries import MEAN_WEIGHT, RANKED, outcomes, query, rounded, scored, weighted
+from .oracle_sql import OUTCOMES, WEIGHTS, summary
+from ..operators.tables import written
+from .queries import MEAN_WEIGHT, RANKED, calibrated, outcomes, query, rounded, scored, weighted
 from .report_queries import RUNS_SQL, first
 
 
@@ -18,7 +19,7 @@ def _hill(f: float) -> str:
 
 @query(RANKED + ", h as (" + " union all ".join(map(_hill, (0.01, 0.02, 0.05, 0.1))) + ") select policy, round(median(alpha), 6) as median, round(min(alpha), 6) as least, round(max(alpha), 6) as most, round(stddev_pop(alpha), 6) as spread from h group by 1")
 def d5_hill_stability(spark, sf_dir):
-    return rounded(diagnostics.hill_stability(weighted(spark, sf_dir)))
+    return rounded(diagnostics.hill_stability(written(weighted(spark, sf_dir), "weights")))
 
 
 @query(SQL + " select policy, count(*) as n, round(least(1.0, greatest(0.001, 0.9604 / (count(*) * 0.05 * 0.05))), 9) as critical, round(least(1.0, greatest(0.001, 0.9604 / (count(*) * 0.05 * 0.05) * 0.5)), 9) as warning from w group by 1")
@@ -27,17 +28,17 @@ def d8_auto_thresholds(spark, sf_dir):
     return rounded(n.select("policy", "n", diagnostics.auto_threshold(F.col("n"), 0.05).alias("critical"), diagnostics.auto_threshold(F.col("n"), 0.05, "warning").alias("warning")), 9)
 
 
-@query(RANKED + ", t as (select policy, sum(w) / any_value(total) as top_share from ranked where rn <= greatest(1, floor(n * 0.05)) group by 1), a as (select policy, sum(w) * sum(w) / sum(w * w) / count(*) as e, avg(case when w < 1e-10 then 1.0 else 0.0 end) as z, stddev_pop(w) / avg(w) as cv from w group by 1) select policy, round(e, 6) as ess_fraction, round(z, 6) as zero_share, round(top_share, 6) as top_share, round(cv, 6) as cv, e < 0.3 or z > 0.85 or (top_share > 0.3 and cv > 2) as refused from a join t using (policy)")
+@query(WEIGHTS + ", r as (select policy, w_cal, w, row_number() over (partition by policy order by w_cal desc, row_id) as rn, count(*) over (partition by policy) as n, sum(w_cal) over (partition by policy) as total from wcal), t as (select policy, sum(w_cal) / any_value(total) as top_share from r where rn <= greatest(1, floor(n * 0.05)) group by 1), a as (select policy, sum(w_cal) * sum(w_cal) / sum(w_cal * w_cal) / count(*) as e, avg(case when w < 1e-10 then 1.0 else 0.0 end) as z, stddev_pop(w_cal) / avg(w_cal) as cv from r group by 1) select policy, round(e, 6) as ess_fraction, round(z, 6) as zero_share, round(top_share, 6) as top_share, round(cv, 6) as cv, e < 0.3 or z > 0.85 or (top_share > 0.3 and cv > 2) as refused from a join t using (policy)")
 def e2a_refusal_gates(spark, sf_dir):
-    return rounded(diagnostics.refusal_gates(weighted(spark, sf_dir)))
+    return rounded(diagnostics.refusal_gates(written(calibrated(spark, sf_dir), "calibrated")))
 
 
-@query(OUTCOMES + ", e as (select policy, sum(w * (reward - g)) / sum(w * w) as eps from dr group by 1), " + summary("(select dr.*, eps from dr join e using (policy))", "q + w * (reward - g - eps * w)"))
+@query(OUTCOMES + ", e as (select policy, sum(w_cal * (reward - g)) / sum(w_cal * w_cal) as eps from dr group by 1), " + summary("(select dr.*, eps from dr join e using (policy))", "q + w_cal * (reward - g - eps * w_cal)"))
 def e6_tmle_identity(spark, sf_dir):
     return rounded(estimators.cluster_robust(estimators.tmle_identity(outcomes(spark, sf_dir))))
 
 
-@query(OUTCOMES + " select policy, round(avg(q), 6) as model, round(avg(w * (reward - g)), 6) as weighted, round(stddev_pop(q) / sqrt(count(*)), 6) as model_se, round(stddev_pop(w * (reward - g)) / sqrt(count(*)), 6) as weighted_se, round(corr(q, w * (reward - g)), 6) as correlation from dr group by 1")
+@query(OUTCOMES + " select policy, round(avg(q), 6) as model, round(avg(w_cal * (reward - g)), 6) as weighted, round(stddev_pop(q) / sqrt(count(*)), 6) as model_se, round(stddev_pop(w_cal * (reward - g)) / sqrt(count(*)), 6) as weighted_se, round(corr(q, w_cal * (reward - g)), 6) as correlation from dr group by 1")
 def d14_decomposition(spark, sf_dir):
     return rounded(diagnostics.decomposition(outcomes(spark, sf_dir)))
 

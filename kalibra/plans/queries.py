@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import diagnostics, estimators, isotonic, weights
+from ..operators.tables import written
 from . import bridge
 from .bridge import POLICIES, SQL
-from .oracle_sql import CALIBRATED, FOLD, OUTCOMES, iso, pred, summary
+from .oracle_sql import CALIBRATED, ERRORS, FOLD, IPS, OUTCOMES, WEIGHTS, errors, iso, pred, summary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,19 +35,23 @@ def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.hajek(weights.by_policy(weights.valid_rows(bridge.logged(spark, sf_dir), POLICIES)))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def models(spark: SparkSession, sf_dir: str):
+    return estimators.calibrate(bridge.logged(spark, sf_dir).withColumn("fold", estimators.fold_of(F.col("prompt_id"))))
+
+
+def scored(spark: SparkSession, sf_dir: str, m=None) -> DataFrame:
+    """Weighted rows with rewards, written: what estimators read again and again."""
     rows = weighted(spark, sf_dir).withColumn("fold", estimators.fold_of(F.col("prompt_id")))
-    return estimators.with_rewards(rows, models(spark, sf_dir))
+    return written(estimators.with_rewards(rows, m or models(spark, sf_dir)), "scored")
 
 
-def models(spark: SparkSession, sf_dir: str):
-    return estimators.calibrate(bridge.logged(spark, sf_dir).withColumn("fold", estimators.fold_of(F.col("prompt_id"))))
+def calibrated(spark: SparkSession, sf_dir: str, m=None) -> DataFrame:
+    return estimators.stabilised(scored(spark, sf_dir, m))
 
 
-def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = models(spark, sf_dir)
-    rows = estimators.with_rewards(weighted(spark, sf_dir).withColumn("fold", estimators.fold_of(F.col("prompt_id"))), m)
-    return estimators.with_outcomes(rows, bridge.fresh(spark, sf_dir), m)
+def outcomes(spark: SparkSession, sf_dir: str, m=None) -> DataFrame:
+    m = m or models(spark, sf_dir)
+    return written(estimators.with_outcomes(calibrated(spark, sf_dir, m), bridge.fresh(spark, sf_dir), m), "outcomes")
 
 
 # 2.2 validation and filters
@@ -79,10 +84,10 @@ def f5_schema_validation(spark, sf_dir):
     return bridge.logged(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("judge_score").isNull()).alias("no_judge"), n.alias("n_labels"), F.count_if(F.col("base_lp").isNull()).alias("no_base"), (n >= 10).alias("enough"), (n >= 50).alias("comfortable"))
 
 
-@query(SQL + " select l.prompt_id, 'policy_a' as policy from (select distinct prompt_id from logged) l where l.prompt_id not in (select prompt_id from fresh where policy = 'policy_a' and draw_idx > 0) ")
+@query(SQL + ", want as (select prompt_id, policy from (select distinct prompt_id from logged) cross join (select unnest(['policy_a', 'policy_b', 'policy_c']) as policy)) select w.policy, count(*) as n_prompts, count(*) filter (where f.n is null) as n_uncovered, min(f.n) as least, round(avg(f.n), 6) as mean, max(f.n) as most from want w left join (select policy, prompt_id, count(*) as n from fresh group by 1, 2) f using (policy, prompt_id) group by w.policy")
 def f7_fresh_coverage(spark, sf_dir):
-    drawn = bridge.fresh(spark, sf_dir).where("draw_idx > 0 and policy = 'policy_a'")
-    return diagnostics.uncovered_prompts(bridge.logged(spark, sf_dir), drawn)
+    """Draws of every prompt for each policy asked for; policy_c has none."""
+    return rounded(diagnostics.draw_coverage(bridge.logged(spark, sf_dir), bridge.fresh(spark, sf_dir), ["policy_a", "policy_b", "policy_c"]))
 
 
 @query(SQL + " select policy, row_id, round(lr, 9) as log_ratio from rows_")
@@ -152,9 +157,9 @@ def w5_clipped_weights(spark, sf_dir):
     return rounded(weights.hajek(rows, clip=2.0).select("policy", "row_id", "w"))
 
 
-@query()
+@query(WEIGHTS + " select policy, row_id, round(w_cal, 6) as w from wcal")
 def w10_stabilised_weights(spark, sf_dir):
-    return rounded(estimators.stabilised(scored(spark, sf_dir)).select("policy", "row_id", "w"))
+    return rounded(calibrated(spark, sf_dir).select("policy", "row_id", F.col("w_cal").alias("w")))
 
 
 # 2.5 isotonic regression
@@ -218,19 +223,12 @@ def e1_raw_ips(spark, sf_dir):
     return rounded(estimators.cluster_robust(estimators.raw_ips(scored(spark, sf_dir))))
 
 
-@query()
+@query(IPS + ", " + errors("ips") + ERRORS)
 def e2_calibrated_ips(spark, sf_dir):
-    return rounded(estimators.cluster_robust(estimators.raw_ips(estimators.stabilised(scored(spark, sf_dir)))))
-
-
-@query()
-def e3_orthogonalised_ips(spark, sf_dir):
-    rows = scored(spark, sf_dir)
-    cal = estimators.stabilised(rows).select("policy", "row_id", F.col("w").alias("w_cal"))
-    return rounded(estimators.cluster_robust(estimators.orthogonalised_ips(rows.join(cal, ["policy", "row_id"]))))
+    return rounded(estimators.cluster_robust(estimators.calibrated_ips(calibrated(spark, sf_dir))))
 
 
-@query(OUTCOMES + ", " + summary("dr", "q + w * (reward - g)"))
+@query(OUTCOMES + ", " + summary("dr", "q + w_cal * (reward - g)"))
 def e4_dr_cpo(spark, sf_dir):
     return rounded(estimators.cluster_robust(estimators.dr_cpo(outcomes(spark, sf_dir))))
 
@@ -240,23 +238,36 @@ def e4a_draw_variance(spark, sf_dir):
     return rounded(estimators.draw_variance(outcomes(spark, sf_dir)), 9)
 
 
-MRDR = ", " + iso("mr", "select policy || '-' || f.k as k, judge_score as x, reward as y, greatest(w, 1e-8) as w from dr cross join (select unnest([0, 1, 2, 3, 4]) as k) f where fold <> f.k") + ", " + pred("pm", "mr", "select policy || '-' || fold as k, judge_score as x from dr")
+MRDR = ", " + iso("mr", "select policy || '-' || f.k as k, judge_score as x, reward as y, greatest(w_cal, 1e-8) as w from dr cross join (select unnest([0, 1, 2, 3, 4]) as k) f where fold <> f.k") + ", " + pred("pm", "mr", "select policy || '-' || fold as k, judge_score as x from dr")
 
 
-@query(OUTCOMES + MRDR + ", " + summary("(select dr.*, greatest(0.0, least(1.0, pm.y)) as gm from dr join pm on pm.k = policy || '-' || fold and pm.x = judge_score)", "q + w * (reward - gm)"))
+@query(OUTCOMES + MRDR + ", " + summary("(select dr.*, greatest(0.0, least(1.0, pm.y)) as gm from dr join pm on pm.k = policy || '-' || fold and pm.x = judge_score)", "q + w_cal * (reward - gm)"))
 def e5_mrdr(spark, sf_dir):
     return rounded(estimators.cluster_robust(estimators.dr_cpo(estimators.weighted_outcome(outcomes(spark, sf_dir)))))
 
 
-@query()
+TMLE = ", tz as (select *, ln(least(greatest(g, 1e-7), 1 - 1e-7) / (1 - least(greatest(g, 1e-7), 1 - 1e-7))) as z from dr), te(i, policy, eps) as (select 0, policy, 0.0::double from dr group by policy union all select te.i + 1, tz.policy, any_value(te.eps) + greatest(-5.0, least(5.0, sum(w_cal * (reward - 1 / (1 + exp(-(z + te.eps * w_cal))))) / sum(w_cal * w_cal / (1 + exp(-(z + te.eps * w_cal))) * (1 - 1 / (1 + exp(-(z + te.eps * w_cal))))))) from tz join te on te.policy = tz.policy where te.i < 12 group by te.i, tz.policy), tf as (select tz.*, 1 / (1 + exp(-(z + te.eps * w_cal))) as gt from tz join te on te.policy = tz.policy and te.i = 12)"
+
+
+@query((OUTCOMES + TMLE + ", " + summary("tf", "q + w_cal * (reward - gt)")).replace("with logged", "with recursive logged", 1).replace("round(estimate, 6)", "round(estimate, 5)").replace("round(se_naive, 6)", "round(se_naive, 5)").replace("round(se_cluster, 6)", "round(se_cluster, 5)"))
 def e6_tmle(spark, sf_dir):
     return rounded(estimators.cluster_robust(estimators.tmle(outcomes(spark, sf_dir))), 5)
 
 
-MEAN_WEIGHT = ", " + iso("mw", "select policy || '-' || f.k as k, judge_score as x, w as y, 1.0 as w from dr cross join (select unnest([0, 1, 2, 3, 4]) as k) f where fold <> f.k") + ", " + pred("pw", "mw", "select policy || '-' || fold as k, judge_score as x from dr") + ", orth as (select *, greatest(m0_, 0) / avg(greatest(m0_, 0)) over (partition by policy) as m from (select dr.*, pw.y as m0_ from dr join pw on pw.k = policy || '-' || fold and pw.x = judge_score))"
+def mean_weight(rows: str) -> str:
+    """CTEs ending in orth: rows with m, the cross-fitted mean weight given the score."""
+    return ", " + iso("mw", f"select policy || '-' || f.k as k, judge_score as x, w as y, 1.0 as w from {rows} cross join (select unnest([0, 1, 2, 3, 4]) as k) f where fold <> f.k") + ", " + pred("pw", "mw", f"select policy || '-' || fold as k, judge_score as x from {rows}") + f", orth as (select *, greatest(m0_, 0) / avg(greatest(m0_, 0)) over (partition by policy) as m from (select r.*, pw.y as m0_ from {rows} r join pw on pw.k = policy || '-' || fold and pw.x = judge_score))"
+
+
+MEAN_WEIGHT = mean_weight("dr")
 
 
-@query(OUTCOMES + MEAN_WEIGHT + ", " + summary("orth", "q + w * (reward_oof - g) + (w - m) * (reward - reward_oof)"))
+@query(WEIGHTS + mean_weight("wcal") + ", " + summary("orth", "w_cal * reward + (w - m) * (reward - reward_oof) + reward_oof * (w - w_cal)"))
+def e3_orthogonalised_ips(spark, sf_dir):
+    return rounded(estimators.cluster_robust(estimators.orthogonalised_ips(written(calibrated(spark, sf_dir), "calibrated"))))
+
+
+@query(OUTCOMES + MEAN_WEIGHT + ", " + summary("orth", "q + w_cal * (reward_oof - g) + (w - w_cal) * (reward_oof - g) + (w - m) * (reward - reward_oof)"))
 def e7_orthogonalised_dr(spark, sf_dir):
     return rounded(estimators.cluster_robust(estimators.orthogonalised_dr(outcomes(spark, sf_dir))))
 
@@ -271,16 +282,15 @@ def e8_tr_cpo(spark, sf_dir):
 
 @query()
 def e9_stacked_dr(spark, sf_dir):
-    from pyspark import StorageLevel
-
-    rows = outcomes(spark, sf_dir).persist(StorageLevel.DISK_ONLY)
+    rows = outcomes(spark, sf_dir)
     parts = {"dr": estimators.dr_cpo(rows), "mrdr": estimators.dr_cpo(estimators.weighted_outcome(rows)), "tmle": estimators.tmle(rows)}
     return rounded(estimators.cluster_robust(estimators.stacked(parts)), 5)
 
 
 @query(CALIBRATED + ", " + pred("pj", "mk", "select f.k, judge_score as x from logged cross join (select unnest([0, 1, 2, 3, 4]) as k) f") + ", psis as (select policy, pj.k, avg(s.w * greatest(0.0, least(1.0, pj.y))) as psi from scored s join pj on pj.x = s.judge_score group by 1, 2) select policy, round(4.0 / 5 * (sum(psi * psi) - 5 * avg(psi) * avg(psi)), 9) as oracle_var from psis group by policy")
 def e10_oracle_jackknife(spark, sf_dir):
-    return rounded(estimators.jackknife(scored(spark, sf_dir), models(spark, sf_dir), F.col("w") * F.col("r")), 9)
+    m = models(spark, sf_dir)
+    return rounded(estimators.jackknife(scored(spark, sf_dir, m), m, F.col("w") * F.col("r")), 9)
 
 
 # 2.9 inference and diagnostics
@@ -294,9 +304,9 @@ def d1_effective_sample_size(spark, sf_dir):
     return rounded(weighted(spark, sf_dir).groupBy("policy").agg(diagnostics.ess(F.col("w")).alias("ess")))
 
 
-@query(SQL + " select policy, round(quantile_cont(w, 0.99) / quantile_cont(w, 0.05), 6) as ratio from w group by policy")
+@query(SQL + " select policy, case when quantile_cont(w, 0.05) <= 1e-12 then 'inf'::double else round(quantile_cont(w, 0.99) / quantile_cont(w, 0.05), 6) end as ratio from w group by policy")
 def d2_tail_ratio(spark, sf_dir):
-    return rounded(weighted(spark, sf_dir).groupBy("policy").agg((F.percentile("w", 0.99) / F.percentile("w", 0.05)).alias("ratio")))
+    return rounded(diagnostics.tail_ratio(weighted(spark, sf_dir)))
 
 
 @query(RANKED + " select policy, round(sum(w) / any_value(total), 6) as share from ranked where rn <= greatest(1, floor(n * 0.01)) group by policy")
@@ -319,14 +329,14 @@ def d7_hellinger_affinity(spark, sf_dir):
     return rounded(diagnostics.hellinger(weighted(spark, sf_dir)))
 
 
-@query(HILL + ", a as (select policy, least(1.0, avg(sqrt(greatest(w, 1e-10)))) as affinity, sum(w) * sum(w) / sum(w * w) / count(*) as e from w group by 1) select policy, round(affinity, 6) as affinity, round(e, 6) as ess_fraction, round(alpha, 6) as alpha, case when affinity < 0.2 then 'catastrophic' when affinity < 0.35 then 'poor' when affinity < 0.5 then 'marginal' else 'good' end as quality, case when affinity < 0.2 then 'refuse' when affinity < 0.35 then 'dr' when e < 0.3 or alpha < 2 then 'calibrated-ips' else 'ips' end as recommendation, round(1 / sqrt(e), 6) as penalty from a join hill using (policy)")
+@query(HILL + ", a as (select policy, least(1.0, avg(sqrt(greatest(w, 1e-10)))) as affinity, sum(w) * sum(w) / sum(w * w) / count(*) as e from w group by 1) select policy, round(affinity, 6) as affinity, round(e, 6) as ess_fraction, round(alpha, 6) as alpha, case when affinity < 0.2 then 'catastrophic' when affinity < 0.35 then 'poor' when affinity < 0.5 then 'marginal' else 'good' end as quality, case when affinity < 0.2 then 'refuse' when alpha < 1.5 then 'dr' when e < 0.1 then case when affinity < 0.35 then 'refuse' else 'dr' end when e < 0.3 then 'calibrated-ips' else 'ips' end as recommendation, case when e > 0.001 then round(1 / sqrt(e), 6) else 'inf'::double end as penalty from a join hill using (policy)")
 def d9_overlap_card(spark, sf_dir):
     return rounded(diagnostics.overlap_card(weighted(spark, sf_dir)))
 
 
-@query(OUTCOMES + ", z as (select policy, avg(w * (reward - g)) as score, stddev_pop(w * (reward - g)) / sqrt(count(*)) as se from dr group by 1) select policy, round(score, 6) as score, round(se, 6) as se, round(score / se, 4) as z from z")
+@query(OUTCOMES + ", z as (select policy, avg(w_cal * (reward - g)) as score, stddev_pop(w_cal * (reward - g)) / sqrt(count(*)) as se from dr group by 1) select policy, round(score, 6) as score, round(se, 6) as se, round(score / se, 4) as z, round(score - 1.959963984540054 * se, 6) as lo, round(score + 1.959963984540054 * se, 6) as hi from z")
 def d13_orthogonality(spark, sf_dir):
-    return diagnostics.orthogonality(outcomes(spark, sf_dir)).select("policy", F.round("score", 6).alias("score"), F.round("se", 6).alias("se"), F.round("z", 4).alias("z"))
+    return diagnostics.orthogonality(outcomes(spark, sf_dir)).select("policy", F.round("score", 6).alias("score"), F.round("se", 6).alias("se"), F.round("z", 4).alias("z"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 @query(SQL + ", a as (select row_id % 200 as batch, judge_score as x, oracle_label as y from logged where oracle_label is not null) select p.batch, (select count(*) from a c where c.batch = p.batch) as n, round(sum(sign(p.x - q.x) * sign(p.y - q.y)) / sqrt(sum(abs(sign(p.x - q.x))) * sum(abs(sign(p.y - q.y)))), 6) as tau from a p join a q on p.batch = q.batch group by p.batch")
@@ -350,10 +360,13 @@ def d31_draw_statistics(spark, sf_dir):
     return rounded(diagnostics.draw_statistics(bridge.fresh(spark, sf_dir)), 9)
 
 
-@query(CALIBRATED + ", f0 as (select f.*, p.y as r from fresh f join (select x, y from p0) p on p.x = round(f.judge_score, 2)), span as (select min(judge_score) as lo, max(judge_score) as hi, min(reward) as r_lo, max(reward) as r_hi from cal where oracle_label is not null), a as (select policy, avg(case when s < lo or s > hi then 1.0 else 0.0 end) as outside, avg(case when abs(reward - r_lo) <= 1e-6 or abs(reward - r_hi) <= 1e-6 then 1.0 else 0.0 end) as saturated, max(greatest(r_lo, 1 - r_hi)) as gap from (select policy, judge_score as s, reward from scored) cross join span group by 1) select policy, round(outside, 6) as outside, round(saturated, 6) as saturated, round(gap, 6) as gap, case when outside >= 0.05 then 'REFUSE-LEVEL' when saturated >= 0.2 or gap >= 0.1 then 'CAUTION' else 'OK' end as verdict from a")
+@query(OUTCOMES + """, span as (select min(judge_score) as lo, max(judge_score) as hi, min(reward) as r_lo, max(reward) as r_hi from cal where oracle_label is not null),
+gap as (select policy, abs(avg(q + w_cal * (reward - g)) - any_value(ips)) as gap from dr join (select policy, avg(w_cal * reward) as ips from wcal group by 1) using (policy) group by policy),
+a as (select policy, avg(case when judge_score < lo then 1.0 else 0.0 end) as below, avg(case when judge_score > hi then 1.0 else 0.0 end) as above, avg(case when reward <= r_lo + 0.05 * (r_hi - r_lo) or reward >= r_hi - 0.05 * (r_hi - r_lo) then 1.0 else 0.0 end) as saturated, any_value(r_lo) as r_lo, any_value(r_hi) as r_hi from wcal cross join span group by 1)
+select policy, round(below + above, 6) as outside, round(saturated, 6) as saturated, round(gap, 6) as gap, case when below + above > 0 then round(below * r_lo + above * (1 - r_hi), 6) end as width, case when below + above >= 0.05 then 'REFUSE-LEVEL' when saturated >= 0.2 or gap >= 0.1 then 'CAUTION' else 'OK' end as verdict from a join gap using (policy)""")
 def d30_boundary_card(spark, sf_dir):
-    rows = scored(spark, sf_dir)
-    own = rows.select("policy", F.col("judge_score").alias("s"), "reward", F.col("oracle_label").isNotNull().alias("labelled"))
-    everyone = estimators.with_rewards(bridge.logged(spark, sf_dir).withColumn("fold", estimators.fold_of(F.col("prompt_id"))), models(spark, sf_dir))
-    span = everyone.where("oracle_label is not null").select(F.lit("").alias("policy"), F.col("judge_score").alias("s"), "reward", F.lit(True).alias("labelled"))
-    return rounded(diagnostics.boundary_card(own.withColumn("labelled", F.lit(False)).union(span)).where("policy <> ''"))
+    m = models(spark, sf_dir)
+    rows = outcomes(spark, sf_dir, m)
+    labelled = estimators.with_rewards(bridge.logged(spark, sf_dir).where("oracle_label is not null").withColumn("fold", estimators.fold_of(F.col("prompt_id"))), m)
+    gap = rows.groupBy("policy").agg(F.avg(F.col("q") + F.col("w_cal") * (F.col("reward") - F.col("g"))).alias("dr"), F.avg(F.col("w_cal") * F.col("reward")).alias("ips"))
+    return rounded(diagnostics.boundary_card(rows, labelled, gap.select("policy", F.abs(F.col("dr") - F.col("ips")).alias("gap"))))

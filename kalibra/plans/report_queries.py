@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import reporting
+from ..operators import diagnostics, reporting
 from . import bridge
 from .bridge import SQL
-from .queries import query, rounded
+from .queries import query, rounded, weighted
 
 #: A row a run and policy, as SQL that Spark and DuckDB read alike.
 RUNS = """cast(floor(event_id / 4) as bigint) as run_id, concat('est', cast(cast(floor(event_id / 4) as bigint) % 5 as varchar(3))) as estimator, cast(floor(event_id / 20) as bigint) % 10 as seed,
@@ -97,46 +97,32 @@ def a17_wilcoxon(spark, sf_dir):
     return rounded(reporting.wilcoxon(d).select("estimator", "n", "w_plus"))
 
 
-@query("with p as (select concat('p', cast(l_linenumber % 2 as varchar(2))) as policy, l_orderkey as prompt_id, l_discount * 10 as value from lineitem where l_linenumber <= 4), b as (select policy, prompt_id, avg(value) as m, var_pop(value) as v, count(value) as c from p group by 1, 2) select policy, round(var_pop(m), 9) as between, round(avg(v), 9) as within, round(var_pop(m) / (var_pop(m) + avg(v)), 9) as share from b where c = 2 group by 1")
+@query("with p as (select concat('p', cast(l_linenumber % 2 as varchar(2))) as policy, l_orderkey as prompt_id, l_discount * 10 as value from lineitem ), b as (select policy, prompt_id, avg(value) as m, var_pop(value) as v, count(value) as c from p group by 1, 2) select policy, round(var_pop(m), 9) as between, round(avg(v), 9) as within, round(var_pop(m) / (var_pop(m) + avg(v)), 9) as share from b where c = 3 group by 1")
 def d35_variance_decomposition(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber <= 4").select(F.concat(F.lit("p"), (F.col("l_linenumber") % 2).cast("string")).alias("policy"), F.col("l_orderkey").alias("prompt_id"), (F.col("l_discount") * 10).alias("value"))
-    return rounded(reporting.variance_decomposition(p, 2), 9)
+    p = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat(F.lit("p"), (F.col("l_linenumber") % 2).cast("string")).alias("policy"), F.col("l_orderkey").alias("prompt_id"), (F.col("l_discount") * 10).alias("value"))
+    return rounded(reporting.variance_decomposition(p, 3), 9)
 
 
-@query(SQL + " select count(*) as n from (select distinct prompt_id from logged where row_id % 3 = 0) a where prompt_id in (select prompt_id from fresh where policy = 'policy_a' and draw_idx = 0)")
+@query(SQL + " select count(*) as n from (select distinct prompt_id from logged where ('0x' || substr(md5('11-' || prompt_id), 1, 8))::bigint < 4294967296 // 3) a where prompt_id in (select prompt_id from fresh)")
 def j6_sampled_prompts_semi_join(spark, sf_dir):
-    sampled = bridge.logged(spark, sf_dir).where("row_id % 3 = 0").select("prompt_id").distinct()
-    return sampled.join(bridge.fresh(spark, sf_dir).where("policy = 'policy_a' and draw_idx = 0"), "prompt_id", "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    """A seeded third of the prompts, as far as they have draws of any policy: a sample is what this operator is for."""
+    sampled = bridge.logged(spark, sf_dir).select("prompt_id").distinct().where(F.conv(F.substring(F.md5(F.concat(F.lit("11-"), "prompt_id")), 1, 8), 16, 10).cast("long") < (1 << 32) // 3)
+    return sampled.join(bridge.fresh(spark, sf_dir), "prompt_id", "left_semi").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("with t as (select conv_id, turn, role, trim(coalesce(text, '')) as text, max(turn) over (partition by conv_id) as last from conversations), l as (select conv_id from t where turn = last and role = 'assistant') select conv_id, md5(coalesce(string_agg('<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || text || '<|eot_id|>', '' order by turn) filter (where turn < last), '') || '<|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10)) as prefix, md5(string_agg('<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || text || '<|eot_id|>', '' order by turn)) as full_ from t where conv_id in (select conv_id from l) group by conv_id")
+@query("with t as (select conv_id, turn, role, trim(coalesce(text, '')) as text, max(turn) over (partition by conv_id) as last from conversations), l as (select conv_id from t where turn = last and role = 'assistant') select conv_id, md5(coalesce(string_agg('<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || text || '<|eot_id|>', '' order by turn) filter (where turn < last), '') || '<|start_header_id|>assistant<|end_header_id|>' || chr(10)) as prefix, md5(string_agg('<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || text || '<|eot_id|>', '' order by turn)) as full_ from t where conv_id in (select conv_id from l) group by conv_id")
 def t1_chat_completions(spark, sf_dir):
     from ..functions.chat import completions
 
     return completions(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select("conv_id", F.md5("prefix").alias("prefix"), F.md5("full").alias("full_"))
 
 
-@query("select lang, round(avg(n_words), 6) as mean_words, count(*) as n from (select lang, len(regexp_extract_all(text, '\\S+')) as n_words from documents) group by lang")
-def is7_word_count_features(spark, sf_dir):
-    from ..functions.chat import word_count
-
-    return rounded(spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", word_count(F.col("text")).alias("w")).groupBy("lang").agg(F.avg("w").alias("mean_words"), F.count(F.lit(1)).alias("n")))
-
-
-@query(SQL + ", n as (select policy, row_id, w, row_number() over (partition by policy order by w desc, row_id) as rn from w) select policy, row_id, round(w, 6) as w, rn from n where rn <= 5")
+@query(SQL + ", n as (select policy, row_id, w, row_number() over (partition by policy order by round(w, 9) desc, row_id) as rn, row_number() over (partition by policy order by round(w, 9), row_id) as rl from w), e as (select policy, row_id, w, 'top' as side, rn from n where rn <= 5 union all select policy, row_id, w, 'bottom', rl from n where rl <= 5) select policy, row_id, side, round(w, 6) as w, rn, count(*) over (partition by row_id, side) as policies from e")
 def d32_extreme_weights(spark, sf_dir):
-    """The five largest weights of each policy: a top-k report."""
-    from ..operators import diagnostics
-    from .queries import weighted
-
-    return rounded(diagnostics.largest(weighted(spark, sf_dir), 0.0, 5).select("policy", "row_id", "w", "rn"))
-
+    """The five largest and smallest weights of each policy, and in how many policies' lists a row stands: a top-k report."""
+    return rounded(diagnostics.extremes(weighted(spark, sf_dir).withColumn("w", F.round("w", 9)), 5))
 
-@query(SQL + ", p as (select a.row_id, a.w as wa, b.w as wb from w a join w b using (row_id) where a.policy = 'policy_a' and b.policy = 'policy_b') select count(*) as n, round(avg(wa - wb), 9) as difference, round(stddev_samp(wa - wb) / sqrt(count(*)), 9) as se, round(corr(wa, wb), 9) as correlation from p")
-def d24_paired_policies(spark, sf_dir):
-    from .queries import weighted
 
-    rows = weighted(spark, sf_dir)
-    a, b = (rows.where(F.col("policy") == p).select("row_id", F.col("w").alias(n)) for p, n in (("policy_a", "wa"), ("policy_b", "wb")))
-    d = F.col("wa") - F.col("wb")
-    return rounded(a.join(b, "row_id").agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("difference"), (F.stddev_samp(d) / F.sqrt(F.count(F.lit(1)))).alias("se"), F.corr("wa", "wb").alias("correlation")), 9)
+@query(SQL + " select policy, count(*) filter (where w >= 100) as n_large, count(*) filter (where w < 1e-10) as n_tiny, count(*) as n from w group by policy")
+def d32_extreme_counts(spark, sf_dir):
+    return weighted(spark, sf_dir).groupBy("policy").agg(F.count_if(F.col("w") >= 100).alias("n_large"), F.count_if(F.col("w") < 1e-10).alias("n_tiny"), F.count(F.lit(1)).alias("n"))
