@@ -201,3 +201,61 @@ def sequential_drift(rows: DataFrame, batch: str, place: str, value: str) -> Dat
     a, b = rows.alias("a"), rows.alias("b")
     pairs = a.join(b, (F.col(f"a.{batch}") + 1 == F.col(f"b.{batch}")) & (F.col(f"a.{place}") == F.col(f"b.{place}")))
     return kendall(pairs.select(F.col(f"a.{batch}").alias("batch"), F.col(f"a.{value}").alias("x0"), F.col(f"b.{value}").alias("y0")), "batch", "x0", "y0")
+
+
+def dr_diagnostics(rows: DataFrame, w: str = "w_cal") -> DataFrame:
+    """A row a policy: the model part and the weighted part, residuals of the outcome model, tails of the influence, and how the parts correlate."""
+    part, res = F.col(w) * (F.col("reward") - F.col("g")), F.col("reward") - F.col("g")
+    means = rows.groupBy("policy").agg(F.avg(F.col("q") + part).alias("__psi"))
+    own = rows.join(F.broadcast(means), "policy").withColumn("w", F.abs(F.col("q") + part - F.col("__psi")))
+    a = own.groupBy("policy").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("q").alias("dm_mean"), F.avg(part).alias("ips_mean"), F.first("__psi").alias("estimate"), F.stddev_pop("q").alias("dm_std"), F.stddev_pop(part).alias("ips_std"),
+        F.avg(res).alias("residual_mean"), F.stddev_pop(res).alias("residual_std"), F.sqrt(F.avg(res * res)).alias("residual_rmse"),
+        (1 - F.sum(res * res) / F.greatest(F.var_pop("reward") * F.count(F.lit(1)), F.lit(1e-12))).alias("r2"), F.sqrt(F.avg(F.col("w") * F.col("w"))).alias("if_std"), F.corr(F.col("q"), part).alias("correlation"),
+    )
+    return a.join(tail_ratio(own).withColumnRenamed("ratio", "if_tail"), "policy").join(mass_concentration(own).withColumnRenamed("share", "if_top"), "policy")
+
+
+def influence_shape(contributions: DataFrame) -> DataFrame:
+    """(policy, skewness, kurtosis, n_outliers, outlier_fraction): moments of the influence (of the population; kurtosis beyond the normal's 3) and rows beyond three deviations."""
+    sd = contributions.groupBy("policy").agg(F.stddev_pop("phi").alias("__sd"), F.skewness("phi").alias("skewness"), F.kurtosis("phi").alias("kurtosis"), F.avg("phi").alias("__m"))
+    own = contributions.join(F.broadcast(sd), "policy")
+    out = F.abs(F.col("phi") - F.col("__m")) > 3 * F.col("__sd")
+    return own.groupBy("policy").agg(F.first("skewness").alias("skewness"), F.first("kurtosis").alias("kurtosis"), F.count_if(out).alias("n_outliers"), F.avg(out.cast("double")).alias("outlier_fraction"))
+
+
+def floor_mass(rows: DataFrame, fresh: DataFrame, everyone: DataFrame, reward: str = "reward") -> DataFrame:
+    """(policy, logged, fresh): the share of rewards within 1e-6 of the least reward that calibration gives."""
+    low = everyone.agg(F.min(reward).alias("__low"))
+    share = lambda own, name: own.crossJoin(F.broadcast(low)).groupBy("policy").agg(F.avg((F.abs(F.col(reward) - F.col("__low")) <= 1e-6).cast("double")).alias(name))  # noqa: E731  one row
+    return share(rows, "logged").join(share(fresh, "fresh"), "policy")
+
+
+def ecdf(rows: DataFrame, x: str) -> DataFrame:
+    """(policy, x, rank): (rows at or below x - 1/2) / n, by levels."""
+    levels = rows.groupBy("policy", x).agg(F.count(F.lit(1)).alias("c"))
+    n = levels.groupBy("policy").agg(F.sum("c").alias("n"))
+    upto = F.sum("c").over(W.partitionBy("policy").orderBy(x))
+    return levels.withColumn("upto", upto).join(F.broadcast(n), "policy").select("policy", x, ((F.col("upto") - 0.5) / F.col("n")).alias("rank"))
+
+
+def ccdf(rows: DataFrame, x: str) -> DataFrame:
+    """(policy, x, share): the share of rows at or above x, by levels."""
+    levels = rows.groupBy("policy", x).agg(F.count(F.lit(1)).alias("c"))
+    n = levels.groupBy("policy").agg(F.sum("c").alias("n"))
+    return levels.withColumn("above", F.sum("c").over(W.partitionBy("policy").orderBy(F.desc(x)))).join(F.broadcast(n), "policy").select("policy", x, (F.col("above") / F.col("n")).alias("share"))
+
+
+def ips_summary(rows: DataFrame) -> DataFrame:
+    """One row: the effective share of all rows, mean affinity, worst tail index, and a status (critical under 1.5, warning under 2)."""
+    a = weight_diagnostics(rows).join(hellinger(rows), "policy")
+    one = a.agg((F.sum(F.col("n") * F.col("ess_fraction")) / F.sum("n")).alias("ess_fraction"), F.avg("affinity").alias("affinity"), F.min("alpha").alias("alpha"), F.sum("n").alias("n"))
+    return one.withColumn("status", F.when(F.col("alpha") < 1.5, "critical").when(F.col("alpha") < 2, "warning").otherwise("good"))
+
+
+def policy_risk(rows: DataFrame) -> DataFrame:
+    """(policy, ess_fraction, alpha, variance_risk, tail_risk)."""
+    a = weight_diagnostics(rows)
+    variance = F.when(F.col("ess_fraction") < 0.1, "high").when(F.col("ess_fraction") < 0.3, "medium").otherwise("low")
+    tail = F.when(F.col("alpha") < 2, "critical").when(F.col("alpha") < 2.5, "high").otherwise("low")
+    return a.select("policy", "ess_fraction", "alpha", variance.alias("variance_risk"), tail.alias("tail_risk"))

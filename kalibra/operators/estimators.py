@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import simplex_weights, t_ppf
@@ -272,3 +273,38 @@ def residualised(contributions: DataFrame, rows: DataFrame) -> tuple[DataFrame,
     mean = own.groupBy("policy").agg(F.avg("__h").alias("__m"))
     own = own.join(F.broadcast(mean), "policy").withColumn("phi_left", F.col("phi") - F.col("__s") * (F.col("__h") - F.col("__m")))
     return own.select("policy", "row_id", "fold", "c", F.col("phi_left").alias("phi")), own.groupBy("policy").agg((1 - F.var_pop("phi_left") / F.var_pop("phi")).alias("r2"))
+
+
+def balanced_folds(rows: DataFrame, folds: int = FOLDS, seed: int = 42) -> DataFrame:
+    """Adds fold: labelled rows take turns in the order of a hash, so folds' label counts differ by one at most; others as fold_of().
+
+    Turns come from counts by slices of the hash, so no task holds all labels.
+    """
+    h = F.md5(F.concat_ws("-", "prompt_id", F.lit(str(seed))))
+    own = rows.withColumn("__h", h).withColumn("__s", F.substring("__h", 1, 2))
+    labelled = own.where(F.col("oracle_label").isNotNull())
+    counts = labelled.groupBy("__s").count()
+    ahead = counts.select("__s", F.coalesce(F.sum("count").over(W.orderBy("__s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__a"))  # 256 slices
+    turn = F.row_number().over(W.partitionBy("__s").orderBy("__h", "row_id")) - 1
+    even = labelled.withColumn("__t", turn).join(F.broadcast(ahead), "__s").withColumn("fold", ((F.col("__t") + F.col("__a")) % folds).cast("int")).drop("__t", "__a")
+    return even.unionByName(own.where(F.col("oracle_label").isNull()).withColumn("fold", fold_of(F.col("prompt_id"), folds, seed))).drop("__h", "__s")
+
+
+def synthetic_draws(logged: DataFrame, draws: int = 5, correlation: float = 0.8) -> DataFrame:
+    """(prompt_id, draw_idx, judge_score): the score, 0.5 where it is missing, and normal noise of deviation 0.1 (1 - correlation), made from hashes."""
+    own = logged.select("prompt_id", F.coalesce("judge_score", F.lit(0.5)).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw_idx"))
+    u = lambda tag: (F.conv(F.substring(F.md5(F.concat_ws("-", "prompt_id", F.col("draw_idx").cast("string"), F.lit(tag))), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+    noise = 0.1 * (1 - correlation) * F.sqrt(-2 * F.ln(u("a"))) * F.cos(2 * F.pi() * u("b"))
+    return own.select("prompt_id", "draw_idx", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("s") + noise)).alias("judge_score"))
+
+
+def safe_blend(rows: DataFrame, share: float = 1.0, raw: str = "w", cal: str = "w_cal") -> DataFrame:
+    """(policy, alpha, variance, feasible): the largest alpha in [0, 1] for which (1 - alpha) raw + alpha cal has at most share of
+    the variance of raw (a thousandth more is let pass); 1 where none has."""
+    m = rows.groupBy("policy").agg(F.var_pop(raw).alias("vr"), F.var_pop(cal).alias("vc"), F.covar_pop(raw, cal).alias("c"))
+    m = m.withColumn("cap", share * F.col("vr") * 1.001).withColumn("vd", F.col("vr") + F.col("vc") - 2 * F.col("c")).withColumn("b", F.col("c") - F.col("vr"))
+    root = F.col("b") * F.col("b") - F.col("vd") * (F.col("vr") - F.col("cap"))
+    largest = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(F.sqrt(F.greatest(root, F.lit(0.0))) - F.col("b"), F.col("vd"))))
+    m = m.withColumn("alpha", F.when((F.col("vc") <= F.col("cap")) | (F.col("vd") <= 0) | (root < 0), 1.0).otherwise(largest))
+    m = m.withColumn("variance", F.col("vr") + 2 * F.col("alpha") * F.col("b") + F.pow("alpha", 2) * F.col("vd"))
+    return m.select("policy", "alpha", "variance", (F.col("variance") <= F.col("cap")).alias("feasible"))
