@@ -7,10 +7,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.stats import normal_cdf
+
 REGIME = ("n", "coverage")
 
 
@@ -97,13 +101,113 @@ def benjamini_hochberg(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 
 def wilcoxon(deltas: DataFrame, key: str = "estimator", value: str = "delta") -> DataFrame:
-    """(key, n, w_plus, z): signed ranks with average ties, by counts of levels of |delta|; zeros don't count; z with the tie-corrected normal variance."""
+    """(key, n, w_plus, z, p): signed ranks with average ties, by counts of levels of |delta|; zeros don't count.
+
+    p is two-sided: exact for up to 50 differences without ties, else by the normal distribution with the variance that ties leave;
+    null for fewer than 6.
+    """
     own = deltas.where(F.col(value) != 0).select(key, F.abs(value).alias("a"), (F.col(value) > 0).cast("long").alias("up"))
     levels = own.groupBy(key, "a").agg(F.count(F.lit(1)).alias("c"), F.sum("up").alias("up"))
     rank = F.sum("c").over(W.partitionBy(key).orderBy("a")) - (F.col("c") - 1) / 2
     s = levels.withColumn("r", rank).groupBy(key).agg(F.sum("c").alias("n"), F.sum(F.col("r") * F.col("up")).alias("w_plus"), F.sum(F.pow("c", 3) - F.col("c")).alias("ties"))
     mean, var = F.col("n") * (F.col("n") + 1) / 4, F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("ties") / 48
-    return s.select(key, "n", "w_plus", F.when(var > 0, (F.col("w_plus") - mean) / F.sqrt(var)).alias("z"))
+    s = s.withColumn("z", F.when(var > 0, (F.col("w_plus") - mean) / F.sqrt(var)))
+
+    @F.pandas_udf("double")
+    def p_value(n: pd.Series, w: pd.Series, ties: pd.Series, z: pd.Series) -> pd.Series:
+        return pd.Series([None if m < 6 else signed_rank_p(int(m), float(v)) if m <= 50 and not t else None if pd.isna(d) else 2 * (1 - normal_cdf(abs(d))) for m, v, t, d in zip(n, w, ties, z, strict=True)], dtype="float64")
+
+    return s.select(key, "n", "w_plus", "z", p_value("n", "w_plus", "ties", "z").alias("p"))
+
+
+def signed_rank_p(n: int, w: float) -> float:
+    """The two-sided exact p of a sum w of positive ranks of 1 to n: how many of the 2^n signs give a sum as far from the middle."""
+    ways = np.zeros(n * (n + 1) // 2 + 1)
+    ways[0] = 1
+    for r in range(1, n + 1):
+        ways[r:] += ways[:-r].copy()
+    low = min(w, n * (n + 1) / 2 - w)
+    return float(min(1.0, 2 * ways[: int(low) + 1].sum() / 2.0**n))
+
+
+def run_level(runs: DataFrame, *keys: str, value: str = "runtime") -> DataFrame:
+    """(keys, median, mean, std) of a value that a run has once: a run's rows count once."""
+    one = runs.groupBy("run_id", *keys).agg(F.min(value).alias("v"))
+    return one.groupBy(*keys).agg(F.percentile("v", 0.5).alias("median"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
+
+
+def spread_of(runs: DataFrame, values: dict[str, float], *keys: str) -> DataFrame:
+    """(keys, then of each value its mean, median, least and most), each times its scale (100 for per cent); nulls don't count."""
+    return runs.groupBy(*keys).agg(*[(f * scale).alias(f"{v}_{n}") for v, scale in values.items() for n, f in (("mean", F.avg(v)), ("median", F.percentile(v, 0.5)), ("min", F.min(v)), ("max", F.max(v)))])
+
+
+def seed_summary(by_seed: DataFrame, values: list[str], *keys: str) -> DataFrame:
+    """(keys, metric, mean, se, n): each metric over seeds, with the standard error of its mean."""
+    long = by_seed.unpivot([*keys, "seed"], values, "metric", "value")
+    return long.groupBy(*keys, "metric").agg(F.avg("value").alias("mean"), (F.stddev_samp("value") / F.sqrt(F.count("value"))).alias("se"), F.count("value").alias("n"))
+
+
+def truth_comparison(runs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, mae, relative, coverage, n): estimates held against true values: errors, relative errors, per cent inside intervals."""
+    err = F.col("est") - F.col("truth")
+    return runs.groupBy(*keys).agg(F.avg(F.abs(err)).alias("mae"), F.avg(F.try_divide(F.abs(err), F.abs("truth"))).alias("relative"), (F.avg(F.col("truth").between(F.col("lo"), F.col("hi")).cast("double")) * 100).alias("coverage"), F.count(F.lit(1)).alias("n"))
+
+
+def correlations(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """(a, b, r): Pearson's correlation of each pair of fields over the rows that have both; null for fewer than three. One pass."""
+    made, has = [], lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
+    for a in fields:
+        for b in fields:
+            r = F.when(F.count_if(has(a, b)) >= 3, F.corr(F.when(has(a, b), F.col(a)), F.when(has(a, b), F.col(b))))
+            made.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")))
+    return rows.agg(F.array(*made).alias("m")).select(F.inline("m"))
+
+
+def ship_gates(rows: DataFrame) -> DataFrame:
+    """One row: how many policies (affinity, ess_fraction, alpha, floor_logged, floor_fresh) have too little overlap (a missing or
+    zero value counts), a heavy tail, or rewards at the floor."""
+    poor = lambda c, least: F.coalesce((F.col(c) == 0) | (F.col(c) < least), F.lit(True))
+    over = lambda c: F.coalesce(F.col(c) >= 0.25, F.lit(False))
+    return rows.agg(F.count_if(poor("affinity", 0.2) | poor("ess_fraction", 0.05)).alias("low_overlap"), F.count_if((F.col("alpha") != 0) & (F.col("alpha") < 1)).alias("heavy_tail"), F.count_if(over("floor_logged") | over("floor_fresh")).alias("cal_floor"))
+
+
+def sweet_spots(runs: DataFrame, label_cost: float = 16.0, top: int = 5) -> DataFrame:
+    """(n, coverage, mean_se, mde, cost): the regimes of least detectable effect times the root of the cost, a top-k report."""
+    cost = F.col("n") * (1 + label_cost * F.col("coverage"))
+    return detectable(runs).withColumn("cost", cost).withColumn("__v", F.col("mde") * F.sqrt("cost")).orderBy("__v", "n", "coverage").limit(top).drop("__v")
+
+
+def kendall_of_runs(runs: DataFrame) -> DataFrame:
+    """(run_id, tau): Kendall's tau-b of estimates and true values over a run's policies, which are few."""
+    a, b = runs.alias("a"), runs.alias("b")
+    sign = lambda c: F.signum(F.col(f"a.{c}") - F.col(f"b.{c}"))
+    pairs = a.join(b, (F.col("a.run_id") == F.col("b.run_id")) & (F.col("a.policy") < F.col("b.policy")))
+    s = pairs.groupBy(F.col("a.run_id").alias("run_id")).agg(F.sum(sign("est") * sign("truth")).alias("s"), F.sum(F.abs(sign("est"))).alias("x"), F.sum(F.abs(sign("truth"))).alias("y"))
+    return s.select("run_id", F.when((F.col("x") > 0) & (F.col("y") > 0), F.col("s") / F.sqrt(F.col("x") * F.col("y"))).alias("tau"))
+
+
+def joined_metrics(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Two tables of metrics side by side, rows that only one has kept."""
+    return left.join(right, [*keys], "full_outer")
+
+
+def markdown(rows: DataFrame, columns: list[str], best: dict[str, str], digits: int = 4, limit: int = 1000) -> str:
+    """A report table as Markdown: of each column in best ("min" or "max") the best value is bold, the second underlined.
+    A report has limit rows at most; more are an error."""
+    held = rows.select(*columns).limit(limit + 1).collect()
+    if len(held) > limit:
+        raise ValueError(f"a table of more than {limit} rows is no report")
+    order = {c: sorted({round(r[c], digits) for r in held if r[c] is not None}, reverse=how == "max") for c, how in best.items()}
+
+    def shown(c: str, v: object) -> str:
+        text = "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("|", "\\|")
+        if v is None or c not in order:
+            return text
+        place = order[c].index(round(v, digits))
+        return f"**{text}**" if place == 0 else f"<u>{text}</u>" if place == 1 else text
+
+    lines = ["| " + " | ".join(columns) + " |", "|" + "-|" * len(columns)]
+    return "\n".join(lines + ["| " + " | ".join(shown(c, r[c]) for c in columns) + " |" for r in held])
 
 
 def variance_decomposition(passes: DataFrame, n_passes: int) -> DataFrame:
@@ -111,3 +215,9 @@ def variance_decomposition(passes: DataFrame, n_passes: int) -> DataFrame:
     by_prompt = passes.groupBy("policy", "prompt_id").agg(F.avg("value").alias("m"), F.var_pop("value").alias("v"), F.count("value").alias("c")).where(F.col("c") == n_passes)
     out = by_prompt.groupBy("policy").agg(F.var_pop("m").alias("between"), F.avg("v").alias("within"))
     return out.withColumn("share", F.col("between") / (F.col("between") + F.col("within")))
+
+
+def pass_values(passes: DataFrame, value: str = "logprob") -> DataFrame:
+    """(policy, prompt_id, mean, median, n) of each prompt's passes; missing and positive log-probabilities don't count, and a prompt without any has nulls."""
+    fine = F.when(F.col(value) <= 0, F.col(value))
+    return passes.groupBy("policy", "prompt_id").agg(F.avg(fine).alias("mean"), F.percentile(fine, 0.5).alias("median"), F.count(fine).alias("n"))

@@ -126,3 +126,101 @@ def d32_extreme_weights(spark, sf_dir):
 @query(SQL + " select policy, count(*) filter (where w >= 100) as n_large, count(*) filter (where w < 1e-10) as n_tiny, count(*) as n from w group by policy")
 def d32_extreme_counts(spark, sf_dir):
     return weighted(spark, sf_dir).groupBy("policy").agg(F.count_if(F.col("w") >= 100).alias("n_large"), F.count_if(F.col("w") < 1e-10).alias("n_tiny"), F.count(F.lit(1)).alias("n"))
+
+
+RUNTIME = "(run_id * 17 % 91) / 10.0"
+
+
+@query(RUNS_SQL + f", r as (select run_id, estimator, min({RUNTIME}) as v from runs group by 1, 2) select estimator, round(median(v), 6) as median, round(avg(v), 6) as mean, round(stddev_samp(v), 6) as std from r group by 1")
+def a7_runtime(spark, sf_dir):
+    return rounded(reporting.run_level(runs(spark, sf_dir).withColumn("runtime", (F.col("run_id") * 17 % 91) / 10), "estimator"))
+
+
+def _spread(values: dict[str, float]) -> str:
+    return ", ".join(f"round({f}({v}) * {x}, 6) as {v}_{n}" for v, x in values.items() for f, n in (("avg", "mean"), ("median", "median"), ("min", "min"), ("max", "max")))
+
+
+@query(RUNS_SQL + ", o as (select estimator, n, (event_id * 29 % 100) / 100.0 as ess, 1.0 + (event_id * 7 % 50) / 10.0 as alpha from (select *, run_id as event_id from runs1)) select estimator, n, " + _spread({"ess": 100, "alpha": 1}) + " from o group by 1, 2")
+def a10_overlap_by_regime(spark, sf_dir):
+    own = first(spark, sf_dir).withColumn("ess", (F.col("run_id") * 29 % 100) / 100).withColumn("alpha", 1 + (F.col("run_id") * 7 % 50) / 10)
+    return rounded(reporting.spread_of(own, {"ess": 100, "alpha": 1}, "estimator", "n"))
+
+
+@query(RUNS_SQL + ", o as (select estimator, case when run_id % 3 = 0 then null else (run_id * 31 % 100) / 100.0 end as mc from runs1) select estimator, " + _spread({"mc": 100}) + " from o group by 1")
+def a11_draw_share(spark, sf_dir):
+    own = first(spark, sf_dir).withColumn("mc", F.when(F.col("run_id") % 3 != 0, (F.col("run_id") * 31 % 100) / 100))
+    return rounded(reporting.spread_of(own, {"mc": 100}, "estimator"))
+
+
+@query(RUNS_SQL + ", s as (select estimator, seed, avg(abs(est - truth)) as mae, avg(se) as se from runs1 group by 1, 2), l as (select estimator, 'mae' as metric, mae as v from s union all select estimator, 'se', se from s) select estimator, metric, round(avg(v), 9) as mean, round(stddev_samp(v) / sqrt(count(v)), 9) as se, count(v) as n from l group by 1, 2")
+def a13_across_seeds(spark, sf_dir):
+    by_seed = first(spark, sf_dir).groupBy("estimator", "seed").agg(F.avg(F.abs(F.col("est") - F.col("truth"))).alias("mae"), F.avg("se").alias("se"))
+    return rounded(reporting.seed_summary(by_seed, ["mae", "se"], "estimator"), 9)
+
+
+@query(RUNS_SQL + " select policy, round(avg(abs(est - truth)), 6) as mae, round(avg(abs(est - truth) / abs(truth)), 6) as relative, round(avg(case when truth between lo and hi then 1.0 else 0.0 end) * 100, 6) as coverage, count(*) as n from runs1 group by 1")
+def d37_truth_comparison(spark, sf_dir):
+    return rounded(reporting.truth_comparison(first(spark, sf_dir), "policy"))
+
+
+@query(RUNS_SQL + ", d as (select est, case when run_id % 5 = 0 then null else se end as se, truth from runs1), f as (select unnest(['est', 'se', 'truth']) as f), c as (select corr(est, est) as est_est, corr(est, se) as est_se, corr(est, truth) as est_truth, corr(se, se) as se_se, corr(se, truth) as se_truth, corr(truth, truth) as truth_truth from d) select a.f as a, b.f as b, round(case least(a.f, b.f) || '_' || greatest(a.f, b.f) when 'est_est' then est_est when 'est_se' then est_se when 'est_truth' then est_truth when 'se_se' then se_se when 'se_truth' then se_truth else truth_truth end, 6) as r from f a cross join f b cross join c")
+def d33_correlations(spark, sf_dir):
+    own = first(spark, sf_dir).select("est", F.when(F.col("run_id") % 5 != 0, F.col("se")).alias("se"), "truth")
+    return rounded(reporting.correlations(own, ["est", "se", "truth"]))
+
+
+SHIP = "case when event_id % 11 = 0 then null else (event_id * 7 % 100) / 100.0 end as affinity, (event_id * 13 % 100) / 100.0 as ess_fraction, (event_id * 17 % 40) / 10.0 as alpha, (event_id * 19 % 50) / 100.0 as floor_logged, case when event_id % 3 = 0 then null else (event_id * 23 % 40) / 100.0 end as floor_fresh"
+
+
+@query(f"with d as (select {SHIP} from events) select count(*) filter (where coalesce(affinity, 0) < 0.2 or coalesce(ess_fraction, 0) < 0.05) as low_overlap, count(*) filter (where alpha <> 0 and alpha < 1) as heavy_tail, count(*) filter (where coalesce(floor_logged, 0) >= 0.25 or coalesce(floor_fresh, 0) >= 0.25) as cal_floor from d")
+def d33_ship_gates(spark, sf_dir):
+    return reporting.ship_gates(spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*[x.strip() for x in bridge._parts(SHIP)]))
+
+
+PASSES = "concat('p', cast(l_suppkey % 3 as varchar(2))) as policy, l_orderkey as prompt_id, case when l_linenumber = 3 then null when l_linenumber = 5 then 1.0e0 else -1.0e0 * l_quantity - l_linenumber end as logprob"
+
+
+@query(f"with p as (select {PASSES} from lineitem) select policy, prompt_id, round(avg(logprob) filter (where logprob <= 0), 6) as mean, round(median(logprob) filter (where logprob <= 0), 6) as median, count(*) filter (where logprob <= 0) as n from p group by 1, 2")
+def d36_pass_aggregation(spark, sf_dir):
+    return rounded(reporting.pass_values(spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*[x.strip() for x in bridge._parts(PASSES)])))
+
+
+@query(f"with p as (select {PASSES} from lineitem), v as (select policy, prompt_id, avg(logprob) filter (where logprob <= 0) as v from p group by 1, 2), w as (select prompt_id, max(case when policy = 'p0' then v end) as base_lp, max(case when policy = 'p1' then v end) as lp1, max(case when policy = 'p2' then v end) as lp2 from v group by 1) select prompt_id, round(base_lp, 6) as base_lp, round(lp1, 6) as lp1, round(lp2, 6) as lp2, o_totalprice as judge_score from w left join orders on o_orderkey = prompt_id where base_lp is not null and (lp1 is not null or lp2 is not null)")
+def j5_assembled_dataset(spark, sf_dir):
+    """Passes of policies to a row a prompt, with the map of target policies; scores joined by key."""
+    from ..operators.assembly import assemble
+
+    passes = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*[x.strip() for x in bridge._parts(PASSES)])
+    scores = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("prompt_id"), F.col("o_totalprice").alias("judge_score"))
+    out = assemble(passes, "p0", scores)
+    return out.select("prompt_id", F.round("base_lp", 6).alias("base_lp"), *[F.round(F.col("target_lps")[f"p{i}"], 6).alias(f"lp{i}") for i in (1, 2)], "judge_score")
+
+
+@query(RUNS_SQL + ", m as (select n, round(coverage, 2) as coverage, avg(se) as s from runs1 group by n, round(coverage, 2)) select n, coverage, round(s, 9) as mean_se, round((1.96 + 0.84) * sqrt(2) * s, 9) as mde, round(n * (1 + 16 * coverage), 6) as cost from m order by (1.96 + 0.84) * sqrt(2) * s * sqrt(n * (1 + 16 * coverage)), n, coverage limit 5")
+def a20_sweet_spots(spark, sf_dir):
+    """The five regimes that give most for their cost: a top-k report."""
+    out = reporting.sweet_spots(first(spark, sf_dir).withColumn("coverage", F.round("coverage", 2)))
+    return out.select("n", "coverage", F.round("mean_se", 9).alias("mean_se"), F.round("mde", 9).alias("mde"), F.round("cost", 6).alias("cost"))
+
+
+@query(RUNS_SQL + " select a.run_id, round(sum(sign(a.est - b.est) * sign(a.truth - b.truth)) / sqrt(sum(abs(sign(a.est - b.est))) * sum(abs(sign(a.truth - b.truth)))), 6) as tau from runs1 a join runs1 b on a.run_id = b.run_id and a.policy < b.policy group by 1")
+def a6_kendall_of_runs(spark, sf_dir):
+    return rounded(reporting.kendall_of_runs(first(spark, sf_dir)))
+
+
+@query(RUNS_SQL + ", l as (select estimator, avg(se) as se from runs1 where seed < 5 group by 1), r as (select policy as estimator, avg(est) as est from runs1 group by 1 union all select estimator, avg(est) from runs1 where seed > 7 group by 1) select estimator, round(se, 9) as se, round(est, 9) as est from l full join r using (estimator)")
+def j2_outer_join_of_metrics(spark, sf_dir):
+    own = first(spark, sf_dir)
+    right = own.groupBy(F.col("policy").alias("estimator")).agg(F.avg("est").alias("est")).union(own.where("seed > 7").groupBy("estimator").agg(F.avg("est").alias("est")))
+    return rounded(reporting.joined_metrics(own.where("seed < 5").groupBy("estimator").agg(F.avg("se").alias("se")), right, ("estimator",)), 9)
+
+
+@query()
+def is7_ridge_outcome(spark, sf_dir):
+    """Quality of documents from the words of their language's name and text and a score of their length; cross-fitted."""
+    from ..operators import estimators, outcomes
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
+    rows = docs.withColumn("fold", estimators.fold_of(F.col("doc_id").cast("string"))).withColumn("y", F.col("quality").cast("double"))
+    x = outcomes.features(F.col("lang"), F.col("text"), F.col("n_chars") / (F.col("n_chars") + 2000.0))
+    return rounded(outcomes.ridge_predict(rows, outcomes.ridge(rows, "y", x), x).select("doc_id", "g"))
