@@ -20,7 +20,8 @@ _fallback: list[str] = []
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none (tests on one machine), a temporary folder is taken.
+    Only where the session names none and its master is local (tests on one machine), a temporary folder is taken: on a cluster
+    each executor would write to its own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -28,6 +29,8 @@ def scratch(spark: SparkSession, name: str) -> str:
         if held:
             base = held
         else:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             if not _fallback:
                 _fallback.append("file://" + tempfile.mkdtemp(prefix="spark-scratch-"))
             base = _fallback[0]
@@ -42,6 +45,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """A column name for each of names that df doesn't have, so that no column of the user's is hidden or lost."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only. Where bytes and characters are as many, lower() does the same and is faster."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles, tokens
+from .common import unused
 from .shingles import bare_words
 
 #: Scores of the alignment: a word that agrees, one that differs, one left out or put in.
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: Words of benchmark items held at once, by the driver and by each task; a larger benchmark is taken in blocks.
 BLOCK_WORDS = 2_000_000
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     """Smith-Waterman: the best local score, and the end (exclusive) of its stretch of the passage.
 
@@ -149,7 +152,7 @@ def _scan(spark, rows: DataFrame, indexes: list[Index], min_score: float, min_wo
 
 def keep_clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
     """The documents that hold no item, with the columns of docs. Rows without an id are judged by a hash of their text."""
-    key = F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text))
-    own = docs.withColumn("__key", key)
-    gone = contaminated(own, items, doc_id="__key", text=text, **parameters).select(F.col("doc_id").alias("__gone")).distinct()
-    return own.join(gone.hint("shuffle_hash"), F.col("__key") == F.col("__gone"), "left_anti").drop("__key")
+    key, gone_ = unused(docs, "__key", "__gone")
+    own = docs.withColumn(key, F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text)))
+    gone = contaminated(own, items, doc_id=key, text=text, **parameters).select(F.col("doc_id").alias(gone_)).distinct()
+    return own.join(gone.hint("shuffle_hash"), F.col(key) == F.col(gone_), "left_anti").drop(key)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles, tokens
-from .common import saved, spread
+from .common import saved, spread, unused
 from .components import components
 
 #: Sets of a region joined by counting.
@@ -555,5 +555,6 @@ def keep_one(docs: DataFrame, k: int = 5, t: int = 80, doc_id: str = "doc_id", t
 
     Documents without words stay, as does every row without an id.
     """
-    gone = near_duplicates(docs, k, t, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col(doc_id).cast("long") == F.col("__gone"), "left_anti")
+    (gone_,) = unused(docs, "__gone")
+    gone = near_duplicates(docs, k, t, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias(gone_)).distinct()
+    return docs.join(gone.hint("shuffle_hash"), F.col(doc_id).cast("long") == F.col(gone_), "left_anti")

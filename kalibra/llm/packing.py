@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import spread
+from .common import spread, unused
 
 
 def cut(docs: DataFrame, tokenizer_path: str, limit: int = 2048, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -89,9 +89,11 @@ def pack(pieces: DataFrame, limit: int = 2048, key: tuple[str, ...] = ("doc_id",
     be 1 to limit; no pieces give no rows.
     """
     spark, salts = pieces.sparkSession, spread(pieces.sparkSession)
-    rows = pieces.drop("sequence_id", "offset").withColumn("__slice", F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int"))
-    counts = rows.groupBy(F.col(length).alias("__length"), "__slice").count()
-    histogram = {r["__length"]: r["n"] for r in counts.groupBy("__length").agg(F.sum("count").alias("n")).collect()}
+    rows = pieces.drop("sequence_id", "offset")
+    slice_, own_, ahead_, place_, length_ = unused(rows, "__slice", "__own", "__ahead", "__place", "__length")
+    rows = rows.withColumn(slice_, F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int"))
+    counts = rows.groupBy(F.col(length).alias(length_), slice_).count()
+    histogram = {r[length_]: r["n"] for r in counts.groupBy(length_).agg(F.sum("count").alias("n")).collect()}
     used, first, intervals = dict.fromkeys(histogram, 0), 0, []
     for count, pattern in plan(histogram, limit):
         offset = 0
@@ -108,7 +110,7 @@ def pack(pieces: DataFrame, limit: int = 2048, key: tuple[str, ...] = ("doc_id",
         own = table[np.searchsorted(table[:, 0], at, side="right") - 1]
         return pd.DataFrame({"sequence_id": own[:, 1] + at - own[:, 0], "offset": own[:, 2]})
 
-    ahead = counts.select("__length", "__slice", F.coalesce(F.sum("count").over(W.partitionBy("__length").orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
-    own = F.row_number().over(W.partitionBy(length, "__slice").orderBy(*key)) - 1
-    ranked = rows.withColumn("__own", own).join(ahead, (F.col(length) == F.col("__length")) & (ahead["__slice"] == rows["__slice"])).drop(ahead["__slice"]).withColumn("__place", place(F.col(length), F.col("__own") + F.col("__ahead")))
-    return ranked.select("*", "__place.*").drop("__slice", "__length", "__own", "__ahead", "__place")
+    ahead = counts.select(length_, F.col(slice_).alias(f"{slice_}2"), F.coalesce(F.sum("count").over(W.partitionBy(length_).orderBy(slice_).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(ahead_))
+    rank = F.row_number().over(W.partitionBy(length, slice_).orderBy(*key)) - 1
+    ranked = rows.withColumn(own_, rank).join(ahead, (F.col(length) == F.col(length_)) & (F.col(f"{slice_}2") == F.col(slice_))).withColumn(place_, place(F.col(length), F.col(own_) + F.col(ahead_)))
+    return ranked.select("*", f"{place_}.*").drop(slice_, f"{slice_}2", length_, own_, ahead_, place_)

@@ -19,7 +19,7 @@ from kalibra.llm.common import saved, scratch
 from kalibra.llm.components import components
 
 BPE = public_tokenizers.path("word_bpe_49k.json")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, __key int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, __key int, __id int, __tie string, __slice int, __bucket string, __gone int"
 VOCABULARY = ["the", "and", "of", "to", "in", "that", "house", "river", "walked", "slowly", "Morning", "light,", "over", "hills.", "café", "naïve", "stone", "garden", "winter", "sea"]
 
 
@@ -38,7 +38,7 @@ def _texts():
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, ["en", "fr", None][i % 3], "src0" if i % 3 else None, None if t is None else len(t), "clash", i) for i, t in enumerate(_texts())]
+    rows = [(i, t, ["en", "fr", None][i % 3], "src0" if i % 3 else None, None if t is None else len(t), "clash", i, i, "clash", i, "clash", i) for i, t in enumerate(_texts())]
     return saved(spark.createDataFrame(rows, SCHEMA).repartition(3), "fixture")
 
 
@@ -356,7 +356,7 @@ def test_classifier_shrinks_sparse_sites(spark, empty):
 
 
 def test_pipeline_stages_are_their_operators(spark, docs, tmp_path):
-    docs.drop("shard", "__key").write.parquet(f"{tmp_path}/documents.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
     item = " ".join(_texts()[-1].split()[:30])
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     held = spark.read.parquet(f"{tmp_path}/documents.parquet")
