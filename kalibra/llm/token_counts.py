@@ -41,15 +41,15 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, doc_id:
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), body.alias("body")).withColumn("digest", F.sha2("body", 256))
     seen = saved(keyed.select("doc_id", "n_bytes", "digest"), "token-digests")
     known = read_cache(spark, cache_path).where(F.col("tokenizer") == version)
-    # of each new content one document is encoded; an id may be null or stand twice, so the digest decides again below
+    # of each new content one document is encoded; rows that repeat its id and content come to one task, which encodes the first
     fresh = seen.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(known, "digest", "left_anti")
     due = keyed.alias("k").join(fresh.hint("shuffle_hash").alias("f"), (F.col("k.doc_id").eqNullSafe(F.col("f.doc_id"))) & (F.col("k.digest") == F.col("f.digest")), "left_semi").select("digest", "body")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = tokens.encoder(tokenizer_path)
+        e, done = tokens.encoder(tokenizer_path), set()
         for b in batches:
-            counts = pa.array([len(e.encode(x)) // 4 for x in tokens.utf8(b.column(1))], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([version] * b.num_rows, pa.string()), counts], names=["digest", "tokenizer", "n_tokens"])
+            new = [(d, len(e.encode(x)) // 4) for d, x in zip(b.column(0).to_pylist(), tokens.utf8(b.column(1)), strict=True) if not (d in done or done.add(d))]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in new], pa.string()), pa.array([version] * len(new), pa.string()), pa.array([n for _, n in new], pa.int64())], names=["digest", "tokenizer", "n_tokens"])
 
     due.mapInArrow(encode, CACHE).write.mode("append").parquet(cache_path)
     known = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens")
