@@ -8,27 +8,39 @@ from pyspark.sql import functions as F
 from .common import saved
 
 
+#: One in so many of all ends of edges makes a node a hub.
+HUBS = 1000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of edges (a, b) reaches.
 
     Large star, then small star, by turns: each node's larger neighbours, then its smaller ones, are hung
     on the least of all, which at most halves paths a round. Minima are joined back as rows, so no node's
-    neighbours are ever gathered; a round is written out, which ends lineage, and its fingerprint says
-    whether anything moved.
+    neighbours are ever gathered, and those of hubs (nodes with more than one in HUBS of the edges' ends, so HUBS
+    at most) by a broadcast, so a hub's edges stay where they are. A round is written out, which ends lineage,
+    and its fingerprint says whether anything moved.
     """
+
+    def with_least(own: DataFrame, least: DataFrame, ends: int) -> DataFrame:
+        """own (a, b) with m of least (a, m, n)."""
+        hubs = F.broadcast(least.where(F.col("n") > ends // HUBS).drop("n"))
+        rest = own.join(hubs, "a", "left_anti").join(least.where(F.col("n") <= ends // HUBS).drop("n"), "a")
+        return own.join(hubs, "a").unionByName(rest)
+
     stars = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
+    state, n = None, stars.count()
     for _ in range(max_rounds):
         both = stars.union(stars.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = with_least(both.where("b > a"), least, 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # here every edge points from a larger to a smaller node
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = with_least(large, least, n).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         stars = saved(small, "stars")
         now = tuple(stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             least = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
             return least.union(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        state = now
+        state, n = now, now[0]
     raise RuntimeError(f"components are not settled after {max_rounds} rounds")
