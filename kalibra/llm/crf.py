@@ -23,8 +23,6 @@ from .shingles import mix
 TABLE = 1 << 16
 #: Words that forward-backward takes in one step's stride; longer texts are cut there and their parts joined exactly.
 SEGMENT = 64
-#: A transition's weight at most, so that a switch is at worst exp(-2 * MOST) as likely as a stay.
-MOST = 1.5
 #: Edges of words: marks and digits, which say nothing about a language.
 _EDGES = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalpha()) + "«»„“”‘’¡¿…–—·"
 
@@ -172,7 +170,8 @@ class Field:
 def fit_field(rows: list[tuple[str, str]], min_count: int = 3, rounds: int = 30, seed: int = 5) -> Field:
     """Fits weights and transitions by gradient ascent on the likelihood of labelled texts (AdaGrad; a little decay).
 
-    rows: (text, label); each word of a text has the text's label. lexicon: words seen min_count times.
+    rows: (text, label); each word of a text has the text's label. lexicon: words seen min_count times. So that transitions are
+    learned from switches too, half of the texts of a step are spliced: two are cut at random and their ends exchanged.
     """
     labels = sorted({label for _, label in rows})
     split = [(words_of(text), labels.index(label)) for text, label in rows]
@@ -195,23 +194,29 @@ def fit_field(rows: list[tuple[str, str]], min_count: int = 3, rounds: int = 30,
     sums = np.full(field.weights.shape, 1e-6), np.full((k, k), 1e-6), np.full(k, 1e-6)
     dealt = np.array_split(rng.permutation(len(split)), batches)
     for step in range(max(rounds, batches)):
-        own = [split[i] for i in dealt[step % batches]]
+        coded = [(np.array([index[w] for w in split[i][0]]), np.full(len(split[i][0]), split[i][1])) for i in dealt[step % batches]]
+        own, half = [], len(coded) // 4
+        for (a, ya), (b, yb) in zip(coded[:half], coded[half : 2 * half], strict=True):
+            i, j = int(rng.integers(1, len(a) + 1)), int(rng.integers(0, len(b)))
+            own += [(np.concatenate([a[:i], b[j:]]), np.concatenate([ya[:i], yb[j:]]))] + ([(np.concatenate([b[:j], a[i:]]), np.concatenate([yb[:j], ya[i:]]))] if j or i < len(a) else [])
+        own += coded[2 * half :]
         lengths = np.array([len(w) for w, _ in own])
-        ids, gold = np.array([index[w] for words, _ in own for w in words]), np.repeat([y for _, y in own], lengths)
+        ids, gold = np.concatenate([w for w, _ in own]), np.concatenate([y for _, y in own])
         scores = by_label(owner, field.weights[flat], len(names)) * share
         probs, expected = forward_backward(scores[ids], lengths, field.trans, field.start)
         error = -probs
         error[np.arange(len(gold)), gold] += 1
         by_word = by_label(ids, error, len(names)) * share
         grad = by_label(flat, by_word[owner], len(field.weights)) - 1e-3 * field.weights
-        moves = np.diag(np.bincount([y for _, y in own], lengths - 1, k)) - expected
         firsts = np.cumsum(lengths) - lengths
-        starts = np.bincount([y for _, y in own], minlength=k) - probs[firsts].sum(axis=0)
+        inner = np.ones(len(gold), bool)
+        inner[firsts] = False
+        at = np.flatnonzero(inner)
+        moves = np.bincount(gold[at - 1] * k + gold[at], minlength=k * k).reshape(k, k) - expected
+        starts = np.bincount(gold[firsts], minlength=k) - probs[firsts].sum(axis=0)
         for held, total, g, rate in ((field.weights, sums[0], grad, 0.5), (field.trans, sums[1], moves, 0.5), (field.start, sums[2], starts, 0.1)):
             total += g * g
             held += rate * g / np.sqrt(total)
-        # a labelled text never changes its label, other texts may: stays are not driven to certainty
-        field.trans = np.clip(field.trans, -MOST, MOST)
     return field
 
 
