@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CLASS
+from .common import SPACE, SPACE_CLASS, saved
 
 #: Characters that count as symbols; characters of sentences.
 SYMBOLS, STOPS = r"[#*$%&|<>]", r"[.,;:!?'\"()-]"
@@ -65,18 +65,19 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 def references(docs: DataFrame, n_common: int = 16, common_chars: int = 5, text: str = "text", lang: str | None = "lang") -> DataFrame:
     """One row a language: shares of the six character classes, its n_common commonest words and their shares.
 
-    Counted over all documents; words of up to common_chars letters compete (function words are short).
+    Counted over all documents, in two readings; words of up to common_chars letters compete (function words are short).
     Counts are added up before anything is shuffled. A null language is a language of its own.
     """
     language = F.coalesce(F.col(lang), F.lit("")) if lang else F.lit("")
     body = F.coalesce(F.col(text), F.lit(""))
     count = lambda pattern: F.regexp_count(body, F.lit(pattern))
+    # classes and words apart: after an explode Spark would count a text's classes anew for each of its words
     chars = docs.select(language.alias("__q_lang"), F.length(body).alias("n"), count(SPACE_CLASS).alias("space"), count(r"\p{Lu}").alias("upper"), count("[0-9]").alias("digits"), count(STOPS).alias("stops"), count(r"[^\p{Ll}\x20\x09-\x0D]").alias("others"))
     s = chars.groupBy("__q_lang").agg(*[F.sum(F.col(k).cast("double")).alias(k) for k in ("n", "space", "upper", "digits", "stops", "others")])
     s = s.where(F.col("n") > 0).select("__q_lang", F.transform(F.array(F.col("space"), F.col("n") - F.col("space") - F.col("others"), F.col("upper"), F.col("digits"), F.col("stops"), F.col("others") - F.col("upper") - F.col("digits") - F.col("stops")), lambda x: x / F.col("n")).alias("__q_ref_classes"))
     words = docs.select(language.alias("__q_lang"), F.explode(split_words(F.col(text))).alias("word"))
     own = words.select("__q_lang", F.when(F.octet_length("word") <= 4 * common_chars, F.when((F.length("word") <= common_chars) & F.col("word").rlike(r"^\p{L}+$"), F.col("word"))).alias("word"))
-    counts = own.groupBy("__q_lang", "word").count()
+    counts = saved(own.groupBy("__q_lang", "word").count(), "word-counts")  # two steps read it
     totals = counts.groupBy("__q_lang").agg(F.sum("count").alias("total"))
     top = counts.where(F.col("word").isNotNull()).withColumn("rank", F.row_number().over(W.partitionBy("__q_lang").orderBy(F.desc("count"), "word"))).where(F.col("rank") <= n_common)
     top = top.join(totals, "__q_lang").groupBy("__q_lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", (F.col("count") / F.col("total")).alias("share")))).alias("top"))
@@ -107,9 +108,9 @@ def judge(docs: DataFrame, class_limit: float = 0.22, word_limit: float = 0.25,
     A null text is empty and fails. A text in a language without references (no row has one) passes the
     distances. Each row is judged alone, repeated or not; all columns of docs pass.
     """
-    refs = references(docs, n_common, text=text, lang=lang)
+    refs = saved(references(docs, n_common, text=text, lang=lang), "references")  # a row a language
     own = measured(docs, doc_id, text, lang)
-    own = own.join(F.broadcast(refs) if docs.select(*([F.col(lang)] if lang else [F.lit("").alias("l")])).distinct().limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES else refs, "__q_lang", "left")
+    own = own.join(F.broadcast(refs) if refs.count() <= BROADCAST_LANGUAGES else refs, "__q_lang", "left")
     total = F.aggregate("__q_classes", F.lit(0).cast("long"), lambda a, b: a + b)
     own = own.withColumn("__q_shares", F.transform("__q_classes", lambda x: x / F.greatest(total, F.lit(1))))
     n_words = F.greatest(F.col("__q_n_words"), F.lit(1))  # divisions by zero raise errors
