@@ -7,36 +7,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kalibra.llm import decontaminate, jaccard, line_dedup, packing, quality
-from kalibra.llm.common import saved
+from kalibra.llm.common import saved, unused
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go: a null or empty text among them. Rows are judged one by one, repeated ones alike; an empty table stays empty."""
     return quality.keep_good(docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that three documents or more share stay in one of them; n_chars follows the text."""
-    out = line_dedup.drop_shared_lines(docs, n_lines="__lines_before", n_dropped="__lines_gone").drop("__lines_before", "__lines_gone")
+    """Lines that three documents or more share stay in one of them; n_chars follows the text. Rows of one id are one document, a null
+    text stays null, and every column of docs passes, whatever its name."""
+    before, gone = unused(docs, "__lines_before", "__lines_gone")
+    out = line_dedup.drop_shared_lines(docs, n_lines=before, n_dropped=gone).drop(before, gone)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: shingles of five words, similarity of 0.8 or more."""
+    """One document of each group of near duplicates stays, that with the least id: shingles of five words, similarity of 0.8 or more.
+    Texts without words and rows without an id stay; rows of one id go or stay together."""
     return jaccard.keep_one(docs, k=5, t=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null texts hold none, and rows without an id are judged by their text."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short_items=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every token of every document in sequences of 2048: a row a piece."""
+    """Every token of every document in sequences of 2048: a row a piece. A null or empty text is its end token; repeated rows are packed as often as they are."""
     pieces = packing.cut(docs, public_tokenizers.path(TOKENIZER), limit=2048, end_id=1)
     pieces = saved(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pipeline-pieces")
     return packing.pack(pieces, limit=2048).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
