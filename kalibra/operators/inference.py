@@ -36,10 +36,14 @@ def t_critical(df: Column, alpha: float = 0.05) -> Column:
     return at(df.cast("double"))
 
 
-@F.pandas_udf("double")
-def two_sided(z: pd.Series) -> pd.Series:
+def two_sided(z: Column) -> Column:
     """The p-value of a normal deviate."""
-    return z.map(lambda v: 2 * (1 - normal_cdf(abs(v))), na_action="ignore")
+
+    @F.pandas_udf("double")
+    def at(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: 2 * (1 - normal_cdf(abs(x))), na_action="ignore")
+
+    return at(z)
 
 
 def with_intervals(contributions: DataFrame, oracle_var: DataFrame | None = None, draw_var: DataFrame | None = None, alpha: float = 0.05) -> DataFrame:
@@ -75,7 +79,7 @@ def compare(contributions: DataFrame, alpha: float = 0.05) -> DataFrame:
     value = contributions.groupBy("policy").agg(F.avg("c").alias("v"))
     one, two = value.select(F.col("policy").alias("first"), F.col("v").alias("v1")), value.select(F.col("policy").alias("second"), F.col("v").alias("v2"))
     out = errors.join(one, "first").join(two, "second").withColumn("difference", F.col("v1") - F.col("v2"))
-    out = out.withColumn("z", F.when(F.col("se") > 0, F.col("difference") / F.col("se")).otherwise(0.0)).withColumn("p", two_sided("z"))
+    out = out.withColumn("z", F.when(F.col("se") > 0, F.col("difference") / F.col("se")).otherwise(0.0)).withColumn("p", two_sided(F.col("z")))
     return out.select("first", "second", "difference", "se", "z", "p", (F.col("p") < alpha).alias("significant"))
 
 
