@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import normal_ppf
+from .tables import running
 
 
 def ess(w: Column) -> Column:
@@ -182,18 +183,14 @@ def decomposition(rows: DataFrame) -> DataFrame:
 
 
 def mass_points(rows: DataFrame, shares: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
-    """(policy, share, rows): how many of the largest weights make each share of the sum.
-
-    Weights are counted by level first (six decimals), so the running sum sees levels, not rows.
-    """
-    levels = rows.groupBy("policy", F.round("w", 6).alias("level")).agg(F.count(F.lit(1)).alias("c"), F.sum("w").alias("s"))
-    down = W.partitionBy("policy").orderBy(F.desc("level")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    """(policy, share, rows): how many of the largest weights make each share of the sum. Running sums see levels, not rows."""
+    levels = rows.groupBy("policy", (-F.col("w")).alias("down")).agg(F.count(F.lit(1)).alias("c"), F.sum("w").alias("s"))
     total = levels.groupBy("policy").agg(F.sum("s").alias("total"))
-    run = levels.withColumn("below", F.sum("c").over(down) - F.col("c")).withColumn("mass", F.sum("s").over(down)).join(F.broadcast(total), "policy")
-    asked = run.withColumn("share", F.explode(F.array(*[F.lit(x) for x in shares]))).where(F.col("mass") >= F.col("share") * F.col("total"))
-    hit = asked.groupBy("policy", "share").agg(F.min_by(F.struct("below", "mass", "s", "c", "total"), "below").alias("h"))
+    run = running(levels, ["policy"], "down", {"upto": "c", "mass": "s"}).join(F.broadcast(total), "policy")
+    asked = run.withColumn("share", F.explode(F.array(*[F.lit(x) for x in shares]))).where(F.col("mass") >= F.col("share") * F.col("total") - 1e-9)
+    hit = asked.groupBy("policy", "share").agg(F.min_by(F.struct("upto", "mass", "s", "c", "total"), "upto").alias("h"))
     need = (F.col("share") * F.col("h.total") - (F.col("h.mass") - F.col("h.s"))) / (F.col("h.s") / F.col("h.c"))
-    return hit.select("policy", "share", (F.col("h.below") + F.greatest(F.lit(1), F.ceil(need - 1e-9))).cast("long").alias("rows"))
+    return hit.select("policy", "share", (F.col("h.upto") - F.col("h.c") + F.greatest(F.lit(1), F.ceil(need - 1e-9))).cast("long").alias("rows"))
 
 
 def sequential_drift(rows: DataFrame, batch: str, place: str, value: str) -> DataFrame:
@@ -235,15 +232,14 @@ def ecdf(rows: DataFrame, x: str) -> DataFrame:
     """(policy, x, rank): (rows at or below x - 1/2) / n, by levels."""
     levels = rows.groupBy("policy", x).agg(F.count(F.lit(1)).alias("c"))
     n = levels.groupBy("policy").agg(F.sum("c").alias("n"))
-    upto = F.sum("c").over(W.partitionBy("policy").orderBy(x))
-    return levels.withColumn("upto", upto).join(F.broadcast(n), "policy").select("policy", x, ((F.col("upto") - 0.5) / F.col("n")).alias("rank"))
+    return running(levels, ["policy"], x, {"upto": "c"}).join(F.broadcast(n), "policy").select("policy", x, ((F.col("upto") - 0.5) / F.col("n")).alias("rank"))
 
 
 def ccdf(rows: DataFrame, x: str) -> DataFrame:
     """(policy, x, share): the share of rows at or above x, by levels."""
     levels = rows.groupBy("policy", x).agg(F.count(F.lit(1)).alias("c"))
     n = levels.groupBy("policy").agg(F.sum("c").alias("n"))
-    return levels.withColumn("above", F.sum("c").over(W.partitionBy("policy").orderBy(F.desc(x)))).join(F.broadcast(n), "policy").select("policy", x, (F.col("above") / F.col("n")).alias("share"))
+    return running(levels, ["policy"], x, {"upto": "c"}).join(F.broadcast(n), "policy").select("policy", x, ((F.col("n") - F.col("upto") + F.col("c")) / F.col("n")).alias("share"))
 
 
 def ips_summary(rows: DataFrame) -> DataFrame:
@@ -259,3 +255,55 @@ def policy_risk(rows: DataFrame) -> DataFrame:
     variance = F.when(F.col("ess_fraction") < 0.1, "high").when(F.col("ess_fraction") < 0.3, "medium").otherwise("low")
     tail = F.when(F.col("alpha") < 2, "critical").when(F.col("alpha") < 2.5, "high").otherwise("low")
     return a.select("policy", "ess_fraction", "alpha", variance.alias("variance_risk"), tail.alias("tail_risk"))
+
+
+def run_diagnostics(rows: DataFrame, w: str = "w") -> DataFrame:
+    """(policy, n, ess_absolute, ess_relative, alpha, cv, max_share, near_zero, affinity, quality, recommendation) of one experiment:
+    ess_relative in per cent; near_zero the share of rows with less than a tenth of an even share of the sum."""
+    total = rows.groupBy("policy").agg(F.sum(w).alias("__sum"), F.count(F.lit(1)).alias("__n"))
+    own, part = rows.join(F.broadcast(total), "policy"), F.try_divide(F.col(w), F.col("__sum"))
+    a = own.groupBy("policy").agg(
+        F.count(F.lit(1)).alias("n"), ess(F.col(w)).alias("ess_absolute"), (100 * ess(F.col(w)) / F.count(F.lit(1))).alias("ess_relative"), F.try_divide(F.stddev_pop(w), F.avg(w)).alias("cv"),
+        F.max(part).alias("max_share"), F.avg((part < 1 / (10 * F.col("__n"))).cast("double")).alias("near_zero"),
+    )
+    card = overlap_card(rows if w == "w" else rows.withColumn("w", F.col(w)))
+    return a.join(card.select("policy", "alpha", "affinity", "quality", "recommendation"), "policy")
+
+
+def batches(rows: DataFrame, order: str, least: int, parts: int = 10) -> DataFrame:
+    """Adds batch and place: runs of max(least, n // parts) rows in the order; the rows after the last whole run are left out."""
+    n = rows.count()
+    size = max(least, n // parts)
+    at = running(rows.withColumn("__one", F.lit(1)), [], order, {"__at": "__one"}).withColumn("__at", F.col("__at") - 1)
+    return at.where(F.col("__at") < n // size * size).withColumn("batch", F.floor(F.col("__at") / size)).withColumn("place", F.col("__at") % size).drop("__one", "__at")
+
+
+def stability(rows: DataFrame, order: str = "row_id", x: str = "judge_score", y: str = "oracle_label") -> DataFrame:
+    """(kind, batch, n, tau): how scores drift from each batch to the next (drift), how they rank with the labels in each batch of
+    labelled rows (batch) and in all (overall), and the population deviation over batches (spread, in tau). Tau is null where a side
+    is constant; rows without a score don't count. kendall() compares cells of (score, label), so scores of few levels are cheap."""
+    own = rows.where(F.col(x).isNotNull())
+    pairs = own.where(F.col(y).isNotNull())
+    drift = sequential_drift(batches(own.select(order, x), order, 50), "batch", "place", x)
+    each = kendall(batches(pairs.select(order, x, y), order, 10), "batch", x, y)
+    every = kendall(pairs.withColumn("batch", F.lit(-1).cast("long")), "batch", x, y)
+    spread = each.agg(F.lit(-1).cast("long").alias("batch"), F.count("tau").alias("n"), F.stddev_pop("tau").alias("tau"))
+    kinds = [t.select(F.lit(k).alias("kind"), F.col("batch").cast("long").alias("batch"), F.col("n").cast("long").alias("n"), "tau") for k, t in (("drift", drift), ("batch", each), ("overall", every), ("spread", spread))]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).unionByName(kinds[3])
+
+
+def records(card: DataFrame, estimates: DataFrame) -> DataFrame:
+    """(policy, n, estimate, se, ess_fraction, alpha, issues, status) from weight_diagnostics() and (policy, estimate, se): issues lists
+    values that contradict each other, and status is critical where there are any or weights are, else that of the weights."""
+    own = card.select("policy", "n", "ess_fraction", "alpha", "status").join(estimates.select("policy", "estimate", "se"), "policy", "full_outer")
+    rules = {
+        "no weights": F.col("n").isNull(), "no estimate": F.col("estimate").isNull() | F.isnan("estimate"), "estimate outside [0, 1]": ~F.col("estimate").between(0, 1), "negative error": F.col("se") < 0,
+        "effective share outside (0, 1]": (F.col("ess_fraction") <= 0) | (F.col("ess_fraction") > 1 + 1e-9), "no rows": F.col("n") == 0,
+    }
+    issues = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in rules.items()]))
+    return own.withColumn("issues", issues).withColumn("status", F.when(F.size("issues") > 0, "critical").otherwise(F.col("status"))).select("policy", "n", "estimate", "se", "ess_fraction", "alpha", "issues", "status")
+
+
+def dr_summary(card: DataFrame) -> DataFrame:
+    """One row of dr_diagnostics(): policies, range of estimates, worst residual fit and influence tail, mean correlation of the parts."""
+    return card.agg(F.count(F.lit(1)).alias("policies"), F.min("estimate").alias("least"), F.max("estimate").alias("most"), F.min("r2").alias("worst_r2"), F.max("if_tail").alias("worst_tail"), F.max("if_top").alias("most_top"), F.avg("correlation").alias("correlation"))

@@ -107,15 +107,45 @@ def stabilised(rows: DataFrame, index: str = "reward_oof", folds: int = FOLDS, o
     return mean_one(own, w="w_cal").drop("__x", "u", "d", "a", "b", "keep", "enough")
 
 
-def calibrated_ips(rows: DataFrame) -> DataFrame:
-    """Mean of w_cal * reward; the influence of a row takes the value and mean weight of the other outer folds, and outer folds are its clusters."""
+def calibrated_ips(rows: DataFrame, explained: Column | None = None) -> DataFrame:
+    """Mean of w_cal * reward; the influence of a row takes the value and mean weight of the other outer folds, and outer folds are its
+    clusters. explained: what is taken off the influence."""
     psi, w_train = F.col("psi_train"), F.when(F.col("w_train") > 0, F.col("w_train")).otherwise(1.0)
     phi = (F.col("w_cal") * (F.col("reward_oof") - psi) - psi * (F.col("w_cal") - F.col("w_train"))) / w_train
+    phi = phi if explained is None else phi - explained
     own = rows.select("policy", "row_id", F.col("outer").alias("fold"), (F.col("w_cal") * F.col("reward")).alias("c"), phi.alias("phi"))
     mean = own.groupBy("policy").agg(F.avg("phi").alias("__m"))
     return own.join(F.broadcast(mean), "policy").withColumn("phi", F.col("phi") - F.col("__m")).drop("__m")
 
 
+def honest_ips(rows: DataFrame, least_r2: float = 0.02, folds: int = FOLDS) -> tuple[DataFrame, DataFrame]:
+    """calibrated_ips() less what the score explains of a row's influence, by a rising fit on the rows of the other outer folds; and
+    (policy, outer, r2, applied) of these fits.
+
+    A fold's fit is applied where it explains least_r2 of its rows' influence, has 30 rows and 8 scores to learn from and 5 rows to serve.
+    Fits are on sums by score: the influence of training rows is linear in w R, w and one, its square in their products.
+    """
+    w, wr = F.col("w_cal"), F.col("w_cal") * F.col("reward_oof")
+    levels = written(rows.where(F.col("judge_score").isNotNull()).groupBy("policy", "outer", "judge_score").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(wr).alias("a"), F.sum(w).alias("b"), F.sum(wr * wr).alias("aa"), F.sum(wr * w).alias("ab"), F.sum(w * w).alias("bb")), "influence")
+    known = rows.groupBy("policy", F.col("outer").alias("k")).agg(F.first("psi_train").alias("psi"), F.first("w_train").alias("mw"), F.count(F.lit(1)).alias("served"))
+    train = levels.select("policy", F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(folds - 1)), F.col("outer"))).alias("k"), "judge_score", "n", "a", "b", "aa", "ab", "bb").groupBy("policy", "k", "judge_score").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "ab", "bb")])
+    psi, mw, d = F.col("psi"), F.col("mw"), F.when(F.col("mw") > 0, F.col("mw")).otherwise(1.0)
+    total = (F.col("a") - 2 * psi * F.col("b") + psi * mw * F.col("n")) / d
+    square = (F.col("aa") + 4 * psi * psi * F.col("bb") + psi * psi * mw * mw * F.col("n") - 4 * psi * F.col("ab") + 2 * psi * mw * F.col("a") - 4 * psi * psi * mw * F.col("b")) / (d * d)
+    train = train.join(F.broadcast(known), ["policy", "k"]).select("policy", "k", "served", "judge_score", "n", total.alias("t"), square.alias("tt"), (total / F.col("n")).alias("y"))
+    fitted = isotonic.knots(isotonic.fit(train, ["policy", "k"], "judge_score", "y", F.col("n")), ["policy", "k"])
+    held = isotonic.predict(train, fitted, ["policy", "k"], "judge_score", "h")
+    n, left, left2 = F.sum("n"), F.sum(F.col("t") - F.col("n") * F.col("h")), F.sum(F.col("tt") - 2 * F.col("h") * F.col("t") + F.col("n") * F.col("h") * F.col("h"))
+    all_, rest = F.sum("tt") - F.sum("t") * F.sum("t") / n, left2 - left * left / n
+    r2 = F.when(all_ > 0, F.greatest(F.lit(0.0), 1 - rest / all_)).otherwise(0.0)
+    fits = held.groupBy("policy", F.col("k").alias("outer")).agg(r2.alias("r2"), n.alias("n"), F.count(F.lit(1)).alias("scores"), F.first("served").alias("served"))
+    fits = fits.select("policy", "outer", "r2", ((F.col("r2") >= least_r2) & (F.col("n") >= 30) & (F.col("scores") >= 8) & (F.col("served") >= 5)).alias("applied"))
+    plan = fits.collect()  # a row a policy and fold
+    good = {(r["policy"], r["outer"]) for r in plan if r["applied"]}
+    own = isotonic.predict(rows, {k: m for k, m in fitted.items() if k in good}, ["policy", "outer"], "judge_score", "__h")
+    return calibrated_ips(own, F.coalesce("__h", F.lit(0.0))), rows.sparkSession.createDataFrame(plan, fits.schema)
+
+
 def with_outcomes(rows: DataFrame, fresh: DataFrame, models: tuple[dict, dict]) -> DataFrame:
     """Adds g (the fold model at the logged score), q (its mean over the row's fresh draws), draws and draw_var (of a sample; 0 for one draw).
 
@@ -178,13 +208,25 @@ def orthogonalised_dr(rows: DataFrame) -> DataFrame:
     return _centred(mean_weight(rows), F.col("q") + F.col("w_cal") * left + (F.col("w") - F.col("w_cal")) * left + (F.col("w") - F.col("m")) * (F.col("reward") - F.col("reward_oof")))
 
 
-def tr_cpo(rows: DataFrame, efficient: bool = True) -> DataFrame:
-    """q + w (R - g) + L / pi * omega (Y - R): pi the isotonic chance of a label given the score, omega = m (efficient) or w."""
+def tr_cpo(rows: DataFrame, efficient: bool = True, anchored: bool = False, orthogonalised: bool = False) -> DataFrame:
+    """q + w (R - g) + L / pi * omega (Y - R): pi the isotonic chance of a label given the score, omega = m (efficient) or w.
+
+    anchored: the part with w is split into one with calibrated weights and the rest, given as columns anchor and retarget, which
+    sum to it. orthogonalised: (w - m)(R - R_oof) is added, of mean near zero, which takes the two fits' errors apart.
+    """
     own = mean_weight(rows).withColumn("__l", F.col("oracle_label").isNotNull().cast("double"))
     train = own.select("policy", F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(FOLDS - 1)), F.col("fold"))).alias("fold"), "judge_score", "__l")
     own = isotonic.predict(own, isotonic.knots(isotonic.fit(train, ["policy", "fold"], "judge_score", "__l"), ["policy", "fold"]), ["policy", "fold"], "judge_score", "__pi", 1e-3, 1 - 1e-3)
     label = F.when(F.col("oracle_label").isNotNull(), (F.col("m") if efficient else F.col("w")) * (F.col("oracle_label") - F.col("reward")) / F.col("__pi")).otherwise(0.0)
-    return _centred(own, F.col("q") + F.col("w") * (F.col("reward") - F.col("g")) + label)
+    left = F.col("reward") - F.col("g")
+    value = F.col("q") + F.col("w") * left + label
+    if orthogonalised:
+        value = value + (F.col("w") - F.col("m")) * (F.col("reward") - F.col("reward_oof"))
+    out = _centred(own, value)
+    if not anchored:
+        return out
+    parts = rows.select("policy", "row_id", (F.col("w_cal") * left).alias("anchor"), ((F.col("w") - F.col("w_cal")) * left).alias("retarget"))
+    return out.join(parts, ["policy", "row_id"])
 
 
 def cluster_robust(contributions: DataFrame, cluster: str = "fold") -> DataFrame:
@@ -300,11 +342,33 @@ def synthetic_draws(logged: DataFrame, draws: int = 5, correlation: float = 0.8)
 
 def safe_blend(rows: DataFrame, share: float = 1.0, raw: str = "w", cal: str = "w_cal") -> DataFrame:
     """(policy, alpha, variance, feasible): the largest alpha in [0, 1] for which (1 - alpha) raw + alpha cal has at most share of
-    the variance of raw (a thousandth more is let pass); 1 where none has."""
+    the variance of raw (a thousandth more is let pass); where none has, the alpha of least variance; 0 where the two are one."""
     m = rows.groupBy("policy").agg(F.var_pop(raw).alias("vr"), F.var_pop(cal).alias("vc"), F.covar_pop(raw, cal).alias("c"))
-    m = m.withColumn("cap", share * F.col("vr") * 1.001).withColumn("vd", F.col("vr") + F.col("vc") - 2 * F.col("c")).withColumn("b", F.col("c") - F.col("vr"))
-    root = F.col("b") * F.col("b") - F.col("vd") * (F.col("vr") - F.col("cap"))
-    largest = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(F.sqrt(F.greatest(root, F.lit(0.0))) - F.col("b"), F.col("vd"))))
-    m = m.withColumn("alpha", F.when((F.col("vc") <= F.col("cap")) | (F.col("vd") <= 0) | (root < 0), 1.0).otherwise(largest))
-    m = m.withColumn("variance", F.col("vr") + 2 * F.col("alpha") * F.col("b") + F.pow("alpha", 2) * F.col("vd"))
-    return m.select("policy", "alpha", "variance", (F.col("variance") <= F.col("cap")).alias("feasible"))
+    m = m.withColumn("cap", share * F.col("vr")).withColumn("vd", F.col("vr") + F.col("vc") - 2 * F.col("c")).withColumn("b", F.col("c") - F.col("vr"))
+    at = lambda a: F.col("vr") + 2 * a * F.col("b") + a * a * F.col("vd")
+    unit = lambda a: F.least(F.lit(1.0), F.greatest(F.lit(0.0), a))
+    m = m.withColumn("low", F.coalesce(unit(F.try_divide(-F.col("b"), F.col("vd"))), F.lit(0.0)))
+    root = F.sqrt(F.greatest(F.col("b") * F.col("b") - F.col("vd") * (F.col("vr") - F.col("cap")), F.lit(0.0)))
+    largest = F.when(at(F.col("low")) > F.col("cap") * 1.001, F.col("low")).otherwise(unit((root - F.col("b")) / (F.col("vd") + 1e-12)))
+    m = m.withColumn("alpha", F.when(F.col("vc") <= F.col("cap") * 1.001, 1.0).when(F.col("vd") <= 1e-12, 0.0).otherwise(largest))
+    m = m.withColumn("variance", at(F.col("alpha")))
+    return m.select("policy", "alpha", "variance", (F.col("variance") <= F.col("cap") * 1.001).alias("feasible"))
+
+
+def to_mean(rows: DataFrame, index: str, target: float = 1.0, share: float | None = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Rows with w_to (weights that rise with the index, nearest to w in squares, of mean target) and (policy, alpha, variance, feasible).
+
+    Negative weights count as zero, rows of an equal index are one level. Of weights of mean one the nearest rising ones have mean
+    one too, so the projection is the rising fit itself. share: at most this share of the variance of w, by safe_blend(); None asks
+    for no bound. A policy whose weights are all zero or all equal gets the target for each; so does a row without an index.
+    """
+    own = mean_one(rows.withColumn("__raw", F.greatest(F.coalesce("w", F.lit(0.0)), F.lit(0.0))), w="__raw")
+    flat = own.groupBy("policy").agg(((F.max("__raw") - F.min("__raw") < 1e-8) | (F.var_pop("__raw") < 1e-12)).alias("__flat"))
+    fitted = isotonic.knots(isotonic.fit(own, ["policy"], index, "__raw"), ["policy"])
+    own = mean_one(isotonic.predict(own, fitted, ["policy"], index, "__cal", 0.0).withColumn("__cal", F.coalesce("__cal", F.lit(1.0))), w="__cal")
+    own = written(own, "projected")
+    blend = safe_blend(own, share, "__raw", "__cal") if share is not None else own.groupBy("policy").agg(F.lit(1.0).alias("alpha"), F.var_pop("__cal").alias("variance"), F.lit(None).cast("boolean").alias("feasible"))
+    own = own.join(F.broadcast(blend.select("policy", F.col("alpha").alias("__a"))), "policy").join(F.broadcast(flat), "policy")
+    value = F.when(F.col("__flat"), 1.0).otherwise((1 - F.col("__a")) * F.col("__raw") + F.col("__a") * F.col("__cal"))
+    own = mean_one(own.withColumn("w_to", value), w="w_to").withColumn("w_to", target * F.col("w_to"))
+    return own.drop("__raw", "__cal", "__a", "__flat"), blend

@@ -221,3 +221,60 @@ def pass_values(passes: DataFrame, value: str = "logprob") -> DataFrame:
     """(policy, prompt_id, mean, median, n) of each prompt's passes; missing and positive log-probabilities don't count, and a prompt without any has nulls."""
     fine = F.when(F.col(value) <= 0, F.col(value))
     return passes.groupBy("policy", "prompt_id").agg(F.avg(fine).alias("mean"), F.percentile(fine, 0.5).alias("median"), F.count(fine).alias("n"))
+
+
+def accuracy_table(runs: DataFrame, *keys: str, regimes: list[tuple[int, float]] | None = None) -> DataFrame:
+    """(keys, the metrics of accuracy, pairwise and top1 in per cent, tau, regret, runtime) of runs, or of those of the regimes: the
+    leaderboard, to be sorted by regret."""
+    if regimes is not None:
+        keep = F.lit(False)
+        for n, coverage in regimes:
+            keep |= (F.col("n") == n) & (F.round("coverage", 6) == round(coverage, 6))
+        runs = runs.where(keep)
+    order = ranking(runs, keys).join(kendall_of_runs(runs), "run_id", "left").groupBy(*keys).agg((F.avg("pairwise") * 100).alias("pairwise"), (F.avg("top1") * 100).alias("top1"), F.avg("tau").alias("tau"), F.avg("regret").alias("regret"))
+    out = table(runs, *keys).select(*keys, "rmse_d", "interval_score", "calibration", "se_geomean").join(order, [*keys], "left")
+    return out.join(run_level(runs, *keys).select(*keys, F.col("median").alias("runtime")), [*keys], "left") if "runtime" in runs.columns else out
+
+
+def gates_table(runs: DataFrame, gates: list[str], refused: str, *keys: str) -> DataFrame:
+    """(keys, per cent of rows that pass each gate, per cent refused): a missing gate is a failure."""
+    rate = lambda c: F.avg(F.coalesce(F.col(c), F.lit(False)).cast("double")) * 100
+    return runs.groupBy(*keys).agg(*[rate(c).alias(f"{c}_rate") for c in gates], rate(refused).alias("refuse_rate"))
+
+
+def coverage_and_width(runs: DataFrame) -> DataFrame:
+    """(estimator, n, coverage, seed, covered, width): per cent of policies inside their intervals and the mean width, rows without interval or truth left out."""
+    own = runs.where(F.col("lo").isNotNull() & F.col("hi").isNotNull() & F.col("truth").isNotNull())
+    return own.groupBy("estimator", *REGIME, "seed").agg((F.avg(F.col("truth").between(F.col("lo"), F.col("hi")).cast("double")) * 100).alias("covered"), F.avg(F.col("hi") - F.col("lo")).alias("width"))
+
+
+def quadrant_table(runs: DataFrame, quadrants: dict[str, tuple[list[int], list[float]]]) -> DataFrame:
+    """accuracy_table() by quadrant (sample sizes and label shares by name) and estimator; rows of no quadrant are left out."""
+    name = F.coalesce(*[F.when(F.col("n").isin(ns) & F.round("coverage", 6).isin([round(c, 6) for c in cs]), F.lit(q)) for q, (ns, cs) in quadrants.items()])
+    return accuracy_table(runs.withColumn("quadrant", name).where("quadrant is not null"), "quadrant", "estimator")
+
+
+def ess_comparison(runs: DataFrame, value: str = "ess") -> DataFrame:
+    """(estimator, n, coverage, without, with_, ratio): the median effective share without and with weight calibration (the toggle)."""
+    wide = runs.groupBy("estimator", *REGIME).agg(F.percentile(F.when(~F.col("toggle"), F.col(value)), 0.5).alias("without"), F.percentile(F.when(F.col("toggle"), F.col(value)), 0.5).alias("with_"))
+    return wide.withColumn("ratio", F.try_divide("with_", "without"))
+
+
+def forest(estimates: DataFrame, truth: DataFrame) -> DataFrame:
+    """(policy, estimate, lo, hi, truth, inside, rmse): estimates beside true values (policy, truth), where known, and the root mean
+    square error over the policies that have one: one number, in each row."""
+    own = estimates.select("policy", "estimate", "lo", "hi").join(truth.select("policy", "truth"), "policy", "left")
+    rmse = own.agg(F.sqrt(F.avg(F.pow(F.col("estimate") - F.col("truth"), 2))).alias("rmse"))
+    return own.withColumn("inside", F.col("truth").between(F.col("lo"), F.col("hi"))).crossJoin(F.broadcast(rmse))  # one row
+
+
+def text_table(rows: DataFrame, columns: list[str], digits: int = 4, limit: int = 1000) -> str:
+    """A report table in columns of fixed width, numbers to the right. A report has limit rows at most; more are an error."""
+    held = rows.select(*columns).limit(limit + 1).collect()
+    if len(held) > limit:
+        raise ValueError(f"a table of more than {limit} rows is no report")
+    cells = [["" if r[c] is None else f"{r[c]:.{digits}f}" if isinstance(r[c], float) else str(r[c]) for c in columns] for r in held]
+    number = [any(isinstance(r[c], (int, float)) for r in held) for c in columns]
+    width = [max([len(c), *[len(line[i]) for line in cells]]) for i, c in enumerate(columns)]
+    place = lambda line: "  ".join(v.rjust(w) if right else v.ljust(w) for v, w, right in zip(line, width, number, strict=True)).rstrip()
+    return "\n".join([place(columns), "-" * (sum(width) + 2 * len(width) - 2), *map(place, cells)])

@@ -37,38 +37,59 @@ class Smoother:
 
 
 def fit(rows: DataFrame, x: str, y: str, most_knots: int = 8, alphas: tuple[float, ...] = tuple(np.logspace(-3, 3, 13))) -> Smoother:
-    """The smoother of y on x. Knots: a quarter of the rows, 4 to most_knots of them. Every task adds up its products of
-    basis functions (at most 11 by 11 numbers); the penalty of least generalised cross-validation wins. Rows with nulls don't count."""
-    own = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    s = own.agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("n")).first()
-    if not s["n"]:
+    """The smoother of y on x. Rows with nulls don't count."""
+    own = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.lit(0).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    found = fit_levels(sums(own, "k"), most_knots, alphas)
+    if not found:
         raise ValueError("no rows to fit")
-    low, high, knots = s["low"], s["high"], int(min(most_knots, max(4, s["n"] // 4)))
+    return found[0]
+
+
+def sums(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, x, c, s, ss): rows, the sum of y and of its squares, by level of x."""
+    return rows.groupBy(*keys, "x").agg(F.count(F.lit(1)).cast("double").alias("c"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss"))
+
+
+def fit_levels(levels: DataFrame, most_knots: int = 8, alphas: tuple[float, ...] = tuple(np.logspace(-3, 3, 13))) -> dict[int, Smoother]:
+    """A smoother for each k (int) of levels (k, x, c, s, ss). Knots: a quarter of k's rows, 4 to most_knots of them.
+
+    Every task adds up its products of basis functions (at most 11 by 11 numbers a k); the penalty whose leave-one-out errors, added
+    up in a second pass, are least wins.
+    """
+    spans = levels.groupBy("k").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.sum("c").alias("n")).collect()  # a row a fold
+    shape = {r["k"]: (r["low"], r["high"], int(min(most_knots, max(4, r["n"] // 4)))) for r in spans}
+    design = lambda k, x: np.column_stack([np.ones(len(x)), basis(x, *shape[k])])
 
     def products(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
+        total: dict[int, np.ndarray] = {}
         for p in parts:
-            b = np.column_stack([np.ones(len(p)), basis(p["x"].to_numpy(), low, high, knots), p["y"].to_numpy()])
-            total = b.T @ b if total is None else total + b.T @ b
-        if total is not None:
-            i, j = np.indices(total.shape)
-            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
-
-    cells = own.mapInPandas(products, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    k = max(r["i"] for r in cells) + 1
-    m = np.zeros((k, k))
+            for k, g in p.groupby("k", sort=False):
+                b = design(k, g["x"].to_numpy())
+                total[k] = total.get(k, 0) + np.column_stack([b.T @ (b * g[["c"]].to_numpy()), b.T @ g["s"].to_numpy()])
+        for k, m in total.items():
+            i, j = np.indices(m.shape)
+            yield pd.DataFrame({"k": k, "i": i.ravel(), "j": j.ravel(), "v": m.ravel()})
+
+    cells = levels.mapInPandas(products, "k int, i int, j int, v double").groupBy("k", "i", "j").agg(F.sum("v").alias("v")).collect()
+    made = {k: np.zeros((n + 2, n + 3)) for k, (_, _, n) in shape.items()}
     for r in cells:
-        m[r["i"], r["j"]] = r["v"]
-    a, b, yy, n = m[:-1, :-1], m[:-1, -1], m[-1, -1], s["n"]
-    best = None
-    for alpha in alphas:
-        solved = np.linalg.pinv(a + alpha * np.diag([0.0, *np.ones(k - 2)]))
-        w = solved @ b
-        rss, freedom = max(0.0, yy - 2 * w @ b + w @ a @ w), float(np.trace(solved @ a))
-        score = rss / n / max(1e-12, 1 - freedom / n) ** 2
-        if best is None or score < best[0]:
-            best = (score, w)
-    return Smoother(low, high, knots, best[1])
+        made[r["k"]][r["i"], r["j"]] = r["v"]
+    solved = {k: [np.linalg.pinv(m[:, :-1] + a * np.diag([0.0, *np.ones(len(m) - 1)])) for a in alphas] for k, m in made.items()}
+    weights = {k: [s @ m[:, -1] for s in solved[k]] for k, m in made.items()}
+
+    def left_out(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for k, g in p.groupby("k", sort=False):
+                b, c, s, ss = design(k, g["x"].to_numpy()), g["c"].to_numpy(), g["s"].to_numpy(), g["ss"].to_numpy()
+                for i, (inverse, w) in enumerate(zip(solved[k], weights[k], strict=True)):
+                    f, own = b @ w, np.maximum(1 - np.einsum("ij,jk,ik->i", b, inverse, b), 1e-12)
+                    yield pd.DataFrame({"k": [k], "i": [i], "v": [float(((ss - 2 * f * s + c * f * f) / own**2).sum())]})
+
+    errors = levels.mapInPandas(left_out, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect()
+    best: dict[int, tuple[float, int]] = {}
+    for r in errors:
+        best[r["k"]] = min(best.get(r["k"], (np.inf, 0)), (r["v"], r["i"]))
+    return {k: Smoother(*shape[k], weights[k][i]) for k, (_, i) in best.items()}
 
 
 def predict(rows: DataFrame, smoother: Smoother, x: str, name: str) -> DataFrame:

@@ -1,21 +1,22 @@
-"""Tables written once where several later steps read them."""
+"""Tables written once where several later steps read them, and running sums over them."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 _fallback: list[str] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in the folder that driver and executors share (spark.checkpoint.dir), read again: lineage ends there.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
     Without that setting only a local master may go on, in a temporary folder; elsewhere each executor would write to its own disk.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
@@ -23,6 +24,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
         if not _fallback:
             _fallback.append("file://" + tempfile.mkdtemp(prefix="spark-tables-"))
         base = _fallback[0]
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet at a scratch() path, read again: lineage ends there."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, str]) -> DataFrame:
+    """Adds for each (name, column) of sums the column's sum over rows of equal keys up to this one, in the order (without ties).
+
+    Ranges of (keys, order) are summed where they lie, and the totals of those before come by broadcast (a row a range and key),
+    so no key is one task. Ranges are written first: a second reading would draw them anew.
+    """
+    dealt = written(df.repartitionByRange(*keys, order).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    totals = dealt.groupBy("__range", *keys).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
+    ahead = totals.select("__range", *keys, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__a_{n}") for n in sums])
+    within = W.partitionBy("__range", *keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    own = dealt.select("*", *[F.sum(c).over(within).alias(n) for n, c in sums.items()]).join(F.broadcast(ahead), ["__range", *keys])
+    return own.withColumns({n: F.col(n) + F.col(f"__a_{n}") for n in sums}).drop("__range", *[f"__a_{n}" for n in sums])

@@ -116,7 +116,7 @@ def is5_ecdf_rank(spark, sf_dir):
     return rounded(diagnostics.ecdf(weighted(spark, sf_dir), "judge_score"), 9)
 
 
-@query(WEIGHTS + ", m as (select policy, var_pop(w) as vr, var_pop(w_cal) as vc, covar_pop(w, w_cal) as c from wcal group by 1), a as (select *, 0.5 * vr * 1.001 as cap, vr + vc - 2 * c as vd from m), b as (select *, case when vc <= cap then 1.0 when vd <= 0 or (c - vr) * (c - vr) - vd * (vr - cap) < 0 then 1.0 else greatest(0.0, least(1.0, ((vr - c) + sqrt((c - vr) * (c - vr) - vd * (vr - cap))) / vd)) end as alpha from a) select policy, round(alpha, 6) as alpha, round(vr + 2 * alpha * (c - vr) + alpha * alpha * vd, 6) as variance, vr + 2 * alpha * (c - vr) + alpha * alpha * vd <= cap as feasible from b")
+@query(WEIGHTS + ", m as (select policy, var_pop(w) as vr, var_pop(w_cal) as vc, covar_pop(w, w_cal) as c from wcal group by 1), a as (select *, 0.5 * vr as cap, vr + vc - 2 * c as vd, c - vr as b from m), l as (select *, greatest(0, least(1, -b / vd)) as low from a), f as (select *, case when vc <= cap * 1.001 then 1.0 when vd <= 1e-12 then 0.0 when vr + 2 * low * b + low * low * vd > cap * 1.001 then low else greatest(0, least(1, (-b + sqrt(greatest(b * b - vd * (vr - cap), 0))) / (vd + 1e-12))) end as alpha from l) select policy, round(alpha, 6) as alpha, round(vr + 2 * alpha * b + alpha * alpha * vd, 6) as variance, vr + 2 * alpha * b + alpha * alpha * vd <= cap * 1.001 as feasible from f")
 def w8_variance_safe_blend(spark, sf_dir):
     return rounded(estimators.safe_blend(calibrated(spark, sf_dir), 0.5))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import diagnostics, estimators, isotonic, splines
+from ..operators import diagnostics, estimators, splines
 from . import bridge
 from .bridge import SQL
 from .oracle_sql import OUTCOMES, WEIGHTS, summary
@@ -100,12 +100,3 @@ def is4_spline_smoother(spark, sf_dir):
     rows = bridge.logged(spark, sf_dir)
     smooth = splines.fit(rows, "judge_score", "oracle_label")
     return rounded(splines.predict(rows.select("judge_score").distinct(), smooth, "judge_score", "smooth"), 5)
-
-
-@query()
-def c4_two_stage_rewards(spark, sf_dir):
-    """The smoother's value is the index on which labels are fitted, rising: a judge that is not monotone may be used."""
-    rows = bridge.logged(spark, sf_dir)
-    own = splines.predict(rows, splines.fit(rows, "judge_score", "oracle_label"), "judge_score", "index_").withColumn("g", F.lit(0))
-    model = isotonic.knots(isotonic.fit(own.where("oracle_label is not null"), ["g"], "index_", "oracle_label"), ["g"])
-    return rounded(isotonic.predict(own, model, ["g"], "index_", "reward", 0.0, 1.0).select("row_id", "reward"), 5)
