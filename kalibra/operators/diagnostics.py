@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import normal_ppf
-from .tables import running
+from .tables import running, written
+
+#: fixed values: levels of tau, by what it exceeds
+TAU_LEVELS, TAU_LOWEST = ((0.9, "excellent"), (0.8, "good"), (0.6, "moderate drift"), (0.4, "significant drift")), "severe drift"
 
 
 def ess(w: Column) -> Column:
@@ -116,15 +122,53 @@ def boundary_card(rows: DataFrame, labelled: DataFrame, gap: DataFrame, band: fl
     return a.select("policy", "outside", "saturated", "gap", F.when(F.col("outside") > 0, F.col("below") * F.col("r_lo") + F.col("above") * (1 - F.col("r_hi"))).alias("width"), verdict.alias("verdict"))
 
 
+def _concordance(pairs: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """Of each key: n, s (concordant less discordant pairs of rows) and the sums over ties of x and y that tau and its variance take.
+
+    Ranks of x are halved again and again: two rows of different x part in one bit, where they share a node (the bits above it). In a
+    node the rows of the lower half with less, or more, y are a running sum along y, so n cells cost n log n rows and no pairs.
+    """
+    own = pairs.where(F.col(key).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
+    cells = written(own.groupBy(key, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).cast("double").alias("c")), "cells")
+    ties = lambda v: cells.groupBy(key, v).agg(F.sum("c").alias("c")).groupBy(key).agg(F.sum("c").alias("n"), *[F.sum(f).alias(f"{v}{i}") for i, f in enumerate((F.col("c") * F.col("c"), F.expr("c * (c - 1) * (c - 2)"), F.expr("c * (c - 1) * (2 * c + 5)")))])
+    ranks = written(running(cells.select(key, "x").distinct().withColumn("one", F.lit(1)), [key], "x", {"rank": "one"}).select(key, "x", F.col("rank").cast("long").alias("rank")), "ranks")
+    bits = int(ranks.agg(F.max("rank")).first()[0] or 1).bit_length()
+    node = cells.join(ranks, [key, "x"]).withColumn("bit", F.explode(F.array(*map(F.lit, range(bits)))))
+    lower = F.expr("shiftright(rank, bit) & 1") == 0
+    half = lambda side: F.sum(F.when(side, F.col("c")).otherwise(0.0))
+    at = node.groupBy(key, "bit", F.expr("shiftright(rank, bit + 1)").alias("node"), "y").agg(half(lower).alias("l"), half(~lower).alias("r"))
+    at = running(at, [key, "bit", "node"], "y", {"upto": "l"})
+    # a node's pairs: r (upto - l) rise together, r (all - upto) do not; all comes once a node
+    part = at.groupBy(key, "bit", "node").agg(F.sum(F.expr("r * (2 * upto - l)")).alias("s"), F.sum("l").alias("all"), F.sum("r").alias("right"))
+    s = part.groupBy(key).agg(F.sum(F.expr("s - all * right")).alias("s"))
+    return ties("x").join(ties("y").drop("n"), key).join(s, key)
+
+
 def kendall(pairs: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """(key, n, tau_b) from counts of the cells of (x, y): pairs of cells, not of rows, are compared within each key."""
-    cells = pairs.groupBy(key, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).cast("double").alias("c"))
-    a, b = cells.alias("a"), cells.alias("b")
-    sign = lambda c: F.signum(F.col(f"a.{c}") - F.col(f"b.{c}"))
-    both = F.col("a.c") * F.col("b.c")
-    s = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}")).groupBy(F.col(f"a.{key}").alias(key)).agg(F.sum(both * sign("x") * sign("y")).alias("s"), F.sum(both * F.abs(sign("x"))).alias("sx"), F.sum(both * F.abs(sign("y"))).alias("sy"))
-    n = cells.groupBy(key).agg(F.sum("c").cast("long").alias("n"))
-    return s.join(n, key).select(key, "n", F.when((F.col("sx") > 0) & (F.col("sy") > 0), F.col("s") / F.sqrt(F.col("sx") * F.col("sy"))).alias("tau"))
+    """(key, n, tau): tau-b of x and y in each key, null where a side is constant. Rows without key, x or y don't count."""
+    apart = lambda v: F.col("n") * F.col("n") - F.col(f"{v}0")
+    return _concordance(pairs, key, x, y).select(key, F.col("n").cast("long").alias("n"), F.when((apart("x") > 0) & (apart("y") > 0), 2 * F.col("s") / F.sqrt(apart("x") * apart("y"))).alias("tau"))
+
+
+def kendall_drift(pairs: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """kendall() with p_value, drift (p under 0.05 and tau under 0.8) and level.
+
+    p_value is two-sided, of the normal approximation with its terms for ties, for samples of every size; null where tau is."""
+    c = _concordance(pairs, key, x, y).withColumn("m", F.expr("n * (n - 1)"))
+    ties = F.expr("(x0 - n) * (y0 - n) / (2 * m)") + F.when(F.col("n") > 2, F.expr("x1 * y1 / (9 * m * (n - 2))")).otherwise(0.0)
+    variance = F.expr("(m * (2 * n + 5) - x2 - y2) / 18") + ties
+    found = F.expr("n * n > x0 and n * n > y0")
+
+    @F.pandas_udf("double")
+    def two_sided(z: pd.Series) -> pd.Series:
+        return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore")
+
+    c = c.withColumns({"tau": F.when(found, F.expr("2 * s / sqrt((n * n - x0) * (n * n - y0))")), "p_value": two_sided(F.when(found, F.col("s") / F.sqrt(variance)))})
+    level = F.when(F.col("tau").isNull(), "unknown")
+    for least, name in TAU_LEVELS:
+        level = level.when(F.col("tau") > least, name)
+    drift = F.coalesce((F.col("p_value") < 0.05) & (F.col("tau") < 0.8), F.lit(False))
+    return c.select(key, F.col("n").cast("long").alias("n"), "tau", "p_value", drift.alias("drift"), level.otherwise(TAU_LOWEST).alias("level"))
 
 
 def draw_statistics(fresh: DataFrame) -> DataFrame:
@@ -281,7 +325,7 @@ def batches(rows: DataFrame, order: str, least: int, parts: int = 10) -> DataFra
 def stability(rows: DataFrame, order: str = "row_id", x: str = "judge_score", y: str = "oracle_label") -> DataFrame:
     """(kind, batch, n, tau): how scores drift from each batch to the next (drift), how they rank with the labels in each batch of
     labelled rows (batch) and in all (overall), and the population deviation over batches (spread, in tau). Tau is null where a side
-    is constant; rows without a score don't count. kendall() compares cells of (score, label), so scores of few levels are cheap."""
+    is constant; rows without a score don't count."""
     own = rows.where(F.col(x).isNotNull())
     pairs = own.where(F.col(y).isNotNull())
     drift = sequential_drift(batches(own.select(order, x), order, 50), "batch", "place", x)

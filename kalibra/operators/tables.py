@@ -37,13 +37,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, str]) -> DataFrame:
     """Adds for each (name, column) of sums the column's sum over rows of equal keys up to this one, in the order (without ties).
 
-    Ranges of (keys, order) are summed where they lie, and the totals of those before come by broadcast (a row a range and key),
-    so no key is one task. Ranges are written first: a second reading would draw them anew.
+    Ranges of (keys, order) are summed where they lie. Only keys that go on from an earlier range need the totals before it, one of each
+    range at most, so what is broadcast is a row a range however many keys there are, and no key is one task. Ranges are written first:
+    a second reading would draw them anew.
     """
     dealt = written(df.repartitionByRange(*keys, order).withColumn("__range", F.spark_partition_id()), "ranges")
     before = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     totals = dealt.groupBy("__range", *keys).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
-    ahead = totals.select("__range", *keys, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__a_{n}") for n in sums])
+    ahead = totals.select(F.col("__range").alias("__r"), *[F.col(k).alias(f"__k_{i}") for i, k in enumerate(keys)], F.count(F.lit(1)).over(before).alias("__earlier"), *[F.sum(f"__t_{n}").over(before).alias(f"__a_{n}") for n in sums])
     within = W.partitionBy("__range", *keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    own = dealt.select("*", *[F.sum(c).over(within).alias(n) for n, c in sums.items()]).join(F.broadcast(ahead), ["__range", *keys])
-    return own.withColumns({n: F.col(n) + F.col(f"__a_{n}") for n in sums}).drop("__range", *[f"__a_{n}" for n in sums])
+    same = F.col("__range") == F.col("__r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{i}"))
+    own = dealt.select("*", *[F.sum(c).over(within).alias(n) for n, c in sums.items()]).join(F.broadcast(ahead.where("__earlier > 0").drop("__earlier")), same, "left")
+    return own.withColumns({n: F.col(n) + F.coalesce(F.col(f"__a_{n}"), F.lit(0)) for n in sums}).select(*df.columns, *sums)

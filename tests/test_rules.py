@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kalibra.functions.chat import boundary
 from kalibra.functions.stats import simplex_weights
 from kalibra.operators import analysis, assembly, diagnostics, estimators, inference, outcomes, reporting, weights
+from kalibra.operators.tables import running
 from kalibra.plans import bridge, queries
 
 SF = "/root/testdata/sf0.001"
@@ -131,3 +132,37 @@ def test_tables_mark_the_best(spark):
     own = spark.createDataFrame([("a", 0.25), ("b", 0.5), ("c", 0.75)], "name string, mae double")
     text = reporting.markdown(own, ["name", "mae"], {"mae": "min"}, 2)
     assert "| a | **0.25** |" in text and "| b | <u>0.50</u> |" in text and "| c | 0.75 |" in text
+
+
+def test_kendall_drift_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = [("long", float(x), float(y)) for x, y in zip(rng.normal(size=400).round(2), rng.integers(0, 90, 400), strict=True)]
+    rows += [("near", float(i // 2), float(i // 2 + (i % 7 == 0))) for i in range(60)]
+    rows += [("flat", 1.0, float(i)) for i in range(5)] + [("one", 1.0, 2.0), ("two", 1.0, 2.0), ("two", 2.0, 1.0)]
+    extra = [(None, 1.0, 1.0), ("near", None, 1.0), ("near", 1.0, None)]
+    found = {r["k"]: r for r in diagnostics.kendall_drift(spark.createDataFrame(rows + extra, "k string, x double, y double"), "k", "x", "y").collect()}
+    assert set(found) == {"long", "near", "flat", "one", "two"}
+    for key, r in found.items():
+        x, y = (np.array([v[i] for v in rows if v[0] == key]) for i in (1, 2))
+        dx, dy = (np.sign(v[:, None] - v[None, :]) for v in (x, y))
+        s, sx, sy, n = (dx * dy).sum() / 2, np.abs(dx).sum(), np.abs(dy).sum(), len(x)
+        assert r["n"] == n
+        if not sx or not sy:
+            assert r["tau"] is None and r["p_value"] is None and not r["drift"] and r["level"] == "unknown"
+            continue
+        tau = 2 * s / math.sqrt(sx * sy)
+        tx, ty = (np.unique(v, return_counts=True)[1].astype(float) for v in (x, y))
+        of = lambda f: (f(tx).sum(), f(ty).sum())
+        pairs, triples, spans = of(lambda t: t * (t - 1)), of(lambda t: t * (t - 1) * (t - 2)), of(lambda t: t * (t - 1) * (2 * t + 5))
+        m = n * (n - 1)
+        var = (m * (2 * n + 5) - sum(spans)) / 18 + pairs[0] * pairs[1] / (2 * m) + (triples[0] * triples[1] / (9 * m * (n - 2)) if n > 2 else 0)
+        p = math.erfc(abs(s) / math.sqrt(var) / math.sqrt(2))
+        assert r["tau"] == pytest.approx(tau) and r["p_value"] == pytest.approx(p, abs=1e-12)
+        assert r["drift"] == (p < 0.05 and tau < 0.8)
+    assert found["near"]["level"] in ("excellent", "good")
+
+
+def test_running_sums_go_on_over_ranges(spark):
+    rows = [(k, i, i % 5) for k, n in (("a", 300), (None, 200), ("b", 1)) for i in range(n)] + [(f"s{i}", 0, i) for i in range(50)]
+    found = running(spark.createDataFrame(rows, "k string, at long, v long").repartition(7), ["k"], "at", {"upto": "v"}).collect()
+    assert {(r["k"], r["at"]): r["upto"] for r in found} == {(k, i): sum(w for l, j, w in rows if l == k and j <= i) for k, i, _ in rows}
