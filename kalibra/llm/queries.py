@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, crf, decontaminate, jaccard, line_dedup, packing, quality, sharding, token_counts, token_files
+from . import classifier, clustering, crf, decontaminate, jaccard, line_dedup, packing, quality, resampling, sharding, token_counts, token_files, warc
 from .common import saved, scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -73,9 +73,42 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kept", (F.col("quality") >= 0.5) & (F.col("toxic") < 0.5))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resampling.draw(documents(spark, sf_dir), target, keep=["doc_id"]).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arc, path = scratch(spark, "arc"), scratch(spark, "warc")
+    warc.write_arc(spark.read.parquet(f"{sf_dir}/pages.parquet"), arc)
+    warc.convert(spark, arc, path)
+    return warc.read_warc(spark, path, blocks=False).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _clustering_sql(k: int = 16, rounds: int = 3) -> str:
+    """op12 in plain integers: each round compares every vector with every centroid."""
+    near = """{a} as (select vec_id, any_value(v) as v, arg_min(c, (d, c)) as c, min(d) as d from (select w.vec_id, w.v, x.c, list_sum(list_transform(list_zip(w.v, x.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d from whole w cross join {c} x) group by vec_id)"""
+    mean = """{m} as (select c, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as v from (select c, i, sum(v[i]) as s, count(*) as n from {a}, range(1, 65) t(i) group by c, i) group by c),
+{to} as (select o.c, coalesce(m.v, o.v) as v from {c} o left join {m} m on m.c = o.c)"""
+    steps = ["whole as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: isfinite(x))) = 64)"]
+    steps.append(f"c0 as (select row_number() over (order by sha256('1:' || vec_id)) - 1 as c, v from whole qualify c < {k})")
+    for i in range(rounds + 1):
+        steps.append(near.format(a=f"a{i}", c=f"c{i}"))
+        if i < rounds:
+            steps.append(mean.format(m=f"m{i}", a=f"a{i}", c=f"c{i}", to=f"c{i + 1}"))
+    last = f"select a.vec_id, a.c::int as cluster, a.d as distance, (sum(a.d) over (partition by a.c))::bigint as cluster_inertia, (sum(a.d) over ())::bigint as inertia, sha256(array_to_string(x.v, ',')) as centroid_sha256 from a{rounds} a join c{rounds} x on x.c = a.c"
+    return "with " + ",\n".join(steps) + "\n" + last
+
+
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, {5 * g + 1}, 5))::int >> {s}) & 31) + 1, 1)" for g in range(8) for s in (15, 10, 5, 0))
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_shards, op3_language_id, op4_jaccard_join, op5_packing, op6_quality_rules, op7_quality_classifier, op8_token_files, op9_line_dedup, op10_token_counts)
+    for f in (op1_decontamination, op2_shards, op3_language_id, op4_jaccard_join, op5_packing, op6_quality_rules, op7_quality_classifier, op8_token_files, op9_line_dedup, op10_token_counts, op11_resampling, op12_clustering, op13_warc)
 }
 #: The others need a tokenizer, a hash or a model that SQL lacks; tests hold them against brute force.
 ORACLE_SQL = {
@@ -84,4 +117,7 @@ keyed as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11)
 shared as (select key, max(doc_id) as last from keyed where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
 marked as (select k.doc_id, k.line, k.pos, s.key is not null and k.doc_id <> s.last as gone from keyed k left join shared s on s.key = k.key)
 select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256 from marked group by doc_id""",
+    "op12_clustering": _clustering_sql(),
+    "op13_warc": f"""with held as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as hex, max(page_id) over (partition by coalesce(html, '')) as last from pages)
+select page_id, payload_bytes, {_BASE32} as payload_digest, case when page_id = last then 'response' else 'revisit' end as record_type, case when page_id <> last then last end as refers_to from held""",
 }
