@@ -3,84 +3,118 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import jsonl
-from . import estimators, inference, isotonic, weights
+from . import calibration, diagnostics, estimators, inference, jackknife, outcomes, weights
 from .tables import written
 
 #: Contributions by estimator name, from rows of estimators.stabilised(), with outcomes for those that need fresh draws.
 DIRECT: dict[str, Callable[[DataFrame], DataFrame]] = {"raw-ips": estimators.raw_ips, "calibrated-ips": estimators.calibrated_ips, "orthogonalized-ips": estimators.orthogonalised_ips}
 ROBUST: dict[str, Callable[[DataFrame], DataFrame]] = {
     "dr-cpo": estimators.dr_cpo, "oc-dr-cpo": estimators.orthogonalised_dr, "mrdr": lambda rows: estimators.dr_cpo(estimators.weighted_outcome(rows)), "tmle": estimators.tmle,
-    "tr-cpo": lambda rows: estimators.tr_cpo(rows, efficient=False), "tr-cpo-e": estimators.tr_cpo, "stacked-dr": lambda rows: stacked_dr(rows),
+    "tr-cpo": lambda rows: estimators.tr_cpo(rows, efficient=False), "tr-cpo-e": estimators.tr_cpo, "stacked-dr": lambda rows: stacked_dr(rows)[0],
 }
 REGISTRY = {**DIRECT, **ROBUST}
+#: Parts of the stacked estimator, and its least number of rows a policy.
+STACK, LEAST_ROWS = ("dr-cpo", "tmle", "mrdr"), 10
+#: Weights of raw-ips beyond this are cut to it, after which they have mean one again.
+CLIP = 100.0
 
 
-def stacked_dr(rows: DataFrame, components: tuple[str, ...] = ("dr-cpo", "tmle", "mrdr"), least_rows: int = 10) -> DataFrame:
-    """The components stacked; a single one is given as it is, and policies with fewer than least_rows rows are left out."""
-    enough = rows.groupBy("policy").count().where(F.col("count") >= least_rows).select("policy")
-    rows = rows.join(F.broadcast(enough), "policy")  # a row a policy
+def stacked_dr(rows: DataFrame, components: tuple[str, ...] = STACK, least_rows: int = LEAST_ROWS, draw_var: DataFrame | None = None) -> tuple[DataFrame, dict[str, dict[str, float]]]:
+    """The components stacked, and their weights by policy; a single one is given as it is, and policies with fewer than least_rows rows are
+    left out."""
+    counts = [r["policy"] for r in rows.groupBy("policy").count().collect() if r["count"] >= least_rows]  # a row a policy
+    rows = rows.where(F.col("policy").isin(counts))
     parts = {name: ROBUST[name](rows) for name in components}
-    return next(iter(parts.values())) if len(parts) == 1 else estimators.stacked(parts)
+    if len(parts) == 1:
+        return next(iter(parts.values())), {p: {components[0]: 1.0} for p in counts}
+    return estimators.stacking(parts, draw_var=draw_var)
 
 
-def prepared_rewards(logged: DataFrame) -> tuple[DataFrame, tuple[dict, dict] | None]:
-    """Rows with fold, reward and reward_oof, and the models. Rewards that all rows have are taken as they are; otherwise judge
-    scores are calibrated on the labels, cross-fitted, and rewards that only some rows have are replaced."""
+def prepared_rewards(logged: DataFrame, mode: str = "auto") -> tuple[DataFrame, calibration.Calibration | None]:
+    """Rows with fold, reward and reward_oof, and the models.
+
+    Rewards that all rows have are taken as they are. Otherwise judge scores are calibrated on the labels, cross-fitted, in the mode asked for or the
+    one whose errors are less (auto), and rewards that only some rows have are replaced. Where all rows are labelled the labels are the rewards.
+    """
     rows = logged.withColumn("fold", estimators.fold_of(F.col("prompt_id")))
-    a = logged.agg(F.count("reward"), F.count(F.lit(1)), F.count("oracle_label")).first() if "reward" in logged.columns else (0, 1, None)
-    if a[0] == a[1]:
+    known = F.count("reward") if "reward" in logged.columns else F.lit(0)
+    rewarded, n, labelled = logged.agg(known, F.count(F.lit(1)), F.count("oracle_label")).first()
+    if rewarded == n:
         return rows.withColumn("reward_oof", F.col("reward")), None
-    models = estimators.calibrate(rows)
-    if not models[0]:
+    if not labelled:
         raise ValueError("rewards are missing and there are no labels to calibrate judge scores on")
-    return estimators.with_rewards(rows.drop("reward"), models), models
-
-
-def oracle_variance(rows: DataFrame, fresh: DataFrame | None, models: tuple[dict, dict] | None, w: str) -> DataFrame | None:
-    """(policy, oracle_var): the jackknife over the labels' folds; with draws, the value is the draws' mean and the weighted rest,
-    both by the model in turn, outcome predictions as they are. None where rewards were given."""
-    if models is None:
-        return None
-    if fresh is None:
-        return estimators.jackknife(rows, models, F.col(w) * F.col("r"))
-    part = lambda value, own: isotonic.predict(own.select("*", F.explode(F.sequence(F.lit(0), F.lit(estimators.FOLDS - 1))).alias("__k")), models[1], ["__k"], "judge_score", "r", 0.0, 1.0)  # noqa: E731, ARG005
-    drawn = part(None, fresh.join(rows.select("policy", "prompt_id").distinct(), ["policy", "prompt_id"], "left_semi")).groupBy("policy", "prompt_id", "__k").agg(F.avg("r").alias("q"))
-    model = drawn.groupBy("policy", "__k").agg(F.avg("q").alias("dm"))
-    rest = part(None, rows).groupBy("policy", "__k").agg(F.avg(F.col(w) * (F.col("r") - F.col("g"))).alias("rest"))
-    psi, n = model.join(rest, ["policy", "__k"]).withColumn("psi", F.col("dm") + F.col("rest")), F.count(F.lit(1))
-    return psi.groupBy("policy").agg(((n - 1) / n * F.greatest(F.sum(F.col("psi") * F.col("psi")) - n * F.pow(F.avg("psi"), 2), F.lit(0.0))).alias("oracle_var"))
+    models = calibration.fit(rows, mode)
+    out = calibration.apply(rows.drop("reward"), models)
+    return (out.withColumn("reward", F.col("oracle_label").cast("double")) if labelled == n else out), models
 
 
-def analyze_tables(logged: DataFrame, fresh: DataFrame | None = None, estimator: str = "stacked-dr", policies: list[str] | None = None, alpha: float = 0.05) -> DataFrame:
-    """(policy, n, estimate, se_naive, se_cluster, groups, oracle_var, draw_var, se, lo, hi) of each policy.
+def analyze_many(logged: DataFrame, fresh: DataFrame | None, names: list[str], policies: list[str] | None = None, alpha: float = 0.05, mode: str = "auto", outcome: outcomes.SumsModel | outcomes.Isotonic | None = None, refuse: bool = False) -> DataFrame:
+    """(estimator, policy, n, estimate, se_naive, se_cluster, groups, oracle_var, draw_var, se, lo, hi): each of the named estimators on one
+    preparation of the rows.
 
     logged: (row_id, prompt_id, base_lp, target_lps, judge_score, oracle_label and, where rewards are known, reward); fresh:
     (prompt_id, policy, draw_idx, judge_score). Estimators of ROBUST need fresh. Rows without a log-probability of the base or of
-    any policy don't count. Errors hold those of clusters, of the labels (not where all rows are labelled) and of the draws.
+    any policy don't count. Errors hold those of clusters, of the labels (each estimator's own jackknife; none where all rows are labelled or
+    rewards were given) and of the draws. outcome: the outcome model; the calibration's own fold models by default, the rising fit of
+    rewards on scores where rewards were given. refuse: policies whose weights fail the gates (diagnostics.refusal_gates) get no value and no errors, and a
+    column refused tells which.
     """
-    if estimator not in REGISTRY:
-        raise ValueError(f"unknown estimator {estimator}; there are {', '.join(REGISTRY)}")
-    if estimator in ROBUST and fresh is None:
-        raise ValueError(f"{estimator} needs fresh draws")
+    if unknown := [n for n in names if n not in REGISTRY]:
+        raise ValueError(f"unknown estimator {unknown[0]}; there are {', '.join(REGISTRY)}")
+    robust = [n for n in names if n in ROBUST]
+    if robust and fresh is None:
+        raise ValueError(f"{robust[0]} needs fresh draws")
     policies = policies or jsonl.policies_of(logged)
-    scored, models = prepared_rewards(logged)
+    scored, models = prepared_rewards(logged, mode)
     rows = written(weights.hajek(weights.by_policy(weights.valid_rows(scored, policies)).where(F.col("policy").isin(policies))), "scored")
-    rows = written(estimators.stabilised(rows), "calibrated")
-    unlabelled = logged.where("oracle_label is null").limit(1).count() > 0
+    rows = direct = written(estimators.stabilised(rows), "calibrated")
     draw_var = None
-    if estimator in ROBUST:
-        if models is None:
-            raise ValueError("fresh draws are scored by the calibration model; given rewards leave none")
-        rows = written(estimators.with_outcomes(rows, fresh, models), "outcomes")
-        draw_var = estimators.draw_variance(rows)
-    w = "w" if estimator in ("raw-ips", "tr-cpo", "tr-cpo-e") else "w_cal"
-    oracle_var = oracle_variance(rows, fresh if estimator in ROBUST else None, models, w) if unlabelled else None
-    return inference.with_intervals(REGISTRY[estimator](rows), oracle_var, draw_var, alpha)
+    if robust:
+        if models is None or outcome is not None:
+            rows = outcomes.with_model(rows, fresh, outcomes.fit(rows, outcome or outcomes.Isotonic()))
+        else:
+            rows = estimators.with_outcomes(rows, fresh, models)
+        rows = written(rows, "outcomes")
+        draw_var = written(estimators.draw_variance(rows), "draw-variance")
+    found = {}
+    for name in names:
+        own = rows if name in ROBUST else weights.clipped(direct, CLIP) if name == "raw-ips" else direct  # prompts without draws count where none are needed
+        found[name] = stacked_dr(own, draw_var=draw_var)[0] if name == "stacked-dr" else REGISTRY[name](own)
+    oracle = oracle_variances(direct, rows, fresh, models, names, draw_var) if models is not None and logged.where("oracle_label is null").limit(1).count() else None
+    out = None
+    for name, c in found.items():
+        own = oracle.where(F.col("estimator") == name).drop("estimator") if oracle is not None else None
+        one = inference.with_intervals(c, own, draw_var if name in ROBUST else None, alpha).select(F.lit(name).alias("estimator"), "*")
+        out = one if out is None else out.unionByName(one)
+    if not refuse:
+        return out
+    gates = written(diagnostics.refusal_gates(rows).select("policy", "refused"), "gates")
+    kept = ("estimator", "policy", "n", "groups", "refused")
+    return out.join(F.broadcast(gates), "policy", "left").select(*[F.col(c) if c in kept else F.when(~F.col("refused"), F.col(c)).alias(c) for c in (*out.columns, "refused")])
+
+
+def oracle_variances(direct: DataFrame, rows: DataFrame, fresh: DataFrame | None, models, names: list[str], draw_var: DataFrame | None = None) -> DataFrame:
+    """(policy, estimator, oracle_var): the jackknife over the labels' folds of each named estimator; the stacked one combines its parts at
+    their weights. direct: the rows of estimators without draws, rows: those of the others."""
+    stack = "stacked-dr" in names
+    robust = [n for n in ROBUST if n != "stacked-dr" and (n in names or (stack and n in STACK))]
+    kinds = [(weights.clipped(direct, CLIP), [n for n in names if n == "raw-ips"]), (direct, [n for n in names if n in DIRECT and n != "raw-ips"]), (rows, robust)]
+    found = [jackknife.paths(own, fresh, models, named) for own, named in kinds if named]
+    found = written(reduce(DataFrame.unionByName, found), "jackknife")
+    if stack:
+        found = found.unionByName(jackknife.combined(found, stacked_dr(rows, draw_var=draw_var)[1]))
+    return written(jackknife.variance(found), "oracle-variance")
+
+
+def analyze_tables(logged: DataFrame, fresh: DataFrame | None = None, estimator: str = "stacked-dr", policies: list[str] | None = None, alpha: float = 0.05, mode: str = "auto", outcome: outcomes.SumsModel | outcomes.Isotonic | None = None, refuse: bool = False) -> DataFrame:
+    """analyze_many() of one estimator."""
+    return analyze_many(logged, fresh, [estimator], policies, alpha, mode, outcome, refuse).drop("estimator")
 
 
 def analyze(spark: SparkSession, log_path: str, fresh_path: str | None = None, estimator: str | None = None, judge_field: str = "judge_score", oracle_field: str = "oracle_label", alpha: float = 0.05) -> DataFrame:

@@ -31,6 +31,13 @@ class Calibration:
     smoothers: dict[int, splines.Smoother] = field(default_factory=dict)
     choice: dict[str, float] = field(default_factory=dict)
 
+    def at(self, rows: DataFrame, fold: str | None, name: str, score: str = "judge_score") -> DataFrame:
+        """Adds name: the reward in [0, 1] by the model of the row's fold (column fold), or of all labels; fold models are always asked at
+        their own index, whatever the mode. Null where the score is."""
+        own = rows.withColumn("__cal_k", F.col(fold).cast("int") if fold else F.lit(-1))
+        own = own.withColumn("__cal_x", F.col(score).cast("double")) if self.mode == "monotone" else indexed(own, self.smoothers, "__cal_k", score, "__cal_x")
+        return isotonic.predict(own, self.models, ["__cal_k"], "__cal_x", name, 0.0, 1.0).drop("__cal_k", "__cal_x")
+
 
 def _steps(knots: Knots) -> Knots:
     """Each block's value from its start up to the next one's: ranks jump from the end of a block to the start of the next, so
@@ -42,7 +49,7 @@ def _steps(knots: Knots) -> Knots:
     return out
 
 
-def _indexed(rows: DataFrame, smoothers: dict[int, splines.Smoother], fold: str, x: str, name: str) -> DataFrame:
+def indexed(rows: DataFrame, smoothers: dict[int, splines.Smoother], fold: str, x: str, name: str) -> DataFrame:
     """Adds name: the fold's smoother at x, to twelve decimals, so that equal scores are ties; x itself where the fold has none."""
     held = rows.sparkSession.sparkContext.broadcast(smoothers)
 
@@ -85,7 +92,7 @@ def fit(rows: DataFrame, mode: str = "monotone", folds: int = estimators.FOLDS)
     n = {r["k"]: r["n"] for r in train.groupBy("k").agg(F.sum("c").alias("n")).collect()}
     enough = [k for k, m in n.items() if m >= LEAST_LABELS]
     smoothers = splines.fit_levels(train.where(F.col("k").isin(enough))) if enough else {}
-    plain = rising(_indexed(train, smoothers, "k", "x", "g"), "g")
+    plain = rising(indexed(train, smoothers, "k", "x", "g"), "g")
     models = _steps(plain)
     if n.get(-1, 0) < LEAST_LABELS and (-1,) in plain:
         models[(-1,)] = plain[(-1,)]
@@ -99,7 +106,7 @@ def choose(levels: DataFrame, monotone: Calibration, two: Calibration) -> Calibr
     Thirds are by position (n // 3 rows, twice, and the rest); of a score whose rows lie in two thirds each takes its share.
     """
     own = isotonic.predict(levels, monotone.models, ["fold"], "x", "p1", 0.0, 1.0)
-    own = isotonic.predict(_indexed(own, two.smoothers, "fold", "x", "g"), two.models, ["fold"], "g", "p2", 0.0, 1.0)
+    own = isotonic.predict(indexed(own, two.smoothers, "fold", "x", "g"), two.models, ["fold"], "g", "p2", 0.0, 1.0)
     square = lambda p: F.col("ss") - 2 * F.col(p) * F.col("s") + F.col("c") * F.col(p) * F.col(p)
     p = F.col("p1")
     fourth = F.col("s4") - 4 * p * F.col("s3") + 6 * p * p * F.col("ss") - 4 * p * p * p * F.col("s") + F.col("c") * p * p * p * p
@@ -126,7 +133,7 @@ def index(rows: DataFrame, calibration: Calibration, fold: str | None = None, na
     ranks among the labelled rows the fit is on; ranks(), where they are asked for as such)."""
     if calibration.mode == "monotone":
         return rows.withColumn(name, F.col("judge_score").cast("double"))
-    return _indexed(rows.withColumn("__k", F.col(fold) if fold else F.lit(-1)), calibration.smoothers, "__k", "judge_score", name).drop("__k")
+    return indexed(rows.withColumn("__k", F.col(fold) if fold else F.lit(-1)), calibration.smoothers, "__k", "judge_score", name).drop("__k")
 
 
 def ranks(rows: DataFrame, labelled: DataFrame, calibration: Calibration) -> DataFrame:
@@ -141,6 +148,4 @@ def ranks(rows: DataFrame, labelled: DataFrame, calibration: Calibration) -> Dat
 
 def apply(rows: DataFrame, calibration: Calibration) -> DataFrame:
     """Adds reward (the model of all labels) and reward_oof (the fold's), both in [0, 1]; null where the score is."""
-    out = index(index(rows.withColumn("__all", F.lit(-1)), calibration, None, "__x"), calibration, "fold", "__y")
-    out = isotonic.predict(out, calibration.models, ["__all"], "__x", "reward", 0.0, 1.0)
-    return isotonic.predict(out, calibration.models, ["fold"], "__y", "reward_oof", 0.0, 1.0).drop("__all", "__x", "__y")
+    return calibration.at(calibration.at(rows, None, "reward"), "fold", "reward_oof")

@@ -42,6 +42,11 @@ def with_rewards(rows: DataFrame, models: tuple[dict, dict]) -> DataFrame:
     return isotonic.predict(out, models[1], ["fold"], "judge_score", "reward_oof", 0.0, 1.0)
 
 
+def fold_reward(rows: DataFrame, models, fold: str, name: str, score: str = "judge_score") -> DataFrame:
+    """Adds name: the reward by the model of the fold in the column fold, in [0, 1]. models: of calibrate(), or a calibration.Calibration."""
+    return isotonic.predict(rows, models[1], [fold], score, name, 0.0, 1.0) if isinstance(models, tuple) else models.at(rows, fold, name, score)
+
+
 def _centred(rows: DataFrame, c: Column) -> DataFrame:
     own = rows.withColumn("c", c)
     means = own.groupBy("policy").agg(F.avg("c").alias("__psi"))
@@ -151,7 +156,7 @@ def with_outcomes(rows: DataFrame, fresh: DataFrame, models: tuple[dict, dict])
 
     Rows whose prompt has no draw of the policy go. A prompt's draws are added up before the join.
     """
-    drawn = isotonic.predict(fresh.withColumn("fold", fold_of(F.col("prompt_id"))), models[1], ["fold"], "judge_score", "g", 0.0, 1.0)
+    drawn = fold_reward(fresh.withColumn("fold", fold_of(F.col("prompt_id"))), models, "fold", "g")
     stats = drawn.groupBy("policy", "prompt_id").agg(F.avg("g").alias("q"), F.count(F.lit(1)).alias("draws"), F.coalesce(F.var_samp("g"), F.lit(0.0)).alias("draw_var"))
     return rows.join(stats, ["policy", "prompt_id"]).withColumn("g", F.col("reward_oof"))
 
@@ -189,11 +194,33 @@ def tmle(rows: DataFrame, steps: int = 50, tol: float = 1e-8, w: str = "w_cal")
     return _centred(own, F.col("q") + F.col(w) * (F.col("reward") - mu()))
 
 
+def cross_fitted(rows: DataFrame, y: Column, name: str, low: float, high: float | None = None, least_rows: int = 100, least_scores: int = 8) -> DataFrame:
+    """Adds name: the isotonic mean of y given the score, by policy, from the other folds, cut to [low, high].
+
+    A fold with fewer than least_rows rows or least_scores scores to learn from gets their plain mean, a row without a score the mean of all that
+    have one. Rows are added up by (policy, fold, score) once; only these levels are copied for the folds.
+    """
+    own = rows.where(F.col("judge_score").isNotNull()).groupBy("policy", "fold", "judge_score").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).alias("s"))
+    own = written(own, "levels")
+    others = F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(FOLDS - 1)), F.col("fold"))).alias("fold")
+    train = own.select("policy", others, "judge_score", "n", "s").groupBy("policy", "fold", "judge_score").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("y", F.col("s") / F.col("n"))
+    models = isotonic.knots(isotonic.fit(train, ["policy", "fold"], "judge_score", "y", F.col("n")), ["policy", "fold"])
+    for r in train.groupBy("policy", "fold").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("scores"), F.sum("s").alias("s")).collect():  # a row a policy and fold
+        if r["n"] < least_rows or r["scores"] < least_scores:
+            models[r["policy"], r["fold"]] = (np.zeros(1), np.full(1, r["s"] / r["n"]))
+    means = own.groupBy("policy").agg((F.sum("s") / F.sum("n")).alias("__mean"))
+    out = isotonic.predict(rows, models, ["policy", "fold"], "judge_score", name, low, high).join(F.broadcast(means), "policy", "left")  # a row a policy
+    return out.withColumn(name, F.coalesce(name, "__mean")).drop("__mean")
+
+
 def mean_weight(rows: DataFrame) -> DataFrame:
-    """Adds m: the isotonic mean of w given the score, from the other folds, of mean 1."""
-    train = rows.select("policy", F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(FOLDS - 1)), F.col("fold"))).alias("fold"), "judge_score", "w")
-    fitted = isotonic.knots(isotonic.fit(train, ["policy", "fold"], "judge_score", "w"), ["policy", "fold"])
-    return mean_one(isotonic.predict(rows, fitted, ["policy", "fold"], "judge_score", "m", 0.0), w="m")
+    """Adds m: the isotonic mean of w given the score, from the other folds, of mean 1. See cross_fitted() for folds with little to learn from."""
+    return mean_one(cross_fitted(rows, F.col("w"), "m", 0.0), w="m")
+
+
+def label_chance(rows: DataFrame) -> DataFrame:
+    """Adds pi: the isotonic chance of a label given the score, from the other folds, in [0.001, 0.999]; it takes six scores to learn it."""
+    return cross_fitted(rows, F.col("oracle_label").isNotNull().cast("double"), "pi", 1e-3, 1 - 1e-3, least_scores=6)
 
 
 def orthogonalised_ips(rows: DataFrame) -> DataFrame:
@@ -214,10 +241,8 @@ def tr_cpo(rows: DataFrame, efficient: bool = True, anchored: bool = False, orth
     anchored: the part with w is split into one with calibrated weights and the rest, given as columns anchor and retarget, which
     sum to it. orthogonalised: (w - m)(R - R_oof) is added, of mean near zero, which takes the two fits' errors apart.
     """
-    own = mean_weight(rows).withColumn("__l", F.col("oracle_label").isNotNull().cast("double"))
-    train = own.select("policy", F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(FOLDS - 1)), F.col("fold"))).alias("fold"), "judge_score", "__l")
-    own = isotonic.predict(own, isotonic.knots(isotonic.fit(train, ["policy", "fold"], "judge_score", "__l"), ["policy", "fold"]), ["policy", "fold"], "judge_score", "__pi", 1e-3, 1 - 1e-3)
-    label = F.when(F.col("oracle_label").isNotNull(), (F.col("m") if efficient else F.col("w")) * (F.col("oracle_label") - F.col("reward")) / F.col("__pi")).otherwise(0.0)
+    own = label_chance(mean_weight(rows))
+    label = F.when(F.col("oracle_label").isNotNull(), (F.col("m") if efficient else F.col("w")) * (F.col("oracle_label") - F.col("reward")) / F.col("pi")).otherwise(0.0)
     left = F.col("reward") - F.col("g")
     value = F.col("q") + F.col("w") * left + label
     if orthogonalised:
@@ -252,20 +277,31 @@ def intervals(estimates: DataFrame, alpha: float = 0.05, se: str = "se") -> Data
     return estimates.withColumn("lo", F.col("estimate") - at * F.col(se)).withColumn("hi", F.col("estimate") + at * F.col(se))
 
 
-def stacked(parts: dict[str, DataFrame], ridge: float = 1e-4) -> DataFrame:
-    """One estimator from several, on the rows that all have: weights by the covariance of their influence, not negative, of sum 1; equal where it is near singular."""
+def stacking(parts: dict[str, DataFrame], ridge: float = 1e-4, draw_var: DataFrame | None = None, draw_share: float = 1.0) -> tuple[DataFrame, dict[str, dict[str, float]]]:
+    """One estimator from several, on the rows that all have, and its weights by policy and part: by the covariance of their influence, not
+    negative, of sum 1; equal where it is near singular.
+
+    draw_var (policy, mc_var): what drawing adds to the variance of each part. The parts share their draws, so it counts as wholly
+    correlated: n times draw_share times the product of its roots is added to each cell.
+    """
     names = sorted(parts)
     joint = None
     for n in names:
         own = parts[n].select("policy", "row_id", "fold", F.col("c").alias(f"c_{n}"), F.col("phi").alias(f"phi_{n}"))
         joint = own if joint is None else joint.join(own.drop("fold"), ["policy", "row_id"])
-    cov = joint.groupBy("policy").agg(*[F.covar_samp(f"phi_{a}", f"phi_{b}").alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names)]).collect()
+    cov = joint.groupBy("policy").agg(F.count(F.lit(1)).alias("n"), *[F.covar_samp(f"phi_{a}", f"phi_{b}").alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names)]).collect()
+    drawn = {r["policy"]: max(r["mc_var"] or 0.0, 0.0) for r in draw_var.collect()} if draw_var is not None else {}  # a row a policy
     alpha = {}
     for r in cov:
-        s = np.array([[r[f"{i}_{j}"] for j in range(len(names))] for i in range(len(names))]) + ridge * np.eye(len(names))
+        s = np.array([[r[f"{i}_{j}"] for j in range(len(names))] for i in range(len(names))]) + draw_share * r["n"] * drawn.get(r["policy"], 0.0) + ridge * np.eye(len(names))
         alpha[r["policy"]] = simplex_weights(s) if np.linalg.cond(s) < 1e8 else np.full(len(names), 1 / len(names))
     mix = lambda kind: sum(F.create_map(*[F.lit(x) for p, a in alpha.items() for x in (p, float(a[i]))])[F.col("policy")] * F.col(f"{kind}_{n}") for i, n in enumerate(names))
-    return joint.select("policy", "row_id", "fold", mix("c").alias("c"), mix("phi").alias("phi"))
+    return joint.select("policy", "row_id", "fold", mix("c").alias("c"), mix("phi").alias("phi")), {p: dict(zip(names, map(float, a), strict=True)) for p, a in alpha.items()}
+
+
+def stacked(parts: dict[str, DataFrame], ridge: float = 1e-4, draw_var: DataFrame | None = None) -> DataFrame:
+    """The contributions of stacking()."""
+    return stacking(parts, ridge, draw_var)[0]
 
 
 def jackknife(rows: DataFrame, models: tuple[dict, dict], value: Column, folds: int = FOLDS) -> DataFrame:

@@ -11,8 +11,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .tables import written
+
 
 def pool(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Starts of the blocks of the least-squares rising fit, in the order given."""
@@ -82,3 +85,38 @@ def predict(rows: DataFrame, models: dict[tuple, tuple[np.ndarray, np.ndarray]],
             yield pd.Series(out).astype(object).where(~np.isnan(out), None).astype("Float64")
 
     return rows.withColumn(name, at(*[F.col(k) for k in keys], F.col(x)))
+
+
+def predict_levels(rows: DataFrame, blocks: DataFrame, keys: list[str], x: str, name: str, low: float | None = None, high: float | None = None) -> DataFrame:
+    """As predict(), from a table of blocks (keys, x_lo, x_hi, y) of any size: nothing of it comes to the driver.
+
+    The levels of x in rows and the ends of blocks are dealt out by ranges; a level lies between the ends before and after it, of which
+    those beyond its range are told by a row a range. Rows are then joined to their levels.
+    """
+    own = [F.col(k) for k in keys]
+    ends = blocks.select(*own, F.explode(F.array(F.col("x_lo"), F.col("x_hi"))).alias("__x"), F.col("y").alias("__y")).distinct()
+    levels = rows.where(F.col(x).isNotNull()).select(*own, F.col(x).cast("double").alias("__x")).distinct().withColumn("__y", F.lit(None).cast("double"))
+    # an end and a level at one place lie in one range, as ranges are by place alone
+    dealt = written(ends.unionByName(levels).repartitionByRange(*own, "__x").withColumn("__range", F.spark_partition_id()), "levels")
+    end = F.when(F.col("__y").isNotNull(), F.struct("__x", "__y"))
+    within = W.partitionBy("__range", *keys).orderBy("__x", F.col("__y").isNull())
+    back, ahead = within.rowsBetween(W.unboundedPreceding, 0), within.rowsBetween(0, W.unboundedFollowing)
+    spans = dealt.groupBy("__range", *keys).agg(F.min(end).alias("first"), F.max(end).alias("last"))
+    order = W.partitionBy(*keys).orderBy("__range")
+    spans = spans.select("__range", *own, F.last("last", True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("__before"), F.first("first", True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("__after"))
+    placed = dealt.select("*", F.last(end, True).over(back).alias("__l"), F.first(end, True).over(ahead).alias("__h")).where("__y is null")
+    same = placed["__range"] == spans["__range"]
+    for k in keys:
+        same = same & placed[k].eqNullSafe(spans[k])
+    placed = placed.join(F.broadcast(spans), same).select(*[placed[k].alias(f"__k_{i}") for i, k in enumerate(keys)], placed["__x"].alias("__at"), F.coalesce("__l", "__before").alias("l"), F.coalesce("__h", "__after").alias("h"))
+    gap = F.col("h.__x") - F.col("l.__x")
+    value = F.when(F.col("l").isNull(), F.col("h.__y")).when(F.col("h").isNull() | (gap == 0), F.col("l.__y")).otherwise(F.col("l.__y") + (F.col("h.__y") - F.col("l.__y")) * (F.col("__at") - F.col("l.__x")) / gap)
+    if low is not None:
+        value = F.greatest(value, F.lit(low))
+    if high is not None:
+        value = F.least(value, F.lit(high))
+    values = placed.where("l is not null or h is not null").select(*[f"__k_{i}" for i in range(len(keys))], "__at", value.alias(name))
+    on = F.col(x).cast("double") == F.col("__at")
+    for i, k in enumerate(keys):
+        on = on & rows[k].eqNullSafe(F.col(f"__k_{i}"))
+    return rows.drop(name).join(values, on, "left").drop("__at", *[f"__k_{i}" for i in range(len(keys))])

@@ -51,3 +51,8 @@ def mean_one(rows: DataFrame, keys: tuple[str, ...] = ("policy",), w: str = "w")
     """w over its mean within keys; zeros where all are. One small row a key comes back by broadcast."""
     means = rows.groupBy(*keys).agg(F.avg(w).alias("__mean"))
     return rows.join(F.broadcast(means), [*keys]).withColumn(w, F.when(F.col("__mean") > 0, F.col(w) / F.col("__mean")).otherwise(0.0)).drop("__mean")
+
+
+def clipped(rows: DataFrame, most: float, keys: tuple[str, ...] = ("policy",)) -> DataFrame:
+    """w cut to most, then of mean one again."""
+    return mean_one(rows.withColumn("w", F.least("w", F.lit(most))), keys)

@@ -25,13 +25,13 @@ DR = ", dc as (select policy, row_id, fold, o, c, c - avg(c) over (partition by
 @query(OUTCOMES + JACK + DRAWS + DR + f" select policy, n, round(estimate, 6) as estimate, round(se_cluster, 6) as se_cluster, round(oracle_var, 9) as oracle_var, round(mc, 9) as draw_var, round(sqrt(se_cluster * se_cluster + oracle_var + mc), 6) as se, round(estimate - {T4} * sqrt(se_cluster * se_cluster + oracle_var + mc), 6) as lo, round(estimate + {T4} * sqrt(se_cluster * se_cluster + oracle_var + mc), 6) as hi from est join jack using (policy) join mc using (policy)")
 def d18_dr_with_intervals(spark, sf_dir):
     """analyze_tables() of the log and its draws."""
-    out = analysis.analyze_tables(bridge.logged(spark, sf_dir), bridge.fresh(spark, sf_dir), "dr-cpo")
+    out = analysis.analyze_tables(bridge.logged(spark, sf_dir), bridge.fresh(spark, sf_dir), "dr-cpo", mode="monotone")
     return out.select("policy", "n", *[F.round(c, 9 if c.endswith("var") else 6).alias(c) for c in ("estimate", "se_cluster", "oracle_var", "draw_var", "se", "lo", "hi")])
 
 
 @query(IPS + f", {pred('pji', 'mk', 'select f.k, judge_score as x from logged cross join (select unnest([0, 1, 2, 3, 4]) as k) f')}, ji as (select policy, p.k, avg(w_cal * greatest(0.0, least(1.0, p.y))) as psi from wcal join pji p on p.x = judge_score group by 1, 2), jack as (select policy, 0.8 * greatest(sum(psi * psi) - 5 * avg(psi) * avg(psi), 0.0) as oracle_var from ji group by 1), " + errors("ips") + f" select policy, n, round(estimate, 6) as estimate, round(sqrt(se_cluster * se_cluster + oracle_var), 6) as se, round(estimate - {T4} * sqrt(se_cluster * se_cluster + oracle_var), 6) as lo, round(estimate + {T4} * sqrt(se_cluster * se_cluster + oracle_var), 6) as hi from est join jack using (policy)")
 def e11_calibrated_ips_with_intervals(spark, sf_dir):
-    return rounded(analysis.analyze_tables(bridge.logged(spark, sf_dir), None, "calibrated-ips").select("policy", "n", "estimate", "se", "lo", "hi"))
+    return rounded(analysis.analyze_tables(bridge.logged(spark, sf_dir), None, "calibrated-ips", mode="monotone").select("policy", "n", "estimate", "se", "lo", "hi"))
 
 
 @query(OUTCOMES + DR + ", two as (" + " union all ".join(f"select '{n}' as kind, policy, count(*) as g, count(*) * 1.0 / (count(*) - 1) * (sum(t * t) - count(*) * avg(t) * avg(t)) / (sum(m) * sum(m)) as v from (select policy, sum(phi) as t, count(*) as m from dc group by policy, {k}) group by policy" for n, k in (("a", "fold"), ("b", "o"), ("ab", "fold, o"))) + ") select policy, round(sqrt(greatest(sum(case when kind = 'ab' then -v else v end), 0)), 6) as se, max(case when kind <> 'ab' then g end) - 1 as df from two group by policy")
@@ -95,7 +95,7 @@ def e13_floor_mass(spark, sf_dir):
 
 @query(CALIBRATED + f", q as (select quantile_cont(judge_score, 0.1) as a, quantile_cont(judge_score, 0.2) as b from logged) select count(*) as n, count(oracle_label) as n_labels, round(sqrt(avg((reward - oracle_label) * (reward - oracle_label))), 6) as rmse, round(sqrt(avg((reward_oof - oracle_label) * (reward_oof - oracle_label))), 6) as rmse_oof, round(min(reward), 6) as f_min, round(max(reward), 6) as f_max, count(distinct round(reward, 6)) as levels, round(avg(case when judge_score <= a then case when oracle_label is null then 0.0 else 1.0 end end), 6) as covered_10, round(avg(case when judge_score <= b then case when oracle_label is null then 0.0 else 1.0 end end), 6) as covered_20 from cal cross join q")
 def c8_calibrated_dataset(spark, sf_dir):
-    return rounded(analysis.calibration_summary(analysis.prepared_rewards(bridge.logged(spark, sf_dir))[0]))
+    return rounded(analysis.calibration_summary(analysis.prepared_rewards(bridge.logged(spark, sf_dir), "monotone")[0]))
 
 
 @query(SQL + f", l as (select row_id, oracle_label is not null as labelled, (row_number() over (partition by oracle_label is not null order by md5(prompt_id || '-42'), row_id) - 1) % 5 as even, {FOLD} as hashed from logged) select row_id, cast(case when labelled then even else hashed end as bigint) as fold from l")
