@@ -48,7 +48,7 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     df = df.withColumn("__q_lines", lines)
     count = lambda pattern: F.regexp_count(body, F.lit(pattern)).cast("long")
     df = df.select(
-        *docs.columns, F.col("__q_words"), n.cast("long").alias("__q_n_words"),
+        *[F.col(f"`{c}`") for c in docs.columns], F.col("__q_words"), n.cast("long").alias("__q_n_words"),
         F.length(F.array_join("__q_words", "")).cast("long").alias("__q_word_chars"), count(SYMBOLS).alias("__q_n_symbols"),
         (F.size("__q_lines") - F.size(F.array_distinct("__q_lines"))).cast("long").alias("__q_n_dup_lines"),
         repeated_words(F.col("__q_words"), F.col("__q_windows")).alias("__q_n_repeat_words"),
@@ -91,12 +91,36 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) / 2))
 
 
+#: What judge() adds, after its prefix.
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
+
+
+def result_prefix(docs: DataFrame) -> str:
+    """What the columns that judge() adds begin with: __q_, with more underscores before it where docs has columns that begin so."""
+    prefix = "__q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
+def _aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns that begin with __q_ under other names, and all names now by names before."""
+    held, names = {c.lower() for c in docs.columns}, {}
+    for c in docs.columns:
+        new = c
+        while new.lower().startswith("__q_") or (new != c and new.lower() in held):
+            new = f"q{new}"
+        held.add(new.lower())
+        names[c] = new
+    return docs.select(*[F.col(f"`{c}`").alias(new) for c, new in names.items()]), names
+
+
 #: Up to so many languages their references are broadcast (some hundred bytes each); beyond it they are joined.
 BROADCAST_LANGUAGES = 10_000
 
 
 def judge(docs: DataFrame, class_limit: float = 0.22, word_limit: float = 0.25, min_chars: int = 100, min_words: int = 60, n_common: int = 16, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
-    """docs and the columns __q_n_words, __q_word_chars, __q_n_symbols, __q_n_dup_lines, __q_n_repeat_words,
+    """docs and, after result_prefix(docs), the columns RESULTS: __q_n_words, __q_word_chars, __q_n_symbols, __q_n_dup_lines, __q_n_repeat_words,
     __q_base_failed, __q_class_distance, __q_word_distance and __q_kept.
 
     Base rules: fewer than 10 words, or more than a fifth of the words in repeated windows of five, fail.
@@ -106,8 +130,10 @@ def judge(docs: DataFrame, class_limit: float = 0.22, word_limit: float = 0.25,
     the word limit is wider for short texts, whose counts scatter: by 0.15 over the root of n_words.
 
     A null text is empty and fails. A text in a language without references (no row has one) passes the
-    distances. Each row is judged alone, repeated or not; all columns of docs pass.
+    distances. Each row is judged alone, repeated or not; all columns of docs pass, whatever their names.
     """
+    prefix, (docs, names) = result_prefix(docs), _aside(docs)
+    text, lang = names.get(text, text), names.get(lang, lang)
     refs = saved(references(docs, n_common, text=text, lang=lang), "references")  # a row a language
     own = measured(docs, doc_id, text, lang)
     own = own.join(F.broadcast(refs) if refs.count() <= BROADCAST_LANGUAGES else refs, "__q_lang", "left")
@@ -124,11 +150,13 @@ def judge(docs: DataFrame, class_limit: float = 0.22, word_limit: float = 0.25,
     words = js_distance(with_rest(F.col("__q_found"), F.lit(1.0) - F.size("__q_common") / n_words), with_rest(F.col("__q_ref_shares"), rest(F.col("__q_ref_shares"))))
     own = own.withColumn("__q_word_distance", F.when(F.col("__q_n_words") >= min_words, words))
     far = (F.coalesce(F.col("__q_class_distance"), F.lit(0.0)) > class_limit) | (F.coalesce(F.col("__q_word_distance"), F.lit(0.0)) > word_limit + 0.15 / F.sqrt(n_words))
-    return own.withColumn("__q_kept", ~F.col("__q_base_failed") & ~far).drop("__q_words", "__q_shares", "__q_ref_classes", "__q_ref_words", "__q_ref_shares", "__q_common", "__q_found", "__q_classes", "__q_lang")
+    own = own.withColumn("__q_kept", ~F.col("__q_base_failed") & ~far)
+    return own.select(*[F.col(f"`{new}`").alias(c) for c, new in names.items()], *[F.col(f"__q_{c}").alias(f"{prefix}{c}") for c in RESULTS])
 
 
 def keep_good(docs: DataFrame, **parameters) -> DataFrame:
     """The documents that judge() keeps, with the columns of docs."""
+    prefix = result_prefix(docs)
     # the filter looks at a column that depends on the row's place, so it is not moved below the counts, which it would repeat
-    judged = judge(docs, **parameters).withColumn("__q_row", F.monotonically_increasing_id())
-    return judged.where(F.col("__q_kept") & (F.col("__q_row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = judge(docs, **parameters).withColumn(f"{prefix}row", F.monotonically_increasing_id())
+    return judged.where(F.col(f"{prefix}kept") & (F.col(f"{prefix}row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -42,8 +42,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = quality.judge(documents(spark, sf_dir))
-    return q.select("doc_id", *[F.col(f"__q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")])
+    docs = documents(spark, sf_dir)
+    prefix = quality.result_prefix(docs)
+    return quality.judge(docs).select("doc_id", *[F.col(f"{prefix}{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))  # a document without an id isn't held out
     tagged = crf.tag_languages(docs, docs.where(~held_out))
     return tagged.select("doc_id", held_out.alias("held_out"), F.col("lang").alias("lang_pred"), "score", "n_words", "n_switched")
 

@@ -14,6 +14,9 @@ from .common import SPACE, SPACE_CLASS, saved
 
 CACHE = T.StructType([T.StructField("digest", T.StringType()), T.StructField("tokenizer", T.StringType()), T.StructField("n_tokens", T.LongType())])
 
+#: A content that makes up more than one in so many rows is broadcast with its count.
+HOT_SHARE = 1000
+
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The cache's rows; none where nothing has been written yet. A count written twice (a repeated job) counts once."""
@@ -53,4 +56,8 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, doc_id:
 
     due.mapInArrow(encode, CACHE).write.mode("append").parquet(cache_path)
     known = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens")
-    return seen.join(known, "digest").select("doc_id", "digest", "n_bytes", "n_tokens")
+    # rows of a very common content would meet in one task of a shuffle; those contents, HOT_SHARE at most, are broadcast
+    hot = seen.groupBy("digest").count().where(F.col("count") > max(1, seen.count() // HOT_SHARE)).select("digest")
+    hot = saved(known.join(F.broadcast(hot), "digest"), "hot-counts")
+    found = seen.join(F.broadcast(hot), "digest").unionByName(seen.join(F.broadcast(hot), "digest", "left_anti").join(known, "digest"), allowMissingColumns=True)
+    return found.select("doc_id", "digest", "n_bytes", "n_tokens")

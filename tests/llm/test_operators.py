@@ -19,7 +19,7 @@ from kalibra.llm.common import saved, scratch
 from kalibra.llm.components import components
 
 BPE = public_tokenizers.path("word_bpe_49k.json")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, __key int, __id int, __tie string, __slice int, __bucket string, __gone int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, __key int, __id int, __tie string, __slice int, __bucket string, __gone int, __q_words string, __q_lang int, __q_row string, __q_kept int"
 VOCABULARY = ["the", "and", "of", "to", "in", "that", "house", "river", "walked", "slowly", "Morning", "light,", "over", "hills.", "café", "naïve", "stone", "garden", "winter", "sea"]
 
 
@@ -38,7 +38,7 @@ def _texts():
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, ["en", "fr", None][i % 3], "src0" if i % 3 else None, None if t is None else len(t), "clash", i, i, "clash", i, "clash", i) for i, t in enumerate(_texts())]
+    rows = [(i, t, ["en", "fr", None][i % 3], "src0" if i % 3 else None, None if t is None else len(t), "clash", i, i, "clash", i, "clash", i, "clash", i, "clash", i) for i, t in enumerate(_texts())]
     return saved(spark.createDataFrame(rows, SCHEMA).repartition(3), "fixture")
 
 
@@ -115,6 +115,9 @@ def test_token_counts_fill_and_use_the_cache(spark, docs, empty, monkeypatch):
         assert held.count() == held.select("digest").distinct().count()  # the second run has added nothing
     assert token_counts.count_tokens(docs.union(docs), path, BPE).count() == 2 * len(want)
     assert token_counts.count_tokens(empty, scratch(spark, "t"), BPE).count() == 0
+    monkeypatch.setattr(token_counts, "HOT_SHARE", 10)
+    many = docs.where("doc_id in (1, 5)").crossJoin(spark.range(20)).drop("id").unionByName(docs)
+    assert collections.Counter((r["doc_id"], r["n_tokens"]) for r in token_counts.count_tokens(many, path, BPE).collect()) == collections.Counter({(i, n): 21 if i in (1, 5) else 1 for i, (_, n) in want.items()})
 
 
 def _key(line):
@@ -168,24 +171,30 @@ def test_quality_rules(docs, empty):
         classes[lang] = [a + b for a, b in zip(classes[lang], _classes(t or ""), strict=True)]
         words[lang].update(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     top = {k: sorted(((w, n) for w, n in c.items() if len(w) <= 5 and w.isalpha()), key=lambda x: (-x[1], x[0]))[:16] for k, c in words.items()}
-    for r in quality.judge(docs).collect():
+    judged, columns = quality.judge(docs), docs.columns
+    assert quality.result_prefix(docs) == "___q_" and judged.columns == [*columns, *[f"___q_{c}" for c in quality.RESULTS]]
+    assert [tuple(r) for r in judged.select(*columns).orderBy("doc_id").collect()] == [tuple(r) for r in docs.orderBy("doc_id").collect()]
+    for r in judged.collect():
         i, lang, t = r["doc_id"], langs[r["doc_id"]], texts[r["doc_id"]] or ""
         got = _counts(t)
-        assert tuple(r[f"__q_{c}"] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == got, i
+        assert tuple(r[f"___q_{c}"] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == got, i
         base = got[0] < 10 or 100 * got[4] > 20 * got[0]
         total, own = sum(words[lang].values()), collections.Counter(re.findall(r"[^\x20\x09-\x0D]+", t))
         far = False
         if len(t) >= 100:
             d = _distance([x / len(t) for x in _classes(t)], [x / sum(classes[lang]) for x in classes[lang]])
-            assert math.isclose(r["__q_class_distance"], d, abs_tol=1e-9)
+            assert math.isclose(r["___q_class_distance"], d, abs_tol=1e-9)
             far |= d > 0.22
         if got[0] >= 60:
             p, q = [own[w] / got[0] for w, _ in top[lang]], [n / total for _, n in top[lang]]
             d = _distance([*p, 1 - sum(p)], [*q, 1 - sum(q)])
-            assert math.isclose(r["__q_word_distance"], d, abs_tol=1e-6)
+            assert math.isclose(r["___q_word_distance"], d, abs_tol=1e-6)
             far |= d > 0.25 + 0.15 / math.sqrt(got[0])
-        assert r["__q_base_failed"] == base and r["__q_kept"] == (not base and not far)
-    assert quality.keep_good(docs).columns == docs.columns
+        assert r["___q_base_failed"] == base and r["___q_kept"] == (not base and not far)
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in judged.collect() if r["___q_kept"]}
+    moved = docs.withColumnRenamed("text", "__q_text").withColumnRenamed("lang", "__Q_mine")
+    assert quality.keep_good(moved, text="__q_text", lang="__Q_mine").count() == kept.count()
     assert quality.judge(empty).count() == 0
 
 
@@ -372,3 +381,11 @@ def test_pipeline_stages_are_their_operators(spark, docs, tmp_path):
         lengths[r["doc_id"]] += r["length"]
     assert lengths == {i: len(_ids(t)) + 1 for i, t in kept.items()}
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_pipeline_of_no_documents_and_of_rows_without_ids(spark, docs, empty, tmp_path):
+    for name, rows in (("none", empty), ("nulls", docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id"))).unionByName(docs.where("doc_id = 5")))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(0, "two words"), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert (len(out) == 0) == (name == "none")
