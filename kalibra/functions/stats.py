@@ -60,3 +60,30 @@ def simplex_weights(cov: np.ndarray) -> np.ndarray:
             out[held] = np.maximum(x, 0) / np.maximum(x, 0).sum()
             return out
         held.pop(int(x.argmin()))
+
+
+#: Fixed value: Kendall's p is counted out for so many pairs at most (where nothing is tied), and for one pair out of order in any number.
+KENDALL_EXACT = 33
+
+
+def kendall_exact(n: int, discordant: int) -> float | None:
+    """The two-sided p of Kendall's tau for n rows without ties, of which so many pairs are out of order: the share of all orders
+    that are at least as far from the middle. None where the normal approximation serves."""
+    pairs = n * (n - 1) // 2
+    c = min(discordant, pairs - discordant)
+    if n > KENDALL_EXACT and c > 1:
+        return None
+    if 4 * c == 2 * pairs or n < 2:
+        return 1.0
+    ways = [1] + [0] * c  # orders of one row, by pairs out of order; the k-th row adds 0 to k - 1
+    for k in range(2, n + 1):
+        run = 0
+        fresh = []
+        for i in range(c + 1):
+            run += ways[i] - (ways[i - k] if i >= k else 0)
+            fresh.append(run)
+        ways = fresh
+        if c <= 1 and k > 2:  # 1 and k - 1 ways, whatever the rest
+            ways = [1, n - 1][: c + 1]
+            break
+    return min(1.0, 2 * sum(ways) / math.factorial(n)) if n <= 170 else 0.0

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import jsonl
-from . import calibration, diagnostics, estimators, inference, jackknife, outcomes, weights
+from . import calibration, diagnostics, estimators, inference, jackknife, outcomes, residuals, weights
 from .tables import written
 
 #: Contributions by estimator name, from rows of estimators.stabilised(), with outcomes for those that need fresh draws.
@@ -54,7 +54,7 @@ def prepared_rewards(logged: DataFrame, mode: str = "auto") -> tuple[DataFrame,
     return (out.withColumn("reward", F.col("oracle_label").cast("double")) if labelled == n else out), models
 
 
-def analyze_many(logged: DataFrame, fresh: DataFrame | None, names: list[str], policies: list[str] | None = None, alpha: float = 0.05, mode: str = "auto", outcome: outcomes.SumsModel | outcomes.Isotonic | None = None, refuse: bool = False) -> DataFrame:
+def analyze_many(logged: DataFrame, fresh: DataFrame | None, names: list[str], policies: list[str] | None = None, alpha: float = 0.05, mode: str = "auto", outcome: outcomes.SumsModel | outcomes.Isotonic | None = None, refuse: bool = False, residualise: str | None = None) -> DataFrame:
     """(estimator, policy, n, estimate, se_naive, se_cluster, groups, oracle_var, draw_var, se, lo, hi): each of the named estimators on one
     preparation of the rows.
 
@@ -63,7 +63,8 @@ def analyze_many(logged: DataFrame, fresh: DataFrame | None, names: list[str], p
     any policy don't count. Errors hold those of clusters, of the labels (each estimator's own jackknife; none where all rows are labelled or
     rewards were given) and of the draws. outcome: the outcome model; the calibration's own fold models by default, the rising fit of
     rewards on scores where rewards were given. refuse: policies whose weights fail the gates (diagnostics.refusal_gates) get no value and no errors, and a
-    column refused tells which.
+    column refused tells which. residualise: spline or isotonic; the influence less what the score explains of it then makes the errors of
+    clusters, values stay.
     """
     if unknown := [n for n in names if n not in REGISTRY]:
         raise ValueError(f"unknown estimator {unknown[0]}; there are {', '.join(REGISTRY)}")
@@ -86,6 +87,8 @@ def analyze_many(logged: DataFrame, fresh: DataFrame | None, names: list[str], p
     for name in names:
         own = rows if name in ROBUST else weights.clipped(direct, CLIP) if name == "raw-ips" else direct  # prompts without draws count where none are needed
         found[name] = stacked_dr(own, draw_var=draw_var)[0] if name == "stacked-dr" else REGISTRY[name](own)
+        if residualise:
+            found[name] = residuals.residualised(found[name], own, residualise)[0]
     oracle = oracle_variances(direct, rows, fresh, models, names, draw_var) if models is not None and logged.where("oracle_label is null").limit(1).count() else None
     out = None
     for name, c in found.items():
@@ -112,9 +115,9 @@ def oracle_variances(direct: DataFrame, rows: DataFrame, fresh: DataFrame | None
     return written(jackknife.variance(found), "oracle-variance")
 
 
-def analyze_tables(logged: DataFrame, fresh: DataFrame | None = None, estimator: str = "stacked-dr", policies: list[str] | None = None, alpha: float = 0.05, mode: str = "auto", outcome: outcomes.SumsModel | outcomes.Isotonic | None = None, refuse: bool = False) -> DataFrame:
+def analyze_tables(logged: DataFrame, fresh: DataFrame | None = None, estimator: str = "stacked-dr", policies: list[str] | None = None, alpha: float = 0.05, mode: str = "auto", outcome: outcomes.SumsModel | outcomes.Isotonic | None = None, refuse: bool = False, residualise: str | None = None) -> DataFrame:
     """analyze_many() of one estimator."""
-    return analyze_many(logged, fresh, [estimator], policies, alpha, mode, outcome, refuse).drop("estimator")
+    return analyze_many(logged, fresh, [estimator], policies, alpha, mode, outcome, refuse, residualise).drop("estimator")
 
 
 def analyze(spark: SparkSession, log_path: str, fresh_path: str | None = None, estimator: str | None = None, judge_field: str = "judge_score", oracle_field: str = "oracle_label", alpha: float = 0.05) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.stats import normal_ppf
+from ..functions.stats import kendall_exact, normal_ppf
 from .tables import running, written
 
 #: fixed values: levels of tau, by what it exceeds
@@ -153,17 +153,23 @@ def kendall(pairs: DataFrame, key: str, x: str, y: str) -> DataFrame:
 def kendall_drift(pairs: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """kendall() with p_value, drift (p under 0.05 and tau under 0.8) and level.
 
-    p_value is two-sided, of the normal approximation with its terms for ties, for samples of every size; null where tau is."""
+    p_value is two-sided: counted out over all orders where nothing is tied and there are few rows (stats.kendall_exact), elsewhere of the normal
+    approximation with its terms for ties; null where tau is."""
     c = _concordance(pairs, key, x, y).withColumn("m", F.expr("n * (n - 1)"))
     ties = F.expr("(x0 - n) * (y0 - n) / (2 * m)") + F.when(F.col("n") > 2, F.expr("x1 * y1 / (9 * m * (n - 2))")).otherwise(0.0)
     variance = F.expr("(m * (2 * n + 5) - x2 - y2) / 18") + ties
     found = F.expr("n * n > x0 and n * n > y0")
 
     @F.pandas_udf("double")
-    def two_sided(z: pd.Series) -> pd.Series:
-        return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore")
+    def two_sided(z: pd.Series, n: pd.Series, untied: pd.Series, s: pd.Series) -> pd.Series:  # a row a key
+        def p(z: float, n: float, untied: bool, s: float) -> float | None:
+            counted = kendall_exact(int(n), round((n * (n - 1) / 2 - s) / 2)) if untied else None
+            return counted if counted is not None else math.erfc(abs(z) / math.sqrt(2))
 
-    c = c.withColumns({"tau": F.when(found, F.expr("2 * s / sqrt((n * n - x0) * (n * n - y0))")), "p_value": two_sided(F.when(found, F.col("s") / F.sqrt(variance)))})
+        return pd.Series([None if pd.isna(v[0]) else p(*v) for v in zip(z, n, untied, s, strict=True)], dtype="Float64")
+
+    untied = F.expr("x0 = n and y0 = n")
+    c = c.withColumns({"tau": F.when(found, F.expr("2 * s / sqrt((n * n - x0) * (n * n - y0))")), "p_value": two_sided(F.when(found, F.col("s") / F.sqrt(variance)), F.col("n"), untied, F.col("s"))})
     level = F.when(F.col("tau").isNull(), "unknown")
     for least, name in TAU_LEVELS:
         level = level.when(F.col("tau") > least, name)
@@ -171,6 +177,15 @@ def kendall_drift(pairs: DataFrame, key: str, x: str, y: str) -> DataFrame:
     return c.select(key, F.col("n").cast("long").alias("n"), "tau", "p_value", drift.alias("drift"), level.otherwise(TAU_LOWEST).alias("level"))
 
 
+def label_drift(rows: DataFrame, batch: str, score: str, label: str, least: float = 0.1, high: float = 0.2) -> DataFrame:
+    """(batch, tau, tau_next, tau_change, drift, severity) of each batch and the next: how far the rank correlation of scores and labels
+    moves. Over least it is a drift, moderate or (over high) high; null where a batch has none."""
+    own = kendall(rows, batch, score, label).select(F.col(batch).alias("batch"), "tau")
+    both = own.join(own.select((F.col("batch") - 1).alias("batch"), F.col("tau").alias("tau_next")), "batch").withColumn("tau_change", F.col("tau_next") - F.col("tau"))
+    moved = F.abs("tau_change")
+    return both.withColumn("drift", moved > least).withColumn("severity", F.when(moved > high, "high").when(moved > least, "moderate"))
+
+
 def draw_statistics(fresh: DataFrame) -> DataFrame:
     """(policy, prompt_id, n, mean, var): sample variance, 0 for a single draw."""
     return fresh.groupBy("policy", "prompt_id").agg(F.count(F.lit(1)).alias("n"), F.avg("judge_score").alias("mean"), F.coalesce(F.var_samp("judge_score"), F.lit(0.0)).alias("var"))

@@ -340,19 +340,6 @@ def bootstrap_means(contributions: DataFrame, replicates: int = 1000, seed: int
     return means.groupBy("policy").agg(F.stddev_samp("m").alias("se"), F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
 
 
-def residualised(contributions: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Influence less what the score explains of it (isotonic, from the other folds; rising or falling by the sign of their
-    correlation), and (policy, r2): the value stays, the error shrinks."""
-    own = contributions.join(rows.select("policy", "row_id", "judge_score"), ["policy", "row_id"])
-    sign = own.groupBy("policy").agg(F.when(F.corr("phi", "judge_score") < 0, -1.0).otherwise(1.0).alias("__s"))
-    own = own.join(F.broadcast(sign), "policy").withColumn("__y", F.col("phi") * F.col("__s"))
-    train = own.select("policy", F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(FOLDS - 1)), F.col("fold"))).alias("fold"), "judge_score", "__y")
-    own = isotonic.predict(own, isotonic.knots(isotonic.fit(train, ["policy", "fold"], "judge_score", "__y"), ["policy", "fold"]), ["policy", "fold"], "judge_score", "__h")
-    mean = own.groupBy("policy").agg(F.avg("__h").alias("__m"))
-    own = own.join(F.broadcast(mean), "policy").withColumn("phi_left", F.col("phi") - F.col("__s") * (F.col("__h") - F.col("__m")))
-    return own.select("policy", "row_id", "fold", "c", F.col("phi_left").alias("phi")), own.groupBy("policy").agg((1 - F.var_pop("phi_left") / F.var_pop("phi")).alias("r2"))
-
-
 def balanced_folds(rows: DataFrame, folds: int = FOLDS, seed: int = 42) -> DataFrame:
     """Adds fold: labelled rows take turns in the order of a hash, so folds' label counts differ by one at most; others as fold_of().
 

@@ -50,14 +50,14 @@ def sums(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys, "x").agg(F.count(F.lit(1)).cast("double").alias("c"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss"))
 
 
-def fit_levels(levels: DataFrame, most_knots: int = 8, alphas: tuple[float, ...] = tuple(np.logspace(-3, 3, 13))) -> dict[int, Smoother]:
-    """A smoother for each k (int) of levels (k, x, c, s, ss). Knots: a quarter of k's rows, 4 to most_knots of them.
+def fit_levels(levels: DataFrame, most_knots: int = 8, alphas: tuple[float, ...] = tuple(np.logspace(-3, 3, 13)), rows_a_knot: int = 4) -> dict[int, Smoother]:
+    """A smoother for each k (int) of levels (k, x, c, s, ss). Knots: one for rows_a_knot of k's rows, 4 to most_knots of them.
 
     Every task adds up its products of basis functions (at most 11 by 11 numbers a k); the penalty whose leave-one-out errors, added
     up in a second pass, are least wins.
     """
     spans = levels.groupBy("k").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.sum("c").alias("n")).collect()  # a row a fold
-    shape = {r["k"]: (r["low"], r["high"], int(min(most_knots, max(4, r["n"] // 4)))) for r in spans}
+    shape = {r["k"]: (r["low"], r["high"], int(min(most_knots, max(4, r["n"] // rows_a_knot)))) for r in spans}
     design = lambda k, x: np.column_stack([np.ones(len(x)), basis(x, *shape[k])])
 
     def products(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,3 +103,20 @@ def predict(rows: DataFrame, smoother: Smoother, x: str, name: str) -> DataFrame
         return out
 
     return rows.withColumn(name, at(F.col(x).cast("double")))
+
+
+def predict_keyed(rows: DataFrame, smoothers: dict[int, Smoother], key: str, x: str, name: str) -> DataFrame:
+    """Adds name, the smoother of the row's key (int) at x; null where x is null or the key has none."""
+    held = rows.sparkSession.sparkContext.broadcast(smoothers)  # some twelve numbers a key
+
+    @F.pandas_udf("double")
+    def at(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for k, v in parts:
+            out, value = np.full(len(v), np.nan), v.to_numpy(float)
+            for one, places in k.groupby(k, sort=False).indices.items():
+                if (smoother := held.value.get(int(one))) is not None:
+                    places = places[~np.isnan(value[places])]
+                    out[places] = smoother.at(value[places])
+            yield pd.Series(out).astype(object).where(~np.isnan(out), None).astype("Float64")
+
+    return rows.withColumn(name, at(F.col(key), F.col(x).cast("double")))

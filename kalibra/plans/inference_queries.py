@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import analysis, diagnostics, estimators, inference
 from . import bridge
 from .bridge import SQL
-from .oracle_sql import CALIBRATED, FOLD, IPS, OUTCOMES, WEIGHTS, errors, pred
+from .oracle_sql import CALIBRATED, FOLD, IPS, OUTCOMES, WEIGHTS, errors, pred, two_sided
 from .queries import calibrated, models, outcomes, query, rounded, scored, weighted
 
 #: Quantiles of Student's t (4 degrees of freedom, 0.975) and of the normal distribution (0.975; 0.9875).
@@ -40,10 +40,10 @@ def d17_two_way_clusters(spark, sf_dir):
     return rounded(inference.two_way(estimators.dr_cpo(rows).join(rows.select("policy", "row_id", "outer"), ["policy", "row_id"]), "fold", "outer"))
 
 
-@query(IPS + f", p as (select a.phi - b.phi as d from ips a join ips b using (row_id) where a.policy = 'policy_a' and b.policy = 'policy_b'), v as (select policy, avg(c) as v from ips group by 1), r as (select (select v from v where policy = 'policy_a') - (select v from v where policy = 'policy_b') as difference, stddev_samp(d) / sqrt(count(*)) as se from p) select 'policy_a' as first, 'policy_b' as second, round(difference, 6) as difference, round(se, 6) as se, round(difference / se, 3) as z, abs(difference / se) > {Z} as significant from r")
+@query(IPS + f", p as (select a.phi - b.phi as d from ips a join ips b using (row_id) where a.policy = 'policy_a' and b.policy = 'policy_b'), v as (select policy, avg(c) as v from ips group by 1), r as (select (select v from v where policy = 'policy_a') - (select v from v where policy = 'policy_b') as difference, stddev_samp(d) / sqrt(count(*)) as se from p) select 'policy_a' as first, 'policy_b' as second, round(difference, 6) as difference, round(se, 6) as se, round(difference / se, 3) as z, round({two_sided('difference / se')}, 6) as p, abs(difference / se) > {Z} as significant from r")
 def d24_paired_policies(spark, sf_dir):
     out = inference.compare(estimators.calibrated_ips(calibrated(spark, sf_dir)))
-    return out.select("first", "second", F.round("difference", 6).alias("difference"), F.round("se", 6).alias("se"), F.round("z", 3).alias("z"), "significant")
+    return out.select("first", "second", F.round("difference", 6).alias("difference"), F.round("se", 6).alias("se"), F.round("z", 3).alias("z"), F.round("p", 6).alias("p"), "significant")
 
 
 @query(IPS + ", v as (select policy, avg(c) as v from ips group by 1) select policy, round(v, 6) as estimate from v order by v desc, policy limit 1")
@@ -56,9 +56,9 @@ def d22_simultaneous_bands(spark, sf_dir):
     return rounded(inference.simultaneous(estimators.cluster_robust(estimators.calibrated_ips(calibrated(spark, sf_dir))), se="se_cluster"))
 
 
-@query(IPS + ", " + errors("ips") + f" select policy, round(estimate, 6) as estimate, round(se_naive, 6) as se, round(estimate - {Z} * se_naive, 6) as lo, round(estimate + {Z} * se_naive, 6) as hi from est")
+@query(IPS + ", " + errors("ips") + f", ps as (select *, {two_sided('estimate / se_naive')} as p from est), rk as (select *, row_number() over (order by p, policy) as rk, count(*) over () as m from ps) select policy, round(estimate, 6) as estimate, round(se_naive, 6) as se, round(estimate - {Z} * se_naive, 6) as lo, round(estimate + {Z} * se_naive, 6) as hi, round(p, 6) as p, round(least(1.0, min(p * m / rk) over (order by rk desc)), 6) as adjusted from rk")
 def d23_classical_inference(spark, sf_dir):
-    return rounded(inference.robust_inference(estimators.calibrated_ips(calibrated(spark, sf_dir)), "classical").drop("p", "adjusted"))
+    return rounded(inference.robust_inference(estimators.calibrated_ips(calibrated(spark, sf_dir)), "classical"))
 
 
 @query()

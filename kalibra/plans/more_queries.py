@@ -48,13 +48,6 @@ def c14_oracle_slice(spark, sf_dir):
     return rounded(estimators.oracle_slice(outcomes(spark, sf_dir)))
 
 
-@query()
-def c13_residualised_influence(spark, sf_dir):
-    rows = scored(spark, sf_dir)
-    left, r2 = estimators.residualised(estimators.raw_ips(rows), rows)
-    return rounded(estimators.cluster_robust(left).join(r2, "policy"), 5)
-
-
 @query()
 def a16_bootstrap(spark, sf_dir):
     return rounded(estimators.bootstrap_means(estimators.raw_ips(scored(spark, sf_dir))), 5)

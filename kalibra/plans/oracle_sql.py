@@ -88,3 +88,9 @@ ERRORS = " select policy, n, round(estimate, 6) as estimate, round(se_naive, 6)
 def summary(rows: str, c: str) -> str:
     """The estimates of contributions c over the CTE rows, as cluster_robust() gives them."""
     return f"""contrib as (select policy, fold, {c} as c from {rows}), centred as (select *, c - avg(c) over (partition by policy) as phi from contrib), {errors('centred')}{ERRORS}"""
+
+
+def two_sided(z: str) -> str:
+    """The p-value of a normal deviate z: one less the error function, by its series."""
+    term = f"exp((2 * i + 1) * ln(abs({z}) / sqrt(2)) + i * ln(2) - (lgamma(2 * i + 3) - (i + 1) * ln(2) - lgamma(i + 2)))"
+    return f"(case when abs({z}) < 1e-9 then 1.0 when abs({z}) > 8 then 0.0 else 1 - 2 / sqrt(pi()) * exp(-({z}) * ({z}) / 2) * list_sum(list_transform(range(0, 120), lambda i: {term})) end)"

@@ -11,7 +11,7 @@ from ..operators import diagnostics, estimators, isotonic, weights
 from ..operators.tables import written
 from . import bridge
 from .bridge import POLICIES, SQL
-from .oracle_sql import CALIBRATED, ERRORS, FOLD, IPS, OUTCOMES, WEIGHTS, errors, iso, pred, summary
+from .oracle_sql import CALIBRATED, ERRORS, FOLD, IPS, OUTCOMES, WEIGHTS, errors, iso, pred, summary, two_sided
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -345,10 +345,24 @@ def d25_kendall_by_batch(spark, sf_dir):
     return rounded(diagnostics.kendall(rows, "batch", "judge_score", "y"))
 
 
-@query(SQL + ", a as (select row_id % 200 as batch, judge_score as x, oracle_label as y from logged where oracle_label is not null), n as (select batch, cast(count(*) as double) as n from a group by 1), tx as (select batch, sum(c * (c - 1)) as p, sum(c * (c - 1) * (c - 2)) as q, sum(c * (c - 1) * (2 * c + 5)) as r from (select batch, x, cast(count(*) as double) as c from a group by 1, 2) group by 1), ty as (select batch, sum(c * (c - 1)) as p, sum(c * (c - 1) * (c - 2)) as q, sum(c * (c - 1) * (2 * c + 5)) as r from (select batch, y, cast(count(*) as double) as c from a group by 1, 2) group by 1), s as (select p.batch, sum(sign(p.x - q.x) * sign(p.y - q.y)) as s, sum(abs(sign(p.x - q.x))) as sx, sum(abs(sign(p.y - q.y))) as sy from a p join a q on p.batch = q.batch group by p.batch), k as (select batch, n, case when sx > 0 and sy > 0 then s / sqrt(sx * sy) end as tau, s / 2 / sqrt((n * (n - 1) * (2 * n + 5) - tx.r - ty.r) / 18 + tx.p * ty.p / (2 * n * (n - 1)) + tx.q * ty.q / (9 * n * (n - 1) * (n - 2))) as z from s join n using (batch) join tx using (batch) join ty using (batch)) select batch, cast(n as bigint) as n, round(tau, 6) as tau, coalesce(abs(z) > 1.9599639845400545 and tau < 0.8, false) as drift, case when tau is null then 'unknown' when tau > 0.9 then 'excellent' when tau > 0.8 then 'good' when tau > 0.6 then 'moderate drift' when tau > 0.4 then 'significant drift' else 'severe drift' end as level from k")
+#: Of batches BATCH: tau, the normal deviate z, s and whether nothing is tied, as CTE k; then p, counted out over all orders (mah: their numbers by
+#: pairs out of order) or normal.
+KENDALL = ", a as (select BATCH as batch, judge_score as x, oracle_label as y from logged where oracle_label is not null), n as (select batch, cast(count(*) as double) as n from a group by 1), tx as (select batch, sum(c * (c - 1)) as p, sum(c * (c - 1) * (c - 2)) as q, sum(c * (c - 1) * (2 * c + 5)) as r from (select batch, x, cast(count(*) as double) as c from a group by 1, 2) group by 1), ty as (select batch, sum(c * (c - 1)) as p, sum(c * (c - 1) * (c - 2)) as q, sum(c * (c - 1) * (2 * c + 5)) as r from (select batch, y, cast(count(*) as double) as c from a group by 1, 2) group by 1), s as (select p.batch, sum(sign(p.x - q.x) * sign(p.y - q.y)) as s, sum(abs(sign(p.x - q.x))) as sx, sum(abs(sign(p.y - q.y))) as sy from a p join a q on p.batch = q.batch group by p.batch), k as (select batch, n, case when sx > 0 and sy > 0 then s / sqrt(sx * sy) end as tau, s / 2 as s, tx.p = 0 and ty.p = 0 as untied, s / 2 / sqrt((n * (n - 1) * (2 * n + 5) - tx.r - ty.r) / 18 + tx.p * ty.p / (2 * n * (n - 1)) + tx.q * ty.q / (9 * n * (n - 1) * (n - 2))) as z from s join n using (batch) join tx using (batch) join ty using (batch))"
+MAHONIAN = ", mah(m, c, ways) as (select 1, 0, 1.0::double union all select m + 1, c + j, sum(ways) from mah, range(0, 33) t(j) where j <= m and m < 33 group by m + 1, c + j), kc as (select *, cast(least((n * (n - 1) / 2 - s) / 2, n * (n - 1) / 2 - (n * (n - 1) / 2 - s) / 2) as bigint) as least_ from k), kp as (select batch, n, tau, z, untied, s, case when untied and n <= 33 then case when 4 * least_ = n * (n - 1) or n < 2 then 1.0 else (select least(1.0, 2 * sum(case when c <= least_ then ways else 0 end) / sum(ways)) from mah where m = n) end else " + two_sided("z") + " end as p from kc)"
+DRIFT = " select batch, cast(n as bigint) as n, round(tau, 6) as tau, case when tau is not null then round(p, 6) end as p_value, coalesce(p < 0.05 and tau < 0.8, false) as drift, case when tau is null then 'unknown' when tau > 0.9 then 'excellent' when tau > 0.8 then 'good' when tau > 0.6 then 'moderate drift' when tau > 0.4 then 'significant drift' else 'severe drift' end as level from kp"
+
+
+@query((SQL + KENDALL.replace("BATCH", "row_id % 200") + MAHONIAN + DRIFT).replace("with logged", "with recursive logged", 1))
 def d25_drift_by_batch(spark, sf_dir):
     rows = bridge.logged(spark, sf_dir).where("oracle_label is not null").select((F.col("row_id") % 200).alias("batch"), "judge_score", F.col("oracle_label").alias("y"))
-    return rounded(diagnostics.kendall_drift(rows, "batch", "judge_score", "y").drop("p_value"))
+    return rounded(diagnostics.kendall_drift(rows, "batch", "judge_score", "y"))
+
+
+@query((SQL + KENDALL.replace("BATCH", "row_id // 40") + MAHONIAN + DRIFT).replace("with logged", "with recursive logged", 1))
+def d25_drift_of_small_batches(spark, sf_dir):
+    """Ten labels a batch: p is counted out where nothing is tied."""
+    rows = bridge.logged(spark, sf_dir).where("oracle_label is not null").select(F.floor(F.col("row_id") / 40).alias("batch"), "judge_score", F.col("oracle_label").alias("y"))
+    return rounded(diagnostics.kendall_drift(rows, "batch", "judge_score", "y"))
 
 
 @query(SQL + ", b as (select least(floor(judge_score * 10), 9) as bin, judge_score, oracle_label from logged where oracle_label is not null), a as (select bin, count(*) as n, avg(judge_score) as confidence, avg(oracle_label) as accuracy from b group by 1) select cast(r.i as integer) as bin, coalesce(n, 0) as n, round(coalesce(confidence, (r.i + 0.5) / 10), 6) as confidence, round(coalesce(accuracy, 0.0), 6) as accuracy from (select unnest(range(10)) as i) r left join a on a.bin = r.i")

@@ -198,6 +198,8 @@ def test_given_rewards_and_refusals(spark):
     out = {r["policy"]: r for r in analysis.analyze_tables(logged, fresh, "dr-cpo", refuse=True).collect()}
     assert out["far"]["refused"] and out["far"]["estimate"] is None and out["far"]["lo"] is None
     assert not out["near"]["refused"] and abs(out["near"]["estimate"] - pdf.reward.mean()) < 0.05 and out["near"]["oracle_var"] == 0
+    less = analysis.analyze_tables(logged, fresh, "dr-cpo", ["near"], residualise="spline").first()
+    assert np.isclose(less["estimate"], out["near"]["estimate"]) and less["se_naive"] < out["near"]["se_naive"]
     linear = analysis.analyze_tables(logged, fresh, "dr-cpo", ["near"], outcome=outcomes.linear([F.col("judge_score"), F.lit(1.0)])).first()
     assert abs(linear["estimate"] - pdf.reward.mean()) < 0.05
 
