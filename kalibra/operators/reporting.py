@@ -35,6 +35,17 @@ def table(runs: DataFrame, *keys: str) -> DataFrame:
     return runs.groupBy(*keys).agg(*[c.alias(n) for n, c in metrics().items()])
 
 
+#: Groupings of reports: by regime, by estimator, by estimator and seed.
+GROUPINGS = (("estimator", "n", "coverage"), ("estimator",), ("estimator", "seed"))
+
+
+def tables(runs: DataFrame, groupings: tuple[tuple[str, ...], ...] = GROUPINGS) -> DataFrame:
+    """(grouping, keys, metrics): table() of each grouping, by one scan of the rows. grouping names the keys of a row, joined by +; the others are null."""
+    keys = list(dict.fromkeys(k for g in groupings for k in g))
+    named = F.concat_ws("+", *[F.when(F.grouping(k) == 0, F.lit(k)) for k in keys]).alias("grouping")
+    return runs.groupingSets([list(g) for g in groupings], *keys).agg(named, *[c.alias(n) for n, c in metrics().items()]).select("grouping", *keys, *metrics())
+
+
 def first_runs(runs: DataFrame, keys: tuple[str, ...] = ("estimator", "seed", "n", "coverage", "toggle", "policy")) -> DataFrame:
     """Of rows equal in keys the one with the least run_id: the least is a sum of parts, so a hot key is none."""
     rest = [c for c in runs.columns if c not in keys]

@@ -8,7 +8,7 @@ from ..operators import analysis, diagnostics, estimators, inference
 from . import bridge
 from .bridge import SQL
 from .oracle_sql import CALIBRATED, FOLD, IPS, OUTCOMES, WEIGHTS, errors, pred, two_sided
-from .queries import calibrated, models, outcomes, query, rounded, scored, weighted
+from .queries import HILL, calibrated, models, outcomes, query, rounded, scored, weighted
 
 #: Quantiles of Student's t (4 degrees of freedom, 0.975) and of the normal distribution (0.975; 0.9875).
 T4, Z, Z2 = 2.7764451051977987, 1.959963984540054, 2.241402727604947
@@ -22,16 +22,17 @@ DRAWS = ", mc as (select policy, (coalesce(sum(case when draws > 1 then draw_var
 DR = ", dc as (select policy, row_id, fold, o, c, c - avg(c) over (partition by policy) as phi from (select *, q + w_cal * (reward - g) as c from dr)), " + errors("dc")
 
 
-@query(OUTCOMES + JACK + DRAWS + DR + f" select policy, n, round(estimate, 6) as estimate, round(se_cluster, 6) as se_cluster, round(oracle_var, 9) as oracle_var, round(mc, 9) as draw_var, round(sqrt(se_cluster * se_cluster + oracle_var + mc), 6) as se, round(estimate - {T4} * sqrt(se_cluster * se_cluster + oracle_var + mc), 6) as lo, round(estimate + {T4} * sqrt(se_cluster * se_cluster + oracle_var + mc), 6) as hi from est join jack using (policy) join mc using (policy)")
+@query(OUTCOMES + JACK + DRAWS + DR + f" select policy, n, round(estimate, 6) as estimate, round(se_naive, 6) as se_naive, groups, round(se_cluster, 6) as se_cluster, round(oracle_var, 9) as oracle_var, round(mc, 9) as draw_var, round(sqrt(se_cluster * se_cluster + oracle_var + mc), 6) as se, round(estimate - {T4} * sqrt(se_cluster * se_cluster + oracle_var + mc), 6) as lo, round(estimate + {T4} * sqrt(se_cluster * se_cluster + oracle_var + mc), 6) as hi from est join jack using (policy) join mc using (policy)")
 def d18_dr_with_intervals(spark, sf_dir):
     """analyze_tables() of the log and its draws."""
     out = analysis.analyze_tables(bridge.logged(spark, sf_dir), bridge.fresh(spark, sf_dir), "dr-cpo", mode="monotone")
-    return out.select("policy", "n", *[F.round(c, 9 if c.endswith("var") else 6).alias(c) for c in ("estimate", "se_cluster", "oracle_var", "draw_var", "se", "lo", "hi")])
+    return out.select("policy", "n", "groups", *[F.round(c, 9 if c.endswith("var") else 6).alias(c) for c in ("estimate", "se_naive", "se_cluster", "oracle_var", "draw_var", "se", "lo", "hi")])
 
 
-@query(IPS + f", {pred('pji', 'mk', 'select f.k, judge_score as x from logged cross join (select unnest([0, 1, 2, 3, 4]) as k) f')}, ji as (select policy, p.k, avg(w_cal * greatest(0.0, least(1.0, p.y))) as psi from wcal join pji p on p.x = judge_score group by 1, 2), jack as (select policy, 0.8 * greatest(sum(psi * psi) - 5 * avg(psi) * avg(psi), 0.0) as oracle_var from ji group by 1), " + errors("ips") + f" select policy, n, round(estimate, 6) as estimate, round(sqrt(se_cluster * se_cluster + oracle_var), 6) as se, round(estimate - {T4} * sqrt(se_cluster * se_cluster + oracle_var), 6) as lo, round(estimate + {T4} * sqrt(se_cluster * se_cluster + oracle_var), 6) as hi from est join jack using (policy)")
+@query(IPS + f", {pred('pji', 'mk', 'select f.k, judge_score as x from logged cross join (select unnest([0, 1, 2, 3, 4]) as k) f')}, ji as (select policy, p.k, avg(w_cal * greatest(0.0, least(1.0, p.y))) as psi from wcal join pji p on p.x = judge_score group by 1, 2), jack as (select policy, 0.8 * greatest(sum(psi * psi) - 5 * avg(psi) * avg(psi), 0.0) as oracle_var from ji group by 1), " + errors("ips") + f" select policy, n, round(estimate, 6) as estimate, round(se_naive, 6) as se_naive, round(se_cluster, 6) as se_cluster, groups, round(oracle_var, 9) as oracle_var, 0.0::double as draw_var, round(sqrt(se_cluster * se_cluster + oracle_var), 6) as se, round(estimate - {T4} * sqrt(se_cluster * se_cluster + oracle_var), 6) as lo, round(estimate + {T4} * sqrt(se_cluster * se_cluster + oracle_var), 6) as hi from est join jack using (policy)")
 def e11_calibrated_ips_with_intervals(spark, sf_dir):
-    return rounded(analysis.analyze_tables(bridge.logged(spark, sf_dir), None, "calibrated-ips", mode="monotone").select("policy", "n", "estimate", "se", "lo", "hi"))
+    out = analysis.analyze_tables(bridge.logged(spark, sf_dir), None, "calibrated-ips", mode="monotone")
+    return rounded(out.withColumn("oracle_var", F.round("oracle_var", 9)), 9).select("policy", "n", "groups", "draw_var", "oracle_var", *[F.round(c, 6).alias(c) for c in ("estimate", "se_naive", "se_cluster", "se", "lo", "hi")])
 
 
 @query(OUTCOMES + DR + ", two as (" + " union all ".join(f"select '{n}' as kind, policy, count(*) as g, count(*) * 1.0 / (count(*) - 1) * (sum(t * t) - count(*) * avg(t) * avg(t)) / (sum(m) * sum(m)) as v from (select policy, sum(phi) as t, count(*) as m from dc group by policy, {k}) group by policy" for n, k in (("a", "fold"), ("b", "o"), ("ab", "fold, o"))) + ") select policy, round(sqrt(greatest(sum(case when kind = 'ab' then -v else v end), 0)), 6) as se, max(case when kind <> 'ab' then g end) - 1 as df from two group by policy")
@@ -138,11 +139,11 @@ def v1_calibration_grid(spark, sf_dir):
     return bridge.logged(spark, sf_dir).where("oracle_label is not null").groupBy(at("judge_score").alias("x"), at("oracle_label").alias("y")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(SQL + ", a as (select policy, sum(w) * sum(w) / sum(w * w) / count(*) as e from w group by 1), h as (select policy, least(1.0, avg(sqrt(greatest(w, 1e-10)))) as affinity, count(*) as n from w group by 1) select round(sum(n * e) / sum(n), 6) as ess_fraction, round(avg(affinity), 6) as affinity, sum(n) as n from a join h using (policy)")
+@query(HILL + ", a as (select policy, sum(w) * sum(w) / sum(w * w) / count(*) as e from w group by 1), h as (select policy, least(1.0, avg(sqrt(greatest(w, 1e-10)))) as affinity, count(*) as n from w group by 1) select round(sum(n * e) / sum(n), 6) as ess_fraction, round(avg(affinity), 6) as affinity, sum(n) as n, round(min(alpha), 6) as alpha, case when min(alpha) < 1.5 then 'critical' when min(alpha) < 2 then 'warning' else 'good' end as status from a join h using (policy) join hill using (policy)")
 def d10_ips_diagnostics(spark, sf_dir):
-    return rounded(diagnostics.ips_summary(weighted(spark, sf_dir)).select("ess_fraction", "affinity", "n"))
+    return rounded(diagnostics.ips_summary(weighted(spark, sf_dir)))
 
 
-@query(SQL.replace("with logged", "with logged", 1) + ", a as (select policy, sum(w) * sum(w) / sum(w * w) / count(*) as e from w group by 1) select policy, round(e, 6) as ess_fraction, case when e < 0.1 then 'high' when e < 0.3 then 'medium' else 'low' end as variance_risk from a")
+@query(HILL + ", a as (select policy, sum(w) * sum(w) / sum(w * w) / count(*) as e from w group by 1) select policy, round(e, 6) as ess_fraction, case when e < 0.1 then 'high' when e < 0.3 then 'medium' else 'low' end as variance_risk, round(alpha, 6) as alpha, case when alpha < 2 then 'critical' when alpha < 2.5 then 'high' else 'low' end as tail_risk from a join hill using (policy)")
 def d12_policy_risk(spark, sf_dir):
-    return rounded(diagnostics.policy_risk(weighted(spark, sf_dir))).select("policy", "ess_fraction", "variance_risk")
+    return rounded(diagnostics.policy_risk(weighted(spark, sf_dir)))
