@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources import jsonl
 from . import calibration, diagnostics, estimators, inference, jackknife, outcomes, residuals, weights
+from .order_stats import quantiles
 from .tables import written
 
 #: Contributions by estimator name, from rows of estimators.stabilised(), with outcomes for those that need fresh draws.
@@ -130,7 +131,9 @@ def analyze(spark: SparkSession, log_path: str, fresh_path: str | None = None, e
 def calibration_summary(rows: DataFrame) -> DataFrame:
     """One row of what calibration did (rows: judge_score, oracle_label, reward, reward_oof): numbers of labels, errors in and out
     of fold, range and levels of rewards, and how many rows below the scores' 10 and 20 per cent quantiles are labelled."""
-    q = rows.agg(F.percentile("judge_score", F.array(F.lit(0.1), F.lit(0.2))).alias("q"))
+    scores = written(rows.select(F.lit("all").alias("policy"), F.col("judge_score").cast("double").alias("w")), "scores")
+    low = quantiles(scores, (0.1, 0.2))
+    q = low.agg(F.array(*[F.max(F.when(F.col("p") == p, F.col("q"))) for p in (0.1, 0.2)]).alias("q"))
     y, gap = F.col("oracle_label"), lambda c: F.sqrt(F.avg(F.pow(F.col(c) - F.col("oracle_label"), 2)))
     covered = lambda i: F.avg(F.when(F.col("judge_score") <= F.col("q")[i], y.isNotNull().cast("double")))
     return rows.crossJoin(F.broadcast(q)).agg(  # one row

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import kendall_exact, normal_ppf
+from .order_stats import kth_largest, quantiles, top_sums
 from .tables import running, written
 
 #: fixed values: levels of tau, by what it exceeds
@@ -24,42 +25,47 @@ def _status(ess_fraction: Column, tail: Column) -> Column:
     return F.when((ess_fraction < 0.01) | (tail < 1), "critical").when((ess_fraction < 0.1) | (tail < 2), "warning").otherwise("good")
 
 
-def largest(rows: DataFrame, share: float, least: int, most_share: float | None = None, w: str = "w", extra: int = 0) -> DataFrame:
-    """The policy's k largest weights with rn, k and n; k = int(share * n), least at least, int(most_share * n) at most.
+def _weights(rows: DataFrame, w: str = "w") -> DataFrame:
+    """(policy, w) written: selections and sums read it again and again."""
+    return written(rows.select("policy", F.col(w).cast("double").alias("w")), "weights")
 
-    A cut value first makes the sort small: only rows at or above the quantile that leaves k behind are ranked.
-    """
-    n = rows.groupBy("policy").agg(F.count(F.lit(1)).alias("n"))
-    k = F.greatest(F.lit(least), F.floor(F.col("n") * share))
-    if most_share is not None:
-        k = F.least(k, F.floor(F.col("n") * most_share))
-    n = n.withColumn("k", k.cast("int"))
-    cut = rows.join(F.broadcast(n), "policy").groupBy("policy", "n", "k").agg(F.percentile_approx(w, F.lit(1.0 - 2 * share - 0.01), 10_000).alias("cut"), F.min(w).alias("low"))
-    held = rows.join(F.broadcast(cut), "policy")
-    # the cut is only a first sieve; where it would leave too few, all stay
-    enough = held.where(F.col(w) >= F.col("cut")).groupBy("policy").count().withColumnRenamed("count", "over")
-    held = held.join(F.broadcast(enough), "policy").where((F.col(w) >= F.col("cut")) | (F.col("over") <= F.col("k") + extra))
-    return held.withColumn("rn", F.row_number().over(W.partitionBy("policy").orderBy(F.desc(w), "row_id"))).where(F.col("rn") <= F.col("k") + extra)
+
+def _tail_size(n: Column, fraction: float | Column, min_k: int = 10) -> Column:
+    return F.least(F.greatest(F.lit(min_k), F.floor(n * fraction)), F.floor(n * 0.1)).cast("long")
 
 
 def mass_concentration(rows: DataFrame, top: float = 0.01, w: str = "w") -> DataFrame:
     """(policy, share): of the sum of weights, what the largest top of rows hold."""
-    total = rows.groupBy("policy").agg(F.sum(w).alias("total"))
-    return largest(rows, top, 1, w=w).groupBy("policy").agg(F.sum(w).alias("s")).join(total, "policy").select("policy", (F.col("s") / F.col("total")).alias("share"))
+    return _mass(_weights(rows, w), top)
+
+
+def _mass(own: DataFrame, top: float = 0.01) -> DataFrame:
+    total = own.groupBy("policy").agg(F.sum("w").alias("total"), F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * top)).cast("long").alias("k"))
+    return top_sums(own, total).join(total, ["policy", "k"]).select("policy", (F.col("sum") / F.col("total")).alias("share"))
 
 
 def hill_tail_index(rows: DataFrame, fraction: float = 0.05, min_k: int = 10) -> DataFrame:
     """(policy, k, alpha): k over the sum of logs above the (k+1)-th largest weight; infinite where there is no tail."""
-    top = largest(rows, fraction, min_k, 0.1, extra=1)
-    s = top.groupBy("policy", "k").agg(F.sum(F.when(F.col("rn") <= F.col("k"), F.ln("w"))).alias("s"), F.max(F.when(F.col("rn") == F.col("k") + 1, F.ln("w"))).alias("edge"))
-    excess = F.col("s") - F.col("k") * F.col("edge")
-    return s.select("policy", F.col("k").cast("long").alias("k"), F.when(excess > 0, F.col("k") / excess).otherwise(F.lit(float("inf"))).alias("alpha"))
+    return _hill(_weights(rows), (fraction,), min_k).select("policy", "k", F.coalesce("alpha", F.lit(float("inf"))).alias("alpha"))
+
+
+def _hill(own: DataFrame, fractions: tuple[float, ...] = (0.05,), min_k: int = 10) -> DataFrame:
+    """(policy, f, k, alpha) for each fraction of the tail; alpha null where there is none. Ties of the edge add nothing to the sum."""
+    n = own.groupBy("policy").agg(F.count(F.lit(1)).alias("n")).withColumn("f", F.explode(F.array(*[F.lit(f) for f in fractions])))
+    tails = n.select("policy", "f", (_tail_size(F.col("n"), F.col("f"), min_k) + 1).alias("k"))
+    excess = F.col("ln_over") - F.col("over") * F.when(F.col("edge") > 0, F.ln("edge"))
+    return kth_largest(own, tails).join(tails, ["policy", "k"]).select("policy", "f", (F.col("k") - 1).alias("k"), F.when(excess > 0, (F.col("k") - 1) / excess).alias("alpha"))
 
 
 def weight_diagnostics(rows: DataFrame) -> DataFrame:
     """(policy, n, ess_fraction, max_w, cv, zero_share, alpha, status)."""
-    a = rows.groupBy("policy").agg(F.count(F.lit(1)).alias("n"), (ess(F.col("w")) / F.count(F.lit(1))).alias("ess_fraction"), F.max("w").alias("max_w"), (F.stddev_pop("w") / F.avg("w")).alias("cv"), F.avg((F.col("w") < 1e-10).cast("double")).alias("zero_share"))
-    return a.join(hill_tail_index(rows).drop("k"), "policy").withColumn("status", _status(F.col("ess_fraction"), F.col("alpha")))
+    return _diagnostics(_weights(rows))
+
+
+def _diagnostics(own: DataFrame) -> DataFrame:
+    a = own.groupBy("policy").agg(F.count(F.lit(1)).alias("n"), (ess(F.col("w")) / F.count(F.lit(1))).alias("ess_fraction"), F.max("w").alias("max_w"), (F.stddev_pop("w") / F.avg("w")).alias("cv"), F.avg((F.col("w") < 1e-10).cast("double")).alias("zero_share"))
+    tails = _hill(own).select("policy", F.coalesce("alpha", F.lit(float("inf"))).alias("alpha"))
+    return a.join(tails, "policy").withColumn("status", _status(F.col("ess_fraction"), F.col("alpha")))
 
 
 def hellinger(rows: DataFrame, eps: float = 1e-10) -> DataFrame:
@@ -69,7 +75,11 @@ def hellinger(rows: DataFrame, eps: float = 1e-10) -> DataFrame:
 
 def overlap_card(rows: DataFrame) -> DataFrame:
     """(policy, affinity, ess_fraction, alpha, quality, recommendation, penalty). A policy of fewer than 50 rows has no tail index."""
-    a = hellinger(rows).join(weight_diagnostics(rows).select("policy", "n", "ess_fraction", "alpha"), "policy").withColumn("alpha", F.when(F.col("n") >= 50, F.col("alpha"))).drop("n")
+    return _card(_weights(rows))
+
+
+def _card(own: DataFrame) -> DataFrame:
+    a = hellinger(own).join(_diagnostics(own).select("policy", "n", "ess_fraction", "alpha"), "policy").withColumn("alpha", F.when(F.col("n") >= 50, F.col("alpha"))).drop("n")
     quality = F.when(F.col("affinity") < 0.2, "catastrophic").when(F.col("affinity") < 0.35, "poor").when(F.col("affinity") < 0.5, "marginal").otherwise("good")
     scarce = F.when(F.col("quality") == "poor", "refuse").otherwise("dr")
     advice = F.when(F.col("quality") == "catastrophic", "refuse").when(F.col("alpha") < 1.5, "dr").when(F.col("ess_fraction") < 0.1, scarce).when(F.col("ess_fraction") < 0.3, "calibrated-ips").otherwise("ips")
@@ -79,15 +89,24 @@ def overlap_card(rows: DataFrame) -> DataFrame:
 
 def tail_ratio(rows: DataFrame, low: float = 0.05, high: float = 0.99, w: str = "w") -> DataFrame:
     """(policy, ratio) of two quantiles; infinite where the lower one is 1e-12 or less."""
-    q = rows.groupBy("policy").agg(F.percentile(w, F.array(F.lit(low), F.lit(high))).alias("q"))
-    return q.select("policy", F.when(F.col("q")[0] > 1e-12, F.try_divide(F.col("q")[1], F.col("q")[0])).otherwise(F.lit(float("inf"))).alias("ratio"))
+    return _ratio(_weights(rows, w), low, high)
+
+
+def _ratio(own: DataFrame, low: float = 0.05, high: float = 0.99) -> DataFrame:
+    at = lambda p: F.max(F.when(F.col("p") == p, F.col("q")))
+    q = quantiles(own, (low, high)).groupBy("policy").agg(at(low).alias("low"), at(high).alias("high"))
+    return q.select("policy", F.when(F.col("low") > 1e-12, F.try_divide("high", "low")).otherwise(F.lit(float("inf"))).alias("ratio"))
 
 
 def extremes(rows: DataFrame, k: int = 5, w: str = "w") -> DataFrame:
-    """(policy, row_id, side, w, rn, policies): each policy's k largest and smallest weights, and how many policies' lists a row is in."""
-    low = largest(rows.withColumn("__w", -F.col(w)), 0.0, k, w="__w")
-    both = largest(rows, 0.0, k, w=w).select("policy", "row_id", w, F.lit("top").alias("side"), "rn").union(low.select("policy", "row_id", w, F.lit("bottom").alias("side"), "rn"))
-    return both.withColumn("policies", F.count(F.lit(1)).over(W.partitionBy("row_id", "side"))).select("policy", "row_id", "side", F.col(w).alias("w"), "rn", "policies")
+    """(policy, row_id, side, w, rn, policies): each policy's k largest and smallest weights, and how many policies' lists a row is in.
+
+    Each task hands on k rows a policy at most, as Spark cuts a window's groups before the shuffle where the rank has a fixed bound.
+    """
+    own = written(rows.select("policy", "row_id", F.col(w).alias("w")), "weights")
+    first = lambda side, order: own.withColumn("side", F.lit(side)).withColumn("rn", F.row_number().over(W.partitionBy("policy").orderBy(order, "row_id"))).where(F.col("rn") <= k)
+    both = first("top", F.desc("w")).unionByName(first("bottom", F.asc("w")))
+    return both.withColumn("policies", F.count(F.lit(1)).over(W.partitionBy("row_id", "side"))).select("policy", "row_id", "side", "w", "rn", "policies")
 
 
 def reliability(rows: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
@@ -213,11 +232,7 @@ def orthogonality(rows: DataFrame) -> DataFrame:
 
 def hill_stability(rows: DataFrame, fractions: tuple[float, ...] = (0.01, 0.02, 0.05, 0.1)) -> DataFrame:
     """(policy, median, least, most, spread) of the tail index over fractions of the tail; infinite ones (no tail) are left out."""
-    top = largest(rows, max(fractions), 10, 0.1, extra=1).select("policy", "n", "rn", F.ln("w").alias("l"), F.explode(F.array(*map(F.lit, fractions))).alias("f"))
-    k = F.least(F.greatest(F.lit(10), F.floor(F.col("n") * F.col("f"))), F.floor(F.col("n") * 0.1))
-    s = top.withColumn("k", k).groupBy("policy", "f", "k").agg(F.sum(F.when(F.col("rn") <= F.col("k"), F.col("l"))).alias("s"), F.max(F.when(F.col("rn") == F.col("k") + 1, F.col("l"))).alias("edge"))
-    excess = F.col("s") - F.col("k") * F.col("edge")
-    finite = s.select("policy", F.when(excess > 0, F.col("k") / excess).alias("alpha"))
+    finite = _hill(_weights(rows), fractions).select("policy", "alpha")
     return finite.groupBy("policy").agg(F.percentile("alpha", 0.5).alias("median"), F.min("alpha").alias("least"), F.max("alpha").alias("most"), F.stddev_pop("alpha").alias("spread"))
 
 
@@ -263,13 +278,14 @@ def dr_diagnostics(rows: DataFrame, w: str = "w_cal") -> DataFrame:
     """A row a policy: the model part and the weighted part, residuals of the outcome model, tails of the influence, and how the parts correlate."""
     part, res = F.col(w) * (F.col("reward") - F.col("g")), F.col("reward") - F.col("g")
     means = rows.groupBy("policy").agg(F.avg(F.col("q") + part).alias("__psi"))
-    own = rows.join(F.broadcast(means), "policy").withColumn("w", F.abs(F.col("q") + part - F.col("__psi")))
+    own = written(rows.select("policy", "reward", "g", "q", *{w} - {"reward", "g", "q"}).join(F.broadcast(means), "policy").withColumn("__phi", F.abs(F.col("q") + part - F.col("__psi"))), "influence")
     a = own.groupBy("policy").agg(
         F.count(F.lit(1)).alias("n"), F.avg("q").alias("dm_mean"), F.avg(part).alias("ips_mean"), F.first("__psi").alias("estimate"), F.stddev_pop("q").alias("dm_std"), F.stddev_pop(part).alias("ips_std"),
         F.avg(res).alias("residual_mean"), F.stddev_pop(res).alias("residual_std"), F.sqrt(F.avg(res * res)).alias("residual_rmse"),
-        (1 - F.sum(res * res) / F.greatest(F.var_pop("reward") * F.count(F.lit(1)), F.lit(1e-12))).alias("r2"), F.sqrt(F.avg(F.col("w") * F.col("w"))).alias("if_std"), F.corr(F.col("q"), part).alias("correlation"),
+        (1 - F.sum(res * res) / F.greatest(F.var_pop("reward") * F.count(F.lit(1)), F.lit(1e-12))).alias("r2"), F.sqrt(F.avg(F.col("__phi") * F.col("__phi"))).alias("if_std"), F.corr(F.col("q"), part).alias("correlation"),
     )
-    return a.join(tail_ratio(own).withColumnRenamed("ratio", "if_tail"), "policy").join(mass_concentration(own).withColumnRenamed("share", "if_top"), "policy")
+    tails = own.select("policy", F.col("__phi").alias("w"))
+    return a.join(_ratio(tails).withColumnRenamed("ratio", "if_tail"), "policy").join(_mass(tails).withColumnRenamed("share", "if_top"), "policy")
 
 
 def influence_shape(contributions: DataFrame) -> DataFrame:
@@ -303,7 +319,8 @@ def ccdf(rows: DataFrame, x: str) -> DataFrame:
 
 def ips_summary(rows: DataFrame) -> DataFrame:
     """One row: the effective share of all rows, mean affinity, worst tail index, and a status (critical under 1.5, warning under 2)."""
-    a = weight_diagnostics(rows).join(hellinger(rows), "policy")
+    own = _weights(rows)
+    a = _diagnostics(own).join(hellinger(own), "policy")
     one = a.agg((F.sum(F.col("n") * F.col("ess_fraction")) / F.sum("n")).alias("ess_fraction"), F.avg("affinity").alias("affinity"), F.min("alpha").alias("alpha"), F.sum("n").alias("n"))
     return one.withColumn("status", F.when(F.col("alpha") < 1.5, "critical").when(F.col("alpha") < 2, "warning").otherwise("good"))
 
@@ -319,14 +336,14 @@ def policy_risk(rows: DataFrame) -> DataFrame:
 def run_diagnostics(rows: DataFrame, w: str = "w") -> DataFrame:
     """(policy, n, ess_absolute, ess_relative, alpha, cv, max_share, near_zero, affinity, quality, recommendation) of one experiment:
     ess_relative in per cent; near_zero the share of rows with less than a tenth of an even share of the sum."""
-    total = rows.groupBy("policy").agg(F.sum(w).alias("__sum"), F.count(F.lit(1)).alias("__n"))
-    own, part = rows.join(F.broadcast(total), "policy"), F.try_divide(F.col(w), F.col("__sum"))
+    held = _weights(rows, w)
+    total = held.groupBy("policy").agg(F.sum("w").alias("__sum"), F.count(F.lit(1)).alias("__n"))
+    own, x, part = held.join(F.broadcast(total), "policy"), F.col("w"), F.try_divide("w", "__sum")
     a = own.groupBy("policy").agg(
-        F.count(F.lit(1)).alias("n"), ess(F.col(w)).alias("ess_absolute"), (100 * ess(F.col(w)) / F.count(F.lit(1))).alias("ess_relative"), F.try_divide(F.stddev_pop(w), F.avg(w)).alias("cv"),
+        F.count(F.lit(1)).alias("n"), ess(x).alias("ess_absolute"), (100 * ess(x) / F.count(F.lit(1))).alias("ess_relative"), F.try_divide(F.stddev_pop("w"), F.avg("w")).alias("cv"),
         F.max(part).alias("max_share"), F.avg((part < 1 / (10 * F.col("__n"))).cast("double")).alias("near_zero"),
     )
-    card = overlap_card(rows if w == "w" else rows.withColumn("w", F.col(w)))
-    return a.join(card.select("policy", "alpha", "affinity", "quality", "recommendation"), "policy")
+    return a.join(_card(held).select("policy", "alpha", "affinity", "quality", "recommendation"), "policy")
 
 
 def batches(rows: DataFrame, order: str, least: int, parts: int = 10) -> DataFrame:
