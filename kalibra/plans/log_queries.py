@@ -1,15 +1,18 @@
-"""Queries over logs that grow: lines are made from the events table, with repeats and broken ones, written and read again."""
+"""Queries over logs: those that grow (lines are made from the events table, with repeats and broken ones, written and read again),
+rules of validation, filters of prompts, weights along scores."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import smoothing, validation
 from ..operators.tables import scratch
 from ..sources import growing
 from . import bridge
 from .bridge import SQL
-from .queries import query, rounded
+from .oracle_sql import WEIGHTS
+from .queries import calibrated, query, rounded
 
 
 def _json(**fields) -> F.Column:
@@ -69,3 +72,50 @@ def sc10_still_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows without a record, or whose last record has no score."""
     records, work = _arrivals(spark, sf_dir)
     return growing.still_due(work, records, finished=F.col("score").isNotNull()).select("row_id", "prompt_id")
+
+
+@query(SQL + """, r as (select row_id, row_id % 200 = 7 as cut, row_id % 40 <> 0 as asked, base_lp, row_id % 90 = 0 as none, row_id % 30 = 0 and row_id % 90 <> 0 as fewer, row_id % 11 = 0 as odd from logged),
+n as (select *, (select count(*) from r) as all_ from r where not cut)
+select 'broken line' as rule, 'error' as level, count(*) as n, (select count(*) from r) as of from r where cut having count(*) > 0
+union all select 'no prompt', 'error', count(*), max(all_) from n where not asked having count(*) > 0
+union all select 'no base_policy_logprob', 'error', count(*), max(all_) from n where base_lp is null having count(*) > 0
+union all select 'no policies', 'error', count(*), max(all_) from n where none having count(*) > 0
+union all select 'other policies', 'error', count(*), max(all_) from n where fewer having count(*) > 0
+union all select 'judge score is no number', 'error', count(*), max(all_) from n where odd having count(*) > 0""")
+def f5_log_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules broken by a log of all events with planted faults."""
+    r, lp = F.col("row_id"), F.create_map(F.lit("policy_b"), F.lit(-1.0))
+    policies = F.when(r % 90 == 0, F.create_map().cast("map<string,double>")).when(r % 30 == 0, lp).otherwise(F.map_concat(F.create_map(F.lit("policy_a"), F.lit(-2.0)), lp))
+    score = F.when(r % 11 == 0, F.lit('"high"')).when(r % 3 == 0, F.concat(F.lit('{"mean": '), F.col("judge_score").cast("string"), F.lit("}"))).otherwise(F.col("judge_score").cast("string"))
+    body = _json(prompt_id="prompt_id", prompt=F.when(r % 40 != 0, F.lit("q")), response=F.lit("r"), base_policy_logprob="base_lp", target_policy_logprobs=policies, oracle_label="oracle_label")
+    line = F.concat(F.expr("substr(b, 1, length(b) - 1)"), F.lit(', "judge_score": '), score, F.lit("}"))
+    path = scratch(spark, "log")
+    bridge.logged(spark, sf_dir).withColumn("b", body).select(F.when(r % 200 == 7, F.lit('{"prompt_id"')).otherwise(line).alias("value")).write.text(path)
+    return validation.validate(validation.raw_log(spark, path, "judge_score", "oracle_label", "reward"))
+
+
+@query("select doc_id from documents where not list_has_any(string_split_regex(lower(coalesce(text, '')), '[\\s!-/:-@\\[-`{-~]+'), ['worthless', 'pathetic', 'idiot', 'stupid'])")
+def f13_unblocked_by_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without any word of a caller's list, at word bounds."""
+    listed = spark.createDataFrame([(w,) for w in ("Worthless", "pathetic", "idiot", "stupid")], "phrase string")
+    return validation.without_blocked(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "text", listed).select("doc_id")
+
+
+@query(SQL + ", m as (select prompt_id, judge_score as s, case when row_id % 7 <> 0 then judge_score * judge_score end as q, row_id % 5 = 0 as none from logged) select prompt_id, not none and (coalesce(s > 0.3, false) or coalesce(q > 0.3, false)) as flagged from m")
+def f13_moderation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether any moderation score is over 0.3; a score may be null, or the whole map."""
+    s, r = F.col("judge_score"), F.col("row_id")
+    scores = F.when(r % 5 != 0, F.create_map(F.lit("x"), s, F.lit("y"), F.when(r % 7 != 0, s * s)))
+    return bridge.logged(spark, sf_dir).select("prompt_id", validation.flagged(scores).alias("flagged"))
+
+
+@query(WEIGHTS + " select policy, row_id, round(judge_score, 6) as index, round(w, 6) as raw, round(w_cal, 6) as cal, round(avg(w) over o, 6) as raw_smooth, round(avg(w_cal) over o, 6) as cal_smooth from wcal where w > 0 and w_cal > 0 and judge_score is not null window o as (partition by policy order by judge_score, row_id rows between 50 preceding and 50 following)")
+def v4_weights_along_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights before and after calibration along judge scores, with moving means of 101 rows; blocks of 3,000 rows here, so that windows span them."""
+    return rounded(smoothing.weights_along(calibrated(spark, sf_dir), block=3000))
+
+
+@query(WEIGHTS + ", a as (select policy, count(*) as n, sum(w) * sum(w) / sum(w * w) as r, sum(w_cal) * sum(w_cal) / sum(w_cal * w_cal) as c, var_pop(w_cal) / var_pop(w) as v, max(w) as mr, max(w_cal) as mc, count(*) filter (where w > 10) as t, count(*) filter (where w > 100) as h from wcal group by 1) select policy, n, round(r, 5) as ess_raw, round(c, 5) as ess_cal, round(c / r, 5) as uplift, round(v, 5) as var_ratio, round(mr, 5) as max_raw, round(mc, 5) as max_cal, t as over_10, h as over_100 from a")
+def v2_weight_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effective rows and variance before and after calibration, largest weights, counts over 10 and 100."""
+    return rounded(smoothing.weight_summary(calibrated(spark, sf_dir)), 5)
