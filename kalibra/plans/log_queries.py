@@ -6,13 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import smoothing, validation
-from ..operators.tables import scratch
+from ..operators import bootstrap, smoothing, validation
+from ..operators.tables import scratch, written
 from ..sources import growing
 from . import bridge
 from .bridge import SQL
 from .oracle_sql import WEIGHTS
-from .queries import calibrated, query, rounded
+from .queries import calibrated, query, rounded, weighted
 
 
 def _json(**fields) -> F.Column:
@@ -119,3 +119,17 @@ def v4_weights_along_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v2_weight_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Effective rows and variance before and after calibration, largest weights, counts over 10 and 100."""
     return rounded(smoothing.weight_summary(calibrated(spark, sf_dir)), 5)
+
+
+DELTA = " select policy, count(*) as n, round(a / b, 6) as estimate, round(sqrt(sum(pow(x - a / b * y, 2))) / (b * count(*)), 6) as linear_se, true as agrees from (select policy, x, y, avg(x) over (partition by policy) as a, avg(y) over (partition by policy) as b from v) group by policy, a, b"
+
+
+@query(SQL + ", v as (select policy, w * judge_score as x, w as y from w)" + DELTA)
+def d19_ratio_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The self-normalised mean of scores with its error by linearisation, and whether the bootstrap of the ratio comes within a tenth of it."""
+    rows = written(weighted(spark, sf_dir).select("policy", "row_id", "w", (F.col("w") * F.col("judge_score")).alias("ws")), "ratio")
+    drawn = bootstrap.bootstrap(rows, bootstrap.ratio("ws", "w"))
+    own = rows.join(F.broadcast(drawn.select("policy", "estimate", "se")), "policy")
+    off = F.col("ws") - F.col("estimate") * F.col("w")
+    linear = own.groupBy("policy").agg(F.count(F.lit(1)).alias("n"), F.first("estimate").alias("estimate"), F.first("se").alias("se"), (F.sqrt(F.sum(off * off)) / F.sum("w")).alias("linear_se"))
+    return rounded(linear.select("policy", "n", "estimate", "linear_se", (F.abs(F.col("se") / F.col("linear_se") - 1) < 0.1).alias("agrees")))

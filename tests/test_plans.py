@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from kalibra.functions.chat import suffix_logprobs
 from kalibra.operators import estimators, isotonic, weights
-from kalibra.plans import bridge, further_queries, inference_queries, more_queries, queries, report_queries  # noqa: F401
+from kalibra.plans import bridge, further_queries, inference_queries, log_queries, more_queries, queries, report_queries  # noqa: F401
 from kalibra.sources import jsonl
 
 SF = "/root/testdata/sf0.001"
-SOME = ["f7_fresh_coverage", "f14_first_user_turn", "is1_isotonic_falling", "c2_cross_fitted_rewards", "e2_calibrated_ips", "e6_tmle", "e8_tr_cpo", "d4_hill_tail_index", "d9_overlap_card", "d18_dr_with_intervals", "d24_paired_policies", "d30_boundary_card", "a6_ranking", "a17_wilcoxon", "t1_chat_completions", "j5_assembled_dataset", "w8_variance_safe_blend", "w9_weights_to_a_mean", "e2b_honest_ips", "e8a_orthogonalised_tr", "d27_stability", "v2_mass_points", "a23_accuracy_by_regime", "sc11_experiment_results", "sc12_analysis_results"]
+SOME = ["f7_fresh_coverage", "f14_first_user_turn", "is1_isotonic_falling", "c2_cross_fitted_rewards", "e2_calibrated_ips", "e6_tmle", "e8_tr_cpo", "d4_hill_tail_index", "d9_overlap_card", "d18_dr_with_intervals", "d24_paired_policies", "d30_boundary_card", "a6_ranking", "a17_wilcoxon", "t1_chat_completions", "j5_assembled_dataset", "w8_variance_safe_blend", "w9_weights_to_a_mean", "e2b_honest_ips", "e8a_orthogonalised_tr", "d27_stability", "v2_mass_points", "a23_accuracy_by_regime", "sc11_experiment_results", "sc12_analysis_results", "sc9_pass_table", "sc10_still_due", "f5_log_validation", "f13_moderation_flags"]
 
 
 @pytest.fixture(scope="module")
