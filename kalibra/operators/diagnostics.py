@@ -169,11 +169,11 @@ def kendall(pairs: DataFrame, key: str, x: str, y: str) -> DataFrame:
     return _concordance(pairs, key, x, y).select(key, F.col("n").cast("long").alias("n"), F.when((apart("x") > 0) & (apart("y") > 0), 2 * F.col("s") / F.sqrt(apart("x") * apart("y"))).alias("tau"))
 
 
-def kendall_drift(pairs: DataFrame, key: str, x: str, y: str) -> DataFrame:
+def kendall_drift(pairs: DataFrame, key: str, x: str, y: str, counted: bool = False) -> DataFrame:
     """kendall() with p_value, drift (p under 0.05 and tau under 0.8) and level.
 
-    p_value is two-sided: counted out over all orders where nothing is tied and there are few rows (stats.kendall_exact), elsewhere of the normal
-    approximation with its terms for ties; null where tau is."""
+    p_value is two-sided, of the normal approximation with its terms for ties; null where tau is. counted: where nothing is tied and there are
+    few rows it is counted out over all orders (stats.kendall_exact)."""
     c = _concordance(pairs, key, x, y).withColumn("m", F.expr("n * (n - 1)"))
     ties = F.expr("(x0 - n) * (y0 - n) / (2 * m)") + F.when(F.col("n") > 2, F.expr("x1 * y1 / (9 * m * (n - 2))")).otherwise(0.0)
     variance = F.expr("(m * (2 * n + 5) - x2 - y2) / 18") + ties
@@ -182,8 +182,8 @@ def kendall_drift(pairs: DataFrame, key: str, x: str, y: str) -> DataFrame:
     @F.pandas_udf("double")
     def two_sided(z: pd.Series, n: pd.Series, untied: pd.Series, s: pd.Series) -> pd.Series:  # a row a key
         def p(z: float, n: float, untied: bool, s: float) -> float | None:
-            counted = kendall_exact(int(n), round((n * (n - 1) / 2 - s) / 2)) if untied else None
-            return counted if counted is not None else math.erfc(abs(z) / math.sqrt(2))
+            exact = kendall_exact(int(n), round((n * (n - 1) / 2 - s) / 2)) if counted and untied else None
+            return exact if exact is not None else math.erfc(abs(z) / math.sqrt(2))
 
         return pd.Series([None if pd.isna(v[0]) else p(*v) for v in zip(z, n, untied, s, strict=True)], dtype="Float64")
 

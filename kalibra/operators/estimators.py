@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import simplex_weights, t_ppf
 from . import isotonic
-from .tables import written
+from .tables import small, written
 from .weights import mean_one
 
 FOLDS = 5
@@ -32,7 +32,9 @@ def calibrate(rows: DataFrame, folds: int = FOLDS) -> tuple[dict, dict]:
     labelled = rows.where(F.col("oracle_label").isNotNull()).groupBy("fold", "judge_score").agg(F.avg("oracle_label").alias("y"), F.count(F.lit(1)).cast("double").alias("c"))
     # the model of all labels is fitted beside those of the folds, as fold -1
     left_out = F.array_append(F.array_remove(F.sequence(F.lit(0), F.lit(folds - 1)), F.col("fold")), F.lit(-1))
-    fitted = isotonic.knots(isotonic.fit(labelled.select(F.explode(left_out).alias("fold"), "judge_score", "y", "c"), ["fold"], "judge_score", "y", F.col("c")), ["fold"])
+    fitted = isotonic.model(isotonic.fit(labelled.select(F.explode(left_out).alias("fold"), "judge_score", "y", "c"), ["fold"], "judge_score", "y", F.col("c")), ["fold"])
+    if isinstance(fitted, DataFrame):
+        return fitted.where("fold = -1").withColumn("fold", F.lit(0)), fitted.where("fold <> -1")
     return {(0,): m for k, m in fitted.items() if k == (-1,)}, {k: m for k, m in fitted.items() if k != (-1,)}
 
 
@@ -69,14 +71,15 @@ def stabilised(rows: DataFrame, index: str = "reward_oof", folds: int = FOLDS, o
     the means of the others, and pulled toward 1 as far as the floor of the effective sample or the cap on variance asks. The
     held-out rows take these fits, mean 1 within the fold, and in the end all weights of a policy have mean 1. A fold with
     fewer than 10 rows to learn from, fewer than 2 of its own, or a weight of zero among the former keeps its raw weights.
-    All sums are by level of the index, so only levels are copied for the folds.
+    All sums are by level of the index, so only levels are copied for the folds; means of held-out fits are sums over levels too, and the rows
+    themselves are only mapped.
     """
     own = rows.withColumn("outer", fold_of(F.col("prompt_id"), folds, outer_seed)).withColumn("__x", F.round(index, 9))
     levels = written(own.groupBy("policy", "outer", "fold", F.col("__x").alias("x")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("w").alias("sw"), F.min("w").alias("least"), F.sum(F.col("w") * F.col(index)).alias("swr")), "levels")
     train = levels.select("policy", F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(folds - 1)), F.col("outer"))).alias("k"), "fold", "x", "n", "sw", "swr", "least", (F.col("sw") / F.col("n")).alias("y"))
     # a falling fit is a rising one along -x, so both are one job
     both = train.select("policy", "k", F.explode(F.array(F.lit(1), F.lit(-1))).alias("way"), "x", "y", "n").withColumn("x", F.col("x") * F.col("way"))
-    model = isotonic.knots(isotonic.fit(both, ["policy", "k", "way"], "x", "y", F.col("n")), ["policy", "k", "way"])
+    model = isotonic.model(isotonic.fit(both, ["policy", "k", "way"], "x", "y", F.col("n")), ["policy", "k", "way"])
 
     def fits(rows: DataFrame, k: str, x: str) -> DataFrame:
         for name, way in (("u", 1), ("d", -1)):
@@ -94,7 +97,8 @@ def stabilised(rows: DataFrame, index: str = "reward_oof", folds: int = FOLDS, o
     w, sum_of = F.col("n"), lambda c: F.sum(F.col("n") * c)
     moments = cand.join(F.broadcast(rest), ["policy", "k", "fold"]).groupBy("policy", "k").agg(F.sum(w).alias("n"), *[sum_of(phi[c]).alias(f"f_{c}") for c in "ud"], *[sum_of(phi[a] * phi[b]).alias(f"f_{a}{b}") for a, b in ("uu", "ud", "dd")], *[sum_of((F.col(a) - 1) * (F.col(b) - 1)).alias(f"v_{a}{b}") for a, b in ("uu", "ud", "dd")])
     raw = train.groupBy("policy", "k").agg(F.sum("n").alias("n_train"), F.min("least").alias("least"), (F.sum("swr") / F.sum("sw")).alias("psi_train"), (F.sum("sw") / F.sum("n")).alias("w_train"))
-    tests = levels.groupBy("policy", F.col("outer").alias("k")).agg(F.sum("n").alias("n_test"))
+    served = written(fits(levels.groupBy("policy", "outer", "x").agg(F.sum("n").alias("n"), F.sum("sw").alias("sw")), "outer", "x"), "served")
+    tests = served.groupBy("policy", F.col("outer").alias("k")).agg(F.sum("n").alias("n_test"), *[(F.sum(F.col("n") * F.col(c)) / F.sum(F.when(F.col(c).isNotNull(), F.col("n")))).alias(f"mean_{c}") for c in "ud"])
     plan = []
     for r in raw.join(tests, ["policy", "k"]).join(moments, ["policy", "k"]).collect():  # a row a policy and fold
         cov = np.array([[(r[f"f_{a}{b}"] - r[f"f_{a}"] * r[f"f_{b}"] / r["n"]) / max(r["n"] - 1, 1) for a, b in pair] for pair in (("uu", "ud"), ("ud", "dd"))])
@@ -102,14 +106,25 @@ def stabilised(rows: DataFrame, index: str = "reward_oof", folds: int = FOLDS, o
         var = (a * a * r["v_uu"] + 2 * a * b * r["v_ud"] + b * b * r["v_dd"]) / r["n"]
         keep = min(1.0, (min(1 / ess_floor - 1, var_cap) / var) ** 0.5) if var > 0 else 1.0
         enough = r["n_train"] >= 10 and r["n_test"] >= 2 and r["least"] > 0
-        plan.append((r["policy"], r["k"], float(a), float(b), float(keep), bool(enough), r["psi_train"], r["w_train"]))
-    mix = rows.sparkSession.createDataFrame(plan, "policy string, outer int, a double, b double, keep double, enough boolean, psi_train double, w_train double")
-    own = fits(own, "outer", "__x")
-    own = mean_one(mean_one(own, ("policy", "outer"), "u"), ("policy", "outer"), "d").join(F.broadcast(mix), ["policy", "outer"])
+        # a mean of zero or none leaves zeros
+        a, b = (float(v) / r[f"mean_{c}"] if (r[f"mean_{c}"] or 0) > 0 else 0.0 for v, c in ((a, "u"), (b, "d")))
+        plan.append((r["policy"], r["k"], a, b, float(keep), bool(enough), r["psi_train"], r["w_train"]))
+    mix = small(rows.sparkSession, plan, "policy string, outer int, a double, b double, keep double, enough boolean, psi_train double, w_train double")
     blend = F.col("a") * F.col("u") + F.col("b") * F.col("d")
-    own = own.withColumn("w_cal", F.when(F.col("enough"), F.when(F.col("keep") < 1, F.greatest(1 + F.col("keep") * (blend - 1), F.lit(floor))).otherwise(blend)))
-    own = mean_one(own, ("policy", "outer"), "w_cal").withColumn("w_cal", F.when(F.col("enough"), F.col("w_cal")).otherwise(F.col("w")))
-    return mean_one(own, w="w_cal").drop("__x", "u", "d", "a", "b", "keep", "enough")
+    mixed = F.when(F.col("keep") < 1, F.greatest(1 + F.col("keep") * (blend - 1), F.lit(floor))).otherwise(blend)
+    # sums of the mixed weights by outer fold, for their means of 1 in it and in the policy
+    of_fold = served.join(F.broadcast(mix), ["policy", "outer"]).withColumn("m", mixed).groupBy("policy", "outer").agg(F.first("enough").alias("enough"), F.sum("n").alias("n"), F.sum("sw").alias("sw"), F.sum(F.when(F.col("m").isNotNull(), F.col("n"))).alias("nm"), F.sum(F.col("n") * F.col("m")).alias("sm")).collect()  # a row a policy and fold
+    scale, sums = {}, {}
+    for r in of_fold:
+        one = r["nm"] / r["sm"] if (r["sm"] or 0) > 0 else 0.0
+        s, n = (one * (r["sm"] or 0.0), r["nm"] or 0.0) if r["enough"] else (r["sw"], r["n"])
+        scale[r["policy"], r["outer"]] = one if r["enough"] else 1.0
+        sums.setdefault(r["policy"], []).append((s, n))
+    last = {p: sum(n for _, n in v) / s if (s := sum(s for s, _ in v)) > 0 else 0.0 for p, v in sums.items()}
+    scales = small(rows.sparkSession, [(p, k, v * last[p]) for (p, k), v in scale.items()], "policy string, outer int, scale double")
+    own = fits(own, "outer", "__x").join(F.broadcast(mix), ["policy", "outer"]).join(F.broadcast(scales), ["policy", "outer"])
+    own = own.withColumn("w_cal", F.when(F.col("enough"), mixed).otherwise(F.col("w")) * F.col("scale"))
+    return own.drop("__x", "u", "d", "a", "b", "keep", "enough", "scale")
 
 
 def calibrated_ips(rows: DataFrame, explained: Column | None = None) -> DataFrame:
@@ -138,7 +153,7 @@ def honest_ips(rows: DataFrame, least_r2: float = 0.02, folds: int = FOLDS) -> t
     total = (F.col("a") - 2 * psi * F.col("b") + psi * mw * F.col("n")) / d
     square = (F.col("aa") + 4 * psi * psi * F.col("bb") + psi * psi * mw * mw * F.col("n") - 4 * psi * F.col("ab") + 2 * psi * mw * F.col("a") - 4 * psi * psi * mw * F.col("b")) / (d * d)
     train = train.join(F.broadcast(known), ["policy", "k"]).select("policy", "k", "served", "judge_score", "n", total.alias("t"), square.alias("tt"), (total / F.col("n")).alias("y"))
-    fitted = isotonic.knots(isotonic.fit(train, ["policy", "k"], "judge_score", "y", F.col("n")), ["policy", "k"])
+    fitted = isotonic.model(isotonic.fit(train, ["policy", "k"], "judge_score", "y", F.col("n")), ["policy", "k"])
     held = isotonic.predict(train, fitted, ["policy", "k"], "judge_score", "h")
     n, left, left2 = F.sum("n"), F.sum(F.col("t") - F.col("n") * F.col("h")), F.sum(F.col("tt") - 2 * F.col("h") * F.col("t") + F.col("n") * F.col("h") * F.col("h"))
     all_, rest = F.sum("tt") - F.sum("t") * F.sum("t") / n, left2 - left * left / n
@@ -147,7 +162,11 @@ def honest_ips(rows: DataFrame, least_r2: float = 0.02, folds: int = FOLDS) -> t
     fits = fits.select("policy", "outer", "r2", ((F.col("r2") >= least_r2) & (F.col("n") >= 30) & (F.col("scores") >= 8) & (F.col("served") >= 5)).alias("applied"))
     plan = fits.collect()  # a row a policy and fold
     good = {(r["policy"], r["outer"]) for r in plan if r["applied"]}
-    own = isotonic.predict(rows, {k: m for k, m in fitted.items() if k in good}, ["policy", "outer"], "judge_score", "__h")
+    if isinstance(fitted, DataFrame):
+        fitted = fitted.join(F.broadcast(small(rows.sparkSession, sorted(good), "policy string, k int")), ["policy", "k"])
+    else:
+        fitted = {k: m for k, m in fitted.items() if k in good}
+    own = isotonic.predict(rows, fitted, ["policy", "outer"], "judge_score", "__h")
     return calibrated_ips(own, F.coalesce("__h", F.lit(0.0))), rows.sparkSession.createDataFrame(plan, fits.schema)
 
 
@@ -170,7 +189,7 @@ def weighted_outcome(rows: DataFrame, omega: str = "w", w: str = "w_cal") -> Dat
     """g refitted by policy and fold, rows weighted by w, w squared or (w - 1) squared, at least 1e-8."""
     weight = F.greatest({"w": F.abs(w), "w2": F.col(w) * F.col(w), "snips": F.pow(F.col(w) - 1, 2)}[omega], F.lit(1e-8))
     train = rows.select("policy", F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(FOLDS - 1)), F.col("fold"))).alias("fold"), "judge_score", "reward", weight.alias("omega"))
-    return isotonic.predict(rows.drop("g"), isotonic.knots(isotonic.fit(train, ["policy", "fold"], "judge_score", "reward", F.col("omega")), ["policy", "fold"]), ["policy", "fold"], "judge_score", "g", 0.0, 1.0)
+    return isotonic.predict(rows.drop("g"), isotonic.model(isotonic.fit(train, ["policy", "fold"], "judge_score", "reward", F.col("omega")), ["policy", "fold"]), ["policy", "fold"], "judge_score", "g", 0.0, 1.0)
 
 
 def tmle(rows: DataFrame, steps: int = 50, tol: float = 1e-8, w: str = "w_cal") -> DataFrame:
@@ -204,10 +223,14 @@ def cross_fitted(rows: DataFrame, y: Column, name: str, low: float, high: float
     own = written(own, "levels")
     others = F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(FOLDS - 1)), F.col("fold"))).alias("fold")
     train = own.select("policy", others, "judge_score", "n", "s").groupBy("policy", "fold", "judge_score").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("y", F.col("s") / F.col("n"))
-    models = isotonic.knots(isotonic.fit(train, ["policy", "fold"], "judge_score", "y", F.col("n")), ["policy", "fold"])
-    for r in train.groupBy("policy", "fold").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("scores"), F.sum("s").alias("s")).collect():  # a row a policy and fold
-        if r["n"] < least_rows or r["scores"] < least_scores:
-            models[r["policy"], r["fold"]] = (np.zeros(1), np.full(1, r["s"] / r["n"]))
+    models = isotonic.model(isotonic.fit(train, ["policy", "fold"], "judge_score", "y", F.col("n")), ["policy", "fold"])
+    few = train.groupBy("policy", "fold").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("scores"), F.sum("s").alias("s")).where((F.col("n") < least_rows) | (F.col("scores") < least_scores))
+    flat = [(r["policy"], r["fold"], 0.0, 0.0, r["s"] / r["n"], r["n"]) for r in few.collect()]  # a row a policy and fold
+    if isinstance(models, DataFrame):
+        flat = small(rows.sparkSession, flat, "policy string, fold int, x_lo double, x_hi double, y double, weight double")
+        models = models.join(F.broadcast(flat), ["policy", "fold"], "left_anti").unionByName(flat)
+    else:
+        models |= {(p, f): (np.zeros(1), np.full(1, y)) for p, f, _, _, y, _ in flat}
     means = own.groupBy("policy").agg((F.sum("s") / F.sum("n")).alias("__mean"))
     out = isotonic.predict(rows, models, ["policy", "fold"], "judge_score", name, low, high).join(F.broadcast(means), "policy", "left")  # a row a policy
     return out.withColumn(name, F.coalesce(name, "__mean")).drop("__mean")

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -59,30 +59,55 @@ def fit(rows: DataFrame, keys: list[str], x: str, y: str, w: Column | None = Non
     return dealt.mapInPandas(local, schema).groupBy(*keys).applyInPandas(pooled, schema)
 
 
+#: As many blocks the driver takes and broadcasts (24 bytes each).
+MOST_BLOCKS = 2_000_000
+
+
+def model(blocks: DataFrame, keys: list[str]) -> dict[tuple, tuple[np.ndarray, np.ndarray]] | DataFrame:
+    """What predict() takes: each group's breakpoints at the driver, or of more than MOST_BLOCKS blocks a written table of them.
+
+    Of n levels about n to the power 1/3 are blocks where y scatters, but nearly all of them where it rises with x throughout.
+    """
+    seen = Observation()
+    held = written(blocks.observe(seen, F.count(F.lit(1)).alias("n")), "blocks")
+    return held if seen.get["n"] > MOST_BLOCKS else _at_driver(held, keys)
+
+
 def knots(blocks: DataFrame, keys: list[str]) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
-    """Each group's breakpoints, at the driver: a fit has far fewer blocks than levels (of n levels about n to the power 1/3)."""
+    """Each group's breakpoints, at the driver; more than MOST_BLOCKS are an error. For fits whose levels are few, as labels are; else see model()."""
+    found = model(blocks, keys)
+    if isinstance(found, DataFrame):
+        raise ValueError(f"a fit has over {MOST_BLOCKS} blocks: round its scores")
+    return found
+
+
+def _at_driver(blocks: DataFrame, keys: list[str]) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
     out: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-    for key, group in blocks.orderBy(*keys, "x_lo").toPandas().groupby(keys, sort=False, dropna=False):
+    for key, group in blocks.toPandas().sort_values("x_lo", kind="stable").groupby(keys, sort=False, dropna=False):
         out[key if isinstance(key, tuple) else (key,)] = (group[["x_lo", "x_hi"]].to_numpy().ravel(), np.repeat(group["y"].to_numpy(), 2))
     return out
 
 
-def predict(rows: DataFrame, models: dict[tuple, tuple[np.ndarray, np.ndarray]], keys: list[str], x: str, name: str, low: float | None = None, high: float | None = None) -> DataFrame:
-    """Adds name: linear between breakpoints, flat beyond them, cut to [low, high]; null where x is null or the group has no fit."""
+def predict(rows: DataFrame, models: dict[tuple, tuple[np.ndarray, np.ndarray]] | DataFrame, keys: list[str], x: str, name: str, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Adds name: linear between breakpoints, flat beyond them, cut to [low, high]; null where x is null or the group has no fit.
+    models: of model() or knots(); a table's first columns are the keys, in their order."""
+    if isinstance(models, DataFrame):
+        return predict_levels(rows, models.toDF(*keys, *models.columns[len(keys) :]), keys, x, name, low, high)
     held = rows.sparkSession.sparkContext.broadcast(models)
 
+    # not an iterator: predictions of one select share a Python worker's pass over the rows
     @F.pandas_udf("double")
-    def at(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for *key, value in parts:
-            frame = pd.DataFrame({i: k for i, k in enumerate(key)})
-            out = np.full(len(value), np.nan)
-            for k, places in frame.groupby(list(frame.columns), sort=False).indices.items():
-                if (m := held.value.get(k if isinstance(k, tuple) else (k,))) is not None:
-                    out[places] = np.interp(value.to_numpy(float)[places], *m)
-            if low is not None or high is not None:
-                out = np.clip(out, low, high)
-            out[value.isna().to_numpy()] = np.nan
-            yield pd.Series(out).astype(object).where(~np.isnan(out), None).astype("Float64")
+    def at(*columns: pd.Series) -> pd.Series:
+        *key, value = columns
+        frame, x = pd.DataFrame(dict(enumerate(key))), value.to_numpy(float)
+        out = np.full(len(x), np.nan)
+        for k, places in frame.groupby(list(frame.columns), sort=False).indices.items():
+            if (m := held.value.get(k if isinstance(k, tuple) else (k,))) is not None:
+                out[places] = np.interp(x[places], *m)
+        if low is not None or high is not None:
+            out = np.clip(out, low, high)
+        out[np.isnan(x)] = np.nan
+        return pd.Series(pd.arrays.FloatingArray(out, np.isnan(out)))
 
     return rows.withColumn(name, at(*[F.col(k) for k in keys], F.col(x)))
 
@@ -108,15 +133,15 @@ def predict_levels(rows: DataFrame, blocks: DataFrame, keys: list[str], x: str,
     same = placed["__range"] == spans["__range"]
     for k in keys:
         same = same & placed[k].eqNullSafe(spans[k])
-    placed = placed.join(F.broadcast(spans), same).select(*[placed[k].alias(f"__k_{i}") for i, k in enumerate(keys)], placed["__x"].alias("__at"), F.coalesce("__l", "__before").alias("l"), F.coalesce("__h", "__after").alias("h"))
+    placed = placed.join(F.broadcast(spans), same).select(*[placed[k].alias(f"__k_{i}") for i, k in enumerate(keys)], placed["__x"].alias("__level"), F.coalesce("__l", "__before").alias("l"), F.coalesce("__h", "__after").alias("h"))
     gap = F.col("h.__x") - F.col("l.__x")
-    value = F.when(F.col("l").isNull(), F.col("h.__y")).when(F.col("h").isNull() | (gap == 0), F.col("l.__y")).otherwise(F.col("l.__y") + (F.col("h.__y") - F.col("l.__y")) * (F.col("__at") - F.col("l.__x")) / gap)
+    value = F.when(F.col("l").isNull(), F.col("h.__y")).when(F.col("h").isNull() | (gap == 0), F.col("l.__y")).otherwise(F.col("l.__y") + (F.col("h.__y") - F.col("l.__y")) * (F.col("__level") - F.col("l.__x")) / gap)
     if low is not None:
         value = F.greatest(value, F.lit(low))
     if high is not None:
         value = F.least(value, F.lit(high))
-    values = placed.where("l is not null or h is not null").select(*[f"__k_{i}" for i in range(len(keys))], "__at", value.alias(name))
-    on = F.col(x).cast("double") == F.col("__at")
+    values = placed.where("l is not null or h is not null").select(*[f"__k_{i}" for i in range(len(keys))], "__level", value.alias(name))
+    on = F.col(x).cast("double") == F.col("__level")
     for i, k in enumerate(keys):
         on = on & rows[k].eqNullSafe(F.col(f"__k_{i}"))
-    return rows.drop(name).join(values, on, "left").drop("__at", *[f"__k_{i}" for i in range(len(keys))])
+    return rows.drop(name).join(values, on, "left").drop("__level", *[f"__k_{i}" for i in range(len(keys))])

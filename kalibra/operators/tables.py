@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _fallback: list[str] = []
 
@@ -34,6 +37,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver's as a local relation: it is broadcast without a job of its own."""
+    want = StructType.fromDDL(schema)
+    columns = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in want]
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(want), strict=True)], names=want.names), want)
+
+
 def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, str]) -> DataFrame:
     """Adds for each (name, column) of sums the column's sum over rows of equal keys up to this one, in the order (without ties).
 

@@ -355,14 +355,14 @@ DRIFT = " select batch, cast(n as bigint) as n, round(tau, 6) as tau, case when
 @query((SQL + KENDALL.replace("BATCH", "row_id % 200") + MAHONIAN + DRIFT).replace("with logged", "with recursive logged", 1))
 def d25_drift_by_batch(spark, sf_dir):
     rows = bridge.logged(spark, sf_dir).where("oracle_label is not null").select((F.col("row_id") % 200).alias("batch"), "judge_score", F.col("oracle_label").alias("y"))
-    return rounded(diagnostics.kendall_drift(rows, "batch", "judge_score", "y"))
+    return rounded(diagnostics.kendall_drift(rows, "batch", "judge_score", "y", counted=True))
 
 
 @query((SQL + KENDALL.replace("BATCH", "row_id // 40") + MAHONIAN + DRIFT).replace("with logged", "with recursive logged", 1))
 def d25_drift_of_small_batches(spark, sf_dir):
     """Ten labels a batch: p is counted out where nothing is tied."""
     rows = bridge.logged(spark, sf_dir).where("oracle_label is not null").select(F.floor(F.col("row_id") / 40).alias("batch"), "judge_score", F.col("oracle_label").alias("y"))
-    return rounded(diagnostics.kendall_drift(rows, "batch", "judge_score", "y"))
+    return rounded(diagnostics.kendall_drift(rows, "batch", "judge_score", "y", counted=True))
 
 
 @query(SQL + ", b as (select least(floor(judge_score * 10), 9) as bin, judge_score, oracle_label from logged where oracle_label is not null), a as (select bin, count(*) as n, avg(judge_score) as confidence, avg(oracle_label) as accuracy from b group by 1) select cast(r.i as integer) as bin, coalesce(n, 0) as n, round(coalesce(confidence, (r.i + 0.5) / 10), 6) as confidence, round(coalesce(accuracy, 0.0), 6) as accuracy from (select unnest(range(10)) as i) r left join a on a.bin = r.i")

@@ -25,7 +25,7 @@ def test_kendalls_p_over_all_orders():
 def test_drift_of_untied_rows_is_counted_out(spark):
     rng = np.random.default_rng(2)
     rows = [(k, float(x), float(y)) for k in range(4) for x, y in zip(rng.permutation(6), rng.permutation(6), strict=True)]
-    got = {r["k"]: r for r in diagnostics.kendall_drift(spark.createDataFrame(rows, "k int, x double, y double"), "k", "x", "y").collect()}
+    got = {r["k"]: r for r in diagnostics.kendall_drift(spark.createDataFrame(rows, "k int, x double, y double"), "k", "x", "y", counted=True).collect()}
     for k in range(4):
         own = [(x, y) for q, x, y in rows if q == k]
         d = sum((a[0] - b[0]) * (a[1] - b[1]) < 0 for a, b in itertools.combinations(own, 2))
