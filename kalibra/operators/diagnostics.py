@@ -124,6 +124,39 @@ def calibration_error(rows: DataFrame, p: str, y: str, bins: int = 10) -> DataFr
     return e.crossJoin(rows.where(F.col(p).isNotNull() & F.col(y).isNotNull()).agg(F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("brier")))
 
 
+def brier_parts(rows: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
+    """One row (ece, mce, brier, reliability, resolution, uncertainty, calibrated). Over bins, reliability is the mean squared gap of confidence
+    and accuracy, resolution that of accuracy and the base rate, uncertainty the base rate's variance. An empty bin counts in mce alone,
+    with accuracy 0 at its middle. calibrated: ece under 0.1. All null without rows that have both."""
+    have = rows.where(F.col(p).isNotNull() & F.col(y).isNotNull())
+    one = have.agg(F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("brier"), F.avg(y).alias("__base"), F.count(F.lit(1)).alias("__n"))  # one row
+    gap, share = F.col("confidence") - F.col("accuracy"), F.try_divide("n", "__n")
+    a = reliability(rows, p, y, bins).crossJoin(F.broadcast(one)).groupBy("brier", "__base").agg(
+        F.sum(share * F.abs(gap)).alias("ece"), F.max(F.when(F.col("__n") > 0, F.abs(gap))).alias("mce"), F.sum(share * gap * gap).alias("reliability"), F.sum(share * F.pow(F.col("accuracy") - F.col("__base"), 2)).alias("resolution"),
+    )
+    return a.select("ece", "mce", "brier", "reliability", "resolution", (F.col("__base") * (1 - F.col("__base"))).alias("uncertainty"), (F.col("ece") < 0.1).alias("calibrated"))
+
+
+def score_test(contributions: DataFrame, value: str = "phi") -> DataFrame:
+    """(policy, score_mean, score_se, score_z, score_p): whether a mean by policy is zero, with the population deviation and a two-sided
+    normal p; z is 0 and p 1 where nothing varies."""
+    a = contributions.groupBy("policy").agg(F.avg(value).alias("score_mean"), (F.stddev_pop(value) / F.sqrt(F.count(value))).alias("score_se"))
+    a = a.withColumn("score_z", F.when(F.col("score_se") > 0, F.col("score_mean") / F.col("score_se")).otherwise(0.0))
+
+    @F.pandas_udf("double")
+    def two_sided(z: pd.Series) -> pd.Series:  # a row a policy
+        return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)))
+
+    return a.withColumn("score_p", two_sided("score_z"))
+
+
+def drawn_share(rows: DataFrame, fresh: DataFrame, least: float = 0.8) -> DataFrame:
+    """(policy, coverage, coverage_ok): the share of rows whose prompt has a fresh draw of the policy; ok from least on."""
+    hits = fresh.select("policy", "prompt_id").distinct().withColumn("__hit", F.lit(1.0))
+    share = rows.select("policy", "prompt_id").join(hits, ["policy", "prompt_id"], "left").groupBy("policy").agg(F.avg(F.coalesce("__hit", F.lit(0.0))).alias("coverage"))
+    return share.withColumn("coverage_ok", F.col("coverage") >= least)
+
+
 def boundary_card(rows: DataFrame, labelled: DataFrame, gap: DataFrame, band: float = 0.05) -> DataFrame:
     """(policy, outside, saturated, gap, width, verdict) from rows (policy, judge_score, reward), labelled rows of the same columns
     and (policy, gap), how far two estimators are apart.

@@ -97,6 +97,48 @@ def toggle_sensitivity(runs: DataFrame, value: str = "est") -> DataFrame:
     return wide.groupBy("estimator").agg(F.max(F.abs(F.col("true") - F.col("false"))).alias("largest"))
 
 
+def level_sensitivity(runs: DataFrame, column: str, levels: tuple[float, float], names: tuple[str, ...] = ("rmse_d", "se_geomean", "coverage_rate"), keys: tuple[str, ...] = ("n", "coverage", "seed")) -> DataFrame:
+    """(estimator, then of each metric of names the largest change between two levels of a column, such as the cap on weights' variance),
+    over groups equal in keys that have both; null where none has."""
+    own = table(runs.where(F.col(column).isin(*levels)), "estimator", *keys, column)
+    wide = own.groupBy("estimator", *keys).agg(*[F.max(F.when(F.col(column) == v, F.col(m))).alias(f"{m}_{i}") for m in names for i, v in enumerate(levels)])
+    return wide.groupBy("estimator").agg(*[F.max(F.abs(F.col(f"{m}_1") - F.col(f"{m}_0"))).alias(m) for m in names])
+
+
+#: fixed values: bounds of metrics that have their own; names ending in _rate are per cent as well
+FIXED_BOUNDS = {"kendall_tau": (-1.0, 1.0), "coverage": (0.0, 100.0), "coverage_robust": (0.0, 100.0)}
+
+
+def metric_bounds(rows: DataFrame, values: list[str], how: str = "iqr", reach: float = 1.5) -> DataFrame:
+    """(metric, lo, hi) of each metric of values over the rows of a report, nulls and NaN left out.
+
+    iqr: least and largest value once cut to reach quartile ranges beyond the quartiles (of fewer than four values plainly the least and
+    largest); percentile: the 5th and 95th; range: least and largest. A metric without values has 0 and 1, one with fixed bounds those.
+    """
+    if how not in ("iqr", "percentile", "range"):
+        raise ValueError(f"no bounds by {how}")
+    own = rows.select(*[F.when(~F.isnan(F.col(v).cast("double")), F.col(v).cast("double")).alias(v) for v in values]).unpivot([], values, "metric", "v")
+    q = own.groupBy("metric").agg(F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), *[F.percentile("v", p).alias(a) for a, p in (("q1", 0.25), ("q3", 0.75), ("p5", 0.05), ("p95", 0.95))])
+    reach_ = reach * (F.col("q3") - F.col("q1"))
+    lo, hi = F.col("least"), F.col("most")
+    if how == "percentile":
+        lo, hi = F.col("p5"), F.col("p95")
+    elif how == "iqr":
+        lo = F.when(F.col("n") < 4, lo).otherwise(F.greatest("least", F.col("q1") - reach_))
+        hi = F.when(F.col("n") < 4, hi).otherwise(F.least("most", F.col("q3") + reach_))
+    fixed = FIXED_BOUNDS | {v: (0.0, 100.0) for v in values if v.endswith("_rate")}
+    for name, (a, b) in fixed.items():
+        lo, hi = F.when(F.col("metric") == name, a).otherwise(lo), F.when(F.col("metric") == name, b).otherwise(hi)
+    return q.select("metric", F.coalesce(lo, F.lit(0.0)).alias("lo"), F.coalesce(hi, F.lit(1.0)).alias("hi"))
+
+
+def on_bounds(rows: DataFrame, bounds: DataFrame, values: list[str]) -> DataFrame:
+    """rows with each metric cut to its bounds and put on [0, 1] between them; a half where they meet. bounds is a row a metric."""
+    at = {r["metric"]: (r["lo"], r["hi"]) for r in bounds.collect()}
+    scaled = {v: F.when(F.col(v).isNotNull(), (F.least(F.greatest(F.col(v), F.lit(a)), F.lit(b)) - a) / (b - a) if b > a else F.lit(0.5)) for v, (a, b) in ((v, at[v]) for v in values)}
+    return rows.withColumns(scaled)
+
+
 def gate_rates(runs: DataFrame) -> DataFrame:
     """(estimator, rate): per cent of rows that pass; a missing gate is a failure."""
     return runs.groupBy("estimator").agg((F.avg(F.coalesce(F.col("gate"), F.lit(False)).cast("double")) * 100).alias("rate"))
@@ -202,23 +244,52 @@ def joined_metrics(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) ->
     return left.join(right, [*keys], "full_outer")
 
 
-def markdown(rows: DataFrame, columns: list[str], best: dict[str, str], digits: int = 4, limit: int = 1000) -> str:
-    """A report table as Markdown: of each column in best ("min" or "max") the best value is bold, the second underlined.
-    A report has limit rows at most; more are an error."""
+def _report(rows: DataFrame, columns: list[str], best: dict[str, str], digits: int, limit: int) -> list[list[tuple[str, int | None]]]:
+    """Each cell's text and, in the columns of best, its place: 0 for the best value, 1 for the second, ties alike."""
     held = rows.select(*columns).limit(limit + 1).collect()
     if len(held) > limit:
         raise ValueError(f"a table of more than {limit} rows is no report")
     order = {c: sorted({round(r[c], digits) for r in held if r[c] is not None}, reverse=how == "max") for c, how in best.items()}
 
-    def shown(c: str, v: object) -> str:
-        text = "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("|", "\\|")
-        if v is None or c not in order:
-            return text
-        place = order[c].index(round(v, digits))
-        return f"**{text}**" if place == 0 else f"<u>{text}</u>" if place == 1 else text
+    def cell(c: str, v: object) -> tuple[str, int | None]:
+        text = "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
+        return text, order[c].index(round(v, digits)) if v is not None and c in order else None
 
+    return [[cell(c, r[c]) for c in columns] for r in held]
+
+
+def markdown(rows: DataFrame, columns: list[str], best: dict[str, str], digits: int = 4, limit: int = 1000) -> str:
+    """A report table as Markdown: of each column in best ("min" or "max") the best value is bold, the second underlined.
+    A report has limit rows at most; more are an error."""
+    marks = {0: "**{}**", 1: "<u>{}</u>"}
     lines = ["| " + " | ".join(columns) + " |", "|" + "-|" * len(columns)]
-    return "\n".join(lines + ["| " + " | ".join(shown(c, r[c]) for c in columns) + " |" for r in held])
+    return "\n".join(lines + ["| " + " | ".join(marks.get(place, "{}").format(text.replace("|", "\\|")) for text, place in r) + " |" for r in _report(rows, columns, best, digits, limit)])
+
+
+#: fixed values: how LaTeX writes its own signs
+LATEX_SIGNS = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
+
+
+def latex_text(text: str) -> str:
+    return "".join(LATEX_SIGNS.get(c, c) for c in text)
+
+
+def latex(rows: DataFrame, columns: list[str], best: dict[str, str], caption: str = "", label: str = "", heads: dict[str, str] | None = None, groups: str | None = None, digits: int = 4, limit: int = 1000) -> str:
+    """A report table as LaTeX with booktabs rules: as markdown(), bold and underlined. Columns of best stand to the right; heads names columns
+    otherwise; a rule parts rows where the column groups changes (the caller orders rows). Texts are escaped."""
+    marks = {0: r"\textbf{%s}", 1: r"\underline{%s}"}
+    lines = [r"\begin{table}[t]", r"\centering"]
+    lines += [rf"\caption{{{latex_text(caption)}}}"] if caption else []
+    lines += [rf"\label{{{label}}}"] if label else []
+    lines += [r"\begin{tabular}{" + "".join("r" if c in best else "l" for c in columns) + "}", r"\toprule"]
+    lines += [" & ".join(latex_text((heads or {}).get(c, c)) for c in columns) + r" \\", r"\midrule"]
+    before = None
+    for r in _report(rows, columns, best, digits, limit):
+        group = r[columns.index(groups)][0] if groups else None
+        lines += [r"\midrule"] if before is not None and group != before else []
+        lines.append(" & ".join(marks.get(place, "%s") % latex_text(text) for text, place in r) + r" \\")
+        before = group
+    return "\n".join([*lines, r"\bottomrule", r"\end{tabular}", r"\end{table}"])
 
 
 def variance_decomposition(passes: DataFrame, n_passes: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stats import normal_ppf
 from . import jsonl
 
 _BY_POLICY = ("estimates", "oracle_truths", "standard_errors", "robust_standard_errors", "ess_relative", "hill_alpha", "bhattacharyya")
@@ -142,3 +143,26 @@ def exported(estimates: DataFrame, rewards: DataFrame, z: float = 1.959963984540
     best = estimates.agg(F.min_by("policy", F.struct(-F.col("estimate"), "policy")).alias("__best"))
     targets = estimates.crossJoin(F.broadcast(best)).select("policy", "estimate", F.col("se").alias("standard_error"), F.col("lo").alias("ci_lower"), F.col("hi").alias("ci_upper"), (F.col("policy") == F.col("__best")).alias("is_best"))  # one row
     return base.unionByName(targets)
+
+
+def write_document(estimates: DataFrame, path: str, method: str, metadata: dict[str, str] | None = None) -> None:
+    """One JSON document at path from (policy, estimate, se, n): method, metadata and a block a policy with its normal 95 % interval.
+
+    Not-a-number becomes null. A row a policy is all there is, so the document is one row of one task.
+    """
+    fine = lambda c: F.when(~F.isnan(c), c)
+    half = normal_ppf(0.975) * F.col("se")
+    block = F.struct(fine(F.col("estimate")).alias("estimate"), fine(F.col("se")).alias("standard_error"), fine(F.col("estimate") - half).alias("ci_lower"), fine(F.col("estimate") + half).alias("ci_upper"), F.coalesce(F.col("n").cast("long"), F.lit(0)).alias("n_samples"))
+    entries = F.array_sort(F.collect_list(F.struct(F.col("policy").cast("string").alias("policy"), block.alias("block"))))
+    facts = F.map_from_arrays(F.array(*[F.lit(k) for k in metadata]), F.array(*[F.lit(str(v)) for v in metadata.values()])) if metadata else F.lit(None).cast("map<string,string>")
+    one = estimates.agg(entries.alias("e")).select(F.lit(method).alias("method"), F.lit(0.05).alias("alpha"), F.transform("e", lambda x: x["policy"]).alias("target_policies"), facts.alias("metadata"), F.map_from_entries("e").alias("per_policy_results"))
+    one.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+
+
+DOCUMENT = "method string, alpha double, target_policies array<string>, metadata map<string,string>, per_policy_results map<string,struct<estimate:double,standard_error:double,ci_lower:double,ci_upper:double,n_samples:bigint>>"
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(method, metadata, policy, estimate, standard_error, ci_lower, ci_upper, n_samples) of the documents at path (a glob may name many)."""
+    own = spark.read.text(path, wholetext=True).select(F.from_json("value", DOCUMENT, {"mode": "FAILFAST"}).alias("d"))
+    return own.select("d.method", "d.metadata", F.explode("d.per_policy_results").alias("policy", "r")).select("method", "metadata", "policy", "r.*")
