@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .operators import analysis, validation
-from .operators.tables import written
+from .operators.tables import owned, written
 from .sources import jsonl
 
 
@@ -32,6 +32,11 @@ def parser() -> argparse.ArgumentParser:
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
     asked = parser().parse_args(arguments)
     spark = spark or SparkSession.builder.appName("kalibra").getOrCreate()
+    with owned(spark):
+        return _run(asked, spark)
+
+
+def _run(asked: argparse.Namespace, spark: SparkSession) -> int:
     if asked.command == "validate":
         found = written(validation.validate(validation.raw_log(spark, asked.log, asked.judge_field, asked.oracle_field, "reward"), asked.judge_field, asked.oracle_field), "validation")
         for r in found.collect():  # a row a rule

@@ -256,6 +256,23 @@ def draw_coverage(logged: DataFrame, fresh: DataFrame, policies: list[str]) -> D
     return drawn.groupBy("policy").agg(F.count(F.lit(1)).alias("n_prompts"), F.count_if(F.col("d").isNull()).alias("n_uncovered"), F.min("d").alias("least"), F.avg("d").alias("mean"), F.max("d").alias("most"))
 
 
+def extra_draws(logged: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(policy, n_prompts, n_draws): fresh draws of prompts that the log lacks; no row for a policy without any."""
+    lone = fresh.join(logged.select("prompt_id").distinct(), "prompt_id", "left_anti").groupBy("policy", "prompt_id").agg(F.count(F.lit(1)).alias("d"))
+    return lone.groupBy("policy").agg(F.count(F.lit(1)).alias("n_prompts"), F.sum("d").alias("n_draws"))
+
+
+def policy_summary(logged: DataFrame, policies: list[str]) -> DataFrame:
+    """(policy, n, n_valid, n_used, filter_rate): rows, those with the policy's and the base's log-probability, those with all policies', and the
+    share that goes for want of one. One pass, a row a policy."""
+    has = lambda p: F.col("base_lp").isNotNull() & F.col("target_lps")[p].isNotNull()
+    whole = F.col("base_lp").isNotNull()
+    for p in policies:
+        whole &= F.col("target_lps")[p].isNotNull()
+    one = logged.agg(F.count(F.lit(1)).alias("n"), F.count_if(whole).alias("n_used"), F.array(*[F.struct(F.lit(p).alias("policy"), F.count_if(has(p)).alias("n_valid")) for p in policies]).alias("p"))
+    return one.select("n", "n_used", F.inline("p")).select("policy", "n", "n_valid", "n_used", (1 - F.try_divide("n_used", "n")).alias("filter_rate"))
+
+
 def orthogonality(rows: DataFrame) -> DataFrame:
     """Of (policy, w_cal, reward, g): the mean of w (reward - g), its error (population deviation), z and 95 % interval."""
     s, half = F.col("w_cal") * (F.col("reward") - F.col("g")), normal_ppf(0.975) * F.col("se")

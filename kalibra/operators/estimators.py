@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import simplex_weights, t_ppf
-from . import isotonic
+from . import bootstrap, isotonic
 from .tables import small, written
 from .weights import mean_one
 
@@ -353,14 +353,8 @@ def oracle_slice(rows: DataFrame) -> DataFrame:
 
 
 def bootstrap_means(contributions: DataFrame, replicates: int = 1000, seed: int = 11) -> DataFrame:
-    """(policy, se, lo, hi) of the mean by Poisson bootstrap: each row counts a Poisson(1) number of times in each replicate,
-    decided by hashes, so a replicate is a sum and nothing is gathered."""
-    u = lambda r: (F.pmod(F.xxhash64("row_id", "policy", r, F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    edges = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    draws = contributions.select("policy", "row_id", "c", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
-    times = sum((u(F.col("r")) > e).cast("int") for e in edges)
-    means = draws.withColumn("k", times).groupBy("policy", "r").agg((F.sum(F.col("k") * F.col("c")) / F.sum("k")).alias("m"))
-    return means.groupBy("policy").agg(F.stddev_samp("m").alias("se"), F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
+    """(policy, se, lo, hi) of the mean by bootstrap.bootstrap(): rows are added up in cells once, and replicates draw cells."""
+    return bootstrap.bootstrap(contributions, bootstrap.mean("c"), replicates=replicates, seed=seed).select("policy", "se", "lo", "hi")
 
 
 def balanced_folds(rows: DataFrame, folds: int = FOLDS, seed: int = 42) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +16,21 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 _fallback: list[str] = []
+_owner: ContextVar[list[str] | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are deleted at the end, also after an error; what is to last is written elsewhere before. Scopes nest."""
+    made: list[str] = []
+    before = _owner.set(made)
+    try:
+        yield
+    finally:
+        _owner.reset(before)
+        for name in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -27,7 +45,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not _fallback:
             _fallback.append("file://" + tempfile.mkdtemp(prefix="spark-tables-"))
         base = _fallback[0]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if (made := _owner.get()) is not None:
+        made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import diagnostics, estimators, labels, reporting
-from ..operators.tables import scratch
-from ..sources import results
+from ..operators.tables import scratch, written
+from ..sources import jsonl, results
 from . import bridge
 from .bridge import SQL
 from .oracle_sql import CALIBRATED, OUTCOMES, two_sided
@@ -99,3 +99,47 @@ def sk1_result_document(spark, sf_dir):
     found = estimators.cluster_robust(estimators.raw_ips(scored(spark, sf_dir, models(spark, sf_dir)))).select("policy", "estimate", F.col("se_naive").alias("se"), "n")
     results.write_document(found, path, "raw-ips", {"source": "events"})
     return rounded(results.read_documents(spark, path)).withColumn("source", F.col("metadata")["source"]).drop("metadata")
+
+
+@query(CALIBRATED + " select policy, count(*) as n, round(avg(w * reward), 6) as estimate, round(stddev_pop(w * reward) / sqrt(count(*)), 6) as linear_se, true as agrees, true as inside from scored group by policy")
+def a16_bootstrap_error(spark, sf_dir):
+    """Means of contributions with their plain error, whether the bootstrap's comes within a tenth of it, and its interval holds the mean."""
+    rows = written(estimators.raw_ips(scored(spark, sf_dir, models(spark, sf_dir))).select("policy", "row_id", "c"), "contributions")
+    plain = rows.groupBy("policy").agg(F.count(F.lit(1)).alias("n"), F.avg("c").alias("estimate"), (F.stddev_pop("c") / F.sqrt(F.count(F.lit(1)))).alias("linear_se"))
+    both = plain.join(F.broadcast(estimators.bootstrap_means(rows)), "policy")
+    return rounded(both.select("policy", "n", "estimate", "linear_se", (F.abs(F.col("se") / F.col("linear_se") - 1) < 0.1).alias("agrees"), F.col("estimate").between(F.col("lo"), F.col("hi")).alias("inside")))
+
+
+@query(SQL + ", j as (select *, coalesce(case when row_id % 43 = 0 then -base_lp else base_lp end, 0) > 0 or row_id % 41 = 0 as rejected, case when row_id % 41 <> 0 then 'question ' || row_id end as prompt from logged) select case when row_id % 37 <> 0 then prompt_id when prompt is not null then 'prompt_' || substr(sha256(prompt), 1, 12) end as prompt_id, round(case when row_id % 43 = 0 then -base_lp else base_lp end, 6) as base_lp, round(lp_a, 6) as lp_a, round(lp_b, 6) as lp_b, round(judge_score, 6) as judge_score, round(oracle_label, 6) as oracle_label, rejected from j")
+def sc1_json_log(spark, sf_dir):
+    """The log as JSON lines, read again: some rows lack a prompt or have a positive log-probability and are rejected, some lack an id; scores
+    are objects, labels lie in metadata."""
+    path, rows = scratch(spark, "log"), bridge.logged(spark, sf_dir)
+    fields = {
+        "prompt_id": F.when(F.col("row_id") % 37 != 0, F.col("prompt_id")).otherwise(""), "prompt": F.when(F.col("row_id") % 41 != 0, F.concat(F.lit("question "), F.col("row_id").cast("string"))), "response": F.lit("answer"),
+        "base_policy_logprob": F.when(F.col("row_id") % 43 == 0, -F.col("base_lp")).otherwise(F.col("base_lp")), "target_policy_logprobs": F.col("target_lps"),
+        "judge_score": F.struct(F.col("judge_score").alias("mean")), "metadata": F.struct("oracle_label"),
+    }
+    rows.select(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("value")).write.text(path)
+    fine, rejected = jsonl.read_logged(spark, path)
+    both = fine.withColumn("rejected", F.lit(False)).unionByName(rejected.withColumn("rejected", F.lit(True)))
+    return rounded(both.select("prompt_id", "base_lp", F.col("target_lps")["policy_a"].alias("lp_a"), F.col("target_lps")["policy_b"].alias("lp_b"), "judge_score", "oracle_label", "rejected"))
+
+
+@query(SQL + ", d as (select policy, prompt_id, count(*) as d from fresh group by 1, 2), c as (select policy, d, count(*) as c from d group by 1, 2), e as (select policy, d as expected from (select *, row_number() over (partition by policy order by c desc, d) as rn from c) where rn = 1) select c.policy, cast(sum(c) as bigint) as n_prompts, cast(sum(c * d) as bigint) as n_draws, min(d) as least, max(d) as most, any_value(expected) as expected, cast(sum(case when d <> expected then c else 0 end) as bigint) as n_unequal from c join e using (policy) group by c.policy")
+def sc7_fresh_draws(spark, sf_dir):
+    """Draws of all policies as JSON lines, read again, with a report on prompts that have an unusual number of them."""
+    path = scratch(spark, "fresh")
+    bridge.fresh(spark, sf_dir).select(F.to_json(F.struct("prompt_id", F.col("policy").alias("target_policy"), "draw_idx", "judge_score")).alias("value")).write.text(path)
+    return jsonl.draw_report(jsonl.read_fresh(spark, path))
+
+
+@query(SQL + ", d as (select policy, prompt_id, count(*) as d from fresh where prompt_id not in (select prompt_id from logged where row_id % 9 <> 0) group by 1, 2) select policy, count(*) as n_prompts, cast(sum(d) as bigint) as n_draws from d group by policy")
+def j9_extra_draws(spark, sf_dir):
+    """Draws of prompts that a log without every ninth row lacks."""
+    return diagnostics.extra_draws(bridge.logged(spark, sf_dir).where("row_id % 9 <> 0"), bridge.fresh(spark, sf_dir))
+
+
+@query(SQL + ", t as (select count(*) as n, count(*) filter (where base_lp is not null and lp_a is not null) as a, count(*) filter (where base_lp is not null and lp_b is not null) as b, count(*) filter (where base_lp is not null and lp_a is not null and lp_b is not null) as n_used from logged) select 'policy_a' as policy, n, a as n_valid, n_used, round(1 - n_used / n, 6) as filter_rate from t union all select 'policy_b', n, b, n_used, round(1 - n_used / n, 6) from t")
+def f10_policy_summary(spark, sf_dir):
+    return rounded(diagnostics.policy_summary(bridge.logged(spark, sf_dir), bridge.POLICIES))

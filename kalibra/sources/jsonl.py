@@ -47,6 +47,17 @@ def read_fresh(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("prompt_id").isNotNull() & F.col("policy").isNotNull() & F.col("judge_score").between(0, 1))
 
 
+def draw_report(fresh: DataFrame, draws_per_prompt: int | None = None) -> DataFrame:
+    """(policy, n_prompts, n_draws, least, most, expected, n_unequal): how many draws prompts have, and how many prompts have another number
+    than draws_per_prompt, or than most prompts of the policy have (of numbers as frequent the smaller)."""
+    counts = fresh.groupBy("policy", "prompt_id").agg(F.count(F.lit(1)).alias("d")).groupBy("policy", "d").agg(F.count(F.lit(1)).alias("c"))
+    usual = F.max_by("d", F.struct("c", -F.col("d"))) if draws_per_prompt is None else F.lit(draws_per_prompt).cast("long")
+    # numbers of draws are few: a row a policy and number
+    a = counts.groupBy("policy").agg(F.sum("c").alias("n_prompts"), F.sum(F.col("c") * F.col("d")).alias("n_draws"), F.min("d").alias("least"), F.max("d").alias("most"), usual.alias("expected"), F.collect_list(F.struct("d", "c")).alias("__all"))
+    other = F.aggregate("__all", F.lit(0).cast("long"), lambda s, x: s + F.when(x["d"] != F.col("expected"), x["c"]).otherwise(0))
+    return a.withColumn("n_unequal", other).drop("__all")
+
+
 def due(work: DataFrame, done: DataFrame, key: str = "prompt_id") -> DataFrame:
     """What is still to do: rows whose key has no finished record."""
     return work.join(done.select(key).distinct(), key, "left_anti")

@@ -3,16 +3,17 @@
 import hashlib
 import json
 import math
+import os
 
 import numpy as np
 import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
-from kalibra.operators import diagnostics, labels, reporting
+from kalibra.operators import diagnostics, labels, reporting, tables
 from kalibra.plans import rule_queries
 from kalibra.plans.queries import ORACLE_SQL, QUERIES
-from kalibra.sources import results
+from kalibra.sources import jsonl, results
 from tests.test_plans import SF, _rows, duck  # noqa: F401
 
 TWINS = ["h7_masked_labels", "f14_first_prompts", "d28_brier_parts", "d15_drawn_share", "a15_fenced_bounds", "a15_metrics_on_bounds", "sk1_result_document"]
@@ -124,3 +125,31 @@ def test_documents_round_trip(spark, tmp_path):
     assert got["b"]["n_samples"] == 10 and math.isclose(got["b"]["ci_upper"], 0.5 + 1.959963984540054 * 0.1) and got["c"]["estimate"] is None
     results.write_document(found.limit(0), f"{tmp_path}/none", "dr")
     assert results.read_documents(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_report_on_draws_and_extra_ones(spark):
+    draws = [("a", "p1")] * 2 + [("a", "p2")] * 3 + [("a", "p3")] * 2 + [("b", "p1")] + [("b", "p9")] * 2
+    fresh = spark.createDataFrame(draws, "policy string, prompt_id string")
+    assert {tuple(r) for r in jsonl.draw_report(fresh).collect()} == {("a", 3, 7, 2, 3, 2, 1), ("b", 2, 3, 1, 2, 1, 1)}
+    assert {r["policy"]: r["n_unequal"] for r in jsonl.draw_report(fresh, 3).collect()} == {"a": 2, "b": 2}
+    logged = spark.createDataFrame([("p1",), ("p2",), ("p2",), ("p3",)], "prompt_id string")
+    assert [tuple(r) for r in diagnostics.extra_draws(logged, fresh).collect()] == [("b", 1, 2)]
+
+
+def test_summary_by_policy_of_an_empty_log(spark):
+    logged = spark.createDataFrame([(-1.0, {"a": -1.0, "b": None}), (None, {"a": -1.0, "b": -1.0}), (-1.0, {"a": -2.0, "b": -1.0})], "base_lp double, target_lps map<string,double>")
+    got = {r["policy"]: (r["n"], r["n_valid"], r["n_used"]) for r in diagnostics.policy_summary(logged, ["a", "b"]).collect()}
+    assert got == {"a": (3, 2, 1), "b": (3, 1, 1)}
+    assert [r["filter_rate"] for r in diagnostics.policy_summary(logged.limit(0), ["a"]).collect()] == [None]
+
+
+def test_scratch_tables_go_with_their_owner(spark):
+    rows = spark.range(5)
+    with tables.owned(spark):
+        outer = tables.written(rows, "outer").inputFiles()[0]
+        with pytest.raises(KeyError), tables.owned(spark):
+            inner = tables.written(rows, "inner").inputFiles()[0]
+            raise KeyError
+        here = [os.path.exists(p.removeprefix("file://")) for p in (outer, inner)]
+    assert here == [True, False] and not os.path.exists(outer.removeprefix("file://"))
+    assert tables.written(rows, "kept").count() == 5
