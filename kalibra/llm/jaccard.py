@@ -393,7 +393,8 @@ def _join_groups(members: DataFrame, keys: list[str], t: int) -> DataFrame:
 
 
 def tied_by_sketches(regions: DataFrame, sets: DataFrame, t: int, task_bytes: int = 8 << 20) -> DataFrame:
-    """(a, b) from regions (head, d1) and sets (d1, n, sketch): ties of the sets whose sketches allow a link, region by region."""
+    """(a, b) from regions (head, d1) and sets (d1, n, sketch): ties of the sets whose sketches allow a link, region by region.
+    A task hangs what it ties together on the least of it, so paths are short before the first star."""
     bins = max(spread(sets.sparkSession), int((regions.join(sets, "d1").agg(F.sum(F.length("sketch") + F.lit(32))).first()[0] or 0) // task_bytes + 1))
 
     def near(table: pa.Table) -> pa.Table:
@@ -401,12 +402,14 @@ def tied_by_sketches(regions: DataFrame, sets: DataFrame, t: int, task_bytes: in
         head, d1, n = (table.column(c).to_numpy() for c in ("head", "d1", "n"))
         sketches = [np.frombuffer(x, np.uint8) for x in table.column("sketch").to_pylist()]
         cuts = np.append(np.flatnonzero(np.append(True, head[1:] != head[:-1])), len(head))
-        a, b = [], []
+        names, place = np.unique(d1, return_inverse=True)
+        forest = Forest(len(names))
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             for i, j in tie(n[lo:hi], sketches[lo:hi], t):
-                a.append(int(d1[lo + i]))
-                b.append(int(d1[lo + j]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                forest.link(int(place[lo + i]), int(place[lo + j]))
+        root = np.array([forest.root(i) for i in range(len(names))], np.int64)
+        tied = root != np.arange(len(names))
+        return pa.table({"a": pa.array(names[tied]), "b": pa.array(names[root[tied]])})
 
     rows = regions.join(sets, "d1").select(F.pmod(F.xxhash64("head"), F.lit(bins)).alias("bin"), "head", "d1", "n", "sketch")
     return rows.groupBy("bin").applyInArrow(near, "a long, b long")
