@@ -523,9 +523,9 @@ def _join_regions(docs: DataFrame, rows: DataFrame, k: int, t: int, doc_id: str,
         classes = components(near).select(F.col("node").alias("lead"), F.col("component").alias("class"))
         size = large.select("region", F.col("weight").alias("whole")).distinct()
         sub = parted.where("near").select("region", "pivot", "lead", "n").join(classes, "lead", "left").withColumn("class", F.coalesce("class", "lead"))
-        cut = sub.groupBy("region", "pivot").agg(F.sum("n").alias("w"), (F.min("class") != F.max("class")).alias("open"))
-        shrunk = cut.where("open").groupBy("region").agg(F.sum(F.pow("w", 2)).alias("work")).join(size, "region").select("region", (F.col("work") < 0.5 * F.pow("whole", 2)).alias("shrunk"))
-        voronoi = sub.join(cut.where("open"), ["region", "pivot"]).join(shrunk.where("shrunk"), "region").select(F.xxhash64("region", "pivot", F.lit(turn)).alias("region"), "lead", "n")
+        cut = saved(sub.groupBy("region", "pivot").agg(F.sum("n").alias("w"), (F.min("class") != F.max("class")).alias("open")).where("open").select("region", "pivot", "w"), "cuts")
+        shrunk = saved(cut.groupBy("region").agg(F.sum(F.pow("w", 2)).alias("work")).join(size, "region").select("region", (F.col("work") < 0.5 * F.pow("whole", 2)).alias("shrunk")), "shrunk")
+        voronoi = sub.join(cut, ["region", "pivot"]).join(shrunk.where("shrunk"), "region").select(F.xxhash64("region", "pivot", F.lit(turn)).alias("region"), "lead", "n")
         # what pivots don't shrink (and a region that chance left without pivots) is parted by signatures of another split
         unparted = large.select("region", "lead", "n").join(parted.select("region").distinct(), "region", "left_anti")
         dense = saved(large.select("region", "lead", "n").join(shrunk.where("not shrunk"), "region", "left_semi").union(unparted), "dense")
@@ -533,7 +533,8 @@ def _join_regions(docs: DataFrame, rows: DataFrame, k: int, t: int, doc_id: str,
         if dense.head(1):
             texts = docs.select(F.col(doc_id).cast("long").alias("lead"), F.col(text).alias("text")).join(dense.hint("shuffle_hash"), "lead")
             again = cell_regions(texts.select("region", "text"), k, t, region_sets, turn + 1).select(F.xxhash64("head", F.lit(turn)).alias("region"), "d1").distinct()
-            again = again.join(_leads_of(texts, k), "d1").join(classes, "lead", "left").withColumn("class", F.coalesce("class", "lead"))
+            # written, as heads of cells too large to hold depend on what comes first: computed twice, they could differ
+            again = saved(again.join(_leads_of(texts, k), "d1").join(classes, "lead", "left").withColumn("class", F.coalesce("class", "lead")), "again")
             open_ = again.groupBy("region").agg((F.min("class") != F.max("class")).alias("open")).where("open")
             rows = rows.union(again.join(open_, "region", "left_semi").select("region", "lead", "n"))
         rows = saved(rows, "regions")

@@ -85,3 +85,30 @@ def test_ties_of_a_task_hang_on_their_least(spark):
     least = {}
     for a, b in ties:
         assert least.setdefault(a, b) == b
+
+
+def test_plans_of_the_join_stay_small(spark, monkeypatch):
+    """A chain of texts, each near to the next only, that pivots part, and copies of one text: all joined, and no plan holds a whole round."""
+    rng, plans = random.Random(8), []
+
+    def seen(df, name, saved=module.saved):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return saved(df, name)
+
+    monkeypatch.setattr(module, "saved", seen)
+    monkeypatch.setattr(jaccard, "saved", seen)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words)] * 40
+    for i in range(12):  # four of 58 windows go a step: 54 of 62 are shared, after two steps 50 of 66, which is no link
+        words = words[4:] + [f"new{i}x{j}" for j in range(4)]
+        texts.append(" ".join(words))
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    docs = spark.createDataFrame([(i, texts[x]) for i, x in enumerate(order)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs, 3, 80, region_sets=4, task_shingles=200).collect()}
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(58)} for t in texts]
+    edges = [(i, j) for i, x in enumerate(order) for j, y in enumerate(order) if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])]
+    want = {i: i for i in got} | _least(edges)
+    assert got == want and len(set(want.values())) == 1
+    for name, plan in plans:
+        assert len(re.findall(r"\bJoin\b", plan)) <= 6, (name, plan)
