@@ -5,10 +5,9 @@ Contributions are (policy, row_id, fold, c, phi), as estimators give them: the v
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,73 +96,83 @@ def simultaneous(estimates: DataFrame, alpha: float = 0.05, se: str = "se") -> D
     return out.select("policy", "estimate", F.col(se).alias("se"), "critical", lo.alias("lo"), hi.alias("hi"), ((lo > 0) | (hi < 0)).alias("significant"))
 
 
-def _in_order(contributions: DataFrame, order: str, size: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of each policy in chunks of `size` places (chunks numbered by place), and each policy's count.
+#: places of a policy that one task sums up: 56 MB of rows
+SLICE = 1 << 21
+
+
+def _in_order(contributions: DataFrame, order: str) -> DataFrame:
+    """(policy, place, v, next): rows of each policy by place in the order from 0, and the value at the place after (null at the end).
 
     Places come from counts by range: rows are sorted by ranges, a range's rows are numbered in it, and the counts before it are added."""
     ranged = written(contributions.select("policy", order, F.col("c").alias("v")).repartitionByRange("policy", order).withColumn("part", F.spark_partition_id()), "ranges")
-    own = ranged.withColumn("own", F.row_number().over(W.partitionBy("policy", "part").orderBy(order)) - 1)
-    counts = ranged.groupBy("policy", "part").count()
-    ahead = counts.select("policy", "part", F.coalesce(F.sum("count").over(W.partitionBy("policy").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    placed = own.join(F.broadcast(ahead), ["policy", "part"]).withColumn("place", F.col("own") + F.col("ahead"))
-    return placed.select("policy", "place", "v", F.floor(F.col("place") / size).alias("chunk")), counts.groupBy("policy").agg(F.sum("count").alias("n"))
+    inside, between = W.partitionBy("policy", "part").orderBy(order), W.partitionBy("policy").orderBy("part")
+    own = ranged.withColumn("own", F.row_number().over(inside) - 1).withColumn("next", F.lead("v").over(inside))
+    parts = ranged.groupBy("policy", "part").agg(F.count(F.lit(1)).alias("size"), F.min_by("v", order).alias("first"))
+    ahead = parts.select("policy", "part", "size", F.coalesce(F.sum("size").over(between.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"), F.lead("first").over(between).alias("after"))
+    placed = own.join(F.broadcast(ahead), ["policy", "part"])  # a row a policy and range
+    return placed.select("policy", (F.col("own") + F.col("ahead")).alias("place"), "v", F.when(F.col("own") == F.col("size") - 1, F.col("after")).otherwise(F.col("next")).alias("next"))
+
+
+def _blocks(rng: np.random.Generator, n: int, length: int, stationary: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, sizes) of a replicate's blocks, n places in all."""
+    if stationary:
+        sizes = np.zeros(0, np.int64)
+        while sizes.sum() < n:
+            sizes = np.append(sizes, rng.geometric(1 / length, max(16, int(1.2 * n / length))))
+        starts = rng.integers(0, n, len(sizes))
+    else:
+        sizes = np.full(-(-n // length), length, np.int64)
+        starts = rng.integers(0, n - length + 1, len(sizes))
+    total = np.cumsum(sizes)
+    last = int(np.searchsorted(total, n))
+    sizes[last] -= total[last] - n
+    return starts[: last + 1], sizes[: last + 1]
+
+
+def _sum_within(sums: np.ndarray, low: int, n: int, starts: np.ndarray, sizes: np.ndarray) -> float:
+    """What blocks have at places from low on; sums: running sums there from 0. A block goes on from place 0 at the end, n."""
+    high, end, total = low + len(sums) - 1, starts + sizes, 0.0
+    if sizes.max() >= n:
+        total, end = float((sizes // n).sum() * sums[-1]), starts + sizes % n
+    met = (starts < high) & (end > low)
+    total += (sums[np.minimum(end[met], high) - low] - sums[np.maximum(starts[met], low) - low]).sum()
+    over = end[end > n] - n
+    return total + sums[np.minimum(over[over > low], high) - low].sum()
 
 
 def block_bootstrap(contributions: DataFrame, order: str = "row_id", replicates: int = 1000, block: int | None = None, stationary: bool = False, alpha: float = 0.05, seed: int = 17) -> DataFrame:
     """(policy, estimate, se, lo, hi, block) of the mean of c by blocks of neighbours in order, percentile intervals.
 
     Moving blocks have a fixed length (n to the power 1/3), stationary ones a geometric length with that mean, made longer by the
-    correlation of neighbours, and run on at the end from the start. A replicate's mean needs sums of blocks only: with running
-    sums by place, a block is the difference of two of them, so rows are summed once, a task draws the starts of its share of
-    replicates, and nothing but two look-ups a block is joined. Places are exact, whatever the number of partitions.
+    correlation of neighbours, and run on at the end from the start. A replicate's mean needs sums of blocks only, differences of two
+    running sums. A task holds the running sums of SLICE neighbours, draws all blocks anew (draws depend on seed, replicate and policy
+    only) and adds up what of them lies in its slice: no draw is sent or joined, and a slice hands on a sum a replicate. Places
+    are exact, whatever the number of partitions.
     """
     spark = contributions.sparkSession
-    rows, sizes = _in_order(contributions, order, 1 << 16)
-    rows = written(rows, "places")
-    # neighbours' correlation, for the mean length of stationary blocks
-    nxt = rows.select("policy", (F.col("place") - 1).alias("place"), F.col("v").alias("next"))
-    rho = rows.join(nxt, ["policy", "place"]).groupBy("policy").agg(F.coalesce(F.corr("v", "next"), F.lit(0.0)).alias("rho"))
-    stats = rows.groupBy("policy").agg(F.avg("v").alias("estimate"), F.count(F.lit(1)).alias("n")).join(rho, "policy", "left")
+    rows = written(_in_order(contributions, order), "places")
+    # neighbours' correlation is for the mean length of stationary blocks
+    stats = rows.groupBy("policy").agg(F.avg("v").alias("estimate"), F.count(F.lit(1)).alias("n"), F.coalesce(F.corr("v", "next"), F.lit(0.0)).alias("rho"))
     lengths, info = {}, {r["policy"]: r for r in stats.collect()}  # a row a policy
     for p, r in info.items():
         base = max(1, round(r["n"] ** (1 / 3))) if stationary else max(1, int(r["n"] ** (1 / 3)))
         c = min(0.99, abs(r["rho"] or 0.0))
         lengths[p] = block or (min(max(1, round(base * (c / (1 - c)) ** 0.67)) if stationary and c >= 0.1 else base, max(1, r["n"] // 4)) if stationary else base)
-    # running sums at chunk ends, then at places within the chunk
-    chunk = rows.groupBy("policy", "chunk").agg(F.sum("v").alias("s"))
-    before = chunk.select("policy", "chunk", F.coalesce(F.sum("s").over(W.partitionBy("policy").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
-    inside = F.sum("v").over(W.partitionBy("policy", "chunk").orderBy("place"))
-    running = rows.withColumn("own", inside).join(F.broadcast(before), ["policy", "chunk"]).select("policy", (F.col("place") + 1).alias("at"), (F.col("before") + F.col("own")).alias("sum"))
-    running = running.union(sizes.select("policy", F.lit(0).cast("long"), F.lit(0.0)))
-    asked = spark.createDataFrame([(p, int(r["n"]), int(lengths[p])) for p, r in info.items()], "policy string, n long, block long")
-    asked = asked.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition("policy", "replicate")
-
-    def drawn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for p, n, length, rep in part[["policy", "n", "block", "replicate"]].itertuples(index=False):
-                rng = np.random.default_rng([seed, rep, *p.encode()])
-                if stationary:
-                    sizes = np.zeros(0, np.int64)
-                    while sizes.sum() < n:
-                        sizes = np.append(sizes, rng.geometric(1 / length, max(16, int(1.2 * n / length))))
-                    starts = rng.integers(0, n, len(sizes))
-                else:
-                    sizes = np.full(-(-n // length), length, np.int64)
-                    starts = rng.integers(0, n - length + 1, len(sizes))
-                total = np.cumsum(sizes)
-                keep = total - sizes < n
-                sizes, starts = np.where(total > n, sizes - (total - n), sizes)[keep], starts[keep]
-                turns, rest = sizes // n, sizes % n
-                end = starts + rest
-                # a block is sum(end) - sum(start); over the end it goes round
-                places = np.concatenate([starts, np.minimum(end, n), np.zeros((end > n).sum(), np.int64), (end - n)[end > n], np.full(turns.sum(), n)])
-                signs = np.concatenate([-np.ones(len(starts)), np.ones(len(starts)), -np.ones((end > n).sum()), np.ones((end > n).sum()), np.ones(turns.sum())])
-                where, back = np.unique(places, return_inverse=True)
-                times = np.bincount(back, signs)
-                yield pd.DataFrame({"policy": p, "replicate": rep, "n": n, "at": where[times != 0], "times": times[times != 0]})
-
-    uses = asked.mapInPandas(drawn, "policy string, replicate int, n long, at long, times double")
-    means = uses.join(running, ["policy", "at"]).groupBy("policy", "replicate").agg((F.sum(F.col("times") * F.col("sum")) / F.first("n")).alias("m"))
+    asked, width = {p: (int(r["n"]), int(lengths[p])) for p, r in info.items()}, SLICE
+
+    def summed(table: pa.Table) -> pa.Table:
+        policy, low = table["policy"][0].as_py(), table["slice"][0].as_py() * width
+        n, length = asked[policy]
+        sums = np.zeros(len(table) + 1)
+        sums[table["own"].to_numpy() + 1] = table["v"].to_numpy()
+        np.cumsum(sums, out=sums)
+        found = [_sum_within(sums, low, n, *_blocks(np.random.default_rng([seed, rep, *policy.encode()]), n, length, stationary)) / n for rep in range(replicates)]
+        return pa.table({"policy": pa.array([policy] * replicates, pa.string()), "replicate": pa.array(range(replicates), pa.int32()), "m": pa.array(found, pa.float64())})
+
+    place = F.col("place")
+    sliced = rows.select("policy", F.floor(place / width).cast("int").alias("slice"), (place % width).cast("int").alias("own"), F.coalesce("v", F.lit(0.0)).alias("v"))
+    parts = sliced.groupBy("policy", "slice").applyInArrow(summed, "policy string, replicate int, m double")
+    means = parts.groupBy("policy", "replicate").agg(F.sum("m").alias("m"))
     ends = means.groupBy("policy").agg(F.stddev_samp("m").alias("se"), F.percentile("m", alpha / 2).alias("lo"), F.percentile("m", 1 - alpha / 2).alias("hi"))
     held = spark.createDataFrame([(p, float(r["estimate"]), int(lengths[p])) for p, r in info.items()], "policy string, estimate double, block long")
     return held.join(ends, "policy").select("policy", "estimate", "se", "lo", "hi", "block")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kalibra.operators import bootstrap as b
+from kalibra.operators import inference
 
 
 def _rows(spark, **keys):
@@ -62,3 +63,36 @@ def test_nulls_single_rows_and_no_rows(spark):
     assert b.bootstrap(rows.limit(0), b.mean("x")).count() == 0
     with pytest.raises(ValueError, match="kind"):
         b.bootstrap(rows, b.mean("x"), kind="other")
+
+
+def _plain_means(v, length, stationary, replicates, seed, policy):
+    """Each replicate's mean from its rows themselves."""
+    for rep in range(replicates):
+        rng = np.random.default_rng([seed, rep, *policy.encode()])
+        starts, sizes = inference._blocks(rng, len(v), length, stationary)
+        assert sizes.sum() == len(v) and sizes.min() > 0
+        yield np.concatenate([v[(s + np.arange(k)) % len(v)] for s, k in zip(starts, sizes, strict=True)]).mean()
+
+
+def _broadcast_rows(plan):
+    """Rows of each broadcast of a plan that has run."""
+    name = plan.nodeName()
+    below = [plan.executedPlan()] if name.startswith("Adaptive") else [plan.plan()] if "QueryStage" in name else [plan.children().apply(i) for i in range(plan.children().size())]
+    return ([plan.metrics().apply("numOutputRows").value()] if name.startswith("BroadcastExchange") else []) + [n for x in below for n in _broadcast_rows(x)]
+
+
+def _sent_sparingly(spark, stationary):
+    v = np.random.default_rng(5).normal(1, 1, 4000)
+    own = spark.createDataFrame([(p, i, float(x)) for p in ("p", "q") for i, x in enumerate(v)], "policy string, row_id int, c double").repartition(3)
+    out = inference.block_bootstrap(own, stationary=stationary, replicates=500)
+    got = out.collect()
+    assert max(_broadcast_rows(out._jdf.queryExecution().executedPlan()), default=0) <= 2  # a row a policy, no draws
+    assert {r.policy for r in got} == {"p", "q"}
+    for r in got:
+        means = np.fromiter(_plain_means(v, r.block, stationary, 500, 17, r.policy), float)
+        assert np.allclose([r.estimate, r.se, r.lo, r.hi], [v.mean(), means.std(ddof=1), *np.quantile(means, [0.025, 0.975])])
+
+
+def test_stationary_blocks_are_summed_by_slices_without_broadcast_draws(spark, monkeypatch):
+    monkeypatch.setattr(inference, "SLICE", 300, raising=False)
+    _sent_sparingly(spark, True)
