@@ -96,3 +96,8 @@ def _sent_sparingly(spark, stationary):
 def test_stationary_blocks_are_summed_by_slices_without_broadcast_draws(spark, monkeypatch):
     monkeypatch.setattr(inference, "SLICE", 300, raising=False)
     _sent_sparingly(spark, True)
+
+
+def test_moving_blocks_are_summed_by_slices_without_broadcast_draws(spark, monkeypatch):
+    monkeypatch.setattr(inference, "SLICE", 300, raising=False)
+    _sent_sparingly(spark, False)
