@@ -88,3 +88,36 @@ def test_stream_cut_off_between_its_two_tables_leaves_nothing_twice(spark, tmp_p
     assert records.count() == 6 and broken.count() == 3
     order = {r.log_batch: r.log_file[-7:] for r in records.collect()}
     assert {r.prompt_id: r.logprob for r in growing.last_wins(records, ["prompt_id"]).collect()} == {"k0": 0.0, "k1": 1.0, "k2": 2.0, "all": float(order[2][0])}
+
+
+def test_lines_are_parsed_once_for_passes_and_last_records_win_over_blocks(spark, tmp_path):
+    _put(tmp_path / "base_logprobs.jsonl", *[_rec(f"k{i % 7}", -float(i)) for i in range(5000)], _rec(None, 1.0), "{cut")
+    _put(tmp_path / "base_logprobs_pass2.jsonl", *[_rec(f"k{i % 7}", None if i == 2999 else float(i)) for i in range(3000)])
+    _put(tmp_path / "base_logprobs_pass3.jsonl", _rec(None, 1.0))
+    _put(tmp_path / "base_logprobs_pass4.jsonl", "{cut")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        records, broken = growing.read_log(spark, str(tmp_path), SCHEMA)
+        for df in (records, broken):
+            assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+        table = growing.pass_table(growing.with_pass(records))
+        assert "from_json" not in table._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r["prompt_id"], r["pass"]): r["logprob"] for r in table.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    first = {(f"k{i % 7}", 1): -float(i) for i in range(5000)}
+    second = {(f"k{i % 7}", 2): None if i == 2999 else float(i) for i in range(3000)}
+    assert got == {**first, **second, **{(f"k{i}", 3): None for i in range(7)}}
+
+
+@pytest.mark.parametrize("path, want", [
+    ("file:/x/a_logprobs.jsonl", ("a", "")), ("a_logprobs_pass12.jsonl/part-0", ("a", "12")), ("/d_logprobs/b_logprobs_logprobs.jsonl", ("b_logprobs", "")), ("/a_logprobs.jsonl/b_logprobs_pass2.jsonl", ("a", "")),
+    ("/a_logprobs.jsonl/x/y", ("", "")), ("/_logprobs.jsonl", ("", "")), ("/a_logprobs_passx.jsonl", ("", "")), ("/" + "n" * 20000 + "/a_logprobs.jsonl", ("a", "")),
+])
+def test_names_of_passes(spark, path, want):
+    line = spark.createDataFrame([(path,)], "log_file string")
+    at = line.select(*[F.regexp_extract("log_file", growing.PASS_NAME, i) for i in (1, 2)]).first()
+    assert tuple(at) == want
+    passes = [want[0], int(want[1] or 1)]
+    assert [[r["policy"], r["pass"]] for r in growing.with_pass(line).collect()] == ([passes] if want[0] else [])
